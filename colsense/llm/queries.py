@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dup, quality_rules, token_store
+from . import chat, cotraining, decontaminate, language_id, line_dedup, mixing, near_dup, quality_rules, secrets, token_store
 from .common import table
 
 
@@ -16,10 +16,14 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secrets": secrets.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_store": token_store.query,
+    "op6_cotraining": cotraining.query,
     "op7_chat": chat.query,
+    "op8_language_id": language_id.query,
     "op9_mixing": op9_mixing,
     "op10_near_dup": near_dup.query,
 }
