@@ -35,7 +35,8 @@ from .common import table, with_records_per_batch
 WINDOW = 10
 #: Bound on the characters of windows in one automaton (about 40 bytes of memory each).
 BLOCK_CHARS = 4_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word before lower-casing.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
