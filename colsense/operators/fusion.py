@@ -76,25 +76,27 @@ def not_vacuous(masses: DataFrame) -> DataFrame:
 
 
 def combine(left: DataFrame, right: DataFrame, pairs: DataFrame, rule: str = "dempster") -> DataFrame:
-    """(entity, focal, mass, k): two sources of each entity combined; k is the mass of contradiction.
+    """(entity, focal, mass, k): two sources of each entity combined; k is the mass of contradiction, with that of ``left`` before.
 
     ``dempster`` scales what agrees to 1, and is vacuous with k = 1 where nothing agrees;
     ``yager`` gives the contradiction to Z.
     """
-    a = left.select("entity", F.col("focal").alias("f1"), F.col("mass").alias("m1"))
+    earlier = F.col("k") if "k" in left.columns else F.lit(0.0)
+    a = left.select("entity", F.col("focal").alias("f1"), F.col("mass").alias("m1"), earlier.alias("k0"))
     b = right.select("entity", F.col("focal").alias("f2"), F.col("mass").alias("m2"))
     both = a.join(b, "entity").join(pairs, ["f1", "f2"], "left").withColumn("m", F.col("m1") * F.col("m2"))
-    sums = both.groupBy("entity", F.col("f12").alias("focal")).agg(F.sum("m").alias("m"))
-    by = Window.partitionBy("entity")
-    k = F.coalesce(F.sum(F.when(F.col("focal").isNull(), F.col("m"))).over(by), F.lit(0.0))
+    sums = both.groupBy("entity", F.col("f12").alias("focal")).agg(F.sum("m").alias("m"), F.max("k0").alias("k0"))
+    k = F.coalesce(F.sum(F.when(F.col("focal").isNull(), F.col("m"))).over(Window.partitionBy("entity")), F.lit(0.0))
     rows = sums.withColumn("k", k)
     if rule == "yager":
-        rows = rows.withColumn("focal", F.coalesce("focal", F.lit(ALL))).groupBy("entity", "focal", "k").agg(F.sum("m").alias("mass"))
+        rows = rows.withColumn("focal", F.coalesce("focal", F.lit(ALL))).groupBy("entity", "focal").agg(F.sum("m").alias("mass"), F.max(F.col("k") + F.col("k0")).alias("k"))
         return rows.where(F.col("mass") > TINY).select("entity", "focal", "mass", "k")
     total = F.col("k") >= 1 - 1e-12
     rows = rows.where(F.col("focal").isNotNull() | total)
-    rows = rows.select("entity", F.when(total, F.lit(ALL)).otherwise(F.col("focal")).alias("focal"), F.when(total, F.lit(1.0)).otherwise(F.col("m") / (1 - F.col("k"))).alias("mass"), F.when(total, F.lit(1.0)).otherwise(F.col("k")).alias("k")).distinct()
-    return rows.where(F.col("mass") > TINY)
+    joint = 1 - (1 - F.col("k")) * (1 - F.col("k0"))
+    rows = rows.select("entity", F.when(total, F.lit(ALL)).otherwise(F.col("focal")).alias("focal"), F.when(total, F.lit(1.0)).otherwise(F.col("m") / (1 - F.col("k"))).alias("mass"), F.when(total, F.lit(1.0)).otherwise(joint).alias("k"))
+    # Under total conflict, the contradiction and elements without weight would all be Z.
+    return rows.where(F.col("mass") > TINY).groupBy("entity", "focal").agg(F.max("mass").alias("mass"), F.max("k").alias("k"))
 
 
 def combine_all(masses: DataFrame, pairs: DataFrame, sources: list[str], rule: str = "dempster") -> DataFrame:
@@ -111,10 +113,7 @@ def combine_all(masses: DataFrame, pairs: DataFrame, sources: list[str], rule: s
 
     out = part(sources[0]).withColumn("k", F.lit(0.0))
     for s in sources[1:]:
-        before = out.groupBy("entity").agg(F.first("k").alias("k0"))
-        step = combine(out, part(s), pairs, rule).join(before, "entity")
-        k = F.col("k") + F.col("k0") if rule == "yager" else 1 - (1 - F.col("k")) * (1 - F.col("k0"))
-        out = step.select("entity", "focal", "mass", k.alias("k"))
+        out = combine(out, part(s), pairs, rule)
     return out
 
 

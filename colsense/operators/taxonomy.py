@@ -180,7 +180,7 @@ def name_index(nodes: DataFrame) -> DataFrame:
 def derive_reference(columns: DataFrame, index: DataFrame, fallback: str) -> DataFrame:
     """(column, code): decoded from names like attr_1_2_3, the fallback for row_id, else by the name index."""
     c = F.col("column")
-    coded = F.regexp_replace(F.regexp_extract(c, r"^[a-z]+_(\d+(_\d+)*)$", 1), "_", ".")
+    coded = F.regexp_replace(F.regexp_extract(c, r"^(?:attr|code|col|data|field|item|key|ref|val|var)_(\d+(_\d+)*)$", 1), "_", ".")
     norm = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_")
     rows = columns.withColumn("norm", norm).join(index.withColumnRenamed("code", "by_name"), "norm", "left")
     return rows.select("column", F.when(coded != "", coded).when(c == "row_id", F.lit(fallback)).otherwise(F.col("by_name")).alias("code"))
@@ -262,7 +262,7 @@ def content_keys(nodes: DataFrame) -> DataFrame:
 def compatibility(have: DataFrame, want: DataFrame) -> DataFrame:
     """One row: ok, superset, partial or disjoint, with the missing and the extra codes."""
     both = have.select("code", F.lit(1).alias("h")).distinct().join(want.select("code", F.lit(1).alias("w")).distinct(), "code", "full")
-    row = both.agg(F.count_if("h IS NULL").alias("n_missing"), F.count_if("w IS NULL").alias("n_extra"), F.count_if("h = 1 AND w = 1").alias("n_common"))
+    row = both.agg(F.count_if(F.expr("h IS NULL")).alias("n_missing"), F.count_if(F.expr("w IS NULL")).alias("n_extra"), F.count_if(F.expr("h = 1 AND w = 1")).alias("n_common"))
     kind = F.when((F.col("n_missing") == 0) & (F.col("n_extra") == 0), "ok").when(F.col("n_missing") == 0, "superset").when(F.col("n_common") > 0, "partial").otherwise("disjoint")
     return row.select(kind.alias("compatibility"), "n_missing", "n_extra", "n_common")
 
@@ -287,7 +287,8 @@ def descend(options: DataFrame, floor: float = 0.2, steps: int = 8) -> DataFrame
     Each opening genus at or above the floor goes down to its most probable option
     until that option is the node itself or a leaf; the heaviest opening wins.
     """
-    opening = options.where("parent IS NULL").where((F.col("prob") >= floor) | (F.col("prob") == F.max("prob").over(Window.partitionBy("entity"))))
+    most = F.max("prob").over(Window.partitionBy("entity"))
+    opening = options.where("parent IS NULL").withColumn("most", most).where((F.col("prob") >= floor) | (F.col("prob") == F.col("most")))
     rows = opening.select("entity", F.col("option").alias("at"), F.col("prob").alias("weight"), F.col("option").alias("genus"))
     best = options.where("parent IS NOT NULL").groupBy("entity", F.col("parent").alias("at")).agg(F.max_by("option", F.struct("prob", "option")).alias("to"))
     for _ in range(steps):
