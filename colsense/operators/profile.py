@@ -160,8 +160,8 @@ def profile(cells: DataFrame) -> DataFrame:
         n.alias("n_rows"),
         nulls.alias("n_nulls"),
         F.round(nulls / n, 4).alias("null_ratio"),
-        F.round(F.sum(F.length(v)) / F.count(v), 2).alias("avg_value_length"),
-        F.round(F.count_if(P.numeric(v)) / F.count(v), 4).alias("numeric_ratio"),
+        F.round(F.try_divide(F.sum(F.length(v)), F.count(v)), 2).alias("avg_value_length"),
+        F.round(F.try_divide(F.count_if(P.numeric(v)), F.count(v)), 4).alias("numeric_ratio"),
     )
     parts = [wide, cardinality(cells), length_entropy(cells)]
     return reduce(lambda a, b: a.join(b, KEY, "left"), parts)

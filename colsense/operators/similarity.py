@@ -80,7 +80,7 @@ def shape_signature(cells: DataFrame, *by: str) -> DataFrame:
     """Shares of the character classes and the mean length of each group's values."""
     v = F.col("value")
     chars = F.sum(F.length(v))
-    return cells.groupBy(*by).agg(*[(F.sum(c) / chars).alias(k) for k, c in shape(v).items()], (chars / F.count(v)).alias("length"))
+    return cells.groupBy(*by).agg(*[F.try_divide(F.sum(c), chars).alias(k) for k, c in shape(v).items()], F.try_divide(chars, F.count(v)).alias("length"))
 
 
 def layout(rows: DataFrame) -> DataFrame:
