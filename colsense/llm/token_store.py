@@ -44,7 +44,7 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
 LEAST, MOST, CUT_BITS = 128, 8192, 10
 #: Distinct pieces of text whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -53,9 +53,10 @@ class Encoder:
     """Ids of whole texts.
 
     The vocabulary's pattern never joins what stands before a blank between two
-    other characters with what follows it, so a text's ids are those of its pieces
-    between such blanks, one after the other. Ids of pieces are remembered; new
-    pieces are encoded together, in one string.
+    other characters with what follows it, nor a letter with a full stop or comma
+    behind it, nor a line break between two other characters with either of them.
+    So a text's ids are those of such parts, one after the other. Ids of parts are
+    remembered; new parts are encoded together, in one string.
     """
 
     def __init__(self, path: str):
@@ -67,42 +68,70 @@ class Encoder:
         for token, k in self.model.get_vocab().items():
             lead[k] = token.startswith("Ġ")  # how byte-level vocabularies write a leading blank
         self.lead = lead
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}  # ids of a part behind a blank
+        self.first: dict[str, bytes] = {}  # ids of a part behind a line break
+        self.mark = {x: self.plain(x) for x in ("\n", ".", ",", "")}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 1000):
-            part = pieces[k : k + 1000]
-            ids = np.array(self.model.encode_batch_fast(["".join([" " + p for p in part])], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(self.lead[ids])
-            if len(at) != len(part) or at[0] != 0:
-                for p in part:
-                    self.known[p] = self.plain(" " + p)
+    def learn(self, parts: list[str], before: str, into: dict[str, bytes]) -> None:
+        """Ids of parts that stand behind a blank (with it) or a line break (without it)."""
+        for k in range(0, len(parts), 1000):
+            some = parts[k : k + 1000]
+            ids = np.array(self.model.encode_batch_fast(["".join([before + p for p in some])], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.lead[ids] if before == " " else ids == np.frombuffer(self.mark["\n"], self.kind)[0])
+            if len(at) != len(some) or at[0] != 0:
+                into.update((p, self.plain(" " + p if before == " " else p)) for p in some)
                 continue
-            data, cuts = ids.tobytes(), (np.append(at, len(ids)) * self.kind.itemsize).tolist()
-            for j, p in enumerate(part):
-                self.known[p] = data[cuts[j] : cuts[j + 1]]
+            data, width = ids.tobytes(), self.kind.itemsize
+            ends = [*(at[1:] * width).tolist(), len(data)]
+            starts = ((at + (before != " ")) * width).tolist()
+            into.update((p, data[x:y]) for p, x, y in zip(some, starts, ends))
+
+    def resolve(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces with a line break; others go to ``known``. Pieces that cannot stand alone are left out."""
+        words, ended, broken = set(), [], []
+        for p in pieces:
+            if p.isalpha():
+                words.add(p)
+            elif p[-1:] in (".", ",") and p[:-1].isalpha():
+                ended.append(p)
+                words.add(p[:-1])
+            elif "\n" in p:
+                broken.append((p, p.split("\n")))
+            elif whole(p):
+                words.add(p)
+        broken = [(p, x) for p, x in broken if all(map(whole, x))]
+        cut = lambda x: (x[:-1], x[-1]) if x[-1] in ".," and x[:-1].isalpha() else (x, "")
+        parts = [(p, [cut(x) for x in lines]) for p, lines in broken]
+        words.update(x[0][0] for _, x in parts)
+        known, first, mark = self.known, self.first, self.mark
+        self.learn([w for w in words if w not in known], " ", known)
+        self.learn(list({w for _, x in parts for w, _ in x[1:] if w not in first}), "\n", first)
+        known.update((p, known[p[:-1]] + mark[p[-1]]) for p in ended)
+        return {p: known[x[0][0]] + mark[x[0][1]] + b"".join([mark["\n"] + first[w] + mark[end] for w, end in x[1:]]) for p, x in parts}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as bytes, from its pieces where no blank stands beside white space or at an end."""
         split = [t.split(" ") for t in texts]
-        new = set().union(*[p[1:] for p in split]) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*[p[1:] for p in split])
-        odd = {p for p in new if not whole(p)}
-        self.known.update(dict.fromkeys(odd))  # texts with such a piece are encoded as a whole
-        self.learn(list(new - odd))
-        return [self._joined(t, p) for t, p in zip(texts, split)]
-
-    def _joined(self, text: str, pieces: list[str]) -> bytes:
-        if len(pieces) > 1 and whole(pieces[0]):
-            parts = list(map(self.known.__getitem__, pieces[1:]))
-            if None not in parts:
-                return b"".join([self.plain(pieces[0]), *parts])
-        return self.plain(text)
+        get = self.known.get
+        found = [list(map(get, p[1:])) for p in split]
+        new = {x for p, f in zip(split, found) if None in f for x, ids in zip(p[1:], f) if ids is None}
+        extra: dict[str, bytes] = {}
+        if new:
+            if len(self.known) + len(self.first) + len(new) > REMEMBERED:
+                self.known.clear()
+                self.first.clear()
+                new = set().union(*[p[1:] for p in split])
+                found = [[None] * (len(p) - 1) for p in split]
+            extra = self.resolve(new)  # line breaks seldom come again in the same words
+        out = []
+        for t, p, f in zip(texts, split, found):
+            if None in f:
+                f = [x if x is not None else get(w) or extra.get(w) for w, x in zip(p[1:], f)]
+            out.append(self.plain(t) if None in f or not whole(p[0]) else b"".join([self.plain(p[0]), *f]))
+        return out
 
 
 def whole(piece: str) -> bool:
@@ -119,17 +148,24 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places in an id stream after which its last 16 ids ask for a cut.
+
+    Several documents may stand in one stream: a mark that depends on the document
+    before is among the first 15 places, where no chunk ends.
+    """
+    gear, rolled = _GEAR[ids & 0xFFFF], np.zeros(len(ids), np.uint64)
+    for j in range(min(16, len(ids))):
+        rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
+    return np.flatnonzero(mixed(rolled) >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
+def cuts(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids with marks at these places."""
     if n <= LEAST:
         return [n]
-    gear, rolled = _GEAR[ids & 0xFFFF], np.zeros(n, np.uint64)
-    for j in range(16):
-        rolled[j:] += gear[: n - j] << np.uint64(j)
-    found = np.flatnonzero(mixed(rolled) >> np.uint64(64 - CUT_BITS) == 0) + 1
     out, last = [], 0
-    for c in [*found.tolist(), n]:
+    for c in [*marks, n]:
         while c - last > MOST:
             last += MOST
             out.append(last)
@@ -159,41 +195,41 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataFrame:
     """A row for each document (root, digests, lengths) with the chunks that its task had not met before."""
     schema = "doc_id long, root binary, n_tokens long, digests array<binary>, lengths array<int>, new array<struct<digest:binary,n:int,width:int,ids:binary>>"
-    arrow = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("root", pa.binary()),
-            ("n_tokens", pa.int64()),
-            ("digests", pa.list_(pa.binary())),
-            ("lengths", pa.list_(pa.int32())),
-            ("new", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]))),
-        ]
-    )
+    chunk = [("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         width = model.kind.itemsize
         tail = np.array([end], model.kind).tobytes()
         met: set[bytes] = set()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                batch = whole.slice(k, 200)
-                rows = []
-                for key_, data in zip(batch.column(0).to_pylist(), model.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    data += tail
-                    names, lengths, new, last = [], [], [], 0
-                    for c in cuts(np.frombuffer(data, model.kind)):
+        for whole_batch in batches:
+            for k in range(0, whole_batch.num_rows, 200):
+                batch = whole_batch.slice(k, 200)
+                coded = [x + tail for x in model.encode([t or "" for t in batch.column(1).to_pylist()])]
+                begin = np.cumsum([0, *[len(x) // width for x in coded]])
+                marks = cut_marks(np.frombuffer(b"".join(coded), model.kind))
+                span = np.searchsorted(marks, begin, "right").tolist()
+                roots, sizes, names, lengths, new, offsets = [], [], [], [], [], [0]
+                for j, data in enumerate(coded):
+                    n, last, own, lens = len(data) // width, 0, [], []
+                    for c in cuts(n, (marks[span[j] : span[j + 1]] - begin[j]).tolist()):
                         part = data[last * width : c * width]
-                        names.append(name := digest(part))
-                        lengths.append(c - last)
+                        own.append(name := digest(part))
+                        lens.append(c - last)
                         if name not in met:
-                            if len(met) > 500_000:
-                                met.clear()
                             met.add(name)
-                            new.append({"digest": name, "n": c - last, "width": width, "ids": pack.compress(part)})
+                            new.append((name, c - last, width, pack.compress(part)))
                         last = c
-                    rows.append({"doc_id": key_, "root": merkle_root(names), "n_tokens": last, "digests": names, "lengths": lengths, "new": new})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    roots.append(merkle_root(own))
+                    sizes.append(n)
+                    names.append(own)
+                    lengths.append(lens)
+                    offsets.append(len(new))
+                if len(met) > 500_000:
+                    met.clear()
+                fresh = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*new) if new else [[]] * 4, chunk)], names=[x for x, _ in chunk])
+                cols = [pa.array(roots, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "root", "n_tokens", "digests", "lengths", "new"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return with_records_per_batch(rows, 2000).mapInArrow(run, schema)
