@@ -335,3 +335,31 @@ def alpha_sweep(masses: DataFrame, truth: DataFrame, pairs: DataFrame, fr: DataF
     pick = p.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.split("entity", "#")[0].cast("long").alias("grid"), F.split("entity", "#")[1].alias("id"), "code")
     scored = pick.join(truth.select(F.col("entity").cast("string").alias("id"), "truth"), "id")
     return scored.groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == F.col("truth")).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
+
+
+def inflection(curve: DataFrame, by: str, x: str, y: str, level: float = 0.5) -> DataFrame:
+    """(by, at, kind) of curves: the first x at or over the level when rising, below it when falling; flat ones have none."""
+    w = Window.partitionBy(by).orderBy(x)
+    before = F.lag(y).over(w)
+    up, down = (before < level) & (F.col(y) >= level), (before >= level) & (F.col(y) < level)
+    rows = curve.withColumn("step", F.when(up, "rising").when(down, "falling"))
+    first = rows.groupBy(by).agg(F.min(F.when(F.col("step").isNotNull(), F.struct(x, "step"))).alias("f"), F.max(y).alias("most"))
+    return first.select(by, F.col(f"f.{x}").alias("at"), F.coalesce("f.step", F.when(F.col("most") < level, "flat-lo").otherwise("flat")).alias("kind"))
+
+
+def shortlist(believed_: DataFrame, head: DataFrame, careful: DataFrame, keep: int = 3) -> DataFrame:
+    """(entity, code, place): believed codes, the headline and the cautious code, each once, deepest first."""
+    rows = believed_.select("entity", F.regexp_replace("focal", r"\*$", "").alias("code")).union(head.select("entity", "code")).union(careful.select("entity", "code")).distinct()
+    order = Window.partitionBy("entity").orderBy(depth(F.col("code")).desc(), "code")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
+
+
+def invariants(fused: DataFrame, iv: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(invariant, n, violations): masses sum to 1, belief is at most plausibility, belief does not fall towards the root."""
+    sums = fused.groupBy("entity").agg(F.sum("mass").alias("t"))
+    one = sums.agg(F.lit("mass_sums_to_one").alias("invariant"), F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("t") - 1) > 1e-9).alias("violations"))
+    two = iv.agg(F.lit("belief_below_plausibility"), F.count(F.lit(1)), F.count_if(F.col("bel") > F.col("pl") + 1e-9))
+    code = iv.where(~F.endswith("focal", F.lit("*")) & (F.col("focal") != ALL)).select("entity", F.col("focal").alias("code"), "bel")
+    up = code.join(nodes.where("parent_code IS NOT NULL").select("code", F.concat("parent_code", F.lit("*")).alias("focal")), "code").join(iv.select("entity", "focal", F.col("bel").alias("above")), ["entity", "focal"])
+    three = up.agg(F.lit("belief_grows_upwards"), F.count(F.lit(1)), F.count_if(F.col("bel") > F.col("above") + 1e-9))
+    return one.union(two).union(three)

@@ -9,7 +9,7 @@ from colsense.operators import taxonomy as T
 from colsense.sources.sinks import write_down
 
 from . import query
-from .inputs import CLOSURE, CUSTOMERS, FRAME, MASSES, NODES, SOURCES, Frame, customers, fused_sql, masses, read
+from .inputs import CLOSURE, CUSTOMERS, FRAME, MASSES, NODES, PAIRS, SOURCES, Frame, customers, fused_sql, masses, read
 
 BASE = f"WITH {NODES}, {CLOSURE}, {CUSTOMERS}, {MASSES}, {FRAME}"
 TWO = f"{BASE}, {fused_sql(['name', 'pattern'])}"
@@ -317,3 +317,27 @@ def d37(spark, d):
     have = F.when(k == 0, F.array(F.lit("agent"))).when(k == 1, F.array(F.lit("time"), F.lit("place"))).otherwise(F.array(F.lit("agent"), F.lit("time"), F.lit("place")))
     absent = F.array_except("axes", have)
     return read(spark, d, "documents").select("doc_id", "lang").join(F.broadcast(need), "lang").select("doc_id", F.size(absent).cast("long").alias("n_absent"), F.array_contains(absent, "time").alias("time_claim_blocked"))
+
+
+@query("d38_invariants", f"{TWO}, {_BELIEF} SELECT 'mass_sums_to_one' AS invariant, count(DISTINCT entity) AS n, 0 AS violations FROM fused UNION ALL SELECT 'belief_below_plausibility', count(*), 0 FROM iv UNION ALL SELECT 'belief_grows_upwards', count(*), 0 FROM iv JOIN nodes ON nodes.code = iv.focal WHERE parent_code IS NOT NULL")
+def d38(spark, d):
+    f, x = fused(spark, d, ["name", "pattern"])
+    return D.invariants(x, write_down(D.intervals(x, f.subset(), f.meet)), f.nodes)
+
+
+@query("d39_inflection", f"WITH {CUSTOMERS}, {PAIRS}, g AS (SELECT unnest(range(1, 10)) AS g), c AS (SELECT split_part(truth, '.', 1) AS tier, g, avg(CASE WHEN truth = pred AND conf >= g / 10.0 THEN 1.0 ELSE 0.0 END) AS acc FROM pairs, g GROUP BY 1, 2), s AS (SELECT *, lag(acc) OVER (PARTITION BY tier ORDER BY g) AS b FROM c) SELECT tier, min(CASE WHEN b >= 0.3 AND acc < 0.3 THEN g END) AS at, CASE WHEN min(CASE WHEN b >= 0.3 AND acc < 0.3 THEN g END) IS NOT NULL THEN 'falling' WHEN max(acc) < 0.3 THEN 'flat-lo' ELSE 'flat' END AS kind FROM s GROUP BY 1")
+def d39(spark, d):
+    """At which confidence the share of right and confident answers falls below 30 %, by root."""
+    from .inputs import pairs
+
+    g = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("g")
+    hit = (F.col("truth") == F.col("pred")) & (F.col("conf") >= F.col("g") / 10.0)
+    curve = pairs(spark, d).select("*", g).groupBy(F.substring_index("truth", ".", 1).alias("tier"), "g").agg(F.avg(hit.cast("double")).alias("acc"))
+    return D.inflection(curve, "tier", "g", "acc", 0.3)
+
+
+@query("d40_shortlist", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, ca AS (SELECT entity, code FROM (SELECT entity, regexp_replace(focal, '[*]$', '') AS code, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(focal, '.')) DESC, round(bel, 9) DESC, regexp_replace(focal, '[*]$', '')) AS r FROM iv WHERE focal <> 'Z' AND round(round(bel, 9), 3) >= 0.6) WHERE r = 1), u AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS code FROM believed UNION SELECT entity, code FROM head UNION SELECT entity, code FROM ca), p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(code, '.')) DESC, code) AS place FROM u) SELECT entity, code, place FROM p WHERE place <= 3")
+def d40(spark, d):
+    f, x = fused(spark, d, ["name", "pattern"])
+    iv = write_down(rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9))
+    return D.shortlist(D.believed(iv, 0.5), D.headline(x, f.members, f.frame), D.cautious(iv, 0.6))
