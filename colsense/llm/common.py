@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,22 @@ SPACE_RUN = "[ \\t-\\r]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: What operators remember in this Python worker, by operator: how to forget it.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """Registers how to forget what an operator keeps in a Python worker between tasks."""
+    _REMEMBERED[operator] = forget
+
+
+def at_work(operator: str) -> None:
+    """Called by an operator's tasks: a worker keeps the memory of one operator at a time."""
+    for other, forget in _REMEMBERED.items():
+        if other != operator:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, with_records_per_batch
+from .common import at_work, remembers, table, with_records_per_batch
 
 WINDOW = 10
 #: Bound on the characters of windows in one automaton (about 40 bytes of memory each).
@@ -101,6 +101,7 @@ class Automaton:
 
 #: The automata that this Python worker has built, by the name of their block.
 _BUILT: dict[str, Automaton] = {}
+remembers("decontaminate", _BUILT.clear)
 
 
 def _automaton(name: str, block) -> Automaton:
@@ -136,6 +137,7 @@ def _pass(docs: DataFrame, text: str, block) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontaminate")
         automaton = _automaton(name, sent.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, staged, table, with_records_per_batch
+from .common import at_work, join_ids, staged, table, with_records_per_batch
 
 SHINGLE, PERCENT = 3, 85
 SAMPLES, BANDS, ROWS, BITS = 256, 32, 6, 1024
@@ -158,6 +158,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n (set size), hi, lo (names of the set), bands and sketch of every row."""
 
     def run(batches):
+        at_work("near_dup")
         for batch in batches:
             out = []
             for s in sets_of(batch.column(1).fill_null("")):
@@ -212,6 +213,7 @@ def _fixed(column: pa.ChunkedArray, words: int, kind) -> np.ndarray:
 
 def _active(batches):
     """bucket, block pair, id of the members with a partner whose sketch is near and whose first common band this is."""
+    at_work("near_dup")
     for t in _by_group(batches, 3):
         n = t.num_rows
         begin = _starts(t, 3)
@@ -238,6 +240,7 @@ def _active(batches):
 
 def _links(batches):
     """One confirmed link for each member that a search from member to member reaches."""
+    at_work("near_dup")
     for t in _by_group(batches, 3):
         begin = np.append(_starts(t, 3), t.num_rows)
         ids = t.column("id").to_numpy()
@@ -307,6 +310,7 @@ def links(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _members(batches):
+    at_work("near_dup")
     for batch in batches:
         out = []
         for s in sets_of(batch.column(1).fill_null("")):

@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, staged, table, with_records_per_batch
+from .common import at_work, remembers, shared_dir, staged, table, with_records_per_batch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
 LEAST, MOST, CUT_BITS = 128, 8192, 10
 #: Distinct pieces of text whose ids a Python worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_000_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -140,6 +140,7 @@ def whole(piece: str) -> bool:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+remembers("token_store", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -198,6 +199,7 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataF
     chunk = [("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("token_store")
         model, pack = encoder(path), zstandard.ZstdCompressor(level=1)
         width = model.kind.itemsize
         tail = np.array([end], model.kind).tobytes()
