@@ -140,14 +140,18 @@ def base_failed() -> Column:
 
 
 def kinds(model: Verdict) -> Column:
-    """Probabilities of the kinds of a document with the votes v_<rule>, as an array."""
-    weights = []
-    for share, row in zip(model.shares, model.bad):
-        log = F.lit(math.log(share))
-        for rule, p in zip(RULES, row):
-            log = log + F.when(F.col(f"v_{rule}") == -1, F.lit(math.log(p))).when(F.col(f"v_{rule}") == 1, F.lit(math.log(1 - p))).otherwise(F.lit(0.0))
-        weights.append(F.exp(log))
-    return let(F.array(*weights), lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(w, lambda x: x / t)))
+    """Probabilities of the kinds of a document with the votes v_<rule>, as an array.
+
+    The model is one literal array, so that each round of the estimation runs the same compiled plan.
+    """
+    rows = [F.struct(F.lit(math.log(s)).alias("share"), F.array(*[F.lit(math.log(x)) for x in row]).alias("bad"), F.array(*[F.lit(math.log(1 - x)) for x in row]).alias("good")) for s, row in zip(model.shares, model.bad)]
+    votes = F.array(*[F.col(f"v_{r}") for r in RULES])
+
+    def weight(kind: Column) -> Column:
+        said = F.zip_with(votes, F.arrays_zip(kind["bad"], kind["good"]), lambda v, x: F.when(v == -1, x["bad"]).when(v == 1, x["good"]).otherwise(F.lit(0.0)))
+        return F.exp(F.aggregate(said, kind["share"], lambda a, x: a + x))
+
+    return let(F.transform(F.array(*rows), weight), lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(w, lambda x: x / t)))
 
 
 def posterior(model: Verdict) -> Column:
@@ -155,7 +159,7 @@ def posterior(model: Verdict) -> Column:
     return kinds(model)[0]
 
 
-def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 1e-5) -> Verdict:
+def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 1e-4) -> Verdict:
     """Expectation-maximisation over ``patterns`` (v_<rule>..., n).
 
     An abstention says nothing. One pseudo count keeps chances off 0 and 1.
@@ -163,21 +167,17 @@ def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 1e-5) ->
     n_kinds = len(RULES) + 1
     start = [[0.05] * len(RULES)] + [[0.9 if r == k else 0.2 for r in range(len(RULES))] for k in range(len(RULES))]
     model = Verdict((0.8, *[0.2 / len(RULES)] * len(RULES)), tuple(map(tuple, start)))
+    votes = [f"v_{r}" for r in RULES]
     for _ in range(rounds):
-        p = patterns.withColumn("p", kinds(model))
-        sums = []
-        for k in range(n_kinds):
-            w = F.col("p")[k] * F.col("n")
-            sums.append(F.sum(w).alias(f"k{k}"))
-            for r in RULES:
-                sums += [F.sum(F.when(F.col(f"v_{r}") == -1, w)).alias(f"{r}_{k}_bad"), F.sum(F.when(F.col(f"v_{r}") != 0, w)).alias(f"{r}_{k}")]
-        row = p.agg(*sums).first()
-        total = sum(row[f"k{k}"] or 0.0 for k in range(n_kinds))
-        if not total:
+        w = patterns.select(*votes, "n", F.posexplode(kinds(model)).alias("kind", "p")).withColumn("w", F.col("p") * F.col("n"))
+        sums = [F.sum("w").alias("all")] + [F.sum(F.when(F.col(v) < 0 if bad else F.col(v) != 0, F.col("w"))).alias(f"{v}_{bad}") for v in votes for bad in (0, 1)]
+        found = {r["kind"]: r for r in w.groupBy("kind").agg(*sums).collect()}  # one row for each kind
+        if not found:
             return model
-        of = lambda name: row[name] or 0.0
-        shares = tuple((of(f"k{k}") + 1) / (total + n_kinds) for k in range(n_kinds))
-        bad = [[(of(f"{r}_{k}_bad") + 1) / (of(f"{r}_{k}") + 2) for r in RULES] for k in range(n_kinds)]
+        of = lambda k, name: found[k][name] or 0.0
+        total = sum(of(k, "all") for k in range(n_kinds))
+        shares = tuple((of(k, "all") + 1) / (total + n_kinds) for k in range(n_kinds))
+        bad = [[(of(k, f"{v}_1") + 1) / (of(k, f"{v}_0") + 2) for v in votes] for k in range(n_kinds)]
         bad[0] = [min(x, FALSE_ALARMS) for x in bad[0]]
         done = max(abs(a - b) for a, b in zip(shares, model.shares)) < tolerance
         model = Verdict(shares, tuple(map(tuple, bad)))
@@ -198,7 +198,7 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     else:
         rows = measures(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, text))]), text, *keep)
     rows = staged(rows.withColumns({f"v_{r}": v for r, v in _votes().items()}), "measures")
-    patterns = staged(rows.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
+    patterns = staged(rows.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns").coalesce(1)
     model = estimate(patterns)
     return rows.withColumn("base_failed", base_failed()).withColumn("posterior", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
