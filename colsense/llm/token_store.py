@@ -44,7 +44,7 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
 LEAST, MOST, CUT_BITS = 128, 8192, 10
 #: Distinct pieces of text whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 900_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
