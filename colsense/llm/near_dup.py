@@ -1,14 +1,17 @@
 """MinHash near-duplicates, verified by odd sketches and then on full sets.
 
-A document is the set of its distinct 3-word shingles (64-bit hashes of white-space
-words after lower-casing A-Z; with fewer words, of the whole sequence). Documents
-whose sets have a Jaccard similarity of 0.85 or more are linked.
-
-1. One pass over the texts makes, for each document, 256 MinHash samples. 192 of
-   them form 32 bands of 6 (a pair at 0.85 shares no band with a chance of 3e-7).
-   All 256 are folded into an odd sketch: each sample flips one bit of 1024, so
-   the bits in which two sketches differ come only from samples that differ, and
-   the share of differing bits estimates high similarities precisely.
+A document is the set of its distinct shingles (64-bit hashes of white-space words
+after lower-casing A-Z; with fewer words than a shingle has, of the whole sequence).
+Documents whose sets reach a Jaccard similarity are linked. Both are parameters:
+the query takes 3 words and 0.85, the pipeline's stage 5 words and 0.80.
+
+1. One pass over the texts makes, for each document, 256 MinHash samples. Bands
+   (``method``) are as long as a pair at the threshold shares one of them but for a
+   chance of ``MISS``: 32 of 6 samples at 0.85, 40 of 5 at 0.80. All 256 are folded
+   into an odd sketch: each sample flips one bit of 1024, so the bits in which two
+   sketches differ come only from samples that differ, and the share of differing
+   bits estimates high similarities precisely. The bound on these bits follows from
+   the threshold and ``MISS`` too.
 2. Documents with equal sets become one class, whose smallest doc_id stands for
    it. Only representatives go on, so a text copied a million times counts once.
 3. Representatives meet by (band, key). Buckets are counted with partial sums;
@@ -30,7 +33,10 @@ component, and a row with one is kept only if no row with an id has its set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +45,12 @@ from pyspark.sql import functions as F
 
 from .common import at_work, join_ids, staged, table, with_records_per_batch
 
+#: Words of a shingle and least similarity in percent of op10_near_dup; other callers name theirs.
 SHINGLE, PERCENT = 3, 85
-SAMPLES, BANDS, ROWS, BITS = 256, 32, 6, 1024
+SAMPLES, BITS = 256, 1024
 BLOCK = 4096
-#: Pairs whose sketches differ in more bits are not checked: at 0.85, 71 are expected with a deviation of about 11.
-MOST_BITS = 120
+#: Largest chance that a pair at the threshold shares no band, and that its sketches differ in too many bits.
+MISS = 5e-7
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 19
 
@@ -58,6 +65,48 @@ _MUL = (_RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | n
 _ADD = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
+class Method(NamedTuple):
+    """Shingle length, least similarity in percent, and what follows from them."""
+
+    shingle: int
+    percent: int
+    bands: int
+    rows: int
+    #: Pairs whose sketches differ in more bits are not checked.
+    most_bits: int
+
+
+@lru_cache
+def method(shingle: int, percent: int) -> Method:
+    """The longest bands and the least bound on bits that miss a pair at the threshold with a chance of MISS at most."""
+    p = percent / 100
+    if shingle < 1 or not 50 <= percent <= 100:
+        raise ValueError(f"shingles of {shingle} words at {percent} %: 1 word or more and 50 to 100 % are supported")
+    for rows in range(8, 0, -1):
+        most = SAMPLES // rows // 8 * 8
+        bands = 8 if p == 1 else -(-math.ceil(math.log(MISS) / math.log1p(-(p**rows))) // 8) * 8
+        if bands <= most:
+            break
+    return Method(shingle, percent, bands, rows, most_bits(p))
+
+
+def most_bits(p: float) -> int:
+    """The bits in which sketches of a pair of similarity p differ at most, but for a chance of MISS."""
+    k = np.arange(BITS + 1)
+    now = np.zeros(BITS + 1)  # chances of k odd bits after two flips for each differing sample
+    now[0] = 1
+    total = p**SAMPLES * now
+    for differing in range(1, SAMPLES + 1):
+        for _ in range(2):
+            new = np.zeros(BITS + 1)
+            new[1:] = (now * (1 - k / BITS))[:-1]
+            new[:-1] += (now * k / BITS)[1:]
+            now = new
+        total += math.comb(SAMPLES, differing) * (1 - p) ** differing * p ** (SAMPLES - differing) * now
+    beyond = total[::-1].cumsum()[::-1]  # from k bits on
+    return int(np.argmax(beyond <= MISS)) - 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (three xor-shifts, two multiplications)."""
     x = x ^ (x >> np.uint64(32))
@@ -93,21 +142,23 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(np.add.reduceat(value, at) + sizes.astype(np.uint64)), starts
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
+def shingles(h: np.ndarray, words: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a document's word hashes."""
     n = len(h)
     if n == 0:
         return h
-    if n < SHINGLE:
+    if n < words:
         x = np.uint64(n)
         for v in h:
             x = mix64(np.array([x * np.uint64(31)], np.uint64) ^ v)[0]
         return np.array([x], np.uint64)
-    a = mix64(h[:-2] * np.uint64(3) + mix64(h[1:-1] * np.uint64(5) + mix64(h[2:] * np.uint64(7))))
+    a = np.zeros(n - words + 1, np.uint64)
+    for k in range(words - 1, -1, -1):
+        a = mix64(h[k : n - words + 1 + k] * np.uint64(2 * k + 3) + a)
     return np.unique(a)
 
 
-def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+def sets_of(texts: pa.Array, words: int = SHINGLE) -> Iterator[np.ndarray]:
     """The shingle set of every text. Texts are joined by a blank and hashed about CHUNK bytes at a time."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -125,7 +176,7 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
         h, starts = word_hashes(buf)
         cut = np.searchsorted(starts, begin)
         for j in range(end - k):
-            yield shingles(h[cut[j] : cut[j + 1]])
+            yield shingles(h[cut[j] : cut[j + 1]], words)
         k = end
 
 
@@ -140,9 +191,9 @@ def samples(s: np.ndarray) -> np.ndarray:
     return mix64(low)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    x = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in m[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+def band_keys(m: np.ndarray, how: Method) -> np.ndarray:
+    x = np.arange(1, how.bands + 1, dtype=np.uint64)
+    for r in m[: how.bands * how.rows].reshape(how.bands, how.rows).T:
         x = mix64(x * np.uint64(31) + r)
     return x
 
@@ -154,20 +205,20 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, how: Method) -> DataFrame:
     """key, n (set size), hi, lo (names of the set), bands and sketch of every row."""
 
     def run(batches):
         at_work("near_dup")
         for batch in batches:
             out = []
-            for s in sets_of(batch.column(1).fill_null("")):
+            for s in sets_of(batch.column(1).fill_null(""), how.shingle):
                 if not len(s):
                     out.append((0, 0, 0, None, None))
                     continue
                 m = samples(s)
                 name = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                out.append((len(s), int(s.sum().view(np.int64)), int(name.sum().view(np.int64)), band_keys(m).view(np.int64), odd_sketch(m).tobytes()))
+                out.append((len(s), int(s.sum().view(np.int64)), int(name.sum().view(np.int64)), band_keys(m, how).view(np.int64), odd_sketch(m).tobytes()))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
@@ -211,7 +262,7 @@ def _fixed(column: pa.ChunkedArray, words: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, words)
 
 
-def _active(batches):
+def _active(batches, how: Method):
     """bucket, block pair, id of the members with a partner whose sketch is near and whose first common band this is."""
     at_work("near_dup")
     for t in _by_group(batches, 3):
@@ -220,7 +271,7 @@ def _active(batches):
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
         band = t.column("band").to_numpy()
         sketch = _fixed(t.column("sketch"), BITS // 64, np.uint64)
-        bands = _fixed(t.column("bands"), BANDS, np.uint32)
+        bands = _fixed(t.column("bands"), how.bands, np.uint32)
         hit = np.zeros(n, bool)
         left = np.arange(n)
         for d in range(1, n):
@@ -230,7 +281,7 @@ def _active(batches):
                 break
             for k in range(0, len(left), 20_000):
                 a = left[k : k + 20_000]
-                near = np.bitwise_count(sketch[a] ^ sketch[a + d]).sum(axis=1, dtype=np.int32) <= MOST_BITS
+                near = np.bitwise_count(sketch[a] ^ sketch[a + d]).sum(axis=1, dtype=np.int32) <= how.most_bits
                 a = a[near]
                 first = np.argmax(bands[a] == bands[a + d], axis=1)
                 a = a[first == band[a]]
@@ -238,7 +289,7 @@ def _active(batches):
         yield from t.select(["bucket", "b1", "b2", "id"]).filter(pa.array(hit)).to_batches()
 
 
-def _links(batches):
+def _links(batches, how: Method):
     """One confirmed link for each member that a search from member to member reaches."""
     at_work("near_dup")
     for t in _by_group(batches, 3):
@@ -260,9 +311,9 @@ def _links(batches):
                     rest = np.flatnonzero(free)
                     if not len(rest):
                         break
-                    near = rest[np.bitwise_count(sk[rest] ^ sk[x]).sum(axis=1, dtype=np.int32) <= MOST_BITS]
+                    near = rest[np.bitwise_count(sk[rest] ^ sk[x]).sum(axis=1, dtype=np.int32) <= how.most_bits]
                     for y in near:
-                        if linked(own[x], own[y]):
+                        if linked(own[x], own[y], how.percent):
                             free[y] = False
                             queue.append(int(y))
                             out.append((int(ids[a + x]), int(ids[a + y])))
@@ -270,18 +321,18 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have 100 * intersection >= PERCENT * union."""
-    if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     at = np.searchsorted(large, small)
     at[at == len(large)] = 0
     both = int((large[at] == small).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, key: str, text: str, how: Method) -> DataFrame:
     """u, v: confirmed links that connect the representatives of one component."""
     spark = docs.sparkSession
     rows = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
@@ -297,23 +348,23 @@ def links(docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
     sent = dealt.join(small.select("id", "sketch", F.unhex(F.array_join(short, "")).alias("bands")), "id").select("bucket", "b1", "b2", "band", "id", "sketch", "bands")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = sent.repartition(n, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "id")
-    active = staged(near.mapInArrow(_active, "bucket long, b1 int, b2 int, id long"), "active")
+    active = staged(near.mapInArrow(partial(_active, how=how), "bucket long, b1 int, b2 int, id long"), "active")
 
     ids = staged(active.select("id").distinct(), "ids")
     texts = join_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), ids, "id", ids.count(), "left_semi")
-    full_sets = with_records_per_batch(texts, 2000).mapInArrow(_members, "id long, n long, hi long, lo long, members binary")
+    full_sets = with_records_per_batch(texts, 2000).mapInArrow(partial(_members, how=how), "id long, n long, hi long, lo long, members binary")
     chosen = reps.select("id", "n", "hi", "lo", "sketch")
     # Rows that repeat a doc_id with another text are told apart by the set's name.
     sets = full_sets.join(chosen, ["id", "n", "hi", "lo"])
     meet = active.join(sets, "id").select("bucket", "b1", "b2", "id", "members", "sketch")
-    return meet.repartition(n, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "id").mapInArrow(_links, "u long, v long")
+    return meet.repartition(n, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "id").mapInArrow(partial(_links, how=how), "u long, v long")
 
 
-def _members(batches):
+def _members(batches, how: Method):
     at_work("near_dup")
     for batch in batches:
         out = []
-        for s in sets_of(batch.column(1).fill_null("")):
+        for s in sets_of(batch.column(1).fill_null(""), how.shingle):
             name = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             out.append((len(s), int(s.sum().view(np.int64)) if len(s) else 0, int(name.sum().view(np.int64)) if len(s) else 0, s.tobytes()))
         cols = list(zip(*out)) or [()] * 4
@@ -339,12 +390,13 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = new
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
-    sigs = staged(signatures(docs, key, text), "signatures")
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs, with shingles of that many words and links from that similarity on."""
+    how = method(shingle, percent)
+    sigs = staged(signatures(docs, key, text, how), "signatures")
     name = ["n", "hi", "lo"]
     reps = staged(sigs.where("n > 0 AND id IS NOT NULL").groupBy(*name).agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch")), "reps")
-    comps = components(links(docs, reps, key, text))
+    comps = components(links(docs, reps, key, text, how))
     # Where a doc_id comes with several texts, its classes are one document.
     classes = reps.select(*name, F.col("id").alias("rep")).join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", *name).join(classes, name, "left")
@@ -357,9 +409,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose document is kept."""
-    gone = staged(near_duplicates(docs, key, text).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct(), "gone")
+    gone = staged(near_duplicates(docs, key, text, shingle, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct(), "gone")
     return join_ids(docs, gone, key, gone.count(), "left_anti")
 
 

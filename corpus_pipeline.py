@@ -17,8 +17,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return near_dup.keep_one(docs)
+    """One document of each group with 5-word shingles that are similar to 0.80 or more stays: the one with the smallest doc_id."""
+    return near_dup.keep_one(docs, shingle=5, percent=80)
 
 
 def decontamination(spark, docs, sf_dir):

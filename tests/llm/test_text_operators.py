@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from colsense.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, token_store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +81,35 @@ def test_near_duplicates(docs, none, corpus):
     assert one.columns == docs.columns and one.where("doc_id IS NOT NULL").select("doc_id").distinct().count() == len(set(comp.values()))
 
 
+def test_the_stage_links_copies_with_a_block_added(spark):
+    """18 to 24 % of the length appended: similar to 0.80 or more, but not to 0.85."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for k in range(40):
+        own = word(400)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own + word(int(rng.integers(72, 99)))))]
+    rows.append((100, rows[0][1] + " " + " ".join(word(140))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dup.keep_one(docs).count() == len(rows)
+    kept = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 80, 2), 100]
+
+
+def test_bands_and_sketches_follow_from_the_similarity():
+    for percent in (75, 80, 85, 90, 100):
+        m = near_dup.method(5, percent)
+        assert m.bands * m.rows <= near_dup.SAMPLES and (1 - (percent / 100) ** m.rows) ** m.bands <= near_dup.MISS
+    assert near_dup.method(3, 85)[2:4] == (32, 6)
+    rng = np.random.default_rng(4)
+    common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (320, 40, 40))
+    differ = []
+    for k in range(200):
+        s, t = (near_dup.samples(np.concatenate((common, x)) * np.uint64(2 * k + 1)) for x in (a, b))
+        differ.append(int(np.bitwise_count(near_dup.odd_sketch(s) ^ near_dup.odd_sketch(t)).sum()))
+    assert max(differ) <= near_dup.method(5, 80).most_bits < 160 and np.mean(differ) == pytest.approx(92.8, abs=4)
+
+
 def test_large_buckets_meet_in_blocks(docs, monkeypatch):
     """The same components when a bucket is dealt into blocks of two."""
     key = lambda df: sorted((r["doc_id"], r["component_id"]) for r in df.collect() if r["doc_id"] is not None)
