@@ -12,11 +12,14 @@ corpus has is one row for each task), the distinct pairs are sorted by range, an
 the places in that order are the new ranks. Doubling goes on to the depth that the
 shortest run of ``MIN_WORDS`` words needs at any place.
 
-At that depth, suffixes with the same first m lines (m: the lines that make up
-MIN_WORDS words from there) are neighbours in the array: an interval whose longest
-common prefix has m lines or more. Its member that is first by doc_id and line
-stays; for the others, the m lines are a later copy. Overlapping intervals of a
-document join to its maximal repeated runs, and their lines are deleted.
+At that depth, suffixes with the same first m lines are neighbours in the array: an
+interval whose longest common prefix has m lines or more. Its member that is first
+by doc_id and line stays; for the others, the m lines are a later copy. m is taken
+both ways: the least lines that make up MIN_WORDS words from a line on, and those
+that make them up backward from a line. Every line of a repeated run of MIN_WORDS
+words lies in one of these windows inside the run (its last lines in those that end
+there), so the windows of a document join to its maximal repeated runs, and their
+lines are deleted.
 
 Defined results: null, empty and blank texts have no lines; blank lines are
 neither counted nor deleted; a null doc_id comes last in the order of copies; rows
@@ -51,13 +54,13 @@ def worded(text: str | None) -> list[tuple[int, bytes, int]]:
 
 
 def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """row, doc_id, j (place among the worded lines), id of the line, m (lines from here that make min_words words, or 0)."""
+    """row, doc_id, j (place among the worded lines), id of the line, m (lines from here on that make min_words words, or 0), b (the same backward, or 0; also 0 where the window is that of its first line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                row, doc, place, ids, need = [], [], [], [], []
+                row, doc, place, ids, need, back = [], [], [], [], [], []
                 for r, d, t in zip(*[c.to_pylist() for c in batch.columns]):
                     own = worded(t)
                     n = len(own)
@@ -66,17 +69,21 @@ def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                     total = np.cumsum([w for _, _, w in own])
                     end = np.searchsorted(total, np.concatenate(([0], total[:-1])) + min_words) + 1
                     m = np.where(end <= n, end - np.arange(n), 0)
+                    first = np.searchsorted(np.concatenate(([0], total[:-1])), total - min_words, "right") - 1
+                    b = np.where(first >= 0, np.arange(n) - first + 1, 0)
+                    b[b == m[np.maximum(first, 0)]] = 0
                     row += [r] * n
                     doc += [d] * n
                     place += range(n)
                     ids += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for _, x, _ in own]
                     need += m.tolist()
+                    back += b.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in ((row, pa.int64()), (doc, pa.int64()), (place, pa.int32()), (ids, pa.int64()), (need, pa.int32()))], names=["row", "doc_id", "j", "id", "m"]
+                    [pa.array(x, t) for x, t in ((row, pa.int64()), (doc, pa.int64()), (place, pa.int32()), (ids, pa.int64()), (need, pa.int32()), (back, pa.int32()))], names=["row", "doc_id", "j", "id", "m", "b"]
                 )
 
     rows = docs.select(row_key(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return with_records_per_batch(rows, 2000).mapInArrow(run, "row long, doc_id long, j int, id long, m int")
+    return with_records_per_batch(rows, 2000).mapInArrow(run, "row long, doc_id long, j int, id long, m int, b int")
 
 
 def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,13 +95,17 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     active = active.withColumn("run", F.col("j") - F.row_number().over(by_row))
     stretch = Window.partitionBy("row", "run")
     active = active.withColumn("m", F.when(F.max("j").over(stretch) >= F.col("j") + F.col("m") - 1, F.col("m")).otherwise(F.lit(0)))
-    ranked = staged(active.select("row", "doc_id", "j", "run", "m", F.col("id").alias("r")), "rank0")
-    deepest = ranked.agg(F.max("m")).first()[0] or 0
+    active = active.withColumn("b", F.when(F.min("j").over(stretch) <= F.col("j") - F.col("b") + 1, F.col("b")).otherwise(F.lit(0)))
+    ranked = staged(active.select("row", "doc_id", "j", "run", "m", "b", F.col("id").alias("r")), "rank0")
+    deepest = ranked.agg(F.max(F.greatest("m", "b"))).first()[0] or 0
     found, k = [], 0
     while (1 << k) <= deepest:
         half = 1 << k
         # Two stretches of 2^k lines cover the first m lines: their ranks together name the interval.
-        here = ranked.where((F.col("m") >= half) & (F.col("m") < 2 * half)).select("row", "doc_id", "j", "m", "r", (F.col("j") + F.col("m") - half).alias("j2"))
+        here = ranked.where((F.col("m") >= half) & (F.col("m") < 2 * half)).select("row", "doc_id", "j", "m", "r")
+        backward = ranked.where((F.col("b") >= half) & (F.col("b") < 2 * half)).select("row", "doc_id", (F.col("j") - F.col("b") + 1).alias("j"), F.col("b").alias("m"))
+        here = here.union(backward.join(ranked.select("row", "j", "r"), ["row", "j"]).select("row", "doc_id", "j", "m", "r"))
+        here = here.withColumn("j2", F.col("j") + F.col("m") - half)
         exact = here.where(F.col("m") == half).select("row", "doc_id", "j", "m", "r", F.col("r").alias("r2"))
         if k:
             second = ranked.select("row", F.col("j").alias("j2"), F.col("r").alias("r2"))
@@ -106,7 +117,7 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         nxt = F.lead("r", half).over(Window.partitionBy("row", "run").orderBy("j"))
         pairs = staged(ranked.withColumn("r2", F.coalesce(nxt, F.lit(NO_RANK))), f"pairs{k}")
         order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("place"))
-        ranked = staged(pairs.join(staged(order, f"order{k}"), ["r", "r2"]).select("row", "doc_id", "j", "run", "m", F.col("place").alias("r")), f"rank{k}")
+        ranked = staged(pairs.join(staged(order, f"order{k}"), ["r", "r2"]).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
     if not found:
         return ranked.select("row", "j", "m").where("m > 0")
     windows = found[0]

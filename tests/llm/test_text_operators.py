@@ -318,3 +318,37 @@ def test_line_dedup(docs, none, corpus, least):
         seen["deleted"] += len(want)
     assert seen["deleted"] > 0
     assert line_dedup.dedup(none).count() == 0
+
+
+def all_runs(rows, least):
+    """Line numbers in any run of at least that many words which occurs earlier, at whatever length."""
+    seen, gone = set(), defaultdict(set)
+    for d, t in sorted(rows):
+        own = [(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()]
+        for j in range(len(own)):
+            for e in range(j + 1, len(own) + 1):
+                if sum(n for _, _, n in own[j:e]) >= least:
+                    w = tuple(x for _, x, _ in own[j:e])
+                    if w in seen:
+                        gone[d] |= {k for k, _, _ in own[j:e]}
+                    seen.add(w)
+    return gone
+
+
+def test_line_dedup_takes_runs_to_their_last_line(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    long, short, thirty = line(60), line(20), [line(30), line(30), line(10)]
+    rows = [(1, "\n".join([line(5), long, short, line(5)])), (2, "\n".join([long, short])), (3, "\n".join([*thirty, line(9)])), (4, "\n".join([line(7), *thirty]))]
+    known = [line(int(n)) for n in rng.integers(1, 40, 12)]
+    for d in range(5, 65):
+        at = rng.integers(0, 8)
+        run = known[at : at + int(rng.integers(1, 12))]
+        rows.append((d, "\n".join([*run, *(known[int(x)] for x in rng.integers(0, 12, 3)), line(3), *run[: int(rng.integers(0, 5))]])))
+    gone = all_runs(rows, 50)
+    assert gone[2] == {0, 1} and gone[4] == {1, 2, 3}
+    texts = dict(rows)
+    for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = gone.get(r["doc_id"], set())
+        assert r["n_deleted"] == len(want)
+        assert r["clean_text"] == "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if k not in want)
