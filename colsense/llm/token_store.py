@@ -26,13 +26,17 @@ repeated rows are documents of their own. An empty table gives empty files.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +47,14 @@ from .common import at_work, remembers, shared_dir, staged, table, with_records_
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
 LEAST, MOST, CUT_BITS = 128, 8192, 10
-#: Distinct pieces of text whose ids a Python worker remembers.
-REMEMBERED = 900_000
+#: Parts of text whose ids each of the two generations of a Python worker's memory holds.
+REMEMBERED = 400_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 8 << 20
+#: Stands before a part of a text that has no blank before it.
+MARK = "\x01"
+#: How byte-level vocabularies write the bytes from 128 on (fixed values): Latin-1's printable characters as they are, the others from U+0122 on.
+BYTES = {**{b: 162 + b for b in range(128, 161)}, 173: 323}
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -54,84 +64,116 @@ class Encoder:
 
     The vocabulary's pattern never joins what stands before a blank between two
     other characters with what follows it, nor a letter with a full stop or comma
-    behind it, nor a line break between two other characters with either of them.
-    So a text's ids are those of such parts, one after the other. Ids of parts are
-    remembered; new parts are encoded together, in one string.
+    that ends a word, nor a line break between two other characters with either of
+    them. So a text's ids are those of such parts, one after the other. Texts are
+    split there, and each distinct part of some MB of text is looked up once. Parts
+    are remembered in two generations: when the new one is full it becomes the old
+    one, and a part that is met again moves on to the new one, so frequent words
+    stay and rare ones go.
+
+    A part's name is the word itself if it stands behind a blank, which belongs to
+    it, else ``MARK`` and its text: "." and ",", a line break with the word behind
+    it, a text's first word.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        size = self.model.get_vocab_size()
-        self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        lead = np.zeros(size, bool)
-        for token, k in self.model.get_vocab().items():
-            lead[k] = token.startswith("Ġ")  # how byte-level vocabularies write a leading blank
-        self.lead = lead
-        self.known: dict[str, bytes] = {}  # ids of a part behind a blank
-        self.first: dict[str, bytes] = {}  # ids of a part behind a line break
-        self.mark = {x: self.plain(x) for x in ("\n", ".", ",", "")}
+        self.code = "H" if self.model.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line_break = self.plain("\n")
 
     def plain(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, parts: list[str], before: str, into: dict[str, bytes]) -> None:
-        """Ids of parts that stand behind a blank (with it) or a line break (without it)."""
-        for k in range(0, len(parts), 1000):
-            some = parts[k : k + 1000]
-            ids = np.array(self.model.encode_batch_fast(["".join([before + p for p in some])], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(self.lead[ids] if before == " " else ids == np.frombuffer(self.mark["\n"], self.kind)[0])
-            if len(at) != len(some) or at[0] != 0:
-                into.update((p, self.plain(" " + p if before == " " else p)) for p in some)
-                continue
-            data, width = ids.tobytes(), self.kind.itemsize
-            ends = [*(at[1:] * width).tolist(), len(data)]
-            starts = ((at + (before != " ")) * width).tolist()
-            into.update((p, data[x:y]) for p, x, y in zip(some, starts, ends))
-
-    def resolve(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces with a line break; others go to ``known``. Pieces that cannot stand alone are left out."""
-        words, ended, broken = set(), [], []
-        for p in pieces:
-            if p.isalpha():
-                words.add(p)
-            elif p[-1:] in (".", ",") and p[:-1].isalpha():
-                ended.append(p)
-                words.add(p[:-1])
-            elif "\n" in p:
-                broken.append((p, p.split("\n")))
-            elif whole(p):
-                words.add(p)
-        broken = [(p, x) for p, x in broken if all(map(whole, x))]
-        cut = lambda x: (x[:-1], x[-1]) if x[-1] in ".," and x[:-1].isalpha() else (x, "")
-        parts = [(p, [cut(x) for x in lines]) for p, lines in broken]
-        words.update(x[0][0] for _, x in parts)
-        known, first, mark = self.known, self.first, self.mark
-        self.learn([w for w in words if w not in known], " ", known)
-        self.learn(list({w for _, x in parts for w, _ in x[1:] if w not in first}), "\n", first)
-        known.update((p, known[p[:-1]] + mark[p[-1]]) for p in ended)
-        return {p: known[x[0][0]] + mark[x[0][1]] + b"".join([mark["\n"] + first[w] + mark[end] for w, end in x[1:]]) for p, x in parts}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as bytes, from its pieces where no blank stands beside white space or at an end."""
-        split = [t.split(" ") for t in texts]
-        get = self.known.get
-        found = [list(map(get, p[1:])) for p in split]
-        new = {x for p, f in zip(split, found) if None in f for x, ids in zip(p[1:], f) if ids is None}
-        extra: dict[str, bytes] = {}
-        if new:
-            if len(self.known) + len(self.first) + len(new) > REMEMBERED:
-                self.known.clear()
-                self.first.clear()
-                new = set().union(*[p[1:] for p in split])
-                found = [[None] * (len(p) - 1) for p in split]
-            extra = self.resolve(new)  # line breaks seldom come again in the same words
-        out = []
-        for t, p, f in zip(texts, split, found):
-            if None in f:
-                f = [x if x is not None else get(w) or extra.get(w) for w, x in zip(p[1:], f)]
-            out.append(self.plain(t) if None in f or not whole(p[0]) else b"".join([self.plain(p[0]), *f]))
-        return out
+    def letters(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of words of letters: the pattern keeps each in one piece, so they go to the model as they are."""
+        tokenize = self.model.model.tokenize
+        as_bytes = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTES) for w in words]
+        return [array(self.code, [t.id for t in tokenize(lead + w)]).tobytes() for w in as_bytes]
+
+    def learn(self, names: list[str]) -> None:
+        """Remembers the ids of parts."""
+        behind, broken, first, other = [], [], [], []
+        for x in names:
+            if x[0] != MARK:
+                (behind if latin(x) else other).append(x)
+            elif x[1] == "\n":
+                (broken if latin(x[2:]) else other).append(x)
+            else:
+                (first if latin(x[1:]) else other).append(x)
+        self.new.update(zip(behind, self.letters(behind, "Ġ")))
+        self.new.update(zip(broken, [self.line_break + x for x in self.letters([x[2:] for x in broken], "")]))
+        self.new.update(zip(first, self.letters([x[1:] for x in first], "")))
+        for k in range(0, len(other), 1000):
+            some = other[k : k + 1000]
+            coded = self.model.encode_batch_fast([x[1:] if x[0] == MARK else " " + x for x in some], add_special_tokens=False)
+            self.new.update(zip(some, [array(self.code, x.ids).tobytes() for x in coded]))
+
+    def parts(self, names: list[str]) -> list[bytes | None]:
+        """Ids of distinct parts; None for those that cannot stand alone."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found: list[bytes | None] = list(map(new.get, names))
+        fresh = []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            name = names[k]
+            known = old.get(name)
+            if known is not None:
+                new[name] = found[k] = known
+            elif name.isalpha() or whole(name[2:] if name[:2] == MARK + "\n" else name[1:] if name[:1] == MARK else name):
+                fresh.append(k)
+        self.learn([names[k] for k in fresh])
+        for k in fresh:
+            found[k] = new[names[k]]
+        return found
+
+    def encode(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with a tail behind it, one after the other, and where each text's begin (and the last ends)."""
+        cut = pc.replace_substring_regex(texts, r"(\pL)([.,])([ \n]|$)", rf"\1 {MARK}\2\3")
+        split = pc.split_pattern(pc.replace_substring(cut, "\n", f" {MARK}\n"), " ")
+        begin, values = split.offsets.to_numpy(), split.flatten()
+        coded = values.dictionary_encode()
+        starts = values.take(pa.array(begin[:-1])).dictionary_encode()
+        ids_of = [*self.parts(_strings(coded.dictionary)), *self.parts([MARK + x for x in _strings(starts.dictionary)]), tail]
+        # The number of each part; a text's first one has no blank before it.
+        number = coded.indices.to_numpy().copy()  # 32 bits, like all places below: a slice has few MB
+        number[begin[:-1]] = starts.indices.to_numpy() + len(coded.dictionary)
+        number = np.insert(number, begin[1:], len(ids_of) - 1)
+        bounds = begin + np.arange(len(begin))
+        alone = np.array([x is not None for x in ids_of])
+        width = self.kind.itemsize
+        size = np.array([len(x or b"") // width for x in ids_of], np.int32)
+        flat = np.frombuffer(b"".join([x or b"" for x in ids_of]), self.kind)
+        taken = size[number]
+        ends = np.zeros(len(number) + 1, np.int32)
+        np.cumsum(taken, out=ends[1:])
+        place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[number] - ends[:-1], taken)
+        place += np.arange(len(place), dtype=np.int32)
+        ids, at = flat[place], ends[bounds]
+        # Texts with blanks beside white space or at an end, or with the mark, are encoded as they are.
+        odd = np.diff(np.concatenate(([0], np.cumsum(~alone[number])))[bounds]) > 0
+        odd |= pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return ids, at
+        out = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = np.frombuffer(self.plain(texts[k].as_py()) + tail, self.kind)
+        return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
+
+
+def _strings(pieces: pa.Array) -> list[str]:
+    """Strings without a blank, by way of one string: quicker than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py().split(" ") if len(pieces) else []
+
+
+def latin(word: str) -> bool:
+    """Whether a word is of letters that every version of Unicode since 7 has: Latin, Greek, Cyrillic."""
+    return word.isalpha() and (word.isascii() or max(word) < "԰")
 
 
 def whole(piece: str) -> bool:
@@ -155,10 +197,14 @@ def cut_marks(ids: np.ndarray) -> np.ndarray:
     Several documents may stand in one stream: a mark that depends on the document
     before is among the first 15 places, where no chunk ends.
     """
-    gear, rolled = _GEAR[ids & 0xFFFF], np.zeros(len(ids), np.uint64)
-    for j in range(min(16, len(ids))):
-        rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
-    return np.flatnonzero(mixed(rolled) >> np.uint64(64 - CUT_BITS) == 0) + 1
+    found = []
+    for k in range(0, len(ids), 1 << 16):
+        begin = max(0, k - 15)
+        rolled = _GEAR[ids[begin : k + (1 << 16)] & 0xFFFF]
+        for step in (1, 2, 4, 8):  # sums over the last 2, 4, 8 and 16 ids
+            rolled[step:] += rolled[:-step] << np.uint64(step)
+        found.append(np.flatnonzero(mixed(rolled[k - begin :]) >> np.uint64(64 - CUT_BITS) == 0) + k + 1)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def cuts(n: int, marks: list[int]) -> list[int]:
@@ -205,14 +251,15 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataF
         tail = np.array([end], model.kind).tobytes()
         met: set[bytes] = set()
         for whole_batch in batches:
-            for k in range(0, whole_batch.num_rows, 200):
-                batch = whole_batch.slice(k, 200)
-                coded = [x + tail for x in model.encode([t or "" for t in batch.column(1).to_pylist()])]
-                begin = np.cumsum([0, *[len(x) // width for x in coded]])
-                marks = cut_marks(np.frombuffer(b"".join(coded), model.kind))
+            for batch in _slices(whole_batch, 1):
+                gc.disable()  # some 100,000 short-lived objects and no cycles
+                ids, begin = model.encode(batch.column(1), tail)
+                gc.enable()
+                marks = cut_marks(ids)
                 span = np.searchsorted(marks, begin, "right").tolist()
                 roots, sizes, names, lengths, new, offsets = [], [], [], [], [], [0]
-                for j, data in enumerate(coded):
+                for j in range(len(begin) - 1):
+                    data = ids[begin[j] : begin[j + 1]].tobytes()
                     n, last, own, lens = len(data) // width, 0, [], []
                     for c in cuts(n, (marks[span[j] : span[j + 1]] - begin[j]).tolist()):
                         part = data[last * width : c * width]
@@ -233,10 +280,20 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataF
                 cols = [pa.array(roots, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "root", "n_tokens", "digests", "lengths", "new"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return with_records_per_batch(rows, 2000).mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about AT_ONCE bytes of text, one row at least."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < batch.num_rows:
+        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + AT_ONCE, "right")))
+        yield batch.slice(k, end - k)
+        k = end
+
+
 def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> None:
     """Writes the store of all rows of docs below folder."""
     spark = docs.sparkSession
