@@ -6,11 +6,12 @@ the share of good documents, from how the rules agree over the whole corpus. The
 posterior probability that a document is good then replaces a filter in which
 every rule must pass.
 
-Bad documents are bad in several ways that rarely come together, so the model has
-one kind of good document and, for each rule, a kind of bad ones that starts as
-"this rule says bad". Rules are written to be rarely wrong on good documents:
-their false alarms are held at or below ``FALSE_ALARMS``, which keeps the model
-from taking a kind that a single rule sees for an accident among the good ones.
+The model is a mixture of good and bad documents in which every rule has, for
+either kind, a chance of each of its three votes; nothing else is fixed. Rules may
+therefore be loose: one that often says bad of good documents is found to say
+little, and the others overrule it; a rule that abstains more on bad documents says
+something by abstaining. Documents that fail the base rule are never kept, so the
+model is fitted to the others.
 
 The model sees only the number of documents of each combination of votes: at most
 3^rules rows whatever the corpus size, so each round of the estimation is one
@@ -18,7 +19,8 @@ aggregation over that small table.
 
 Defined results: null and empty texts have no words, fail the base rule and are
 not kept. Repeated rows get the same result each. An empty table gives an empty
-result. Other columns are ignored or, with ``carry``, handed on in ``_row``.
+result. If no document passes the base rule, the model stays where it started. Other
+columns are ignored or, with ``carry``, handed on in ``_row``.
 """
 
 from __future__ import annotations
@@ -36,16 +38,16 @@ WINDOW = 5
 RULES = ("symbols", "dup_lines", "repeats", "word_length", "capitals", "sentence_ends", "variety")
 
 
-#: Most that a rule may be taken to vote bad among good documents.
-FALSE_ALARMS = 0.02
+#: Where the estimation starts: the share of good documents, and the chances of the votes bad, none, good for good and for bad documents.
+START_SHARE, START_GOOD, START_BAD = 0.8, (0.05, 0.25, 0.7), (0.4, 0.3, 0.3)
 
 
 @dataclass(frozen=True)
 class Verdict:
-    """Shares of the kinds of documents (the first is good), and of each kind the chance that each rule, if it votes, says bad."""
+    """Shares of good and bad documents; of either kind the chances of the votes bad, none and good, by rule."""
 
-    shares: tuple[float, ...]
-    bad: tuple[tuple[float, ...], ...]
+    shares: tuple[float, float] = (START_SHARE, 1 - START_SHARE)
+    chances: tuple[tuple[tuple[float, ...], ...], ...] = ((START_GOOD,) * len(RULES), (START_BAD,) * len(RULES))
 
 
 def _repeat_words(ws: Column) -> Column:
@@ -125,13 +127,13 @@ def _votes() -> dict[str, Column]:
 
     length = F.col("word_chars") / n
     return {
-        "symbols": vote(share("n_symbols") > 0.3, share("n_symbols") < 0.05),
-        "dup_lines": vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, F.col("n_dup_lines") * 20 <= F.col("n_lines")),
-        "repeats": vote(share("n_repeat_words") > 0.2, share("n_repeat_words") < 0.03),
-        "word_length": vote((length < 2) | (length > 15), length.between(3, 10)),
-        "capitals": vote(F.col("n_capitals") * 2 > F.col("word_chars"), F.col("n_capitals") * 5 < F.col("word_chars")),
-        "sentence_ends": vote((share("n_ends") > 0.5) | ((F.col("n_ends") == 0) & (n >= 100)), share("n_ends").between(0.01, 0.34)),
-        "variety": vote((n >= 50) & (share("n_distinct") < 0.1), share("n_distinct") > 0.35),
+        "symbols": vote(share("n_symbols") > 0.1, share("n_symbols") < 0.02),
+        "dup_lines": vote(F.col("n_dup_lines") * 10 > F.col("n_lines"), F.col("n_dup_lines") == 0),
+        "repeats": vote(share("n_repeat_words") > 0.05, share("n_repeat_words") < 0.01),
+        "word_length": vote((length < 4) | (length > 7), length.between(4.4, 6.5)),
+        "capitals": vote(F.col("n_capitals") * 10 > F.col("word_chars"), F.col("n_capitals") * 25 < F.col("word_chars")),
+        "sentence_ends": vote((share("n_ends") < 0.03) | (share("n_ends") > 0.3), share("n_ends").between(0.05, 0.2)),
+        "variety": vote((n >= 50) & (share("n_distinct") < 0.45), share("n_distinct") > 0.6),
     }
 
 
@@ -139,48 +141,37 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def kinds(model: Verdict) -> Column:
-    """Probabilities of the kinds of a document with the votes v_<rule>, as an array.
+def posterior(model: Verdict) -> Column:
+    """Probability that a document with the votes v_<rule> is good.
 
     The model is one literal array, so that each round of the estimation runs the same compiled plan.
     """
-    rows = [F.struct(F.lit(math.log(s)).alias("share"), F.array(*[F.lit(math.log(x)) for x in row]).alias("bad"), F.array(*[F.lit(math.log(1 - x)) for x in row]).alias("good")) for s, row in zip(model.shares, model.bad)]
+    kinds = [F.struct(F.lit(math.log(share)).alias("share"), F.array(*[F.array(*[F.lit(math.log(x)) for x in rule]) for rule in rules]).alias("rules")) for share, rules in zip(model.shares, model.chances)]
     votes = F.array(*[F.col(f"v_{r}") for r in RULES])
 
     def weight(kind: Column) -> Column:
-        said = F.zip_with(votes, F.arrays_zip(kind["bad"], kind["good"]), lambda v, x: F.when(v == -1, x["bad"]).when(v == 1, x["good"]).otherwise(F.lit(0.0)))
-        return F.exp(F.aggregate(said, kind["share"], lambda a, x: a + x))
-
-    return let(F.transform(F.array(*rows), weight), lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(w, lambda x: x / t)))
-
-
-def posterior(model: Verdict) -> Column:
-    """Probability that a document with the votes v_<rule> is good."""
-    return kinds(model)[0]
+        said = F.zip_with(votes, kind["rules"], lambda v, rule: F.get(rule, v + 1))
+        return F.aggregate(said, kind["share"], lambda a, x: a + x)
 
+    return let(F.transform(F.array(*kinds), weight), lambda w: 1 / (1 + F.exp(w[1] - w[0])))
 
-def estimate(patterns: DataFrame, rounds: int = 12, tolerance: float = 1e-4) -> Verdict:
-    """Expectation-maximisation over ``patterns`` (v_<rule>..., n).
 
-    An abstention says nothing. One pseudo count keeps chances off 0 and 1.
-    """
-    n_kinds = len(RULES) + 1
-    start = [[0.05] * len(RULES)] + [[0.9 if r == k else 0.2 for r in range(len(RULES))] for k in range(len(RULES))]
-    model = Verdict((0.8, *[0.2 / len(RULES)] * len(RULES)), tuple(map(tuple, start)))
+def estimate(patterns: DataFrame, rounds: int = 40, tolerance: float = 1e-5) -> Verdict:
+    """Expectation-maximisation over ``patterns`` (v_<rule>..., n); one pseudo count for each chance keeps it off 0 and 1."""
+    model = Verdict()
     votes = [f"v_{r}" for r in RULES]
     for _ in range(rounds):
-        w = patterns.select(*votes, "n", F.posexplode(kinds(model)).alias("kind", "p")).withColumn("w", F.col("p") * F.col("n"))
-        sums = [F.sum("w").alias("all")] + [F.sum(F.when(F.col(v) < 0 if bad else F.col(v) != 0, F.col("w"))).alias(f"{v}_{bad}") for v in votes for bad in (0, 1)]
-        found = {r["kind"]: r for r in w.groupBy("kind").agg(*sums).collect()}  # one row for each kind
-        if not found:
+        w = patterns.select(*votes, "n", posterior(model).alias("p")).select(*votes, (F.col("p") * F.col("n")).alias("w0"), ((1 - F.col("p")) * F.col("n")).alias("w1"))
+        sums = [F.sum(w_).alias(w_) for w_ in ("w0", "w1")]
+        sums += [F.sum(F.when(F.col(v) == k - 1, F.col(f"w{kind}")).otherwise(0.0)).alias(f"{v}_{k}_{kind}") for v in votes for k in range(3) for kind in (0, 1)]
+        r = w.agg(*sums).first()
+        if r["w0"] is None:
             return model
-        of = lambda k, name: found[k][name] or 0.0
-        total = sum(of(k, "all") for k in range(n_kinds))
-        shares = tuple((of(k, "all") + 1) / (total + n_kinds) for k in range(n_kinds))
-        bad = [[(of(k, f"{v}_1") + 1) / (of(k, f"{v}_0") + 2) for v in votes] for k in range(n_kinds)]
-        bad[0] = [min(x, FALSE_ALARMS) for x in bad[0]]
-        done = max(abs(a - b) for a, b in zip(shares, model.shares)) < tolerance
-        model = Verdict(shares, tuple(map(tuple, bad)))
+        all_ = r["w0"] + r["w1"]
+        shares = tuple((r[f"w{kind}"] + 1) / (all_ + 2) for kind in (0, 1))
+        chances = tuple(tuple(tuple((r[f"{v}_{k}_{kind}"] + 1) / (r[f"w{kind}"] + 3) for k in range(3)) for v in votes) for kind in (0, 1))
+        done = abs(shares[0] - model.shares[0]) < tolerance
+        model = Verdict(shares, chances)
         if done:
             break
     return model
@@ -198,7 +189,7 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     else:
         rows = measures(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, text))]), text, *keep)
     rows = staged(rows.withColumns({f"v_{r}": v for r, v in _votes().items()}), "measures")
-    patterns = staged(rows.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns").coalesce(1)
+    patterns = staged(rows.where(~base_failed()).groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns").coalesce(1)
     model = estimate(patterns)
     return rows.withColumn("base_failed", base_failed()).withColumn("posterior", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
