@@ -17,11 +17,18 @@ TURNS = [
 ]
 
 
-def test_chat(spark):
-    segs = chat.segments(spark.createDataFrame(TURNS, CHAT))
-    got = {r["conv_id"]: r for r in chat.digest(segs).collect()}
+def written(spark, rows, folder):
+    chat.write(spark.createDataFrame(rows, CHAT), f"file://{folder}")
+    return [spark.read.parquet(f"file://{folder}/{t}") for t in ("segments", "examples")]
+
+
+def test_chat(spark, tmp_path):
+    long = [(9, k, ["user", "assistant"][k % 2], ("word [INST] \\ " * 9000 if k == 7 else f"<{k}>\n"), None) for k in range(400)]
+    given = [*TURNS, *long]
+    segs, exs = written(spark, given, tmp_path / "chat")
+    got = {r["conv_id"]: r for r in chat.digest(segs, exs).collect()}
     conv: dict = {}
-    for c, t, role, text, _ in TURNS:
+    for c, t, role, text, _ in given:
         conv.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     assert got.keys() == conv.keys()
     for c, turns in conv.items():
@@ -32,12 +39,23 @@ def test_chat(spark):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for r in segs.collect():
         assert (r["segment"].count("<|im_start|>"), r["segment"].count("<|im_end|>"), r["segment"].count("[INST]")) == (r["segment"].count("\\<|im_start|>") + 1, r["segment"].count("\\<|im_end|>") + 1, r["segment"].count("\\[INST]"))
-    full = chat.expand(segs, chat.examples(segs)).collect()
-    assert len(full) == sum(r == "assistant" for _, _, r, *_ in TURNS)
-    assert sum(len(r["context"]) + len(r["target"]) for r in full) == sum(r["formatted_chars"] for r in got.values())
+    full = chat.expand(segs, exs).collect()
+    assert len(full) == exs.count() == sum(r == "assistant" for _, _, r, *_ in given)
+    length = Counter()
     for r in full:
+        length[r["conv_id"]] += len(r["context"]) + len(r["target"])
         assert r["target"][: r["mask_begin"]] == "<|im_start|>assistant\n" and r["target"][r["mask_end"] :] == "<|im_end|>\n"
-    assert chat.digest(chat.segments(spark.createDataFrame([], CHAT))).count() == 0
+    assert length == Counter({c: r["formatted_chars"] for c, r in got.items()})
+
+
+def test_chat_of_an_empty_table(spark, tmp_path):
+    assert chat.digest(*written(spark, [], tmp_path / "none")).count() == 0
+
+
+def test_a_wrong_example_is_found(spark, tmp_path):
+    segs, exs = written(spark, TURNS, tmp_path / "chat")
+    with pytest.raises(Exception, match="context is wrong"):
+        chat.digest(segs, exs.withColumn("context_end", F.col("context_end") + 1)).collect()
 
 
 def test_language_by_family(spark):
@@ -59,14 +77,48 @@ def test_few_languages(spark, langs, want):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(docs)).collect()} == want
 
 
-def test_cotraining(spark):
+@pytest.fixture(scope="module")
+def cotrained(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.union(spark.createDataFrame([(-1, None, None, None, None), (None, "", "en", "a", 0)], docs.schema))
-    out = cotraining.score(docs, cotraining.train(docs, labels)).cache()
-    assert out.count() == docs.count()
-    j = out.join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
-    kept = {(r["quality"], r["toxic"]): r["kept"] for r in j}
+    return docs, labels, cotraining.train(docs, labels)
+
+
+def test_cotraining(spark, cotrained):
+    """Bad and toxic documents go, the others stay; nulls, blanks, a very long text, repeated rows and columns with clashing names have their results."""
+    docs, labels, model = cotrained
+    first = docs.orderBy("doc_id").first()
+    odd = [(-1, None, None, None, None), (None, "", "en", "a", 0), (-2, "long word " * 400_000, "xx", None, 4_000_000), tuple(first)]
+    all_ = docs.union(spark.createDataFrame(odd, docs.schema)).withColumns({"a": F.lit("x"), "label": F.lit("y"), "held": F.lit(1), "p": F.lit(2.0)})
+    out = cotraining.score(all_, model).cache()
+    assert out.count() == docs.count() + 4
+    assert out.where("score IS NULL OR score < 0 OR score > 1 OR kept IS NULL").count() == 0
+    assert out.where(F.col("doc_id") == first["doc_id"]).select("score").distinct().count() == 1
+    kept = {(r["quality"], r["toxic"]): r["kept"] for r in out.join(labels, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert kept[1, 0] > 0.97 and kept[0, 0] < 0.1 and kept[1, 1] < 0.3
+    assert cotraining.score(docs.limit(0), model).count() == 0
+
+
+def test_both_views_hand_pseudo_labels_over(cotrained):
+    """After each round both ways, and no view gets worse by more than the held-out documents can tell."""
+    docs, labels, model = cotrained
+    assert len(model.handed) == 2 and all(n > 0 for both in model.handed for n in both)
+    for first, last in zip(model.accuracy[0], model.accuracy[-1]):
+        assert last > first - 0.05 and last > 0.8
+
+
+def test_pseudo_labels_are_the_surest(spark, cotrained):
+    docs, labels, model = cotrained
+    rows = cotraining.views(docs.where("doc_id >= 0"), "doc_id").withColumn("label", F.lit(None).cast("double"))
+    view, n = cotraining._hands(model.meta, rows, 0.3, 0.8)
+    said = view.scored(rows).withColumn("said", view.said())
+    assert said.where("said IS NOT NULL").count() == n
+    assert said.where("said = 1 AND pb < 0.95").count() == said.where("said = 0 AND pb > 0.05").count() == 0
+    assert cotraining._hands(cotraining.View("b", model.meta.model, -1.0, 0.0), rows, 0.3, 0.8)[1] == 0
+
+
+def test_cotraining_of_an_empty_table(docs, none, spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    assert cotraining.score(none, cotraining.train(none, labels)).count() == 0
 
 
 @pytest.mark.parametrize(("labels", "score"), [([], 1.0), ([(1, 1, 0)], 1.0), ([(1, 0, None)], 0.0)])
