@@ -14,12 +14,16 @@ shortest run of ``MIN_WORDS`` words needs at any place.
 
 At that depth, suffixes with the same first m lines are neighbours in the array: an
 interval whose longest common prefix has m lines or more. Its member that is first
-by doc_id and line stays; for the others, the m lines are a later copy. m is taken
-both ways: the least lines that make up MIN_WORDS words from a line on, and those
-that make them up backward from a line. Every line of a repeated run of MIN_WORDS
-words lies in one of these windows inside the run (its last lines in those that end
-there), so the windows of a document join to its maximal repeated runs, and their
-lines are deleted.
+by doc_id and line stays; the others are later copies of it. m is taken both ways:
+the least lines that make up MIN_WORDS words from a line on, and those that make
+them up backward from a line, as a run's last lines may be repeated from a place
+that is not the first of the interval before.
+
+A later copy that doesn't go on from the line before it is the start of a maximal
+repeated run: its longest common prefix with the first copy gives the run's length.
+That comparison is line by line on 128-bit ids, so no line goes because two short
+hashes are equal. Every line of every run of MIN_WORDS words or more that occurs
+earlier lies in one of these runs, and the lines of the runs are deleted.
 
 Defined results: null, empty and blank texts have no lines; blank lines are
 neither counted nor deleted; a null doc_id comes last in the order of copies; rows
@@ -43,8 +47,13 @@ MIN_WORDS = 50
 NO_RANK = -(1 << 63)
 
 
+#: Later copies of one document beyond which a join spreads them over several tasks.
+HOT = 20_000
+
+
 def row_key(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    """128 bits that name a document by id and text."""
+    return F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))))
 
 
 def worded(text: str | None) -> list[tuple[int, bytes, int]]:
@@ -54,13 +63,13 @@ def worded(text: str | None) -> list[tuple[int, bytes, int]]:
 
 
 def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """row, doc_id, j (place among the worded lines), id of the line, m (lines from here on that make min_words words, or 0), b (the same backward, or 0; also 0 where the window is that of its first line)."""
+    """row, doc_id, j (place among the worded lines), id of the line and id2 (64 more bits of it), m (lines from here on that make min_words words, or 0), b (the same backward, or 0; also 0 where the window is that of its first line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                row, doc, place, ids, need, back = [], [], [], [], [], []
+                row, doc, place, ids, more, need, back = [], [], [], [], [], [], []
                 for r, d, t in zip(*[c.to_pylist() for c in batch.columns]):
                     own = worded(t)
                     n = len(own)
@@ -75,19 +84,21 @@ def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
                     row += [r] * n
                     doc += [d] * n
                     place += range(n)
-                    ids += [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for _, x, _ in own]
+                    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for _, x, _ in own]), np.int64)
+                    ids += both[::2].tolist()
+                    more += both[1::2].tolist()
                     need += m.tolist()
                     back += b.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in ((row, pa.int64()), (doc, pa.int64()), (place, pa.int32()), (ids, pa.int64()), (need, pa.int32()), (back, pa.int32()))], names=["row", "doc_id", "j", "id", "m", "b"]
+                    [pa.array(x, t) for x, t in ((row, pa.binary()), (doc, pa.int64()), (place, pa.int32()), (ids, pa.int64()), (more, pa.int64()), (need, pa.int32()), (back, pa.int32()))], names=["row", "doc_id", "j", "id", "id2", "m", "b"]
                 )
 
     rows = docs.select(row_key(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return with_records_per_batch(rows, 2000).mapInArrow(run, "row long, doc_id long, j int, id long, m int, b int")
+    return with_records_per_batch(rows, 2000).mapInArrow(run, "row binary, doc_id long, j int, id long, id2 long, m int, b int")
 
 
 def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """row, j, m: the m worded lines from place j are a later copy of a run elsewhere."""
+    """row, j, m, first_row, first_doc, first_j: the m worded lines from place j are a later copy of those from first_j on; maximal runs."""
     all_lines = staged(lines(docs, key, text, min_words), "lines")
     often = all_lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     active = all_lines.join(often, "id").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").dropDuplicates(["row", "j"])
@@ -96,7 +107,8 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     stretch = Window.partitionBy("row", "run")
     active = active.withColumn("m", F.when(F.max("j").over(stretch) >= F.col("j") + F.col("m") - 1, F.col("m")).otherwise(F.lit(0)))
     active = active.withColumn("b", F.when(F.min("j").over(stretch) <= F.col("j") - F.col("b") + 1, F.col("b")).otherwise(F.lit(0)))
-    ranked = staged(active.select("row", "doc_id", "j", "run", "m", "b", F.col("id").alias("r")), "rank0")
+    active = staged(active.select("row", "doc_id", "j", "run", "m", "b", "id", "id2"), "active")
+    ranked = active.select("row", "doc_id", "j", "run", "m", "b", F.col("id").alias("r"))
     deepest = ranked.agg(F.max(F.greatest("m", "b"))).first()[0] or 0
     found, k = [], 0
     while (1 << k) <= deepest:
@@ -119,19 +131,44 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("place"))
         ranked = staged(pairs.join(staged(order, f"order{k}"), ["r", "r2"]).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
     if not found:
-        return ranked.select("row", "j", "m").where("m > 0")
+        return ranked.select("row", "j", "m", F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc"), F.col("j").alias("first_j")).where("m > 0")
     windows = found[0]
     for part in found[1:]:
         windows = windows.union(part)
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "j")
     interval = ["m", "r", "r2"]
     firsts = windows.groupBy(*interval).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(firsts, interval).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j")))).select("row", "j", "m")
+    copies = windows.join(firsts, interval).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j"))))
+    return prolonged(copies.select("row", "j", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc"), F.col("first.j").alias("first_j")), active)
+
+
+def prolonged(copies: DataFrame, active: DataFrame) -> DataFrame:
+    """The starts of runs among (row, j, first_row, first_doc, first_j), with m, their longest common prefix with the first copy."""
+    on = Window.partitionBy("row", "first_row", F.col("j") - F.col("first_j")).orderBy("j")
+    starts = copies.distinct().withColumn("before", F.lag("j").over(on)).where("before IS NULL OR before < j - 1").drop("before")
+    starts = staged(starts, "starts")
+    line = F.struct("j", "id", "id2")
+    own = active.groupBy("row").agg(F.array_sort(F.collect_list(line)).alias("mine"))  # a document's repeated lines
+    pairs = starts.join(own, "row")
+    # A first copy of very many others is repeated for some of them each.
+    hot = starts.groupBy("first_row").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1")
+    theirs = own.select(F.col("row").alias("first_row"), F.col("mine").alias("theirs")).join(starts.select("first_row").distinct(), "first_row", "left_semi")
+    theirs = theirs.join(hot, "first_row", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = pairs.join(hot, "first_row", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    def following(lines: str, j: str) -> Column:
+        """The lines from j on that stand one after the other."""
+        return F.filter(F.filter(lines, lambda x: x["j"] >= F.col(j)), lambda x, k: x["j"] == F.col(j) + k)
+
+    same = F.zip_with(following("mine", "j"), following("theirs", "first_j"), lambda a, b: F.coalesce((a["id"] == b["id"]) & (a["id2"] == b["id2"]), F.lit(False)))
+    other = F.array_position(same, False)
+    met = pairs.join(theirs, ["first_row", "part"]).withColumn("m", F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int"))
+    return met.where("m > 0").select("row", "j", "m", "first_row", "first_doc", "first_j")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """key, n_lines, n_deleted, runs (of line numbers) and clean_text of every row of docs."""
-    gone = staged(later_copies(docs, key, text, min_words), "later")
+    gone = staged(later_copies(docs, key, text, min_words).select("row", "j", "m"), "later")
     n = gone.count()
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("j", "m")).alias("spans"))
     rows = docs.select(row_key(key, text).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))

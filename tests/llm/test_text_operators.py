@@ -412,3 +412,26 @@ def test_line_dedup_takes_runs_to_their_last_line(spark):
         want = gone.get(r["doc_id"], set())
         assert r["n_deleted"] == len(want)
         assert r["clean_text"] == "\n".join(x for k, x in enumerate(texts[r["doc_id"]].split("\n")) if k not in want)
+
+
+def test_runs_are_maximal_and_like_their_first_copy(spark, docs, corpus):
+    """A run agrees with its first copy line by line, comes after it, and neither could begin nor end one line further out."""
+    rng = np.random.default_rng(9)
+    known = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, int(n))) for n in rng.integers(8, 40, 14)]
+    rows = [(k, "\n".join([*known[(at := int(rng.integers(0, 9))) : at + int(rng.integers(3, 9))], f"own {k}", *known[:3]])) for k in range(50)]
+    texts = {d: t.split("\n") for d, t in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {bytes(r["k"]): r["doc_id"] for r in frame.select("doc_id", line_dedup.row_key("doc_id", "text").alias("k")).collect()}
+    runs = [(keys[bytes(r["row"])], r["j"], r["m"], keys[bytes(r["first_row"])], r["first_j"]) for r in line_dedup.later_copies(frame).collect()]
+    assert len(runs) > 50 and len(set(runs)) == len(runs)
+    for d, j, m, f, g in runs:
+        a, b = texts[d], texts[f]
+        assert a[j : j + m] == b[g : g + m] and (f, g) < (d, j) and sum(len(x.split()) for x in a[j : j + m]) >= 50
+        assert j + m == len(a) or g + m == len(b) or a[j + m] != b[g + m]
+
+
+def test_hot_first_copies_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    text = "\n".join(f"{k} " + "common words of a line " * 4 for k in range(5))
+    frame = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_deleted"]) for r in line_dedup.dedup(frame).collect()) == [(0, 0), *[(k, 5) for k in range(1, 20)]]
