@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one is set."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all machines share")
         top = tempfile.mkdtemp(prefix="colsense-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/colsense-{uuid.uuid4().hex}"

@@ -7,14 +7,17 @@ items go into one automaton over normalised text (words with single spaces), and
 each document is normalised and scanned once. Hits are reported as word numbers
 and, on request, as character offsets in the original text.
 
-The automaton is built once in each Python worker from the broadcast windows. Its
-size is proven first: beyond ``BLOCK_CHARS`` characters of windows, the windows
-are dealt into blocks of at most that size, each document is scanned once for
-each block, and the hits of the blocks are united row by row, without a shuffle.
+The distinct windows, with their items, are made by Spark. The automaton is built
+once in each Python worker from the broadcast windows. Its size is proven first:
+beyond ``BLOCK_CHARS`` characters of windows and item ids, the windows are dealt by
+hash into blocks of at most that size (a window with more ids than that is a block
+of its own); each document is scanned once for each block, one block after the other, and the
+hits of the blocks are united row by row, without a shuffle.
 
 Defined results: null and empty texts have no words and no hits; null item texts
-and items without words have no windows; items with the same text are all
-reported; repeated rows get the same result each.
+and items without words have no windows; an item without an id marks its words, but
+there is nothing to report it by; items with the same text are all reported; items
+that repeat an id are one item; repeated rows get the same result each.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import at_work, remembers, table, with_records_per_batch
+from .common import at_work, remembers, staged, table, with_records_per_batch
 
 WINDOW = 10
 #: Bound on the characters of windows in one automaton (about 40 bytes of memory each).
@@ -50,22 +53,36 @@ def windows(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))}
 
 
-def window_blocks(items: Iterator[tuple[object, str | None]], limit: int = BLOCK_CHARS) -> Iterator[tuple[tuple[bytes, tuple[str, ...]], ...]]:
-    """Blocks of (window, item ids) whose windows have at most ``limit`` characters; an item is never split."""
-    found: dict[bytes, list[str]] = {}
-    size = 0
-    for item, text in items:
-        if item is None or text is None:
-            continue
-        for w in windows(normalise(text)):
-            if w not in found:
-                size += len(w)
-            found.setdefault(w, []).append(str(item))
-        if size >= limit:
-            yield tuple((w, tuple(ids)) for w, ids in found.items())
-            found, size = {}, 0
-    if found:
-        yield tuple((w, tuple(ids)) for w, ids in found.items())
+def item_windows(benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
+    """window, items (without null ids), size: the distinct windows of all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, text in zip(*[c.to_pylist() for c in batch.columns]):
+                found = [] if text is None else sorted(windows(normalise(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([ids] * len(found), pa.string())], names=["window", "item"])
+
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    found = with_records_per_batch(rows, 2000).mapInArrow(run, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x))
+    return found.select("window", "items", size.cast("long").alias("size"))
+
+
+def window_blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[tuple[tuple[bytes, tuple[str, ...]], ...]]:
+    """Blocks of (window, item ids) of at most BLOCK_CHARS bytes, or of one window."""
+    found = staged(item_windows(benchmark, item, item_text), "windows")
+    total = found.agg(F.sum("size")).first()[0] or 0
+    n = 1 if total <= BLOCK_CHARS else -(-2 * total // BLOCK_CHARS)
+    while True:
+        dealt = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n)))
+        over = dealt.groupBy("block").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).where((F.col("s") > BLOCK_CHARS) & (F.col("c") > 1))
+        if over.isEmpty():
+            break
+        n *= 2
+    for k in range(n):
+        block = tuple((bytes(r["window"]), tuple(r["items"])) for r in dealt.where(F.col("block") == k).collect())
+        if block:
+            yield block
 
 
 class Automaton:
@@ -172,35 +189,39 @@ def _united(a, b):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, n_hit, items, spans (characters) and word_spans.
+    """docs with n_words, n_hit, items, spans (characters) and word_spans; its columns with these names give way to the results."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in FOUND.names]
+    return scanned(row, window_blocks(benchmark, item, item_text)).select(*own, *FOUND.names)
+
 
-    Columns of docs with these names must be packed away by the caller. The items
-    come to the driver one partition at a time and leave it as blocks of bounded size.
-    """
+def scanned(row: DataFrame, blocks: Iterator) -> DataFrame:
+    """(_row, _text) with the columns of FOUND."""
     out = None
-    for block in window_blocks((r[0], r[1]) for r in benchmark.select(item, item_text).toLocalIterator()):
+    for block in blocks:
         if out is None:
-            out = _pass(docs, text, block)
+            out = _pass(row, "_text", block)
             continue
-        rest = {c: F.col(c) for c in docs.columns}
-        prior = out.select(*rest.values(), F.struct(*FOUND.names).alias("_prior"))
-        both = _pass(prior, text, block)
+        # Written down, so that one automaton at a time is in memory.
+        prior = staged(out.select("_row", "_text", F.struct(*FOUND.names).alias("_prior")), "hits")
+        both = _pass(prior, "_text", block)
         words = _united(F.col("_prior.word_spans"), F.col("word_spans"))
         out = both.select(
-            *rest.values(),
+            "_row",
+            "_text",
             "n_words",
             F.aggregate(words, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]).alias("n_hit"),
             F.array_sort(F.array_union("_prior.items", "items")).alias("items"),
             _united(F.col("_prior.spans"), F.col("spans")).alias("spans"),
             words.alias("word_spans"),
         )
-    return out if out is not None else _pass(docs, text, ())
+    return out if out is not None else _pass(row, "_text", ())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without a word of an occurring window."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return find(row, benchmark, "_text").where(F.col("n_hit") == 0).select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    return scanned(row, window_blocks(benchmark, "item_id", "text")).where(F.col("n_hit") == 0).select("_row.*")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

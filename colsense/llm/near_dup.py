@@ -16,9 +16,10 @@ the query takes 3 words and 0.85, the pipeline's stage 5 words and 0.80.
    it. Only representatives go on, so a text copied a million times counts once.
 3. Representatives meet by (band, key). Buckets are counted with partial sums;
    those with one member are dropped. Inside a bucket, sketches are compared with
-   XOR and population counts on whole arrays. A bucket over ``BLOCK`` members is
-   dealt into blocks and each two blocks meet in a task of their own, so no task
-   holds a whole large bucket. A pair counts in the first band that it shares.
+   XOR and population counts on whole arrays. A bucket over ``BLOCK`` members, or of
+   more than ``BLOCK_SHINGLES`` shingles, is dealt into blocks; each two blocks meet
+   in a group of their own, where pairs inside a block are left to that block, so no
+   task holds a whole large bucket. A pair counts in the first band that it shares.
    What leaves this step is not pairs but the members that have a partner.
 4. Their full sets meet in the same buckets. A search from member to member checks
    exact set sizes, never compares two members that are already connected, and
@@ -48,7 +49,8 @@ from .common import at_work, join_ids, staged, table, with_records_per_batch
 #: Words of a shingle and least similarity in percent of op10_near_dup; other callers name theirs.
 SHINGLE, PERCENT = 3, 85
 SAMPLES, BITS = 256, 1024
-BLOCK = 4096
+#: Most members of a block of a bucket, and most shingles of them all (8 bytes each): two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 4096, 8_000_000
 #: Largest chance that a pair at the threshold shares no band, and that its sketches differ in too many bits.
 MISS = 5e-7
 #: Bytes of text that are hashed at once.
@@ -148,10 +150,10 @@ def shingles(h: np.ndarray, words: int = SHINGLE) -> np.ndarray:
     if n == 0:
         return h
     if n < words:
-        x = np.uint64(n)
+        x = np.array([n], np.uint64)
         for v in h:
-            x = mix64(np.array([x * np.uint64(31)], np.uint64) ^ v)[0]
-        return np.array([x], np.uint64)
+            x = mix64(x * np.uint64(31) ^ v)
+        return x
     a = np.zeros(n - words + 1, np.uint64)
     for k in range(words - 1, -1, -1):
         a = mix64(h[k : n - words + 1 + k] * np.uint64(2 * k + 3) + a)
@@ -270,6 +272,7 @@ def _active(batches, how: Method):
         begin = _starts(t, 3)
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
         band = t.column("band").to_numpy()
+        mine, twice = t.column("mine").to_numpy(), t.column("b1").to_numpy() != t.column("b2").to_numpy()
         sketch = _fixed(t.column("sketch"), BITS // 64, np.uint64)
         bands = _fixed(t.column("bands"), how.bands, np.uint32)
         hit = np.zeros(n, bool)
@@ -281,12 +284,13 @@ def _active(batches, how: Method):
                 break
             for k in range(0, len(left), 20_000):
                 a = left[k : k + 20_000]
+                a = a[~twice[a] | (mine[a] != mine[a + d])]
                 near = np.bitwise_count(sketch[a] ^ sketch[a + d]).sum(axis=1, dtype=np.int32) <= how.most_bits
                 a = a[near]
                 first = np.argmax(bands[a] == bands[a + d], axis=1)
                 a = a[first == band[a]]
                 hit[a] = hit[a + d] = True
-        yield from t.select(["bucket", "b1", "b2", "id"]).filter(pa.array(hit)).to_batches()
+        yield from t.select(["bucket", "b1", "b2", "id", "mine"]).filter(pa.array(hit)).to_batches()
 
 
 def _links(batches, how: Method):
@@ -295,6 +299,7 @@ def _links(batches, how: Method):
     for t in _by_group(batches, 3):
         begin = np.append(_starts(t, 3), t.num_rows)
         ids = t.column("id").to_numpy()
+        mine, b1, b2 = (t.column(c).to_numpy() for c in ("mine", "b1", "b2"))
         sets, sketches = t.column("members").to_pylist(), _fixed(t.column("sketch"), BITS // 64, np.uint64)
         out = []
         for a, b in zip(begin[:-1], begin[1:]):
@@ -309,8 +314,8 @@ def _links(batches, how: Method):
                 while queue:
                     x = queue.pop()
                     rest = np.flatnonzero(free)
-                    if not len(rest):
-                        break
+                    if b1[a] != b2[a]:  # pairs inside a block are that block's own
+                        rest = rest[mine[a + rest] != mine[a + x]]
                     near = rest[np.bitwise_count(sk[rest] ^ sk[x]).sum(axis=1, dtype=np.int32) <= how.most_bits]
                     for y in near:
                         if linked(own[x], own[y], how.percent):
@@ -335,20 +340,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def links(docs: DataFrame, reps: DataFrame, key: str, text: str, how: Method) -> DataFrame:
     """u, v: confirmed links that connect the representatives of one component."""
     spark = docs.sparkSession
-    rows = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    rows = reps.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    full = full.select("bucket", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     # Bands differ in their keys' seeds, so a bucket belongs to one band.
-    met = staged(rows.join(full, "bucket").select("bucket", "band", "members", "id"), "met")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    met = staged(rows.join(full, "bucket").select("bucket", "band", "blocks", "id"), "met")
+    blocks = F.col("blocks")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("b1"), F.greatest(mine, o).alias("b2"))))
-    dealt = met.select("bucket", "band", "id", pairs.alias("p")).select("bucket", "p.b1", "p.b2", "band", "id")
+    dealt = met.select("bucket", "band", "id", mine.alias("mine"), pairs.alias("p")).select("bucket", "p.b1", "p.b2", "band", "id", "mine")
     small = reps.join(met.select("id").distinct(), "id", "left_semi").select("id", "sketch", F.col("bands").alias("all"))
     short = F.transform("all", lambda x: F.lpad(F.hex(x), 16, "0").substr(9, 8))
-    sent = dealt.join(small.select("id", "sketch", F.unhex(F.array_join(short, "")).alias("bands")), "id").select("bucket", "b1", "b2", "band", "id", "sketch", "bands")
+    sent = dealt.join(small.select("id", "sketch", F.unhex(F.array_join(short, "")).alias("bands")), "id").select("bucket", "b1", "b2", "band", "id", "mine", "sketch", "bands")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = sent.repartition(n, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "id")
-    active = staged(near.mapInArrow(partial(_active, how=how), "bucket long, b1 int, b2 int, id long"), "active")
+    active = staged(near.mapInArrow(partial(_active, how=how), "bucket long, b1 int, b2 int, id long, mine int"), "active")
 
     ids = staged(active.select("id").distinct(), "ids")
     texts = join_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), ids, "id", ids.count(), "left_semi")
@@ -356,7 +362,7 @@ def links(docs: DataFrame, reps: DataFrame, key: str, text: str, how: Method) ->
     chosen = reps.select("id", "n", "hi", "lo", "sketch")
     # Rows that repeat a doc_id with another text are told apart by the set's name.
     sets = full_sets.join(chosen, ["id", "n", "hi", "lo"])
-    meet = active.join(sets, "id").select("bucket", "b1", "b2", "id", "members", "sketch")
+    meet = active.join(sets, "id").select("bucket", "b1", "b2", "id", "mine", "members", "sketch")
     return meet.repartition(n, "bucket", "b1", "b2").sortWithinPartitions("bucket", "b1", "b2", "id").mapInArrow(partial(_links, how=how), "u long, v long")
 
 
@@ -390,9 +396,14 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = new
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs, with shingles of that many words and links from that similarity on."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, sketches: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs, with shingles of that many words and links from that similarity on.
+
+    Without ``sketches`` every pair that shares a band is compared on its full sets.
+    """
     how = method(shingle, percent)
+    if not sketches:
+        how = how._replace(most_bits=BITS)
     sigs = staged(signatures(docs, key, text, how), "signatures")
     name = ["n", "hi", "lo"]
     reps = staged(sigs.where("n > 0 AND id IS NOT NULL").groupBy(*name).agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch")), "reps")
@@ -410,7 +421,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose document is kept."""
+    """The rows of docs whose document is kept; rows without an id are all kept, as nothing names them."""
     gone = staged(near_duplicates(docs, key, text, shingle, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct(), "gone")
     return join_ids(docs, gone, key, gone.count(), "left_anti")
 

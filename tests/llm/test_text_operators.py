@@ -149,11 +149,31 @@ def test_bands_and_sketches_follow_from_the_similarity():
 
 
 def test_large_buckets_meet_in_blocks(docs, monkeypatch):
-    """The same components when a bucket is dealt into blocks of two."""
+    """The same components when a bucket is dealt into blocks of two members or few shingles, and without sketches."""
     key = lambda df: sorted((r["doc_id"], r["component_id"]) for r in df.collect() if r["doc_id"] is not None)
     want = key(near_dup.near_duplicates(docs))
+    assert key(near_dup.near_duplicates(docs, sketches=False)) == want
     monkeypatch.setattr(near_dup, "BLOCK", 2)
     assert key(near_dup.near_duplicates(docs)) == want
+    monkeypatch.setattr(near_dup, "BLOCK", 4096)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 150)
+    assert key(near_dup.near_duplicates(docs)) == want
+
+
+def test_pairs_just_above_the_threshold_pass_both_filters():
+    """2,000 pairs with similarities of 0.85 to 0.90: each shares a band and has near sketches."""
+    rng = np.random.default_rng(6)
+    how = near_dup.method(3, 85)
+    found = 0
+    for _ in range(2000):
+        n = int(rng.integers(60, 400))
+        each = int(n * (1 / rng.uniform(0.85, 0.90) - 1) / 2)
+        common, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, each, each))
+        assert n >= 0.85 * (n + 2 * each)
+        s, t = (near_dup.samples(np.concatenate((common, x))) for x in (a, b))
+        near = np.bitwise_count(near_dup.odd_sketch(s) ^ near_dup.odd_sketch(t)).sum() <= how.most_bits
+        found += bool(near and (near_dup.band_keys(s, how) == near_dup.band_keys(t, how)).any())
+    assert found == 2000
 
 
 def test_components_of_a_chain(spark):
@@ -162,12 +182,12 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
-ITEMS = [(1, 3), (2, 3), (30, 7), (4, None), (5, -1), (6, -2)]
+ITEMS = [(1, 3), (2, 3), (30, 7), (4, None), (5, -1), (6, -2), (None, 9)]
 
 
 @pytest.fixture
 def bench(spark, corpus):
-    text = {3: corpus[3][1][:200].upper(), 7: " ".join(corpus[7][1].split()[2:25]), None: None, -1: "", -2: "one"}
+    text = {3: corpus[3][1][:200].upper(), 7: " ".join(corpus[7][1].split()[2:25]), 9: " ".join(corpus[9][1].split()[1:14]), None: None, -1: "", -2: "one"}
     return [(i, text[k]) for i, k in ITEMS]
 
 
@@ -182,16 +202,15 @@ def hits(t, windows):
     return len(w), len(hit), sorted(items)
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 100])
+@pytest.mark.parametrize("limit", [4_000_000, 2000])
 def test_decontamination(spark, docs, none, corpus, bench, limit, monkeypatch):
-    """Also with so small a bound that each item is a block of its own."""
-    blocks = decontaminate.window_blocks
-    monkeypatch.setattr(decontaminate, "window_blocks", lambda items: blocks(items, limit))
+    """Also with so small a bound that there are several blocks."""
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", limit)
     windows = defaultdict(set)
     for i, t in bench:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(str(i))
+            windows[tuple(w[k : k + 10])] |= {str(i)} if i is not None else set()
     items = spark.createDataFrame(bench, "item_id long, text string")
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.digest(docs, items).collect())
     want = Counter()
@@ -199,7 +218,9 @@ def test_decontamination(spark, docs, none, corpus, bench, limit, monkeypatch):
         n, h, i = hits(t, windows)
         want[(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0)] += 1
     assert got == want and sum(k[-1] for k in got) >= 3
-    found = decontaminate.find(docs.select("doc_id", "text"), items).where("n_hit > 0").collect()
+    blocks = list(decontaminate.window_blocks(items, "item_id", "text"))
+    assert len(blocks) == 1 if limit > 10_000 else len(blocks) > 2
+    found = decontaminate.find(docs, items).where("n_hit > 0").collect()  # docs has a column n_words of its own
     for r in found:
         for s, w in zip(r["spans"], r["word_spans"]):
             assert len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r["text"][s["begin"] : s["end"]])) == w["end"] - w["begin"]
