@@ -313,28 +313,61 @@ def union_element(sims: DataFrame, keep: int) -> DataFrame:
     return one.union(one.select("entity", F.lit(ALL).alias("focal"), (1 - F.col("mass")).alias("mass")))
 
 
-def alpha_grid(spark, sources: list[str], steps: list[float]) -> DataFrame:
-    """(grid, source, alpha): every combination of steps over the sources."""
-    n = len(steps)
-    values = F.array(*map(F.lit, steps))
-    ids = spark.range(n ** len(sources)).withColumnRenamed("id", "grid")
-    parts = [ids.select("grid", F.lit(s).alias("source"), F.get(values, (F.floor(F.col("grid") / n**k) % n).cast("int")).alias("alpha")) for k, s in enumerate(sources)]
-    return reduce(DataFrame.union, parts)
-
-
 def alpha_sweep(masses: DataFrame, truth: DataFrame, pairs: DataFrame, fr: DataFrame, mem: DataFrame, sources: list[str], steps: list[float]) -> DataFrame:
-    """(grid, n, correct, accuracy): every grid cell fused and scored by its pignistic choice, all cells in one job."""
-    grid = alpha_grid(masses.sparkSession, sources, steps)
-    many = masses.join(F.broadcast(grid), "source").where(F.col("focal") != ALL).withColumn("mass", F.col("mass") * F.col("alpha"))
-    cell = F.concat_ws("#", F.col("grid").cast("string"), F.col("entity").cast("string"))
-    rows = many.select(cell.alias("entity"), "source", "focal", "mass")
-    rest = rows.groupBy("entity", "source").agg((1 - F.sum("mass")).alias("mass")).select("entity", "source", F.lit(ALL).alias("focal"), "mass")
-    fused = combine_all(rows.where(F.col("mass") > TINY).union(rest.where(F.col("mass") > TINY)), pairs, sources)
-    p = pignistic(fused, mem, fr)
-    order = Window.partitionBy("entity").orderBy(F.round("p", 9).desc(), "code")
-    pick = p.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.split("entity", "#")[0].cast("long").alias("grid"), F.split("entity", "#")[1].alias("id"), "code")
-    scored = pick.join(truth.select(F.col("entity").cast("string").alias("id"), "truth"), "id")
-    return scored.groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == F.col("truth")).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
+    """(grid, n, correct, fallbacks, accuracy, delta): every grid cell fused and scored by its pignistic choice; delta is to the cell of the last steps.
+
+    Which elements meet does not depend on the alphas: they are joined once for each
+    entity, and a cell is another product of the same rows' masses. A cell in which all
+    is contradiction falls back to the element with most mass in any source.
+    """
+    n, m = len(steps), len(sources)
+    rows = masses.where(F.col("focal") != ALL).groupBy("entity").agg(*[F.collect_list(F.when(F.col("source") == s, F.struct("focal", "mass"))).alias(f"m{k}") for k, s in enumerate(sources)])
+    rows = rows.withColumns({f"t{k}": F.aggregate(f"m{k}", F.lit(0.0), lambda a, x: a + x["mass"]) for k in range(m)})
+    whole = F.array(F.struct(F.lit(ALL).alias("focal"), F.lit(None).cast("double").alias("mass")))
+    for k in range(m):
+        rows = rows.withColumn("x", F.explode(F.concat(f"m{k}", whole))).withColumns({"f2": F.col("x.focal"), f"w{k}": F.col("x.mass")}).drop("x", f"m{k}")
+        if k:
+            rows = rows.withColumnRenamed("focal", "f1").join(F.broadcast(pairs.withColumnRenamed("f12", "focal")), ["f1", "f2"]).drop("f1", "f2")  # a taxonomy's
+        else:
+            rows = rows.withColumnRenamed("f2", "focal")
+
+    # The code of an innermost element is the pignistic choice: what holds it holds all its codes. Z gives every code
+    # the same, so it decides nothing unless it is all there is: then the first code is chosen.
+    inner = pairs.where((F.col("f12") == F.col("f1")) & (F.col("f2") != ALL)).groupBy(F.col("f2").alias("focal")).agg(F.collect_list("f1").alias("all"))
+    size = mem.groupBy("focal").agg(F.count(F.lit(1)).alias("size"), F.min("code").alias("first"))
+    own = F.collect_set("focal").over(Window.partitionBy("entity"))
+    rows = rows.withColumn("own", own).join(F.broadcast(inner), "focal", "left").join(F.broadcast(size), "focal")
+    rows = rows.withColumn("at", F.explode(F.coalesce(F.array_intersect("own", "all"), F.array("focal")))).drop("own", "all", "focal")
+    rows = rows.withColumns({"p": 1.0 / F.col("size"), "grid": F.lit(0).cast("long")}).drop("size", "first")
+    for k in range(m):
+        t = lambda x: F.col(f"t{k}") * x
+        each = F.array(*[F.when(F.col(f"w{k}").isNull(), 1 - F.least(t(x), F.lit(1.0))).otherwise(F.col(f"w{k}") * x / F.greatest(t(x), F.lit(1.0))) for x in steps])
+        rows = rows.select("*", F.posexplode(each).alias("i", "w")).withColumns({"grid": F.col("grid") + F.col("i") * n**k, "p": F.col("p") * F.col("w")}).drop("i", "w", f"w{k}", f"t{k}")
+    shares = rows.groupBy("entity", "grid", "at").agg(F.sum("p").alias("p"))
+
+    # Probability to 9 digits, then the first code: both in one number, so that the choice is a plain maximum.
+    code = (1 << 24) - 1
+    ranks = mem.select("code").distinct().withColumn("rank", F.row_number().over(Window.orderBy("code")))  # a taxonomy's codes
+    first = size.join(ranks.withColumnRenamed("code", "first"), "first").select(F.col("focal").alias("at"), "rank")
+    best = F.max(F.when((F.col("at") != ALL) & (F.round("p", 9) > 0), F.round(F.col("p") * 1e9).cast("long") * (code + 1) + (code - F.col("rank"))))
+    pick = shares.join(F.broadcast(first), "at").groupBy("entity", "grid").agg(F.max("p").alias("most"), best.alias("best"))
+    loud = masses.where(F.col("focal") != ALL).groupBy("entity").agg(F.max_by(F.regexp_replace("focal", r"[*]$", ""), F.struct("mass", "focal")).alias("code"))
+    loud = loud.join(F.broadcast(ranks), "code").select("entity", F.col("rank").alias("loudest"))
+    known = truth.join(F.broadcast(ranks.withColumnRenamed("code", "truth")), "truth", "left").select("entity", F.coalesce("rank", F.lit(0)).alias("truth")).join(loud, "entity", "left")
+    lost = F.col("most") <= 1e-15
+    chosen = F.when(lost, F.col("loudest")).when(F.col("best").isNotNull(), code - F.col("best") % (code + 1)).otherwise(F.lit(1))
+    scored = pick.join(known, "entity").groupBy("grid").agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen == F.col("truth")).alias("correct"), F.count_if(lost).alias("fallbacks"))
+    base = F.max(F.when(F.col("grid") == n**m - 1, F.col("correct"))).over(Window.partitionBy())  # one row for each cell
+    return scored.select("grid", "n", "correct", "fallbacks", F.round(F.col("correct") / F.col("n"), 6).alias("accuracy"), F.round((F.col("correct") - base) / F.col("n"), 6).alias("delta"))
+
+
+def rehydrated(dicts: DataFrame, fr: DataFrame) -> DataFrame:
+    """(entity, source, focal, mass) from (entity, source, masses) with masses as JSON by element: unknown elements are skipped, the rest goes to Z while the total is below 1."""
+    rows = dicts.select("entity", "source", F.explode_outer(F.from_json("masses", "map<string,double>")).alias("focal", "mass"))
+    own = rows.where(F.col("focal") != ALL).join(F.broadcast(fr.select("focal")), "focal", "left_semi").select("entity", "source", "focal", "mass")
+    total = own.groupBy("entity", "source").agg(F.sum("mass").alias("t"))
+    rest = dicts.select("entity", "source").distinct().join(total, ["entity", "source"], "left").select("entity", "source", F.lit(ALL).alias("focal"), (1 - F.least(F.coalesce("t", F.lit(0.0)), F.lit(1.0))).alias("mass"))
+    return own.union(rest.where(F.col("mass") > TINY))
 
 
 def inflection(curve: DataFrame, by: str, x: str, y: str, level: float = 0.5) -> DataFrame:

@@ -1,16 +1,16 @@
 """Splits into train and test, supports and deficits.
 
-Greedy covers walk one row for each collection; Spark makes those rows, and the
-choice is joined back. The number of collections is checked against MOST first.
+Greedy choices take one step for each genus (or label) at most, and a step is one
+aggregation over a row for each collection: what the driver sees is the chosen
+collection. Collections are without bound; genera are a taxonomy's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most collections that a greedy walk takes to the driver.
-MOST = 20_000
+from colsense.sources.sinks import write_down
 
 
 def even_odd(shapes: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def even_odd(shapes: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("table"))
     r = F.row_number().over(Window.partitionBy("table").orderBy("column"))
     rows = shapes.withColumn("n", n).withColumn("r", r)
-    single = rows.where("n = 1").withColumn("r", F.row_number().over(Window.orderBy("table")))
+    single = numbered(rows.where("n = 1").drop("r"), [F.col("table")]).withColumn("r", (F.col("number") + 1).cast("int")).drop("number").select(rows.columns)
     return rows.where("n > 1").unionByName(single).withColumn("side", F.when(F.col("r") % 2 == 1, "support").otherwise("holdout")).drop("n", "r")
 
 
@@ -73,77 +73,106 @@ def labelled_footprint(columns: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("column", F.coalesce("by_code", "by_name").alias("code"), F.when(F.col("by_code").isNotNull(), "code").otherwise("mnemonic").alias("how")).where("code IS NOT NULL")
 
 
-def _summary(rows: DataFrame, collection: str, genus: str) -> list[tuple[str, set, int]]:
-    s = rows.groupBy(collection).agg(F.collect_set(genus).alias("g"), F.count(F.lit(1)).alias("n"))
-    out = [(r[0], set(r["g"]), r["n"]) for r in s.limit(MOST + 1).collect()]
-    if len(out) > MOST:
-        raise ValueError(f"more than {MOST} collections")
-    return out
+def _summary(rows: DataFrame, collection: str, genus: str) -> DataFrame:
+    """(name, genera, n): one row for each collection."""
+    return write_down(rows.groupBy(F.col(collection).cast("string").alias("name")).agg(F.array_sort(F.collect_set(genus)).alias("genera"), F.count(F.lit(1)).alias("n")))
+
+
+def _words(values) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
 
 
 def balanced(rows: DataFrame, collection: str, genus: str, shares=(("train", 0.8), ("test", 0.1), ("validate", 0.1))) -> DataFrame:
-    """(collection, side): whole collections; the rarest genera reserve a collection for each side first, the rest goes where most is missing."""
+    """(collection, side): whole collections; the rarest genera reserve a collection for each side first, the rest is dealt by what is missing.
+
+    The rest is dealt in the order of size: the k-th collection goes to the side in whose
+    part of [0, 1) the fraction of k times the golden ratio falls, so that among any
+    collections of about one size each side has the share that it lacks.
+    """
+    spark = rows.sparkSession
     items = _summary(rows, collection, genus)
-    total = sum(n for _, _, n in items)
-    size = dict.fromkeys((s for s, _ in shares), 0)
-    side: dict[str, str] = {}
-    spread: dict[str, int] = {}
-    for _, gs, _ in items:
-        for g in gs:
-            spread[g] = spread.get(g, 0) + 1
+    total = items.agg(F.sum("n")).first()[0] or 0
+    spread = {r["g"]: r["c"] for r in items.select(F.explode("genera").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row for each genus
+    size = {s: 0 for s, _ in shares}
     have: dict[str, set] = {s: set() for s in size}
-
-    def put(item, s):
-        side[item[0]] = s
-        size[s] += item[2]
-        have[s] |= item[1]
-
+    side: dict[str, str] = {}
     for g in sorted(spread, key=lambda g: (spread[g], g)):
         for s, _ in shares:
             if g not in have[s]:
-                free = sorted((x for x in items if g in x[1] and x[0] not in side), key=lambda x: (x[2], x[0]))
-                if free:
-                    put(free[0], s)
-    for item in sorted((x for x in items if x[0] not in side), key=lambda x: (-x[2], x[0])):
-        put(item, max(shares, key=lambda p: (p[1] * total - size[p[0]], p[1]))[0])
-    return rows.sparkSession.createDataFrame(sorted(side.items()), f"`{collection}` string, side string")
-
-
-def cover(rows: DataFrame, collection: str, genus: str, budget: int) -> DataFrame:
-    """(collection, step, gained): the collection with most new genera next, smaller ones first among equals, within a budget of rows."""
-    items, done, spent, out = _summary(rows, collection, genus), set(), 0, []
-    while True:
-        fits = [(len(g - done), -n, name, g, n) for name, g, n in items if spent + n <= budget and g - done]
-        if not fits:
+                free = items.where(F.array_contains("genera", g) & ~F.array_contains(_words(side), F.col("name")))
+                best = free.agg(F.min_by(F.struct("name", "genera", "n"), F.struct("n", "name")).alias("x")).first()["x"]
+                if best:
+                    side[best["name"]] = s
+                    size[s] += best["n"]
+                    have[s] |= set(best["genera"])
+    reserved = spark.createDataFrame(sorted(side.items()), "name string, side string")
+    rest = numbered(items.join(F.broadcast(reserved), "name", "left_anti").select("name", "n"), [F.col("n").desc(), F.col("name")])
+    lacking = {s: max(p * total - size[s], 0.0) for s, p in shares}
+    u = (F.col("number") + 1) * 0.6180339887498949
+    place, upto, choice = u - F.floor(u), 0.0, F
+    for s, _ in shares[:-1]:
+        upto += lacking[s] / (sum(lacking.values()) or 1.0)
+        choice = choice.when(place < upto, F.lit(s))
+    choice = choice.otherwise(F.lit(shares[-1][0])) if len(shares) > 1 else F.lit(shares[0][0])
+    return reserved.union(rest.select("name", choice)).withColumnRenamed("name", collection)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with ``number`` from 0 on in an order: sorted by range, counted by part, numbered inside each part."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = write_down(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # one row for each part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + inside - 1).drop("_part", "_before")
+
+
+def cover(rows: DataFrame, collection: str, genus: str, budget: int, least: int = 0, required: list[str] | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(collection, step, gained): the collection with most new genera next, then the one with more genera, then the smaller one, while it fits in a budget of rows.
+
+    With ``required``, only these genera count, collections in ``without`` (collection)
+    are left out, and genera that stay uncovered end the job with an error; so do less
+    than ``least`` covered genera.
+    """
+    items = _summary(rows, collection, genus)
+    if without is not None:
+        items = items.join(without.select(F.col(collection).cast("string").alias("name")).distinct(), "name", "left_anti")
+    done: list[str] = []
+    spent, out = 0, []
+    while required is None or set(required) - set(done):
+        wanted = "genera" if required is None else F.array_intersect("genera", _words(required))
+        gain = F.size(F.array_except(wanted, _words(done)))
+        fits = items.where(F.col("n") + spent <= budget).withColumn("gain", gain).where("gain > 0")
+        best = fits.agg(F.max_by(F.struct("name", "genera", "n", "gain"), F.struct("gain", F.size("genera").alias("g"), (-F.col("n")).alias("s"), "name")).alias("x")).first()["x"]
+        if not best:
             break
-        gain, _, name, g, n = max(fits, key=lambda x: (x[0], x[1], x[2]))
-        out.append((name, len(out), gain))
-        done |= g
-        spent += n
-        items = [x for x in items if x[0] != name]
+        out.append((best["name"], len(out), best["gain"]))
+        done = sorted({*done, *best["genera"]})
+        spent += best["n"]
+    lost = sorted(set(required or []) - set(done))
+    if lost or len(done) < least:
+        raise ValueError(f"{len(done)} genera are covered, {least} wanted; required ones without a collection: {lost[:5]}")
     return rows.sparkSession.createDataFrame(out, f"`{collection}` string, step int, gained int")
 
 
 def held_tables(rows: DataFrame, table: str, label: str) -> DataFrame:
-    """(table, side): one table held out for each label while every label keeps another one."""
+    """(table, side): one table held out for each label, the smallest one that leaves each of its labels another table; rarest labels first."""
     items = _summary(rows, table, label)
-    left: dict[str, int] = {}
-    for _, ls, _ in items:
-        for x in ls:
-            left[x] = left.get(x, 0) + 1
-    held: set[str] = set()
+    left = {r["g"]: r["c"] for r in items.select(F.explode("genera").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row for each label
+    held: list[str] = []
     served: set[str] = set()
     for x in sorted(left, key=lambda k: (left[k], k)):
         if x in served:
             continue
-        for name, ls, _ in sorted(items, key=lambda i: (i[2], i[0])):
-            if x in ls and name not in held and all(left[y] > 1 for y in ls):
-                held.add(name)
-                served |= ls
-                for y in ls:
-                    left[y] -= 1
-                break
-    return rows.sparkSession.createDataFrame([(n, "holdout" if n in held else "support") for n, _, _ in sorted(items)], f"`{table}` string, side string")
+        last = [y for y, n in left.items() if n <= 1]
+        free = items.where(F.array_contains("genera", x) & ~F.arrays_overlap("genera", _words(last)) & ~F.array_contains(_words(held), F.col("name")))
+        best = free.agg(F.min_by(F.struct("name", "genera"), F.struct("n", "name")).alias("x")).first()["x"]
+        if best:
+            held.append(best["name"])
+            served |= set(best["genera"])
+            for y in best["genera"]:
+                left[y] -= 1
+    return items.select(F.col("name").alias(table), F.when(F.array_contains(_words(held), F.col("name")), "holdout").otherwise("support").alias("side"))
 
 
 def generator_coverage(nodes: DataFrame, generators: DataFrame) -> DataFrame:

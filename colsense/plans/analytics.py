@@ -292,15 +292,32 @@ def k01(spark, d):
 
 @query("k06_held_tables")
 def k06(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 5 = c_nationkey % 5").select(F.col("c_nationkey").cast("string").alias("tbl"), F.col("c_mktsegment").alias("label"))
-    return K.held_tables(c, "tbl", "label")
+    """A customer's orders are a table, their priorities its labels."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("tbl"), F.col("o_orderpriority").alias("label"))
+    return K.held_tables(o, "tbl", "label")
+
+
+def sold(spark, d):
+    """(collection, genus): orders and the brands of their parts, by order line."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("genus"))
+    return read(spark, d, "lineitem").select("l_partkey", F.col("l_orderkey").cast("string").alias("collection")).join(part, "l_partkey").select("collection", "genus")
 
 
 @query("k09_k10_cover")
 def k09(spark, d):
-    """Suppliers that cover the brands of the parts they sell, within a budget of half of the order lines."""
-    li = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").cast("string").alias("collection"), F.col("p_brand").alias("genus"))
-    return K.cover(li, "collection", "genus", li.count() // 2)
+    """Orders that cover the brands, five of them at least, within a budget of half of the order lines."""
+    li = sold(spark, d)
+    return K.cover(li, "collection", "genus", li.count() // 2, 5)
+
+
+@query("k10_disjoint_cover")
+def k10(spark, d):
+    """The brands of the orders chosen before, covered again by other orders."""
+    li = sold(spark, d)
+    n = li.count()
+    first = K.cover(li, "collection", "genus", n // 4).select("collection")
+    required = [r[0] for r in li.join(first, "collection", "left_semi").select("genus").distinct().orderBy("genus").collect()]  # a taxonomy's
+    return K.cover(li, "collection", "genus", n // 2, required=required, without=first)
 
 
 @query("k12_exemplars", "WITH v AS (SELECT DISTINCT p_brand AS label, p_name AS value FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY value) AS r FROM v) SELECT label, string_agg(value, '|' ORDER BY value) AS vals FROM r WHERE r <= 6 GROUP BY 1")

@@ -78,11 +78,10 @@ def d03(spark, d):
 _PIG = "pig AS (SELECT f.entity, m.code, sum(f.mass / s.size) AS p FROM fused f JOIN sizes s USING (focal) JOIN mem m USING (focal) GROUP BY 1, 2)"
 
 
-@query("d05_pignistic", f"{TWO}, {_PIG} SELECT entity, code, {_R('p')} FROM pig WHERE entity % 10 = 0")
+@query("d05_pignistic", f"{TWO}, {_PIG} SELECT entity, code, {_R('p')} FROM pig")
 def d05(spark, d):
-    """Every tenth customer's own table of masses is the input here; a row for each of its codes comes out."""
     f, x = fused(spark, d, ["name", "pattern"])
-    return rounded(D.pignistic(x.where("entity % 10 = 0"), f.members, f.frame), "p")
+    return rounded(D.pignistic(x, f.members, f.frame), "p")
 
 
 @query("d06_committed", f"{ALL3}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mass DESC, focal) AS r FROM fused WHERE focal <> 'Z' AND NOT suffix(focal, '*')) SELECT entity, focal AS code, {_R('mass')} FROM r WHERE r = 1")
@@ -261,17 +260,33 @@ def d32(spark, d):
     return rounded(classify(masses(spark, d), Frame(spark, d), SOURCES), "bel", "pl", "gap", "k")
 
 
+_STEPS = [0.25, 0.5, 0.75, 1.0]
+_CELLS = "grid AS (SELECT a.i + 4 * b.i + 16 * c.i AS grid, (a.i + 1) / 4.0::DOUBLE AS an, (b.i + 1) / 4.0::DOUBLE AS ap, (c.i + 1) / 4.0::DOUBLE AS av FROM range(4) a(i), range(4) b(i), range(4) c(i)), m2 AS (SELECT grid * 1000000000 + entity AS entity, source, focal, mass * CASE source WHEN 'name' THEN an WHEN 'pattern' THEN ap ELSE av END AS mass FROM masses, grid WHERE focal <> 'Z'), m3 AS (SELECT * FROM m2 UNION ALL SELECT entity, source, 'Z', 1 - sum(mass) FROM m2 GROUP BY 1, 2)"
+
+
 @query(
     "d33_d34_alpha_sweep",
-    f"{BASE}, grid AS (SELECT a.i + 2 * b.i AS grid, [0.5, 1.0][a.i + 1] AS an, [0.5, 1.0][b.i + 1] AS ap FROM (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS i) b), m2 AS (SELECT CAST(grid AS BIGINT) * 1000000000 + entity AS entity, source, focal, mass * CASE source WHEN 'name' THEN an ELSE ap END AS mass FROM masses, grid WHERE source <> 'vote' AND focal <> 'Z'), m3 AS (SELECT * FROM m2 UNION ALL SELECT entity, source, 'Z', 1 - sum(mass) FROM m2 GROUP BY 1, 2), "
-    + fused_sql(["name", "pattern"]).replace("FROM masses", "FROM m3").replace("JOIN masses", "JOIN m3")
-    + f", {_PIG}, pick AS (SELECT entity, arg_max(code, struct_pack(p := round(p, 9), c := -(row_number))) AS code FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY code) AS row_number FROM pig) GROUP BY 1) SELECT CAST(pick.entity // 1000000000 AS BIGINT) AS grid, count(*) AS n, count(*) FILTER (WHERE pick.code = cust.leaf) AS correct, round(count(*) FILTER (WHERE pick.code = cust.leaf) / count(*), 6) AS accuracy FROM pick JOIN cust ON cust.entity = pick.entity % 1000000000 GROUP BY 1",
+    f"{BASE}, {_CELLS}, "
+    + fused_sql(SOURCES).replace("FROM masses", "FROM m3").replace("JOIN masses", "JOIN m3")
+    + f", {_PIG.replace('GROUP BY', "WHERE f.focal <> 'Z' GROUP BY")}, pick AS (SELECT entity, arg_min(code, struct_pack(p := -round(p, 9), c := code)) AS code FROM pig GROUP BY 1), r AS (SELECT pick.entity // 1000000000 AS grid, count(*) AS n, count(*) FILTER (WHERE pick.code = cust.leaf) AS correct FROM pick JOIN cust ON cust.entity = pick.entity % 1000000000 GROUP BY 1) SELECT CAST(grid AS BIGINT) AS grid, n, correct, 0 AS fallbacks, round(correct / n, 6) AS accuracy, round((correct - max(CASE WHEN grid = 63 THEN correct END) OVER ()) / n, 6) AS delta FROM r",
 )
 def d34(spark, d):
+    """Three sources, four steps each: 64 cells."""
     f = Frame(spark, d)
     truth = customers(spark, d).select("entity", F.col("leaf").alias("truth"))
-    m = masses(spark, d).where("source <> 'vote'")
-    return D.alpha_sweep(m, truth, f.meet, f.frame, f.members, ["name", "pattern"], [0.5, 1.0])
+    return D.alpha_sweep(write_down(masses(spark, d)), truth, f.meet, f.frame, f.members, SOURCES, _STEPS)
+
+
+_KNOWN = "m2 AS (SELECT m.*, fr.focal IS NOT NULL AND m.focal <> 'Z' AS known FROM masses m LEFT JOIN fr USING (focal)), m3 AS (SELECT entity, source, focal, mass FROM m2 WHERE known UNION ALL SELECT entity, source, 'Z', 1 - coalesce(sum(mass) FILTER (WHERE known), 0) FROM m2 GROUP BY 1, 2)"
+
+
+@query("d33_rehydrated", f"{BASE}, {_KNOWN}, {fused_sql(SOURCES).replace('FROM masses', 'FROM m3').replace('JOIN masses', 'JOIN m3')} SELECT entity, focal, {_R('mass', 'k')} FROM fused")
+def d33(spark, d):
+    """Masses as JSON text, with an element that the taxonomy doesn't have, read back and fused."""
+    f = Frame(spark, d)
+    own = masses(spark, d).groupBy("entity", "source").agg(F.collect_list(F.struct("focal", "mass")).alias("m"))
+    text = own.select("entity", "source", F.to_json(F.map_from_entries(F.concat("m", F.array(F.struct(F.lit("9.9.GONE").alias("focal"), F.lit(0.5).alias("mass")))))).alias("masses"))
+    return rounded(D.combine_all(write_down(D.rehydrated(text, f.frame)), f.meet, SOURCES), "mass", "k")
 
 
 _SIMS = "sims AS (SELECT entity, code, 0.2 + ((entity * 7 + row_number() OVER (PARTITION BY entity ORDER BY code) * 13) % 97) / 120.0 AS s FROM cust JOIN nodes ON nodes.parent_code = cust.mid)"

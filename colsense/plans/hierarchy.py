@@ -108,11 +108,12 @@ def t13(spark, d):
     return T.lift(n, closure(spark, d), n.where((depth == 1) | (F.col("code").like("0.%") & (depth == 2))))
 
 
-@query("t14_closed_frame", f"{W}, {CUSTOMERS} SELECT DISTINCT ancestor AS code FROM clo WHERE code IN (SELECT leaf FROM cust WHERE entity % 7 = 0)")
+@query("t14_closed_frame", f"{W}, {CUSTOMERS} SELECT DISTINCT ancestor AS code FROM clo WHERE code IN (SELECT leaf FROM cust WHERE entity IN (SELECT o_custkey FROM orders))")
 def t14(spark, d):
     from .inputs import customers
 
-    return T.closed_frame(customers(spark, d).where("entity % 7 = 0").select(F.col("leaf").alias("code")), closure(spark, d))
+    ordered = read(spark, d, "orders").select(F.col("o_custkey").alias("entity"))
+    return T.closed_frame(customers(spark, d).join(ordered, "entity", "left_semi").select(F.col("leaf").alias("code")), closure(spark, d))
 
 
 _NEAR = "near AS (SELECT code, ancestor AS neighbour FROM clo WHERE distance <= 1 UNION SELECT c.code, n.code FROM clo c JOIN nodes n ON n.parent_code = c.ancestor WHERE c.distance = 1 UNION SELECT ancestor, code FROM clo WHERE distance = 1)"

@@ -132,7 +132,7 @@ def e21(spark, d):
     return rnd(E.temperature(logits(spark, d), [0.5, 1.0, 2.0]), "nll", "brier")
 
 
-_TREE = "zz AS (SELECT entity AS row, n.code, ((entity * 3 + length(n.code) * 5 + ascii(right(n.code, 1))) % 11) / 5.0::DOUBLE AS z FROM cust JOIN nodes n ON split_part(n.code, '.', 1) = cust.top AND (len(string_split(n.code, '.')) < 3 OR n.parent_code = cust.mid) WHERE entity % 10 = 0 OR true)"
+_TREE = "zz AS (SELECT entity AS row, n.code, ((entity * 3 + length(n.code) * 5 + ascii(right(n.code, 1))) % 11) / 5.0::DOUBLE AS z FROM cust JOIN nodes n ON split_part(n.code, '.', 1) = cust.top AND (len(string_split(n.code, '.')) < 3 OR n.parent_code = cust.mid))"
 
 
 def tree_logits(spark, d):
@@ -142,7 +142,7 @@ def tree_logits(spark, d):
     return j.select(F.col("entity").alias("row"), "code", z.alias("z"))
 
 
-_PATH = f"WITH {NODES}, {CLOSURE}, {CUSTOMERS}, {_TREE.replace(' WHERE entity % 10 = 0 OR true', '')}, sm AS (SELECT row, code, ln(exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row, par)) AS lp FROM (SELECT zz.*, coalesce(parent_code, '') AS par, max(z) OVER (PARTITION BY row, coalesce(parent_code, '')) AS m FROM zz JOIN nodes USING (code))), jp AS (SELECT s.row, c.code, exp(sum(lp)) AS p FROM clo c JOIN sm s ON s.code = c.ancestor WHERE EXISTS (SELECT 1 FROM zz WHERE zz.row = s.row AND zz.code = c.code) GROUP BY 1, 2), pp AS (SELECT row, code, p / sum(p) OVER (PARTITION BY row) AS p FROM jp)"
+_PATH = f"WITH {NODES}, {CLOSURE}, {CUSTOMERS}, {_TREE}, sm AS (SELECT row, code, ln(exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row, par)) AS lp FROM (SELECT zz.*, coalesce(parent_code, '') AS par, max(z) OVER (PARTITION BY row, coalesce(parent_code, '')) AS m FROM zz JOIN nodes USING (code))), jp AS (SELECT s.row, c.code, exp(sum(lp)) AS p FROM clo c JOIN sm s ON s.code = c.ancestor WHERE EXISTS (SELECT 1 FROM zz WHERE zz.row = s.row AND zz.code = c.code) GROUP BY 1, 2), pp AS (SELECT row, code, p / sum(p) OVER (PARTITION BY row) AS p FROM jp)"
 
 
 def path_probs(spark, d):
