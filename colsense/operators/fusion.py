@@ -231,8 +231,9 @@ def top_masses(masses: DataFrame, keep: int = 3) -> DataFrame:
 
 def reliability(s1: Column, s2: Column, floor: float = 0.05, ceiling: float = 0.95) -> Column:
     """How far a similarity s1 with the runner-up s2 is to be trusted."""
+    # Centre and width of the level, width of the margin, weights.
     level = 1 / (1 + F.exp(-(s1 - 0.40) / 0.10))
-    return F.least(F.greatest(0.6 * level + 0.4 * F.tanh((s1 - s2) / 0.05), F.lit(floor)), F.lit(ceiling))
+    return F.least(F.greatest(0.6 * level + 0.4 * F.coalesce(F.tanh((s1 - s2) / 0.05), F.lit(1.0)), F.lit(floor)), F.lit(ceiling))
 
 
 def margin_weight(s1: Column, s2: Column) -> Column:
@@ -305,6 +306,71 @@ def significant_subtree(sims: DataFrame, clo: DataFrame, share: float = 0.5) ->
     return rows.groupBy("entity", "top").agg(F.min_by("ancestor", "distance").alias("ancestor")).select("entity", F.col("top").alias("code"), "ancestor")
 
 
+def maxsim_masses(sims: DataFrame, clo: DataFrame, discount: float = 0.2, floor: float = 0.1, share: float = 0.5) -> DataFrame:
+    """(entity, focal, mass, concentration, conflict) from similarities (entity, code, s, negative) to codes of the taxonomy.
+
+    Reliability goes to the best code as far as its margin allows and, if that is a leaf,
+    to the smallest subtree around it with ``share`` of the leaves' softmax; the rest
+    follows the softmax, what reliability leaves goes to Z. Inner codes stand for their
+    subtrees. ``conflict`` is the mass on codes that negative similarities speak against.
+    Codes that the taxonomy doesn't have are skipped.
+    """
+    inner = clo.where("distance > 0").select(F.col("ancestor").alias("code")).distinct().withColumn("inner", F.lit(True))
+    known = clo.select("code").distinct().join(inner, "code", "left").select("code", F.coalesce("inner", F.lit(False)).alias("inner"))
+    by = Window.partitionBy("entity")
+    rows = sims.join(F.broadcast(known), "code").select("entity", "code", "inner", F.greatest("s", F.lit(0.0)).alias("s"), "negative")
+    rows = rows.withColumn("focal", F.when(F.col("inner"), F.concat("code", F.lit("*"))).otherwise(F.col("code"))).withColumn("r", F.row_number().over(by.orderBy(F.round("s", 12).desc(), F.col("code").desc())))
+    rows = rows.withColumn("e", F.exp(F.col("s") - F.max("s").over(by))).withColumn("p", F.col("e") / F.sum("e").over(by))
+    second = F.max(F.when(F.col("r") == 2, F.col("s"))).over(by)
+    alpha, weight = reliability(F.max("s").over(by), second, floor, 1 - discount), margin_weight(F.max("s").over(by), second)
+    leaf = F.when(~F.col("inner"), F.col("e"))
+    rows = rows.withColumns({"alpha": alpha, "weight": weight, "pl": leaf / F.sum(leaf).over(by)})
+
+    top = rows.where("r = 1 AND NOT inner").select("entity", F.col("code").alias("top"))
+    up = clo.where("distance > 0").select("code", "ancestor", "distance")
+    held = rows.where("NOT inner").join(F.broadcast(up.drop("distance")), "code").groupBy("entity", "ancestor").agg(F.sum("pl").alias("held"))
+    around = top.join(F.broadcast(up.withColumnRenamed("code", "top")), "top").join(held, ["entity", "ancestor"]).where(F.round("held", 12) >= share)
+    around = around.groupBy("entity").agg(F.min_by(F.struct("ancestor", "held"), "distance").alias("x")).select("entity", "x.ancestor", F.col("x.held").alias("around"))
+    rows = rows.join(around, "entity", "left")
+
+    residual = F.col("alpha") * (1 - F.col("weight"))
+    tree = residual * F.coalesce("around", F.lit(0.0))
+    m = (residual - tree) * F.col("p") + F.when(F.col("r") == 1, F.col("alpha") * F.col("weight")).otherwise(0.0)
+    leaf_top = F.when(F.col("r") == 1, ~F.col("inner"))
+    per = rows.select("entity", "focal", m.alias("mass"))
+    first = rows.where("r = 1")
+    per = per.union(first.where("around IS NOT NULL").select("entity", F.concat("ancestor", F.lit("*")), tree)).union(first.select("entity", F.lit(ALL), 1 - F.col("alpha")))
+    mass = per.groupBy("entity", "focal").agg(F.sum("mass").alias("mass")).where(F.col("mass") > TINY)
+
+    against = rows.where("negative > 0")
+    worst = F.row_number().over(by.orderBy(F.col("negative").desc(), "code"))
+    against = against.withColumn("n", worst).withColumn("e", F.exp(F.col("negative") - F.max("negative").over(by)))
+    far = reliability(F.max("negative").over(by), F.max(F.when(F.col("n") == 2, F.col("negative"))).over(by), floor, 1 - discount)
+    against = against.select("entity", "focal", (far * F.col("e") / F.sum("e").over(by)).alias("q"))
+    conflict = against.join(mass, ["entity", "focal"]).groupBy("entity").agg(F.sum(F.col("q") * F.col("mass")).alias("conflict"))
+    about = rows.groupBy("entity").agg(F.max(F.when(leaf_top, F.coalesce("around", F.lit(0.0)))).alias("concentration"))
+    return mass.join(about, "entity").join(conflict, "entity", "left").select("entity", "focal", "mass", "concentration", F.coalesce("conflict", F.lit(0.0)).alias("conflict"))
+
+
+def union_sweep(base: DataFrame, ranked: DataFrame, truth: DataFrame, mem: DataFrame, fr: DataFrame, widths: list[int], alphas: list[float]) -> DataFrame:
+    """(k, alpha, n, correct, fallbacks, accuracy): masses (entity, focal, mass) fused with alpha on the union of the first k codes of (entity, code, r), for every k and alpha.
+
+    Both parts of the union's mass, alpha on the union and the rest on Z, meet every
+    element at once, so a cell is a sum over the elements' codes.
+    """
+    rows = base.select("entity", "focal", "mass").join(F.broadcast(fr.select("focal", "size")), "focal").join(F.broadcast(mem), "focal").join(ranked.select("entity", "code", "r"), ["entity", "code"], "left")
+    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, widths)))).withColumn("near", F.coalesce(F.col("r") <= F.col("k"), F.lit(False)))
+    rows = rows.withColumn("size_near", F.count_if("near").over(Window.partitionBy("entity", "focal", "k")))
+    rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    p = F.col("mass") * ((1 - F.col("alpha")) / F.col("size") + F.when(F.col("near"), F.col("alpha") / F.col("size_near")).otherwise(0.0))
+    sums = rows.groupBy("entity", "k", "alpha", "code").agg(F.sum(p).alias("p"))
+    pick = sums.groupBy("entity", "k", "alpha").agg(F.min_by("code", F.struct((-F.round("p", 9)).alias("p"), "code")).alias("code"), F.sum("p").alias("left"))
+    loud = base.where(F.col("focal") != ALL).groupBy("entity").agg(F.max_by(F.regexp_replace("focal", r"[*]$", ""), F.struct("mass", "focal")).alias("loudest"))
+    lost = F.col("left") <= 1e-12
+    scored = pick.join(loud, "entity", "left").join(truth, "entity").withColumn("code", F.when(lost, F.col("loudest")).otherwise(F.col("code")))
+    return scored.groupBy("k", "alpha").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == F.col("truth")).alias("correct"), F.count_if(lost).alias("fallbacks")).withColumn("accuracy", F.round(F.col("correct") / F.col("n"), 6))
+
+
 def union_element(sims: DataFrame, keep: int) -> DataFrame:
     """(entity, focal, mass) with the mean similarity on the union of the best codes of (entity, code, s), as sorted codes joined by ``|``, the rest on Z."""
     order = Window.partitionBy("entity").orderBy(F.round("s", 12).desc(), "code")

@@ -184,3 +184,26 @@ def scope_delta(source: DataFrame, done: DataFrame) -> DataFrame:
     rest = source.join(done, ["table", "column"], "left_anti")
     tables = source.select("table").distinct().join(done.select("table").distinct(), "table", "left_anti")
     return rest.agg(F.count(F.lit(1)).alias("new_columns")).crossJoin(tables.agg(F.count(F.lit(1)).alias("new_tables")))
+
+
+def pattern_targets(targets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pattern, target, code, how) of (pattern, target): the code itself, else the node with its last part as mnemonic, else as an alias; ``how`` is missed without any.
+
+    Among several nodes the first code wins.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    by_name = nodes.where("mnemonic IS NOT NULL").groupBy(F.upper("mnemonic").alias("leaf")).agg(F.min("code").alias("c1"))
+    by_alias = nodes.select("code", F.explode("aliases").alias("a")).groupBy(plain(F.col("a")).alias("alias")).agg(F.min("code").alias("c2")).where("alias <> ''")
+    last = F.element_at(F.split("target", r"\."), -1)
+    rows = targets.withColumns({"leaf": F.upper(last), "alias": plain(last)})
+    rows = rows.join(nodes.select(F.col("code").alias("target"), F.col("code").alias("c0")), "target", "left").join(by_name, "leaf", "left").join(by_alias, "alias", "left")
+    how = F.when(F.col("c0").isNotNull(), "code").when(F.col("c1").isNotNull(), "mnemonic").when(F.col("c2").isNotNull(), "alias").otherwise("missed")
+    return rows.select("pattern", "target", F.coalesce("c0", "c1", "c2").alias("code"), how.alias("how"))
+
+
+def pattern_priors(fired: DataFrame, targets: DataFrame, nodes: DataFrame, clo: DataFrame) -> DataFrame:
+    """(entity, pattern, code, label, aliases, path) of fired patterns (entity, pattern) whose target (pattern, code) is a node: what the taxonomy says of it, with the labels from the root on."""
+    steps = clo.select("code", F.col("ancestor").alias("at"), "distance").join(nodes.select(F.col("code").alias("at"), F.col("label").alias("step")), "at")
+    paths = steps.groupBy("code").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("distance", "step")))), lambda x: x["step"]), " > ").alias("path"))
+    said = targets.join(nodes.select("code", "label", F.array_join("aliases", ", ").alias("aliases")), "code").join(paths, "code")
+    return fired.select("entity", "pattern").join(said, "pattern").select("entity", "pattern", "code", "label", "aliases", "path")

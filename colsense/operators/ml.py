@@ -72,21 +72,54 @@ def ensemble_variance(pipeline: Pipeline, rows: DataFrame, key: str, members: in
     return out.groupBy(key, "code").agg(F.avg("p").alias("p"), F.var_pop("p").alias("variance"))
 
 
+def donors(rows: DataFrame, key: str, columns: list[str], seed: int, group: int = 1000) -> DataFrame:
+    """rows with ``donor``, the columns of another row: the next one by hash in one of many groups of about ``group`` rows."""
+    n = rows.count()
+    within = Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(seed), key), F.col(key))
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.struct(*columns)
+    return rows.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(max(1, n // group)))).withColumn("donor", F.coalesce(F.lead(own).over(within), F.first(own).over(whole))).drop("_g")
+
+
 def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, features: list[str], rounds: int = 2) -> DataFrame:
-    """(feature, drop): mean loss of accuracy when a feature comes from another row; donors are matched by rank of hash."""
-    base = predictions(model, rows).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc")).first()["acc"]
-    out = []
+    """(feature, drop): mean loss of accuracy when a feature comes from another row."""
+    right = lambda df: predictions(model, df).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc")).first()["acc"]
+    base, out = right(rows), []
     for f in features:
-        hits = []
-        for r in range(rounds):
-            n = rows.withColumn("i", F.row_number().over(Window.orderBy(key)))
-            donor = rows.select(F.col(f).alias("donor"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(r)), key)).alias("i"))
-            swapped = n.join(donor, "i").withColumn(f, F.col("donor")).drop("donor", "i")
-            hits.append(predictions(model, swapped).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc")).first()["acc"])
+        hits = [right(donors(rows, key, [f], r).withColumn(f, F.col(f"donor.{f}")).drop("donor")) for r in range(rounds)]
         out.append((f, base - sum(hits) / rounds))
     return rows.sparkSession.createDataFrame(out, "feature string, drop double")
 
 
+def row_attribution(model: PipelineModel, rows: DataFrame, key: str, features: list[str], rounds: int = 2, keep: int = 3) -> DataFrame:
+    """(key, feature, value, rank): the features with most effect on each row's predicted class.
+
+    In each round the features take their own values one after the other, in an order
+    that rotates, in place of another row's; a feature's value is the mean change of the
+    class's probability at its turn.
+    """
+    import numpy as np
+
+    classes = predictions(model, rows).select(key, F.col("prediction").cast("int").alias("_class"))
+    base = rows.join(classes, key)
+    rng, parts = np.random.default_rng(rounds), None
+    for r in range(rounds):
+        order = [features[k] for k in rng.permutation(len(features))]
+        given = donors(base, key, features, r)
+        # One row for each step: the first ``step`` features of the order are the row's own.
+        steps = given.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(order)))))
+        for k, f in enumerate(order):
+            steps = steps.withColumn(f, F.when(F.col("step") > k, F.col(f)).otherwise(F.col(f"donor.{f}")))
+        p = F.get(vector_to_array("probability"), F.col("_class"))
+        scored = model.transform(steps.withColumn("weight", F.lit(1.0))).select(key, "step", p.alias("p"))
+        change = F.col("p") - F.lag("p").over(Window.partitionBy(key).orderBy("step"))
+        part = scored.withColumn("value", change).where("step > 0").select(key, F.get(F.array(*map(F.lit, order)), F.col("step") - 1).alias("feature"), "value")
+        parts = part if parts is None else parts.union(part)
+    mean = parts.groupBy(key, "feature").agg(F.avg("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs(F.round("value", 12)).desc(), "feature"))
+    return mean.withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
 def top_coefficients(model: PipelineModel, k: int = 20) -> DataFrame:
     """(code, feature, weight, r): the strongest hashed features of each class; the model is bounded."""
     from pyspark.sql import SparkSession

@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import analytics, evidence, hierarchy, learning, movement, profiles, records, scoring  # noqa: F401
+    from . import analytics, channels, evidence, hierarchy, learning, movement, profiles, records, scoring  # noqa: F401
 
     return QUERIES, SQL

@@ -83,6 +83,14 @@ def l08(spark, d):
     return ml.permutation_importance(model, rows, "id", ["brand", "size", "price"], 1)
 
 
+@query("l09_row_attribution")
+def l09(spark, d):
+    """The three features with most effect on each part's predicted type."""
+    rows = words(spark, d)
+    model = ml.fit_to_votes(ml.forest(["tokens", "brand"], ["size", "price"]), rows)
+    return ml.row_attribution(model, rows, "id", ["brand", "size", "price", "tokens"], 2)
+
+
 @query("l10_top_coefficients")
 def l10(spark, d):
     return ml.top_coefficients(ml.fit_to_votes(ml.lexical(1 << 12), texts(spark, d)))

@@ -143,3 +143,52 @@ def strided(columns: DataFrame, stride: int, most: int = 14) -> DataFrame:
     """Every ``stride``-th self-labelled column by a stable order, at most ``most`` for each relation."""
     n = F.row_number().over(Window.partitionBy("relation").orderBy("column")) - 1
     return columns.withColumn("n", n).where((F.col("n") % stride == 0) & (F.col("n") / stride < most)).drop("n")
+
+
+def vocabulary(spark: SparkSession, source: str, kind: str) -> DataFrame:
+    """(code, parent_code, label, specifics) from a table, or a JSON, CSV or Parquet file; an empty one ends the job with an error.
+
+    Two shapes of records: ``code`` and ``parent_code``, or a dotted ``id`` whose parent
+    is what stands before its last dot. ``example_values`` are specifics.
+    """
+    rows = {
+        "table": lambda: spark.table(source),
+        "json": lambda: spark.read.option("multiLine", True).json(source),
+        "csv": lambda: spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(source),
+        "parquet": lambda: spark.read.parquet(source),
+    }[kind]()
+    rows = records(rows)
+    if rows.isEmpty():
+        raise ValueError(f"the vocabulary {source} is empty")
+    have = set(rows.columns)
+    code = F.col("code" if "code" in have else "id").cast("string")
+    above = F.regexp_replace(code, r"\.?[^.]*$", "")
+    parent = F.col("parent_code") if "parent_code" in have else F.when(above != "", above)
+    text = next((F.col(c) for c in ("specifics", "example_values") if c in have), F.lit(None).cast("string"))
+    label = next((F.col(c) for c in ("label", "ontology") if c in have), code)
+    return rows.select(code.alias("code"), F.nullif(parent, F.lit("")).alias("parent_code"), label.alias("label"), text.alias("specifics"))
+
+
+def release_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(n_tables, n_columns, ontology, generation, run) of a release's statistics with their nested generation manifest; missing parts are null."""
+    schema = "n_tables long, n_columns long, generation_manifest struct<ontology_sha:string,vocab_generation:long,corpus_run_id:string>"
+    g = F.col("generation_manifest")
+    return spark.read.schema(schema).option("multiLine", True).json(path).select("n_tables", "n_columns", g["ontology_sha"].alias("ontology"), g["vocab_generation"].alias("generation"), g["corpus_run_id"].alias("run"))
+
+
+def curated_reference(columns: DataFrame, typed: DataFrame, fallback: str) -> DataFrame:
+    """(table, column, ord, code, derivation, confidence) of the natural columns of (table, column, ord).
+
+    A column whose name spells a code is no natural column; it decides the code of the
+    one before it. Otherwise the name's index (name, code) does, row identifiers have the
+    fallback, and the rest is unresolved.
+    """
+    spelt = r"^[a-z]+_(\d+(_\d+)*)$"
+    nxt = F.lead("column").over(Window.partitionBy("table").orderBy("ord"))
+    said = F.regexp_replace(F.regexp_replace(F.regexp_extract(nxt, spelt, 1), "_", "."), r"\.0$", "")
+    rows = columns.withColumn("said", F.nullif(said, F.lit(""))).where(~F.col("column").rlike(spelt))
+    rows = rows.join(F.broadcast(typed.groupBy(F.lower("name").alias("name")).agg(F.min("code").alias("typed"))), F.lower("column") == F.col("name"), "left")
+    is_row = F.lower("column").rlike("^(row_)?id$|_row_id$")
+    how = F.when(F.col("said").isNotNull(), "reference_encoded").when(F.col("typed").isNotNull(), "typed_name").when(is_row, "fallback").otherwise("unresolved")
+    sure = F.when(F.col("said").isNotNull(), "authoritative").when(F.col("typed").isNotNull(), "high").when(is_row, "medium").otherwise("none")
+    return rows.select("table", "column", "ord", F.coalesce("said", "typed", F.when(is_row, F.lit(fallback))).alias("code"), how.alias("derivation"), sure.alias("confidence"))

@@ -73,3 +73,25 @@ def clean_export(df: DataFrame, answer_columns: list[str], path: str, prefix: st
     """The rows without their answer columns and with the table's prefix off the names."""
     keep = [c for c in df.columns if c not in answer_columns]
     df.select(*[F.col(f"`{c}`").alias(c.removeprefix(prefix)) for c in keep]).write.parquet(path)
+
+
+def trend(points: DataFrame, path: str) -> None:
+    """The whole trend, rewritten: one JSON file in the order of the iterations."""
+    points.coalesce(1).sortWithinPartitions("iteration").write.mode("overwrite").json(path)
+
+
+def relational_sample(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes each table below path, with the table's name before columns that another table has too; (table, n_rows, columns, renamed) as the manifest, written as well."""
+    seen: dict[str, int] = {}
+    for t in tables.values():
+        for c in t.columns:
+            seen[c] = seen.get(c, 0) + 1
+    out = None
+    for name, t in tables.items():
+        clash = [c for c in t.columns if seen[c] > 1]
+        t.select(*[F.col(f"`{c}`").alias(f"{name}_{c}" if c in clash else c) for c in t.columns]).write.parquet(f"{path}/{name}")
+        own = t.sparkSession.read.parquet(f"{path}/{name}")
+        row = own.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.lit(",".join(own.columns)).alias("columns"), F.lit(len(clash)).alias("renamed"))
+        out = row if out is None else out.union(row)
+    out.coalesce(1).write.json(f"{path}/manifest")
+    return tables[next(iter(tables))].sparkSession.read.schema(out.schema).json(f"{path}/manifest")
