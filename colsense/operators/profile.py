@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsense.functions import patterns as P
+from colsense.sources.sinks import write_down
 
 KEY = ["table", "column"]
 
@@ -47,11 +48,18 @@ def lengths_and_numbers(cells: DataFrame) -> DataFrame:
     )
 
 
+def values(cells: DataFrame) -> DataFrame:
+    """(table, column, value, n): each distinct value once, so that what is costly is done once for each."""
+    return cells.where("value IS NOT NULL").groupBy(*KEY, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hits() -> list[Column]:
+    return [F.sum(F.when(P.matches(F.col("value"), name), F.col("n")).otherwise(0)).alias(name) for name in P.PATTERNS]
+
+
 def pattern_counts(cells: DataFrame) -> DataFrame:
-    """(table, column, n, hits): hits of each pattern that a value fits, in one pass."""
-    v = F.col("value")
-    sums = [F.count_if(P.matches(v, name)).alias(name) for name in P.PATTERNS]
-    wide = cells.where("value IS NOT NULL").groupBy(*KEY).agg(F.count(v).alias("n"), *sums)
+    """(table, column, n, pattern, hits): hits of each pattern that a value fits, tried on distinct values."""
+    wide = values(cells).groupBy(*KEY).agg(F.sum("n").alias("n"), *_hits())
     return wide.unpivot([*KEY, "n"], list(P.PATTERNS), "pattern", "hits").where("hits > 0")
 
 
@@ -104,31 +112,47 @@ def value_text(values: Column, keep: int = 5, width: int = 80) -> Column:
 
 
 def sequential(cells: DataFrame) -> DataFrame:
-    """(table, column, sequential): at least three values, all whole numbers, each as far from the one before."""
+    """(table, column, sequential): at least three values, all whole numbers, each as far from the one before.
+
+    Only columns of whole numbers are put in order, by ranges: each range has its
+    least and most step, first and last value, and the ranges of a column are joined
+    at their borders, so a long column is not sorted in one place.
+    """
     v = F.when(P.numeric(F.col("value")), F.regexp_replace(F.regexp_replace(F.trim("value"), ",", ""), "_", "").try_cast("double"))
-    rows = cells.where("value IS NOT NULL").withColumn("v", v)
-    step = F.col("v") - F.lag("v").over(Window.partitionBy(*KEY).orderBy("row_ix"))
-    rows = rows.withColumn("step", step)
-    return rows.groupBy(*KEY).agg(
-        (
-            (F.count(F.lit(1)) >= 3)
-            & (F.count_if(F.col("v").isNull() | (F.col("v") != F.floor("v"))) == 0)
-            & ((F.max("step") - F.min("step")) < 0.01)
-        ).alias("sequential")
-    )
+    rows = cells.where("value IS NOT NULL").select(*KEY, "row_ix", v.alias("v"))
+    broken = F.count_if(F.col("v").isNull() | (F.col("v") != F.floor("v")))
+    columns = rows.groupBy(*KEY).agg(((F.count(F.lit(1)) >= 3) & (broken == 0)).alias("whole"))
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.join(columns.where("whole").select(*KEY), KEY, "left_semi")
+    ranged = few.repartitionByRange(n, *KEY, "row_ix").withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumn("step", F.col("v") - F.lag("v").over(Window.partitionBy(*KEY, "part").orderBy("row_ix")))
+    parts = ranged.groupBy(*KEY, "part").agg(F.min("step").alias("low"), F.max("step").alias("high"), F.min_by("v", "row_ix").alias("first"), F.max_by("v", "row_ix").alias("last"))
+    border = F.col("first") - F.lag("last").over(Window.partitionBy(*KEY).orderBy("part"))  # a few rows for each column
+    parts = parts.withColumn("border", border).groupBy(*KEY).agg((F.greatest(F.max("high"), F.max("border")) - F.least(F.min("low"), F.min("border"))).alias("spread"))
+    return columns.join(parts, KEY, "left").select(*KEY, (F.col("whole") & F.coalesce(F.col("spread") < 0.01, F.lit(False))).alias("sequential"))
 
 
 def descriptions(cells: DataFrame) -> DataFrame:
     """(table, column, description): what the values look like, by ordered rules.
 
-    Built on the other measures: fired patterns, number share, steps, mean length, share of distinct values.
+    Built on the other measures: fired patterns, number share, steps, mean length, share
+    of distinct values; all but the steps come from one pass over the distinct values.
+    The texts are fixed values.
     """
-    v = F.col("value")
-    base = cells.where("value IS NOT NULL").groupBy(*KEY).agg(
-        F.count(v).alias("n"), (F.sum(F.length(v)) / F.count(v)).alias("len"), F.round(F.count_if(P.numeric(v)) / F.count(v), 4).alias("num"), F.max(v.contains(".")).alias("dot"), F.countDistinct(v).alias("distinct")
+    v, n = F.col("value"), F.col("n")
+    total = F.sum(n)
+    wide = values(cells).groupBy(*KEY).agg(
+        total.alias("n"),
+        (F.sum(F.length(v) * n) / total).alias("len"),
+        F.round(F.sum(F.when(P.numeric(v), n).otherwise(0)) / total, 4).alias("num"),
+        F.max(v.contains(".")).alias("dot"),
+        F.count(F.lit(1)).alias("distinct"),
+        *_hits(),
     )
-    shown = fired(pattern_counts(cells)).groupBy(*KEY).agg(F.collect_set("pattern").alias("patterns"))
-    rows = base.join(sequential(cells), KEY).join(shown, KEY, "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+    wide = write_down(wide)
+    hits = wide.unpivot([*KEY, "n"], list(P.PATTERNS), "pattern", "hits").where("hits > 0")
+    shown = fired(hits).groupBy(*KEY).agg(F.collect_set("pattern").alias("patterns"))
+    rows = wide.select(*KEY, "n", "len", "num", "dot", "distinct").join(sequential(cells), KEY).join(shown, KEY, "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
     has = lambda p: F.array_contains("patterns", p)
     number = F.col("num") > 0.8
     ratio = F.col("distinct") / F.col("n")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.sources.sinks import write_down
+
 
 def first_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column, salt: Column, parts: int = 64) -> DataFrame:
     """The first k rows of each group in an order, with their rank ``r``."""
@@ -97,18 +99,24 @@ def top_up(have: DataFrame, pool: DataFrame, label: str, key: str, floor: int) -
 def diverse(df: DataFrame, by: str, key: str, vector: str, limit: float = 0.995) -> DataFrame:
     """Rows of each group accepted in order of their key unless too similar to one accepted before.
 
-    The rule depends on the order, so a group is walked by one task: groups are the
-    generator's draws for one code, a bounded number.
+    Rows too similar to one another are found block by block; among these few pairs, a
+    row whose earlier partners are all rejected is accepted and rejects its later ones,
+    in rounds, until every row is decided. That is the walk's result, whatever the
+    group's size. The generator's own stop rules are not part of it.
     """
-    import numpy as np
-
-    def walk(pdf):
-        kept, rows = [], []
-        for i, v in enumerate(np.array(pdf.sort_values(key)[vector].tolist())):
-            if not kept or np.max(np.stack(kept) @ v) <= limit:
-                kept.append(v)
-                rows.append(i)
-        return pdf.sort_values(key).iloc[rows][[by, key]]
-
-    types = dict(df.dtypes)
-    return df.groupBy(by).applyInPandas(walk, f"{by} {types[by]}, {key} {types[key]}")
+    from colsense.operators.similarity import beside_blocks, dot
+
+    rows = write_down(df.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")))
+    early = F.filter("others", lambda x: (x["k"] < F.col("k")) & (dot(F.col("v"), x["v"]) > limit))
+    pairs = beside_blocks(rows, rows, "k", "g").select("g", F.col("k").alias("late"), F.explode(F.transform(early, lambda x: x["k"])).alias("early"))
+    open_ = write_down(pairs.distinct())
+    gone = None
+    while not open_.isEmpty():
+        late = open_.select("g", F.col("late").alias("early")).distinct()
+        sure = open_.join(late, ["g", "early"], "left_anti")  # pairs whose earlier row has no open partner before it
+        out = write_down(sure.select("g", F.col("late").alias("k")).distinct())
+        gone = out if gone is None else gone.union(out)
+        left = open_.join(out.select("g", F.col("k").alias("late")), ["g", "late"], "left_anti").join(out.select("g", F.col("k").alias("early")), ["g", "early"], "left_anti")
+        open_ = write_down(left.select("g", "late", "early"))
+    kept = rows if gone is None else rows.join(gone, ["g", "k"], "left_anti")
+    return kept.select(F.col("g").alias(by), F.col("k").alias(key))

@@ -27,11 +27,46 @@ def best_k(sims: DataFrame, k: int) -> DataFrame:
     return sims.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
 
+#: Vectors of a block, and blocks that may be broadcast together.
+BLOCK, FEW = 1024, 8
+
+
+def beside_blocks(rows: DataFrame, others: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """rows, each once for every block of the others (of its class ``by``, if one is named), which stand in ``others`` as an array.
+
+    Blocks have about BLOCK rows. FEW of them, by count, are broadcast; more are joined by
+    their number and a salt, so that each task holds a block and some of the rows.
+    """
+    own = F.xxhash64(F.col(key))
+    sizes = others.groupBy(*([by] if by else [])).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    numbered = (others.join(F.broadcast(sizes), by) if by else others.crossJoin(F.broadcast(sizes))).where("_n > 0")  # a row for each class, or one
+    fields = [F.col(c) for c in others.columns]
+    blocks = numbered.groupBy(*([by] if by else []), F.pmod(own, F.col("_n")).alias("_b")).agg(F.collect_list(F.struct(*fields)).alias("others"))
+    if total <= FEW:
+        return rows.join(F.broadcast(blocks), by).drop("_b") if by else rows.crossJoin(F.broadcast(blocks)).drop("_b")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = (rows.join(F.broadcast(sizes), by) if by else rows.crossJoin(F.broadcast(sizes))).where("_n > 0")
+    many = many.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long")))).withColumn("_s", F.pmod(own, F.lit(salts))).drop("_n")
+    blocks = blocks.withColumn("_b", F.col("_b").cast("long")).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return many.join(blocks, [*([by] if by else []), "_b", "_s"]).drop("_b", "_s")
+
+
 def propagate(unlabelled: DataFrame, labelled: DataFrame, threshold: float, loss: float = 0.3) -> DataFrame:
-    """(id, code, confidence): the label of the nearest labelled vector if it is near enough; labelled is a bounded sample."""
-    s = unlabelled.select("id", F.col("v").alias("a")).crossJoin(F.broadcast(labelled.select(F.col("id").alias("by"), "code", "confidence", F.col("v").alias("b")))).withColumn("s", dot(F.col("a"), F.col("b")))
-    near = s.groupBy("id").agg(F.max_by(F.struct("code", "confidence", "s"), F.struct(F.round("s", 9), (-F.col("by")).alias("o"))).alias("x"))
-    return near.where(F.round("x.s", 9) >= threshold).select("id", "x.code", (F.col("x.confidence") * (1 - loss)).alias("confidence"))
+    """(id, code, confidence): the label of the nearest labelled vector if it is near enough; the smaller id wins ties."""
+    given = labelled.select("id", "code", "confidence", "v")
+    near = lambda x: F.struct(F.round(dot(F.col("v"), x["v"]), 9).alias("s"), (-x["id"]).alias("o"), x["code"].alias("code"), x["confidence"].alias("confidence"))
+    best = beside_blocks(unlabelled.select("id", "v"), given, "id").select("id", F.array_max(F.transform("others", near)).alias("x"))
+    best = best.groupBy("id").agg(F.max("x").alias("x"))
+    return best.where(F.col("x.s") >= threshold).select("id", "x.code", (F.col("x.confidence") * (1 - loss)).alias("confidence"))
+
+
+def neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(id, other, r): the k most similar rows of each query but itself; the smaller id wins ties."""
+    near = lambda x: F.struct((-F.round(dot(F.col("v"), x["v"]), 9)).alias("d"), x["id"].alias("other"))
+    found = beside_blocks(queries.select("id", "v"), rows.select("id", "v"), "id")
+    few = found.select("id", F.explode(F.slice(F.array_sort(F.transform(F.filter("others", lambda x: x["id"] != F.col("id")), near)), 1, k)).alias("x"))
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("x"))).where(F.col("r") <= k).select("id", "x.other", "r")
 
 
 def centroids(rows: DataFrame, group: str = "code", vector: str = "v") -> DataFrame:

@@ -159,9 +159,7 @@ def g04(spark, d):
 def g05(spark, d):
     """Queries are the rows whose id is divisible by 20, against all rows."""
     v = vectors(spark, d)
-    q = v.where("id % 20 = 0").select("id", F.col("v").alias("a"))
-    s = v.select(F.col("id").alias("other"), F.col("v").alias("b")).crossJoin(F.broadcast(q)).where("id <> other").select("id", "other", G.dot(F.col("a"), F.col("b")).alias("s"))
-    return M.first_k(s, ["id"], [F.round("s", 9).desc(), F.col("other")], 5, F.col("other")).select("id", "other", "r")
+    return G.neighbours(v.where("id % 20 = 0"), v, 5)
 
 
 @query("g06_centroids", f"WITH {_E}, {_CENT} SELECT code, round(v[1], 6) AS first, round(v[64], 6) AS last, (SELECT max(n) FROM sums s WHERE s.code = cent.code) AS n FROM cent")
