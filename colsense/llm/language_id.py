@@ -11,8 +11,12 @@ The machines are trained on a bounded sample: for each language at most
 outside the held-out part (crc32 of the doc_id as text mod 5 = 0). Only text and
 lang of these rows are learnt from; prediction sees the text alone, in whole.
 
+A machine is fitted to three quarters of its texts; on the last quarter its margins
+are calibrated to probabilities, which make up the score.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-rows with a null lang are not learnt from; with no labelled row at all every text
+rows with a null lang, text or doc_id are not learnt from, and one without a doc_id
+counts as not held out; with no labelled row at all every text
 is ``und``; with one language every text with a letter gets it. Repeated rows get
 the same result each.
 """
@@ -25,8 +29,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +56,8 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.spli
 
 
 def family(lang: str) -> str:
-    return _FAMILY.get(lang.lower()[:2], lang)
+    """The family of a tag by its language part (``pt-BR`` is pt); tags of other codes are families of their own."""
+    return _FAMILY.get(lang.lower().replace("_", "-").split("-")[0], lang)
 
 
 def has_letter(text: str) -> bool:
@@ -93,7 +98,7 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Tree:
-    """Families with their languages; a weight vector (intercept last) for each two families and each two languages of a family."""
+    """Families with their languages; for each two families and each two languages of a family the weights, the intercept, and the slope and offset of the calibration."""
 
     members: dict[str, list[str]]
     machines: dict[tuple[str, str], np.ndarray]
@@ -105,7 +110,8 @@ class Tree:
         votes, sure = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
         for a, b in combinations(names, 2):
             w = self.machines[a, b]
-            p = 1 / (1 + np.exp(-4 * float(np.clip(x @ w[:-1] + w[-1], -20, 20))))
+            margin = float(x @ w[:-3] + w[-3])
+            p = 1 / (1 + np.exp(-float(np.clip(w[-2] * margin + w[-1], -30, 30))))
             votes[a if p >= 0.5 else b] += 1
             sure[a] += p
             sure[b] += 1 - p
@@ -137,7 +143,8 @@ def train(docs: DataFrame) -> Tree:
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (place < int(min(1_000_000, 2_000_000 * PER_LANGUAGE / n))))
     few = rows.where(wanted).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= PER_LANGUAGE)
-    sample = staged(described(few, "lang", "text"), "sample").withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
+    few = few.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)))
+    sample = staged(described(few, "lang", "part", "text"), "sample").withColumn("features", array_to_vector(F.col("x").cast("array<double>")))
     members: dict[str, list[str]] = {}
     for lang in sorted(counts):
         members.setdefault(family(lang), []).append(lang)
@@ -148,8 +155,14 @@ def train(docs: DataFrame) -> Tree:
     sample = sample.coalesce(2).persist()
     for a, b, left, right in pairs:
         part = sample.where(F.col("lang").isin(left + right)).withColumn("label", F.col("lang").isin(left).cast("double"))
-        model = LinearSVC(maxIter=30, regParam=1e-4, standardization=False).fit(part)
-        machines[a, b] = np.append(model.coefficients.toArray(), model.intercept)
+        # The calibration sees texts that its machine was not fitted to; a machine without both kinds there keeps its margins.
+        model = LinearSVC(maxIter=30, regParam=1e-4, standardization=False, rawPredictionCol="raw").fit(part.where("part > 0"))
+        margins = model.transform(part.where("part = 0")).select("label", array_to_vector(F.array(vector_to_array("raw")[1])).alias("m"))
+        slope, offset = 4.0, 0.0
+        if margins.select("label").distinct().count() == 2:
+            scale = LogisticRegression(featuresCol="m", labelCol="label", regParam=0.001).fit(margins)
+            slope, offset = max(float(scale.coefficients[0]), 0.1), float(scale.intercept)
+        machines[a, b] = np.concatenate((model.coefficients.toArray(), [model.intercept, slope, offset]))
     sample.unpersist()
     return Tree(members, machines)
 

@@ -72,6 +72,26 @@ def test_language_by_family(spark):
     r = out.join(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("acc"), F.min("score").alias("low"), F.max("score").alias("high")).first()
     assert r["acc"] > 0.97 and 0 <= r["low"] and r["high"] <= 1
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in out.where("doc_id < 0").collect()} == {(-1, "und", 0.0), (-2, "und", 0.0), (-3, "und", 0.0)}
+    # A very long text, a row that repeats, columns with clashing names, an empty table.
+    first = docs.orderBy("doc_id").first()
+    odd = spark.createDataFrame([(7, "der die und nicht " * 300_000, "x"), tuple(first), tuple(first)], docs.schema).withColumns({"score": F.lit("s"), "id": F.lit(1), "lang_pred": F.lit(2)})
+    got = language_id.predict(odd, tree).collect()
+    assert len(got) == 3 and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == first["doc_id"]}) == 1
+    assert language_id.predict(docs.limit(0), tree).count() == 0 and language_id.train(docs.limit(0)).members == {}
+
+
+def test_families():
+    assert [language_id.family(x) for x in ("de", "pt-BR", "es_MX", "est", "ben", "kor", "xx")] == ["germanic", "romance", "romance", "est", "ben", "kor", "xx"]
+
+
+def test_language_scores_are_calibrated(spark):
+    """Among documents of a score band the share of right answers is near the score."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    short = docs.select("doc_id", F.concat(F.substring("text", 1, 12)).alias("text"), "lang").where("length(trim(text)) > 6")
+    tree = language_id.train(short)
+    out = language_id.predict(short, tree).join(short, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
+    r = out.agg(F.avg("score").alias("s"), F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()
+    assert abs(r["s"] - r["a"]) < 0.12
 
 
 @pytest.mark.parametrize(("langs", "want"), [([], {"und"}), (["xx"], {"xx", "und"})])
