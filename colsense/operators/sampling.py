@@ -21,10 +21,28 @@ def first_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column,
     return few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= kk)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """rows with ``i``, the place in the group's order from 0 on, and ``n``, the group's size.
+
+    Rows are sorted by ranges of group and order and numbered inside each; the ranges'
+    counts give where each begins. So a group that holds a third of all rows is spread
+    over many tasks. The rows are written down first, as ranges are drawn anew each time.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = write_down(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*[f"_k{k}" for k in range(len(by))])
+    counts = ranged.groupBy(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)], F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.sum("_c").over(group.orderBy("_p")) - F.col("_c")).withColumn("n", F.sum("_c").over(group)).drop("_c")  # a row for each range of a group
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return ranged.withColumn("i", inside - 1).join(before, same).withColumn("i", F.col("i") + F.col("_before")).drop("_part", "_p", "_before", *[f"_k{k}" for k in range(len(by))])
+
+
 def sliding(df: DataFrame, by: list[str], order: str, k: int, iteration: int) -> DataFrame:
     """k rows from place iteration x k on, round and round."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = numbered(df, by, [F.col(order)])
     return rows.where(F.pmod(F.col("i") - F.lit(iteration * k) % F.col("n"), F.col("n")) < k).drop("i", "n")
 
 
@@ -34,11 +52,13 @@ def random_k(df: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> D
 
 def stratified_rows(df: DataFrame, by: list[str], value: str, key: str, k: int, iteration: int = 0) -> DataFrame:
     """k rows of each group, a third of them from each third of the values' lengths; rotates by iteration."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("third", F.ntile(3).over(w.orderBy(F.length(value), key)))
-    inside = Window.partitionBy(*by, "third")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(inside)).withColumn("i", F.pmod(F.row_number().over(inside.orderBy(key)) - 1 - F.lit(iteration * (k // 3)), F.col("n")))
-    return rows.withColumn("r", F.row_number().over(w.orderBy("i", "third"))).where(F.col("r") <= k).drop("n", "i", "r")
+    rows = numbered(df, by, [F.length(value), F.col(key)])
+    size, more = F.floor(F.col("n") / 3), F.col("n") % 3
+    wide = more * (size + 1)
+    third = F.when(F.col("i") < wide, F.floor(F.col("i") / (size + 1))).otherwise(more + F.floor((F.col("i") - wide) / F.greatest(size, F.lit(1))))
+    rows = numbered(rows.withColumn("third", (third + 1).cast("int")).drop("i", "n"), [*by, "third"], [F.col(key)])
+    rows = rows.withColumn("i", F.pmod(F.col("i") - F.lit(iteration * (k // 3)), F.col("n")))
+    return first_k(rows, by, [F.col("i"), F.col("third")], k, F.col(key)).drop("n", "i", "r")
 
 
 def plan(strata: DataFrame, total: int, fraction: float, least: int) -> DataFrame:
@@ -52,17 +72,15 @@ def plan(strata: DataFrame, total: int, fraction: float, least: int) -> DataFram
 
 def split(df: DataFrame, label: str, key: str, fraction: float = 0.2) -> DataFrame:
     """df with ``side``: test for about a fraction of each class, one at least; classes of one train."""
-    w = Window.partitionBy(label)
-    rows = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.xxhash64(key), key)))
+    rows = numbered(df, [label], [F.xxhash64(key), F.col(key)])
     test = F.when(F.col("n") < 2, F.lit(0)).otherwise(F.least(F.greatest(F.lit(1), F.round(F.col("n") * fraction)), F.col("n") - 1))
-    return rows.withColumn("side", F.when(F.col("r") <= test, "test").otherwise("train")).drop("n", "r")
+    return rows.withColumn("side", F.when(F.col("i") < test, "test").otherwise("train")).drop("n", "i")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int) -> DataFrame:
     """df with ``fold`` 0..k-1 dealt in turn within each class; -1 (always trains) for classes of one."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("fold", F.when(n < 2, F.lit(-1)).otherwise((F.row_number().over(w.orderBy(key)) - 1) % k))
+    rows = numbered(df, [label], [F.col(key)])
+    return rows.withColumn("fold", F.when(F.col("n") < 2, F.lit(-1)).otherwise(F.col("i") % k).cast("int")).drop("n", "i")
 
 
 def top_classes(df: DataFrame, label: str, key: str, classes: int, each: int) -> DataFrame:
@@ -84,9 +102,9 @@ def distribution(df: DataFrame, entity: str, code: str, p: str, k: int = 4) -> D
 
 
 def shard(shapes: DataFrame, index: int, width: int) -> DataFrame:
-    """Columns whose place in the order of tables and columns belongs to a shard; a catalogue's size."""
-    n = F.row_number().over(Window.orderBy("table", "ord")) - 1
-    return shapes.withColumn("n", n).where(F.col("n") % width == index)
+    """Columns whose place in the order of tables and columns belongs to a shard."""
+    rows = numbered(shapes, [], [F.col("table"), F.col("ord")])
+    return rows.where(F.col("i") % width == index).drop("n").withColumnRenamed("i", "n")
 
 
 def top_up(have: DataFrame, pool: DataFrame, label: str, key: str, floor: int) -> DataFrame:

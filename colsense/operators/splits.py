@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.operators.sampling import first_k, numbered
 from colsense.sources.sinks import write_down
 
 
@@ -18,16 +19,15 @@ def even_odd(shapes: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("table"))
     r = F.row_number().over(Window.partitionBy("table").orderBy("column"))
     rows = shapes.withColumn("n", n).withColumn("r", r)
-    single = numbered(rows.where("n = 1").drop("r"), [F.col("table")]).withColumn("r", (F.col("number") + 1).cast("int")).drop("number").select(rows.columns)
+    single = numbered(rows.where("n = 1").drop("r", "n"), [], [F.col("table")]).withColumn("r", (F.col("i") + 1).cast("int")).select(rows.columns)
     return rows.where("n > 1").unionByName(single).withColumn("side", F.when(F.col("r") % 2 == 1, "support").otherwise("holdout")).drop("n", "r")
 
 
 def with_floor(rows: DataFrame, label: str, key: str, floor: int) -> DataFrame:
     """rows with ``side``: the first min(floor, n - 1) of each class support, single ones and those without a class too."""
-    w = Window.partitionBy(label)
-    n, r = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(key))
-    support = F.col(label).isNull() | (n == 1) | (r <= F.least(F.lit(floor), n - 1))
-    return rows.withColumn("side", F.when(support, "support").otherwise("holdout"))
+    n = F.col("n")
+    support = F.col(label).isNull() | (n == 1) | (F.col("i") < F.least(F.lit(floor), n - 1))
+    return numbered(rows, [label], [F.col(key)]).withColumn("side", F.when(support, "support").otherwise("holdout")).drop("i", "n")
 
 
 def whole_collections(rows: DataFrame, held: DataFrame, name: str) -> DataFrame:
@@ -55,8 +55,6 @@ def deficits(rows: DataFrame, label: str) -> DataFrame:
 
 def exemplars(cells: DataFrame, label: str, keep: int) -> DataFrame:
     """(label, values): the first distinct values of each class by code point."""
-    from colsense.operators.sampling import first_k
-
     v = cells.select(label, "value").where("value IS NOT NULL").distinct()
     few = first_k(v, [label], [F.col("value")], keep, F.col("value"))
     return few.groupBy(label).agg(F.array_sort(F.collect_list("value")).alias("values"))
@@ -106,9 +104,9 @@ def balanced(rows: DataFrame, collection: str, genus: str, shares=(("train", 0.8
                     size[s] += best["n"]
                     have[s] |= set(best["genera"])
     reserved = spark.createDataFrame(sorted(side.items()), "name string, side string")
-    rest = numbered(items.join(F.broadcast(reserved), "name", "left_anti").select("name", "n"), [F.col("n").desc(), F.col("name")])
+    rest = numbered(items.join(F.broadcast(reserved), "name", "left_anti").select("name", F.col("n").alias("size")), [], [F.col("size").desc(), F.col("name")])
     lacking = {s: max(p * total - size[s], 0.0) for s, p in shares}
-    u = (F.col("number") + 1) * 0.6180339887498949
+    u = (F.col("i") + 1) * 0.6180339887498949
     place, upto, choice = u - F.floor(u), 0.0, F
     for s, _ in shares[:-1]:
         upto += lacking[s] / (sum(lacking.values()) or 1.0)
@@ -117,16 +115,6 @@ def balanced(rows: DataFrame, collection: str, genus: str, shares=(("train", 0.8
     return reserved.union(rest.select("name", choice)).withColumnRenamed("name", collection)
 
 
-def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with ``number`` from 0 on in an order: sorted by range, counted by part, numbered inside each part."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = write_down(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))  # one row for each part
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + inside - 1).drop("_part", "_before")
-
-
 def cover(rows: DataFrame, collection: str, genus: str, budget: int, least: int = 0, required: list[str] | None = None, without: DataFrame | None = None) -> DataFrame:
     """(collection, step, gained): the collection with most new genera next, then the one with more genera, then the smaller one, while it fits in a budget of rows.
 
