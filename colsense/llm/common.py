@@ -62,7 +62,7 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def with_records_per_batch(df: DataFrame, rows: int) -> DataFrame:
-    """Bounds the rows of an Arrow batch where the session allows more: texts are long."""
+    """Bounds the rows of an Arrow batch, for this session from now on, where it allows more: texts are long and the plan runs later."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -9,6 +9,9 @@ threshold. Thresholds are nested: what a smaller budget takes, a larger one take
 too. A target above the source's size takes whole copies of all documents first
 and the threshold decides on the rest.
 
+Targets are worked out on one row for each source, in one task: sources are a list
+of thousands (collections, sites of a crawl plan), not of documents.
+
 Defined results: a null or empty text has size 0 and is taken like the others
 (0 words); a null source is a source of its own, last in order; rows with the
 same id and text share a hash and are taken or left together. Whole documents

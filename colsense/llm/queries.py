@@ -28,4 +28,37 @@ QUERIES = {
     "op10_near_dup": near_dup.query,
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+
+# Windows of every length that an item has are compared as text.
+_OP2 = rf"""WITH b AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ win AS MATERIALIZED (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 10) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(len(ws) - 8, 2))) AS k FROM b WHERE len(ws) > 0)),
+ d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ place AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS k, ws FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+ hit AS MATERIALIZED (SELECT r, k, place.n, item FROM place JOIN win ON win.n = place.n AND win.w = array_to_string(ws[k:k + place.n - 1], ' ')),
+ words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM hit)) GROUP BY 1),
+ items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY 1)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+_ESCAPED = lambda c: f"length(regexp_replace({c}, '([\\\\<\\[])', '\\\\\\1', 'g'))"
+_OP7 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, 12 + {_ESCAPED('role')} + 1 + {_ESCAPED('text')} + 11 AS chars FROM c),
+ e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM s)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS formatted_chars FROM e GROUP BY 1"""
+
+# Every two documents that share a shingle are compared; components by recursion.
+_OP10 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 1, 2))) AS k FROM w WHERE len(ws) > 0)),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ link AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ edge AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach(doc_id, other) AS (SELECT a, b FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other),
+ least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)"""
+
+#: The others draw by Spark's hash, fit models or need a tokenizer: tests hold them against brute force, round trips or held-out accuracy.
+SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op7_chat": _OP7, "op10_near_dup": _OP10}
