@@ -47,7 +47,8 @@ def sliding(df: DataFrame, by: list[str], order: str, k: int, iteration: int) ->
 
 
 def random_k(df: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
-    return first_k(df, by, [F.xxhash64(F.lit(seed), key), F.col(key)], k, F.col(key)).drop("r")
+    """k rows of each group, drawn by the MD5 of the seed and the key."""
+    return first_k(df, by, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)], k, F.col(key)).drop("r")
 
 
 def stratified_rows(df: DataFrame, by: list[str], value: str, key: str, k: int, iteration: int = 0) -> DataFrame:

@@ -27,9 +27,8 @@ def m01(spark, d):
     return M.sliding(read(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "c_custkey", 5, 3)
 
 
-@query("m02_m04_random")
+@query("m02_m04_random", "SELECT c_custkey, c_nationkey FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('0:' || c_custkey), c_custkey) AS r FROM customer) WHERE r <= 5")
 def m02(spark, d):
-    """Draws by hash; the hash is Spark's own."""
     return M.random_k(read(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], "c_custkey", 5)
 
 
@@ -209,7 +208,10 @@ def g11(spark, d):
     return rnd(G.js_divergence(dist(o.where("o_orderstatus = 'F'")), dist(o.where("o_totalprice > 250000"))), "divergence", digits=9)
 
 
-@query("g13_layout")
+_UNIT = lambda c, a: f"CAST('0x' || substr(sha256({c}), {a}, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("g13_layout", f"SELECT vec_id AS id, 10 * cos({_UNIT('CAST(label AS VARCHAR)', 1)} * 6.283185307179586::DOUBLE) + {_UNIT('CAST(vec_id AS VARCHAR)', 1)} - 0.5 AS x, 10 * sin({_UNIT('CAST(label AS VARCHAR)', 1)} * 6.283185307179586::DOUBLE) + {_UNIT('CAST(vec_id AS VARCHAR)', 9)} - 0.5 AS y FROM embeddings")
 def g13(spark, d):
     return G.layout(vectors(spark, d))
 

@@ -238,7 +238,7 @@ def d29(spark, d):
     return D.cautious(rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9), 0.6)
 
 
-@query("d30_promoted", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, best AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS better FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY depth DESC, round(bel, 12) DESC, focal) AS r FROM believed WHERE round(bel, 9) >= 0.5) WHERE r = 1), own AS (SELECT h.entity, h.code, coalesce(iv.bel, 0) AS bel, better FROM head h LEFT JOIN iv ON iv.entity = h.entity AND iv.focal = h.code LEFT JOIN best ON best.entity = h.entity), p AS (SELECT *, round(bel, 9) < 0.5 AND better IS NOT NULL AND better <> code AS promoted FROM own) SELECT entity, CASE WHEN promoted THEN better ELSE code END AS code, promoted FROM p")
+@query("d30_promoted", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, best AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS better FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY depth DESC, round(bel, 12) DESC, focal) AS r FROM believed WHERE round(bel, 9) >= 0.5) WHERE r = 1), own AS (SELECT h.entity, h.code, coalesce(iv.bel, 0) AS bel, better FROM head h LEFT JOIN iv ON iv.entity = h.entity AND iv.focal = h.code LEFT JOIN best ON best.entity = h.entity), p AS (SELECT *, round(bel, 9) < 0.5 AND better IS NOT NULL AND better <> code AS promoted FROM own) SELECT entity, CASE WHEN promoted THEN better ELSE code END AS code, promoted FROM p".replace(" AS (SELECT", " AS MATERIALIZED (SELECT"))
 def d30(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
     iv = rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9)
