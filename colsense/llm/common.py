@@ -20,6 +20,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t-\\r]+"
 #: Ids are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Least rows of a hot key, and most hot keys.
+HOT, MOST_HOT = 5_000, 100_000
 
 
 #: What operators remember in this Python worker, by operator: how to forget it.
@@ -74,6 +76,21 @@ def join_ids(docs: DataFrame, ids: DataFrame, key: str, n: int, how: str) -> Dat
     return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, how)
 
 
+def hot_over(total: int) -> int:
+    """Rows of one key from which on it counts as hot: at most MOST_HOT keys can have as many."""
+    return max(HOT, total // MOST_HOT)
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """left joined with right, which has a row for each key at most; the rows of hot keys stay where they are and meet broadcast rows.
+
+    hot: keys with more than hot_over(rows of left) rows in left, so MOST_HOT at most.
+    """
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    return marked.where("_hot").drop("_hot").join(few, keys).unionByName(marked.where("_hot IS NULL").drop("_hot").join(right, keys))
+
+
 def words(text: Column) -> Column:
     """The words ``[^\x20\x09-\x0D]+`` of a text; none for null."""
     inner = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged, table, with_records_per_batch
+from .common import BROADCAST_ROWS, hot_over, join_spread, staged, table, with_records_per_batch
 
 #: Shortest run of lines, in words, that counts as repeated.
 MIN_WORDS = 50
@@ -100,8 +100,9 @@ def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """row, j, m, first_row, first_doc, first_j: the m worded lines from place j are a later copy of those from first_j on; maximal runs."""
     all_lines = staged(lines(docs, key, text, min_words), "lines")
-    often = all_lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    active = all_lines.join(often, "id").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").dropDuplicates(["row", "j"])
+    often = staged(all_lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    over = F.col("n") > hot_over(often.agg(F.sum("n")).first()[0] or 0)
+    active = join_spread(all_lines, often.select("id"), ["id"], often.where(over).select("id")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").dropDuplicates(["row", "j"])
     by_row = Window.partitionBy("row").orderBy("j")
     active = active.withColumn("run", F.col("j") - F.row_number().over(by_row))
     stretch = Window.partitionBy("row", "run")
@@ -128,8 +129,9 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
             break
         nxt = F.lead("r", half).over(Window.partitionBy("row", "run").orderBy("j"))
         pairs = staged(ranked.withColumn("r2", F.coalesce(nxt, F.lit(NO_RANK))), f"pairs{k}")
-        order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).orderBy("r", "r2").select("r", "r2", F.monotonically_increasing_id().alias("place"))
-        ranked = staged(pairs.join(staged(order, f"order{k}"), ["r", "r2"]).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
+        order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).orderBy("r", "r2").select("r", "r2", "n", F.monotonically_increasing_id().alias("place"))
+        order = staged(order, f"order{k}")
+        ranked = staged(join_spread(pairs, order.drop("n"), ["r", "r2"], order.where(over).select("r", "r2")).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
     if not found:
         return ranked.select("row", "j", "m", F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc"), F.col("j").alias("first_j")).where("m > 0")
     windows = found[0]
@@ -137,8 +139,8 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         windows = windows.union(part)
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "j")
     interval = ["m", "r", "r2"]
-    firsts = windows.groupBy(*interval).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = windows.join(firsts, interval).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j"))))
+    firsts = staged(windows.groupBy(*interval).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    copies = join_spread(windows, firsts.drop("n"), interval, firsts.where(over).select(*interval)).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j"))))
     return prolonged(copies.select("row", "j", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc"), F.col("first.j").alias("first_j")), active)
 
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import at_work, remembers, shared_dir, staged, table, with_records_per_batch
+from .common import at_work, hot_over, join_spread, remembers, shared_dir, staged, table, with_records_per_batch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
@@ -413,7 +413,9 @@ def verified(spark, folder: str) -> DataFrame:
     joined = parts.join(crcs, "digest", "left").select("root", F.coalesce(F.col("n").cast("long"), F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("n"), "crc", "after")
     whole = joined.mapInArrow(_carried, "root binary, n long, crc long").groupBy("root").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
     docs = spark.read.parquet(f"{folder}/documents")
-    return docs.join(whole, "root").select(
+    # A content that very many documents have is broadcast to them.
+    hot = docs.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_over(docs.count())).select("root")
+    return join_spread(docs, whole, ["root"], staged(hot, "hot")).select(
         "doc_id", "start", F.when(F.col("n") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document's length is wrong")).cast("long")).alias("n_tokens"), "ids_crc32"
     )
 

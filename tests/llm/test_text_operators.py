@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from colsense.llm import decontaminate, line_dedup, mixing, near_dup, quality_rules, token_store
+from colsense.llm import common, decontaminate, line_dedup, mixing, near_dup, quality_rules, token_store
 
 WORD = r"[^\x20\x09-\x0D]+"
 low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -320,7 +320,9 @@ def test_cut_marks_follow_from_the_last_ids():
     assert not len(token_store.cut_marks(ids[:0]))
 
 
-def test_token_store(spark, docs, none, corpus, model, tmp_path):
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_token_store(spark, docs, none, corpus, model, tmp_path, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
     folder = f"file://{tmp_path}/store"
     token_store.write(docs, folder)
     got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.verified(spark, folder).collect()))
@@ -453,6 +455,7 @@ def test_runs_are_maximal_and_like_their_first_copy(spark, docs, corpus):
 
 def test_hot_first_copies_are_spread(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     text = "\n".join(f"{k} " + "common words of a line " * 4 for k in range(5))
     frame = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_deleted"]) for r in line_dedup.dedup(frame).collect()) == [(0, 0), *[(k, 5) for k in range(1, 20)]]
