@@ -43,16 +43,19 @@ PATTERNS = {
 PHONE_SUPPRESSORS = ("ssn_pattern", "date_iso_pattern", "datetime_iso_pattern", "credit_card_pattern", "ipv4_pattern", "postal_code_pattern", "monetary_pattern", "iban_pattern")
 
 # Currency codes of ISO 4217.
-CURRENCIES = (
-    "USD EUR GBP JPY CAD AUD CHF CNY HKD NZD SEK KRW SGD NOK MXN INR RUB ZAR TRY BRL TWD DKK PLN THB IDR HUF CZK ILS CLP PHP AED COP SAR MYR RON PEN BHD KWD QAR"
-).split()
+CURRENCIES = [
+    "USD", "EUR", "GBP", "JPY", "CAD", "AUD", "CHF", "CNY", "HKD", "NZD", "SEK", "KRW", "SGD", "NOK", "MXN", "INR", "RUB", "ZAR", "TRY", "BRL",
+    "TWD", "DKK", "PLN", "THB", "IDR", "HUF", "CZK", "ILS", "CLP", "PHP", "AED", "COP", "SAR", "MYR", "RON", "PEN", "BHD", "KWD", "QAR",
+]
 
 # Airport codes of IATA.
-AIRPORTS = (
-    "ATL PEK LAX DXB HND ORD LHR PVG CDG DFW AMS FRA IST CAN JFK SIN DEN ICN BKK SFO DEL CGK KUL MAD CTU BCN LAS BOM MIA YYZ MUC SYD FCO NRT MNL HKG "
-    "MEX EWR ZRH GRU TPE SEA CLT MCO PHX IAH KMG MSP BOS DTW SZX XIY LGW MEL SHA CKG HAK TFU WUH NKG HGH CSX TAO SVO DME LED AUH DOH JED RUH CAI ADD "
-    "JNB CPT NBO LOS ACC DAR CMN ALG TUN BOG LIM SCL EZE GIG BSB PTY SJO UIO"
-).split()
+AIRPORTS = [
+    "ATL", "PEK", "LAX", "DXB", "HND", "ORD", "LHR", "PVG", "CDG", "DFW", "AMS", "FRA", "IST", "CAN", "JFK", "SIN", "DEN", "ICN", "BKK", "SFO",
+    "DEL", "CGK", "KUL", "MAD", "CTU", "BCN", "LAS", "BOM", "MIA", "YYZ", "MUC", "SYD", "FCO", "NRT", "MNL", "HKG", "MEX", "EWR", "ZRH", "GRU",
+    "TPE", "SEA", "CLT", "MCO", "PHX", "IAH", "KMG", "MSP", "BOS", "DTW", "SZX", "XIY", "LGW", "MEL", "SHA", "CKG", "HAK", "TFU", "WUH", "NKG",
+    "HGH", "CSX", "TAO", "SVO", "DME", "LED", "AUH", "DOH", "JED", "RUH", "CAI", "ADD", "JNB", "CPT", "NBO", "LOS", "ACC", "DAR", "CMN", "ALG",
+    "TUN", "BOG", "LIM", "SCL", "EZE", "GIG", "BSB", "PTY", "SJO", "UIO",
+]
 
 # Closed sets of category values.
 ENUMS = {
@@ -67,17 +70,43 @@ ENUMS = {
 
 # Words of sibling columns that show a domain.
 DOMAINS = {
-    "health": "blood_type diagnosis prescription allergy medication medical_record patient vital lab_result immunization mrn icd encounter clinical prognosis symptom".split(),
-    "payment": "card_number cvv expiry cardholder billing payment transaction pan credit_card debit merchant authorization refund invoice".split(),
-    "identity": "first_name last_name name dob ssn passport driver_license gender nationality ethnicity marital_status birth citizen".split(),
-    "geo": "latitude longitude address city country postal_code zip timezone region state province county district".split(),
-    "technical": "ip_address mac_address hostname url api_key password token certificate ssh_key user_agent session_id device_id".split(),
+    "health": [
+        "blood_type", "diagnosis", "prescription", "allergy", "medication", "medical_record", "patient", "vital", "lab_result", "immunization",
+        "mrn", "icd", "encounter", "clinical", "prognosis", "symptom",
+    ],
+    "payment": [
+        "card_number", "cvv", "expiry", "cardholder", "billing", "payment", "transaction", "pan", "credit_card", "debit", "merchant",
+        "authorization", "refund", "invoice",
+    ],
+    "identity": [
+        "first_name", "last_name", "name", "dob", "ssn", "passport", "driver_license", "gender", "nationality", "ethnicity", "marital_status",
+        "birth", "citizen",
+    ],
+    "geo": [
+        "latitude", "longitude", "address", "city", "country", "postal_code", "zip", "timezone", "region", "state", "province", "county", "district",
+    ],
+    "technical": [
+        "ip_address", "mac_address", "hostname", "url", "api_key", "password", "token", "certificate", "ssh_key", "user_agent", "session_id",
+        "device_id",
+    ],
 }
 
 # Families of column types.
-TYPES = {"int": "integer", "integer": "integer", "bigint": "integer", "tinyint": "integer", "smallint": "integer", "mediumint": "integer", "long": "integer"} | {
-    "double": "decimal", "float": "decimal", "decimal": "decimal", "numeric": "decimal", "real": "decimal", "number": "decimal"
-}
+TYPES = {
+    "int": "integer",
+    "integer": "integer",
+    "bigint": "integer",
+    "tinyint": "integer",
+    "smallint": "integer",
+    "mediumint": "integer",
+    "long": "integer",
+    "double": "decimal",
+    "float": "decimal",
+    "decimal": "decimal",
+    "numeric": "decimal",
+    "real": "decimal",
+    "number": "decimal",
+}
 STRING_TYPES = ("string", "varchar", "char", "text", "nvarchar", "nchar")
 
 # Numbers that a float parser takes once commas are gone (underscores between digits included).
