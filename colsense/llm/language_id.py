@@ -41,18 +41,18 @@ PER_LANGUAGE = 600
 DIMS = 1 << 12
 #: Families of languages by two-letter code; others are families of their own.
 FAMILIES = {
-    "germanic": "af da de en fy is lb nl no nb nn sv yi",
-    "romance": "ca es fr gl it oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "indic": "as bn gu hi mr ne or pa si ur",
-    "uralic": "et fi hu",
-    "turkic": "az kk ky tr tt ug uz",
-    "semitic": "am ar he mt",
-    "baltic": "lt lv",
-    "celtic": "br cy ga gd",
-    "dravidian": "kn ml ta te",
+    "germanic": ["af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "nb", "nn", "sv", "yi"],
+    "romance": ["ca", "es", "fr", "gl", "it", "oc", "pt", "ro"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "indic": ["as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "si", "ur"],
+    "uralic": ["et", "fi", "hu"],
+    "turkic": ["az", "kk", "ky", "tr", "tt", "ug", "uz"],
+    "semitic": ["am", "ar", "he", "mt"],
+    "baltic": ["lt", "lv"],
+    "celtic": ["br", "cy", "ga", "gd"],
+    "dravidian": ["kn", "ml", "ta", "te"],
 }
-_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
+_FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 
 def family(lang: str) -> str:
