@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cotraining, decontaminate, language_id, line_dedup, mixing, near_dup, quality_rules, secrets, token_store
+from . import chat, cotraining, decontaminate, language_id, line_dedup, mixing, near_dup, quality_rules, secrets, sharding, token_store
 from .common import table
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_mixing": op9_mixing,
     "op10_near_dup": near_dup.query,
+    "op11_sharding": sharding.query,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,5 +61,27 @@ _OP10 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\
  least_ AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id, least(w.doc_id, coalesce(m, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ USING (doc_id)"""
 
+
+def _feistel(x: str) -> str:
+    """All rounds of the permutation of op11 on a number in [0, a * b); a and b are columns."""
+    hashed = lambda k, half: f"CAST('0x' || substr(md5('0:{k}:' || CAST({half} AS VARCHAR)), 1, 15) AS BIGINT)"
+    pair = f"{{'l': {x} // b, 'r': {x} % b}}"
+    for k in range(sharding.ROUNDS):
+        now = f"list_transform([{pair}], lambda s{k}: "
+        pair = now + (f"{{'l': (s{k}.l + {hashed(k, f's{k}.r')} % a) % a, 'r': s{k}.r}}" if k % 2 == 0 else f"{{'l': s{k}.l, 'r': (s{k}.r + {hashed(k, f's{k}.l')} % b) % b}}") + ")[1]"
+    return f"list_transform([{pair}], lambda s: s.l * b + s.r)[1]"
+
+
+# Numbers by digest, the permutation with its walk by recursion, the CRC byte by byte from a table made by its rule.
+_OP11 = rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, ''))) - 1 AS number, count(*) OVER () AS n FROM documents),
+ side AS (SELECT max(n) AS n, CAST(floor(sqrt(greatest(max(n) - 1, 0))) AS BIGINT) + 1 AS b FROM d),
+ ab AS (SELECT n, b, (n + b - 1) // b AS a FROM side),
+ walk(number, v) AS (SELECT number, {_feistel("number")} FROM d, ab UNION ALL SELECT number, {_feistel("v")} FROM walk, ab WHERE v >= n),
+ crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+ h AS (SELECT number, hex(encode(text)) AS h FROM d),
+ byte AS (SELECT number, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM h),
+ sums AS (SELECT number, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM byte, crc)
+ SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(v % 8 AS INTEGER) AS shard, v // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d JOIN walk USING (number) JOIN sums USING (number) WHERE v < n"""
+
 #: The others draw by Spark's hash, fit models or need a tokenizer: tests hold them against brute force, round trips or held-out accuracy.
-SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op7_chat": _OP7, "op10_near_dup": _OP10}
+SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op7_chat": _OP7, "op10_near_dup": _OP10, "op11_sharding": _OP11}
