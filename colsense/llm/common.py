@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def with_records_per_batch(df: DataFrame, rows: int) -> DataFrame:
     return df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bounds the rows of an Arrow batch, where it allows more, for what runs inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join_ids(docs: DataFrame, ids: DataFrame, key: str, n: int, how: str) -> DataFrame:
     """docs joined on key to ids of n rows: broadcast up to BROADCAST_ROWS, otherwise left to the planner."""
     return docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, how)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, cotraining, decontaminate, language_id, line_dedup, mixing, near_dup, quality_rules, secrets, sharding, token_store
+from . import chat, conversation_repair, cotraining, decontaminate, language_id, line_dedup, mixing, near_dup, quality_rules, search, secrets, sharding, token_store
 from .common import table
 
 
@@ -27,6 +27,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_near_dup": near_dup.query,
     "op11_sharding": sharding.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_ranked_search": search.query,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,5 +85,37 @@ _OP11 = rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '')
  sums AS (SELECT number, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS text_crc32 FROM byte, crc)
  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(v % 8 AS INTEGER) AS shard, v // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d JOIN walk USING (number) JOIN sums USING (number) WHERE v < n"""
 
+# The programme row by row: a conversation's rows are folded into the cheapest audit for each state; s: the moves of a row.
+_OP12 = rf"""WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+ c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) % 20 AS d FROM conversations, crc),
+ rows_ AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE d <> 0),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM rows_),
+ coded AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM placed),
+ state AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) s(p, nxt)),
+ inserted AS (SELECT p, p AS q, '' AS l, 0 AS c, nxt FROM state UNION ALL SELECT p, nxt, 'I', 2, 5 - nxt FROM state UNION ALL SELECT p, 5 - nxt, 'II', 4, nxt FROM state),
+ moves AS (SELECT initial, fault, list({{'p': p, 'q': CAST(e.q AS INTEGER), 'l': inserted.l || e.l, 'c': inserted.c + e.c}}) AS m FROM (VALUES ('s'), ('u'), ('a'), ('o')) r(initial), (VALUES ('blank'), ('duplicate'), ('truncated'), ('')) f(fault), inserted,
+  LATERAL (SELECT inserted.q AS q, 'D' AS l, 3 AS c UNION ALL SELECT inserted.nxt, 'R', 2 + CAST(fault = 'truncated' AS INTEGER) WHERE fault IN ('truncated', '') UNION ALL SELECT CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'K', CAST(fault = 'truncated' AS INTEGER) WHERE fault IN ('truncated', '') AND (initial = 's' AND inserted.q = 0 OR initial = 'u' AND inserted.q <> 2 OR initial = 'a' AND inserted.q = 2)) e GROUP BY ALL),
+ told AS (SELECT conv_id, list({{'v': NULL::STRUCT(c INTEGER, a VARCHAR)[], 'm': m}} ORDER BY i) AS x FROM coded JOIN moves USING (initial, fault) GROUP BY 1),
+ ends AS (SELECT conv_id, list_reduce(list_prepend({{'v': [{{'c': 0, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}, {{'c': 1000000000, 'a': ''}}], 'm': NULL::STRUCT(p INTEGER, q INTEGER, l VARCHAR, c INTEGER)[]}}, x),
+  lambda a, r: {{'v': list_transform([0, 1, 2, 3], lambda q: list_min(list_prepend({{'c': 1000000000, 'a': ''}}, list_transform(list_filter(r.m, lambda t: t.q = q), lambda t: {{'c': CAST(a.v[t.p + 1].c + t.c AS INTEGER), 'a': a.v[t.p + 1].a || t.l}})))), 'm': NULL::STRUCT(p INTEGER, q INTEGER, l VARCHAR, c INTEGER)[]}}).v AS v FROM told),
+ best AS MATERIALIZED (SELECT conv_id, list_min([{{'c': v[1].c, 'a': v[1].a}}, {{'c': v[2].c + 4, 'a': v[2].a || 'II'}}, {{'c': v[3].c + 2, 'a': v[3].a || 'I'}}, {{'c': v[4].c, 'a': v[4].a}}]) AS b FROM ends),
+ letters AS (SELECT conv_id, b.a AS a, unnest(range(1, len(b.a) + 1)) AS k, b.a[unnest(range(1, len(b.a) + 1))] AS letter FROM best),
+ numbered AS (SELECT conv_id, k, letter, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i, count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS o FROM letters),
+ line AS (SELECT n.conv_id, k, o, letter, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, max(CASE WHEN o = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS sys FROM numbered n JOIN coded c ON n.conv_id IS NOT DISTINCT FROM c.conv_id AND c.i = greatest(n.i, 1) WHERE letter <> 'D'),
+ out_ AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS whole FROM line GROUP BY 1),
+ told_ AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND prior || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY 1),
+ ids AS (SELECT DISTINCT conv_id FROM conversations)
+ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+ FROM ids LEFT JOIN told_ t ON t.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN out_ o ON o.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+_OP13 = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+ d AS MATERIALIZED (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n, ws FROM t WHERE len(ws) > 0),
+ tf AS MATERIALIZED (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+ all_ AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d),
+ df AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, all_ GROUP BY w, nn),
+ q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark)),
+ hit AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l)))) AS score FROM q JOIN df USING (w) JOIN tf USING (w) JOIN d USING (r), all_ GROUP BY ALL)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM hit WHERE score > 0 QUALIFY rank <= 50"""
+
 #: The others draw by Spark's hash, fit models or need a tokenizer: tests hold them against brute force, round trips or held-out accuracy.
-SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op7_chat": _OP7, "op10_near_dup": _OP10, "op11_sharding": _OP11}
+SQL: dict[str, str] = {"op2_decontaminate": _OP2, "op7_chat": _OP7, "op10_near_dup": _OP10, "op11_sharding": _OP11, "op12_conversation_repair": _OP12, "op13_ranked_search": _OP13}
