@@ -3,7 +3,7 @@
 Candidates, none of which is rejected before the forest sees it:
 
 - the value behind a credential's name and ``=`` or ``:``, in quotes or up to white
-  space, of any characters and up to ``LONGEST`` of them;
+  space, of any characters and any length;
 - a private key in its armour;
 - a run of at least 12 letters, digits and ``_ + / -`` with a digit in it, with what
   follows after full stops (tokens of several parts) and ``=`` behind it;
@@ -27,7 +27,8 @@ recall by kind, also of kinds that were not taught, are tested on judged finding
 The forest is trained on at most ``LABELLED`` findings, chosen by hash.
 
 Defined results: null and empty texts have no candidates; null paths have no
-words; repeated rows give their findings again; without labelled findings of both
+words; rows with a null doc_id, and judged findings in them, are treated like others
+(as one document); repeated rows give their findings again; without labelled findings of both
 kinds every candidate has the score of the only kind (1 without any). Offsets
 count characters of the original text.
 """
@@ -44,13 +45,11 @@ from .common import BROADCAST_ROWS, let, staged, table
 
 #: Names that announce a credential.
 NAMES = "api_key|apikey|auth|bearer|credential|key|passwd|password|pwd|secret|token"
-#: Most characters of a named value and of an armoured key.
-LONGEST, ARMOUR = 256, 16_384
 HEAD = rf"(?<![A-Za-z0-9])(?i:{NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}"
-KEY = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----[A-Za-z0-9+/=\s]{{1,{ARMOUR}}}-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
+KEY = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
 CANDIDATE = (
-    rf"{HEAD}(?:\"[^\"\n]{{1,{LONGEST}}}\"|'[^'\n]{{1,{LONGEST}}}'|[^\s\"',;]{{1,{LONGEST}}})|{KEY}"
-    r"|(?<![\p{L}0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]+)*={0,2}(?![\p{L}])"
+    rf"{HEAD}(?:\"[^\"\n]++\"|'[^'\n]++'|[^\s\"',;]++)|{KEY}"
+    r"|(?<![\p{L}0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]++)*+={0,2}(?![\p{L}])"
 )
 #: Characters of context on each side.
 CONTEXT = 48
@@ -99,7 +98,9 @@ def judged_places(docs: DataFrame, labelled: DataFrame, found: DataFrame) -> Dat
     places = labelled.select("doc_id", "start", (F.col("length") if "length" in labelled.columns else F.lit(None)).cast("int").alias("length")).distinct()
     rest = F.substring("text", (F.col("start") + 1).cast("int"), F.coalesce("length", F.length("text")))
     value = F.when(F.col("length").isNull(), F.regexp_extract(rest, r"^\S+", 0)).otherwise(rest)
-    own = docs.join(places, "doc_id").withColumn("secret", value).where("secret <> ''").join(found.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
+    own = docs.join(places.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").withColumn("secret", value).where("secret <> ''")
+    known = found.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"))
+    own = own.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("start") == F.col("_s")), "left_anti")
     left = F.substring("text", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(CONTEXT)).cast("int"))
     right = F.substring("text", (F.col("start") + F.length("secret") + 1).cast("int"), F.lit(CONTEXT))
     return own.select("doc_id", "path", F.col("start").cast("long").alias("start"), "secret", left.alias("left"), right.alias("right"))
@@ -162,7 +163,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     if labelled is None:
         found = by_format(found)
     else:
-        found = found.join(labelled.groupBy("doc_id", "start").agg(F.max(F.col("label").cast("double")).alias("label")), ["doc_id", "start"], "left")
+        told = labelled.groupBy(F.col("doc_id").alias("_d"), F.col("start").alias("_s")).agg(F.max(F.col("label").cast("double")).alias("label"))
+        found = found.join(told, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("start") == F.col("_s")), "left").drop("_d", "_s")
     rows = staged(features(found).select("doc_id", "start", "secret", "label", "features"), "features")
     # The first of each repeated finding; the order by hash makes the sample the same on each run.
     once = rows.where("label IS NOT NULL").groupBy("secret", "label").agg(F.min_by("features", F.struct("doc_id", "start")).alias("features"))

@@ -224,6 +224,25 @@ def test_precision_and_recall_by_kind(spark):
     assert all(p > 0.9 for k, p in right.items())
 
 
+def test_values_of_any_length_are_whole(spark):
+    """A value ends where it ends, however long: unquoted, quoted, in several parts, and in armour."""
+    bare, parts, armour = "aB3$" * 1250, ".".join(["abc123def456"] * 6000), "MIIE" * 15_000
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{armour}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"token={bare} rest", f"password: \"{bare} {bare}\" rest", f"see {parts}== rest", f"x {key} y", "password: '" + bare]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["secret"] for r in secrets.scan(docs).collect()}
+    assert got == {0: bare, 1: f"{bare} {bare}", 2: f"{parts}==", 3: key}
+
+
+def test_judged_findings_in_a_document_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "the word opensesame is it, key=abc", "s"), (1, "key=zzz", "s")], "doc_id long, text string, path string")
+    judged = spark.createDataFrame([(None, 9, 10, 1.0), (None, 31, 3, 0.0), (1, 4, 3, 0.0)], "doc_id long, start long, length int, label double")
+    got = {(r["doc_id"], r["secret"]) for r in secrets.scan(docs, judged).collect()}
+    assert got == {(None, "opensesame"), (None, "abc"), (1, "zzz")}
+    found = secrets.candidates(docs)
+    assert secrets.judged_places(docs, judged, found).count() == 1
+
+
 def test_judged_findings_are_learnt(spark):
     rows = [(k, f"id {'ab12' * 4}{k:04d}x and " + f"pin 99{k:012d} end", "f") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
