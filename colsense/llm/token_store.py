@@ -20,7 +20,8 @@ are linear), so no payload is shuffled to the documents that use it and a chunk
 that a million copies share is read once; ``read_ids`` gives the ids themselves.
 
 Defined results: null texts are encoded as empty ones; control strings of the
-vocabulary inside a text are ordinary text; null doc_ids come first in the order;
+vocabulary inside a text are ordinary text, or with ``specials`` (as in the query) the
+control ids that the library makes of them; null doc_ids come first in the order;
 repeated rows are documents of their own. An empty table gives empty files.
 """
 
@@ -76,10 +77,11 @@ class Encoder:
     it, a text's first word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not specials
+        self.controls = [x.content for x in self.model.get_added_tokens_decoder().values()] if specials else []
         self.code = "H" if self.model.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype(self.code)
         self.new: dict[str, bytes] = {}
@@ -155,9 +157,10 @@ class Encoder:
         place = np.repeat((np.cumsum(size, dtype=np.int32) - size)[number] - ends[:-1], taken)
         place += np.arange(len(place), dtype=np.int32)
         ids, at = flat[place], ends[bounds]
-        # Texts with blanks beside white space or at an end, or with the mark, are encoded as they are.
+        # Texts with blanks beside white space or at an end, with the mark, or with strings that become control ids, are encoded as they are.
         odd = np.diff(np.concatenate(([0], np.cumsum(~alone[number])))[bounds]) > 0
-        odd |= pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        for x in (MARK, *self.controls):
+            odd |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         if not odd.any():
             return ids, at
         out = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
@@ -181,14 +184,14 @@ def whole(piece: str) -> bool:
     return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 remembers("token_store", _ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, specials: bool) -> Encoder:
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = Encoder(path, specials)
+    return _ENCODERS[path, specials]
 
 
 def cut_marks(ids: np.ndarray) -> np.ndarray:
@@ -239,14 +242,14 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int) -> DataFrame:
+def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int, specials: bool) -> DataFrame:
     """A row for each document (root, digests, lengths) with the chunks that its task had not met before."""
     schema = "doc_id long, root binary, n_tokens long, digests array<binary>, lengths array<int>, new array<struct<digest:binary,n:int,width:int,ids:binary>>"
     chunk = [("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("token_store")
-        model, pack = encoder(path), zstandard.ZstdCompressor(level=1)
+        model, pack = encoder(path, specials), zstandard.ZstdCompressor(level=1)
         width = model.kind.itemsize
         tail = np.array([end], model.kind).tobytes()
         met: set[bytes] = set()
@@ -294,10 +297,10 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         k = end
 
 
-def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = END) -> None:
+def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, end: int = END, specials: bool = False) -> None:
     """Writes the store of all rows of docs below folder."""
     spark = docs.sparkSession
-    coded = staged(_encoded(docs, key, text, path or public_tokenizers.path(VOCABULARY), end), "encoded")
+    coded = staged(_encoded(docs, key, text, path or public_tokenizers.path(VOCABULARY), end, specials), "encoded")
     new = coded.select(F.inline("new"))
     new.dropDuplicates(["digest"]).write.parquet(f"{folder}/chunks")
     coded.select("root", "digests", "lengths").dropDuplicates(["root"]).write.parquet(f"{folder}/recipes")
@@ -436,12 +439,12 @@ def read_ids(spark, folder: str, doc_ids: DataFrame) -> DataFrame:
     return back.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x")).select("doc_id", "start", F.flatten(F.transform("x", lambda v: v["ids"])).alias("ids"))
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", specials: bool = False) -> DataFrame:
     """Writes docs to a new store in the shared folder and reads it back."""
     folder = f"{shared_dir(docs.sparkSession)}/store"
-    write(docs, folder, key, text)
+    write(docs, folder, key, text, specials=specials)
     return verified(docs.sparkSession, folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"), specials=True)

@@ -300,6 +300,19 @@ def test_pieces_give_the_ids_of_whole_texts(corpus, model, remembered, monkeypat
         assert got == [[*x.ids, 2] for x in model.encode_batch(texts[k : k + 10], add_special_tokens=False)]
 
 
+def test_control_strings_become_what_the_plain_library_makes_of_them(spark, tmp_path):
+    plain = Tokenizer.from_file(public_tokenizers.path(token_store.VOCABULARY))
+    e = token_store.Encoder(public_tokenizers.path(token_store.VOCABULARY), specials=True)
+    texts = [*ODD, "<|endoftext|>", "a<|endoftext|>b. c", " <|endoftext|> \n<|endoftext|>x", "<|endoftext|", "<|ENDOFTEXT|>"]
+    ids, begin = e.encode(pa.array(texts), np.array([2], e.kind).tobytes())
+    want = [[*x.ids, 2] for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == want
+    assert any(50256 in x for x in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = token_store.round_trip(docs, specials=True).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in told} == {k: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(want)}
+
+
 def test_letters_of_every_alphabet_that_go_to_the_model(model):
     """Each letter below the bound, and two-letter words, as the whole tokenizer gives them."""
     e = token_store.Encoder(public_tokenizers.path(token_store.VOCABULARY))
