@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colsense.operators import fusion as D
 from colsense.operators import match
+from colsense.operators import sensitivity as V
 from colsense.operators import similarity as G
 from colsense.operators import splits as K
 from colsense.operators import taxonomy as T
@@ -46,14 +47,16 @@ def late_sims(spark, d):
 
 
 _LEAVES = "l AS (SELECT id, (CAST(code AS INT) // 5) || '.' || code AS leaf, v FROM e), both_ AS (SELECT id, leaf AS code, v FROM l UNION ALL SELECT id, split_part(leaf, '.', 1), v FROM l)"
-_LATE = (
+_RAW = (
     f"WITH {_E}, {_LEAVES}, long AS (SELECT code, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM both_), sums AS (SELECT code, i, sum(x) AS x FROM long GROUP BY 1, 2), norms AS (SELECT code, sqrt(sum(x * x)) AS norm FROM sums GROUP BY 1), cent AS (SELECT code, list(x / norm ORDER BY i) AS v FROM sums JOIN norms USING (code) GROUP BY 1), "
-    "qt AS (SELECT id, k, v[8 * k + 1:8 * k + 8] AS t FROM e, range(8) r(k)), dt AS (SELECT code, v[8 * k + 1:8 * k + 8] AS t FROM cent, range(8) r(k)), mm AS (SELECT id, code, k, max(list_dot_product(qt.t, dt.t)) AS m FROM qt, dt GROUP BY 1, 2, 3), raw AS (SELECT id AS entity, code, avg(m) AS s0 FROM mm GROUP BY 1, 2), "
-    "sims AS (SELECT entity, code, length(code) = 1 AS inner_, greatest(s0, 0) AS s, greatest(-s0, 0) AS negative FROM raw)"
+    "qt AS (SELECT id, k, v[8 * k + 1:8 * k + 8] AS t FROM e, range(8) r(k)), dt AS (SELECT code, v[8 * k + 1:8 * k + 8] AS t FROM cent, range(8) r(k)), mm AS (SELECT id, code, k, max(list_dot_product(qt.t, dt.t)) AS m FROM qt, dt GROUP BY 1, 2, 3), raw AS (SELECT id AS entity, code, avg(m) AS s0 FROM mm GROUP BY 1, 2)"
+)
+_LATE = (
+    f"{_RAW}, sims AS (SELECT entity, code, length(code) = 1 AS inner_, greatest(s0, 0) AS s, greatest(-s0, 0) AS negative FROM raw)"
 )
 _REL = lambda a, b: f"least(greatest(0.6 / (1 + exp(-({a} - 0.40) / 0.10)) + 0.4 * coalesce(tanh(({a} - {b}) / 0.05), 1), 0.1), 0.8)"
-_MAXSIM = (
-    f"{_LATE}, ranked AS (SELECT *, CASE WHEN inner_ THEN code || '*' ELSE code END AS focal, row_number() OVER (PARTITION BY entity ORDER BY round(s, 12) DESC, code DESC) AS r, exp(s - max(s) OVER (PARTITION BY entity)) AS ex FROM sims), "
+_CHAIN = (
+    "ranked AS (SELECT *, CASE WHEN inner_ THEN code || '*' ELSE code END AS focal, row_number() OVER (PARTITION BY entity ORDER BY round(s, 12) DESC, code DESC) AS r, exp(s - max(s) OVER (PARTITION BY entity)) AS ex FROM sims), "
     f"two AS (SELECT entity, max(s) AS s1, max(CASE WHEN r = 2 THEN s END) AS s2 FROM ranked GROUP BY 1), rel AS (SELECT entity, {_REL('s1', 's2')} AS alpha, CASE WHEN s2 IS NULL THEN 1 ELSE tanh((s1 - s2) / 0.05) END AS w FROM two), "
     "sp AS (SELECT ranked.*, alpha, w, ex / sum(ex) OVER (PARTITION BY ranked.entity) AS p, CASE WHEN NOT inner_ THEN ex / sum(CASE WHEN NOT inner_ THEN ex END) OVER (PARTITION BY ranked.entity) END AS pl FROM ranked JOIN rel USING (entity)), "
     "held AS (SELECT entity, split_part(code, '.', 1) AS ancestor, sum(pl) AS held FROM sp WHERE NOT inner_ GROUP BY 1, 2), tops AS (SELECT * FROM sp WHERE r = 1), "
@@ -62,6 +65,7 @@ _MAXSIM = (
     "UNION ALL SELECT t.entity, ancestor || '*', alpha * (1 - w) * held FROM tops t JOIN arnd USING (entity) UNION ALL SELECT entity, 'Z', 1 - alpha FROM tops), "
     "ms AS (SELECT entity, focal, sum(m) AS mass FROM parts GROUP BY 1, 2 HAVING sum(m) > 1e-15)"
 )
+_MAXSIM = f"{_LATE}, {_CHAIN}"
 _AGAINST = (
     "ng AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY negative DESC, code) AS n, exp(negative - max(negative) OVER (PARTITION BY entity)) AS en FROM ranked WHERE negative > 0), n2 AS (SELECT entity, max(negative) AS a, max(CASE WHEN n = 2 THEN negative END) AS b FROM ng GROUP BY 1), "
     f"q AS (SELECT entity, focal, {_REL('a', 'b')} * en / sum(en) OVER (PARTITION BY entity) AS q FROM ng JOIN n2 USING (entity)), cf AS (SELECT entity, sum(q * mass) AS conflict FROM q JOIN ms USING (entity, focal) GROUP BY 1)"
@@ -73,6 +77,36 @@ def d14(spark, d):
     return rnd(D.maxsim_masses(late_sims(spark, d), label_taxonomy(spark, d)[1]), "mass", "concentration", "conflict")
 
 
+# Invariants (D38): the mean profile of every class, each grid point an entity of its own in the chain above.
+_X, _Y = f"i * {V.STEP}::DOUBLE", f"j * {V.STEP}::DOUBLE"
+_IN = lambda *names: "invariant IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+_GRID = " UNION ALL ".join(f"SELECT '{n}' AS invariant, i, j FROM range({a}, {a + k}) x(i), range({b}, {b + m}) y(j)" for n, ((a, k), (b, m)) in V.GRIDS.items())
+_TWIN = f"greatest(0, least(1, s + {V.EPSILON}::DOUBLE * (CAST('0x' || substr(md5(config || ':' || code || ':' || i), 1, 8) AS BIGINT)::DOUBLE / 4294967295.0 * 2 - 1)))"
+_POINTS = f"""{_RAW}, prof AS MATERIALIZED (SELECT leaf AS config, code, round(avg(greatest(s0, 0)), 9) AS s, round(avg(greatest(-s0, 0)), 9) AS negative FROM raw JOIN l ON l.id = raw.entity GROUP BY 1, 2),
+ tg AS (SELECT config, arg_max(code, struct_pack(s := s, c := code)) AS target FROM prof WHERE length(code) > 1 GROUP BY 1),
+ who AS (SELECT config, target, target[1] AS parent, (SELECT arg_max(code, struct_pack(s := s, c := code)) FROM prof p WHERE p.config = tg.config AND length(code) > 1 AND code <> target AND code[1] = target[1]) AS sibling, (SELECT arg_max(code, struct_pack(s := s, c := code)) FROM prof p WHERE p.config = tg.config AND length(code) > 1 AND code[1] <> target[1]) AS competitor FROM tg),
+ pt AS MATERIALIZED (SELECT config || '|' || invariant || '|' || i || '|' || j AS entity, config, invariant, i, j, target, sibling, competitor, parent, code,
+  CAST(CASE WHEN code = target AND {_IN('mass_conservation', 'monotonicity_positive', 'conflict_k_transit', 'aggregation_vs_leaf_competition')} THEN {_X} WHEN code = target AND {_IN('verifier_pass_rate_effect')} THEN s * {_X} WHEN code = sibling AND {_IN('aggregation_threshold_cliff')} THEN {_X}
+   WHEN code = sibling AND {_IN('aggregation_vs_leaf_competition')} THEN {_Y} WHEN code = competitor AND {_IN('aggregation_threshold_cliff')} THEN {_Y} WHEN code = parent AND {_IN('internal_node_top1_switch')} THEN {_X} WHEN {_IN('ranking_stability')} AND i > 0 THEN {_TWIN} ELSE s END AS DOUBLE) AS s,
+  CAST(CASE WHEN code = parent AND {_IN('mass_conservation')} THEN {_Y} WHEN code = target AND {_IN('anti_monotonicity_negative')} THEN {_X} WHEN code = target AND {_IN('conflict_k_transit')} THEN {_Y} WHEN code = parent AND {_IN('aggregation_under_anti_example')} THEN {_X} ELSE negative END AS DOUBLE) AS negative
+  FROM prof JOIN who USING (config), ({_GRID}) g), sims AS (SELECT entity, code, length(code) = 1 AS inner_, greatest(s, 0) AS s, negative FROM pt)"""
+_SEEN = f"""about AS (SELECT entity, any_value(config) AS config, any_value(invariant) AS invariant, any_value(i) AS i, any_value(j) AS j, any_value(target) AS target, any_value(competitor) AS competitor, any_value(parent) AS parent, list_reverse_sort(list(s)) AS two FROM pt GROUP BY 1),
+ seen AS (SELECT entity, a.config, a.invariant, a.i, a.j, round(two[1] - coalesce(two[2], 0), 9) AS lead, sum(mass) AS total, coalesce(max(mass) FILTER (WHERE focal = target), 0) AS leaf, coalesce(max(mass) FILTER (WHERE focal = parent || '*'), 0) AS tree, coalesce(max(mass) FILTER (WHERE focal = competitor), 0) AS rival,
+  arg_min(regexp_replace(focal, '[*]$', ''), struct_pack(m := -round(mass, 9), c := regexp_replace(focal, '[*]$', ''))) FILTER (WHERE focal <> 'Z') AS best, max(coalesce(conflict, 0)) AS k FROM ms JOIN about a USING (entity) LEFT JOIN cf USING (entity) GROUP BY ALL),
+ steps AS (SELECT *, leaf - lag(leaf) OVER w AS d_leaf, tree - lag(tree) OVER w AS d_tree, rival - lag(rival) OVER w AS d_rival, (leaf >= tree) <> lag(leaf >= tree) OVER w AS turned, coalesce(best <> first(best) OVER w, false) AS other, first(tree) OVER w AS first_tree FROM seen WINDOW w AS (PARTITION BY config, invariant, j ORDER BY i))"""
+_FOUND = f"""SELECT invariant, config, count(*) AS cells, count(*) FILTER (WHERE CASE invariant WHEN 'mass_conservation' THEN abs(total - 1) >= {V.TOLERANCE} WHEN 'monotonicity_positive' THEN d_leaf < -{V.TOLERANCE} WHEN 'verifier_pass_rate_effect' THEN d_leaf < -{V.TOLERANCE} WHEN 'anti_monotonicity_negative' THEN d_leaf > {V.TOLERANCE} WHEN 'aggregation_under_anti_example' THEN d_rival < -{V.TOLERANCE} END) AS violations,
+ count(*) FILTER (WHERE CASE invariant WHEN 'conflict_k_transit' THEN k >= {V.CONFLICT} WHEN 'aggregation_threshold_cliff' THEN d_tree > {V.JUMP} WHEN 'aggregation_vs_leaf_competition' THEN tree > leaf WHEN 'internal_node_top1_switch' THEN turned AND greatest(abs(d_leaf), abs(d_tree)) > {V.SWITCH} WHEN 'ranking_stability' THEN other END) AS flagged,
+ max(CASE invariant WHEN 'mass_conservation' THEN abs(total - 1) WHEN 'monotonicity_positive' THEN leaf WHEN 'anti_monotonicity_negative' THEN leaf WHEN 'conflict_k_transit' THEN k WHEN 'ranking_stability' THEN CASE WHEN i = 0 THEN lead END WHEN 'aggregation_threshold_cliff' THEN d_tree WHEN 'aggregation_vs_leaf_competition' THEN tree - leaf WHEN 'internal_node_top1_switch' THEN CASE WHEN turned THEN greatest(abs(d_leaf), abs(d_tree)) END WHEN 'aggregation_under_anti_example' THEN first_tree - tree WHEN 'verifier_pass_rate_effect' THEN abs(d_leaf) END) AS value FROM steps GROUP BY 1, 2"""
+
+
+@query("d38_invariants", f"{_POINTS}, {_CHAIN}, {_AGAINST}, {_SEEN}, r AS ({_FOUND}) SELECT invariant, config, CASE WHEN invariant = 'ranking_stability' THEN {V.TWINS} ELSE cells END AS cells, CASE WHEN invariant = 'ranking_stability' THEN CASE WHEN value > 2 * {V.EPSILON} AND flagged / {V.TWINS} > {V.UNSTABLE} THEN 1 ELSE 0 END ELSE violations END AS violations, flagged, round(CASE WHEN invariant = 'ranking_stability' THEN flagged / {V.TWINS} ELSE value END, 6) AS value FROM r")
+def d38(spark, d):
+    """Ten invariants of evidence from similarities, on grids around the mean profile of each class of the embeddings."""
+    n, clo = label_taxonomy(spark, d)
+    classes = vectors(spark, d).select(F.col("id").alias("entity"), _leaf(F.col("code")).alias("config"))
+    return rnd(V.study(late_sims(spark, d), classes, n, clo), "value")
+
+
 _UNION = (
     f"{_MAXSIM}, cs AS (SELECT e.id AS entity, c.code, list_dot_product(e.v, c.v) AS s FROM e, cent c), rk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(s, 9) DESC, code) AS r FROM cs), nd AS (SELECT DISTINCT leaf AS code FROM l UNION SELECT DISTINCT split_part(leaf, '.', 1) FROM l), "
     "mem AS (SELECT code AS focal, code FROM nd UNION ALL SELECT a.code || '*', b.code FROM nd a JOIN nd b ON b.code = a.code OR b.code LIKE a.code || '.%' WHERE length(a.code) = 1 UNION ALL SELECT 'Z', code FROM nd), sz AS (SELECT focal, count(*) AS size FROM mem GROUP BY 1), "

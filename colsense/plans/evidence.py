@@ -334,7 +334,7 @@ def d37(spark, d):
     return read(spark, d, "documents").select("doc_id", "lang").join(F.broadcast(need), "lang").select("doc_id", F.size(absent).cast("long").alias("n_absent"), F.array_contains(absent, "time").alias("time_claim_blocked"))
 
 
-@query("d38_invariants", f"{TWO}, {_BELIEF} SELECT 'mass_sums_to_one' AS invariant, count(DISTINCT entity) AS n, 0 AS violations FROM fused UNION ALL SELECT 'belief_below_plausibility', count(*), 0 FROM iv UNION ALL SELECT 'belief_grows_upwards', count(*), 0 FROM iv JOIN nodes ON nodes.code = iv.focal WHERE parent_code IS NOT NULL")
+@query("d38_belief_invariants", f"{TWO}, {_BELIEF}, t AS (SELECT entity, sum(mass) AS t FROM fused GROUP BY 1), up AS (SELECT a.bel AS bel, b.bel AS above FROM iv a JOIN nodes n ON n.code = a.focal JOIN iv b ON b.entity = a.entity AND b.focal = n.parent_code || '*') SELECT 'mass_sums_to_one' AS invariant, count(*) AS n, count(*) FILTER (WHERE abs(t - 1) > 1e-9) AS violations FROM t UNION ALL SELECT 'belief_below_plausibility', count(*), count(*) FILTER (WHERE bel > pl + 1e-9) FROM iv UNION ALL SELECT 'belief_grows_upwards', count(*), count(*) FILTER (WHERE bel > above + 1e-9) FROM up")
 def d38(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
     return D.invariants(x, write_down(D.intervals(x, f.subset(), f.meet)), f.nodes)
