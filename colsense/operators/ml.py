@@ -34,9 +34,9 @@ def lexical(dims: int = 1 << 14, reduce_to: int | None = None) -> Pipeline:
 
 
 def forest(texts: list[str], numbers: list[str], seed: int = 42) -> Pipeline:
-    """A forest on hashed token columns and numbers."""
+    """A forest on hashed token columns and numbers; each split looks at a third of the features, as few of the hashed ones tell anything."""
     tf = [HashingTF(inputCol=t, outputCol=f"{t}_v", numFeatures=128) for t in texts]
-    return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), *tf, VectorAssembler(inputCols=[*[f"{t}_v" for t in texts], *numbers], outputCol="x", handleInvalid="keep"), RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, maxDepth=6, seed=seed)])
+    return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), *tf, VectorAssembler(inputCols=[*[f"{t}_v" for t in texts], *numbers], outputCol="x", handleInvalid="keep"), RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, maxDepth=6, featureSubsetStrategy="onethird", seed=seed)])
 
 
 def fit_to_votes(pipeline: Pipeline, rows: DataFrame, least_rows: int = 10, least_classes: int = 2) -> PipelineModel | None:
@@ -91,6 +91,64 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, feat
     return rows.sparkSession.createDataFrame(out, "feature string, drop double")
 
 
+def one_donor(rows: DataFrame, key: str, features: list[str], seed: int = 42) -> DataFrame:
+    """One row with a value of each feature, each from the row that a hash puts first: an aggregate, no order of all rows."""
+    return rows.agg(*[F.min_by(f, F.struct(F.xxhash64(F.lit(seed), F.lit(f), F.col(key)), F.col(key))).alias(f) for f in features])
+
+
+def coalition_losses(model: PipelineModel, rows: DataFrame, donor: DataFrame, features: list[str], masks: list[int]) -> dict[int, float]:
+    """Mean cross entropy of all labelled rows for each set of features (bits of a mask) that keep their own values; the others have the donor's.
+
+    All sets are scored in one job: rows times sets, reduced to a number for each set.
+    """
+    spark = rows.sparkSession
+    given = donor.select(*[F.col(f).alias(f"_d_{f}") for f in features])
+    sets = spark.createDataFrame([(m,) for m in masks], "_mask long")
+    mixed = rows.where("label IS NOT NULL").crossJoin(F.broadcast(given)).crossJoin(F.broadcast(sets))  # one row, and some hundred
+    mixed = mixed.withColumns({f: F.when(F.bitwise_not(F.col("_mask")).bitwiseAND(1 << k) == 0, F.col(f)).otherwise(F.col(f"_d_{f}")) for k, f in enumerate(features)})
+    p = F.get(vector_to_array("probability"), F.col("y").cast("int"))
+    scored = model.transform(mixed.withColumn("weight", F.lit(1.0)))
+    found = scored.groupBy("_mask").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("loss")).collect()
+    return {r["_mask"]: r["loss"] for r in found}
+
+
+def sage(model: PipelineModel, rows: DataFrame, key: str, features: list[str], permutations: int = 512, chunk: int = 16, least: int = 32, ratio: float = 0.025, seed: int = 42) -> DataFrame:
+    """(feature, value, std, n): Shapley values of the features for the model's loss, by sampled orders, until they settle.
+
+    In an order the features take their own values one after the other in place of the
+    donor's; a feature is credited with the fall of the mean loss at its turn. Orders are
+    drawn in rounds of ``chunk``; what the rounds keep is a sum and a sum of squares for
+    each feature, and the loss of each set met so far, so a set is scored once. From
+    ``least`` orders on the rounds end when no feature's standard error is more than
+    ``ratio`` of its mean. Rows without a label are left out; without rows all is 0.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    f = len(features)
+    donor = one_donor(rows.where("label IS NOT NULL"), key, features, seed).persist()
+    losses: dict[int, float] = {}
+    total, squares, n = np.zeros(f), np.zeros(f), 0
+    while n < permutations:
+        orders = [rng.permutation(f) for _ in range(min(chunk, permutations - n))]
+        chains = [np.concatenate(([0], np.cumsum(1 << o.astype(np.int64)))) for o in orders]
+        fresh = sorted({int(m) for c in chains for m in c} - losses.keys())
+        if fresh:
+            found = coalition_losses(model, rows, donor, features, fresh)
+            losses |= {m: found.get(m, 0.0) for m in fresh}
+        for order, chain in zip(orders, chains):
+            fall = -np.diff([losses[int(m)] for m in chain])
+            total[order] += fall
+            squares[order] += fall**2
+        n += len(orders)
+        mean = total / n
+        error = np.sqrt(np.maximum(squares / n - mean**2, 0) / n)
+        if n >= least and (error / (np.abs(mean) + 1e-9)).max() < ratio:
+            break
+    donor.unpersist()
+    return rows.sparkSession.createDataFrame([(x, float(v), float(e), n) for x, v, e in zip(features, mean, error)], "feature string, value double, std double, n long")
+
+
 def row_attribution(model: PipelineModel, rows: DataFrame, key: str, features: list[str], rounds: int = 2, keep: int = 3) -> DataFrame:
     """(key, feature, value, rank): the features with most effect on each row's predicted class.
 

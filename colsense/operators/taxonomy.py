@@ -2,17 +2,17 @@
 
 A taxonomy is (code, parent_code, label, mnemonic, ...). Everything hierarchical is
 read off its closure (code, ancestor, distance), the pairs of each node with itself
-and all nodes above it. Taxonomies have hundreds to thousands of nodes, so the
-closure is built level by level, each level one join, and written down once.
+and all nodes above it. It is built by doubling distances, each round one join, and
+written down; dotted codes need no rounds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colsense.sources.sinks import write_down
+
 
 def dot_prefixes(code: Column) -> Column:
     """All dot prefixes of a code, the code itself last."""
@@ -40,24 +40,24 @@ def build(records: DataFrame) -> DataFrame:
     ).where(code != "")
 
 
-def closure(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(code, ancestor, distance), the node itself at distance 0.
+def closure(nodes: DataFrame) -> DataFrame:
+    """(code, ancestor, distance), the node itself at distance 0, however deep the hierarchy is.
 
-    Cycles end where a node would come to itself again; ``depth`` bounds the levels.
+    Distances double in each round: what is exactly ``step`` away is joined to what that
+    node reaches. So a chain of n nodes takes log n rounds, each written down. A node is
+    no ancestor of itself, so cycles end; of several ways the shortest counts.
     """
-    edges = nodes.select("code", "parent_code").where("parent_code IS NOT NULL").join(nodes.select(F.col("code").alias("parent_code")), "parent_code", "left_semi").distinct()
-    start = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance"))
-    levels = [start]
-    up = edges.select(F.col("code").alias("ancestor"), F.col("parent_code").alias("next"))
-    for d in range(1, depth + 1):
-        step = levels[-1].join(up, "ancestor").where(F.col("next") != F.col("code")).select("code", F.col("next").alias("ancestor"), F.lit(d).alias("distance"))
-        step = step.persist()
-        if step.isEmpty():
-            step.unpersist()
-            break
-        levels.append(step)
-    pairs = reduce(DataFrame.union, levels)
-    return pairs.groupBy("code", "ancestor").agg(F.min("distance").alias("distance"))
+    edges = nodes.select("code", F.col("parent_code").alias("ancestor")).where("parent_code <> code").join(nodes.select(F.col("code").alias("ancestor")), "ancestor", "left_semi").distinct()
+    start = nodes.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    pairs = write_down(start.unionByName(edges.withColumn("distance", F.lit(1))))
+    step = 1
+    while not pairs.where(F.col("distance") == step).isEmpty():
+        far = pairs.where(F.col("distance") == step).select("code", F.col("ancestor").alias("via"))
+        on = pairs.where("distance > 0").select(F.col("code").alias("via"), "ancestor", (F.col("distance") + step).alias("distance"))
+        further = far.join(on, "via").where("ancestor <> code").select("code", "ancestor", "distance")
+        pairs = write_down(pairs.unionByName(further).groupBy("code", "ancestor").agg(F.min("distance").alias("distance")))
+        step *= 2
+    return pairs
 
 
 def closure_of_dots(nodes: DataFrame) -> DataFrame:

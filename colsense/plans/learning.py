@@ -83,6 +83,14 @@ def l08(spark, d):
     return ml.permutation_importance(model, rows, "id", ["brand", "size", "price"], 1)
 
 
+@query("l08_sage")
+def l08b(spark, d):
+    """Shapley values of the parts' features for the loss of the forest, over all parts."""
+    rows = words(spark, d)
+    model = ml.fit_to_votes(ml.forest(["tokens", "brand"], ["size", "price"]), rows)
+    return ml.sage(model, rows, "id", ["tokens", "brand", "size", "price"])
+
+
 @query("l09_row_attribution")
 def l09(spark, d):
     """The three features with most effect on each part's predicted type."""

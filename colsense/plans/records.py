@@ -196,14 +196,30 @@ def p16(spark, d):
 # Sources and sinks that are read back.
 
 
-@query("s01_csv_folder", "SELECT 'nation' AS \"table\", 'n_name' AS \"column\", n_nationkey AS k, n_name AS value FROM nation UNION ALL SELECT 'nation', 'n_nationkey', n_nationkey, n_nationkey::VARCHAR FROM nation")
+@query("s01_csv_folder", "SELECT 'documents' AS \"table\", c AS \"column\", doc_id AS k, CASE c WHEN 'doc_id' THEN CAST(doc_id AS VARCHAR) WHEN 'text, as it is' THEN nullif(text, '') WHEN 'lang' THEN lang ELSE source END AS value FROM documents, (SELECT unnest(['doc_id', 'text, as it is', 'lang', 'source']) AS c)")
 def s01(spark, d):
-    """A table goes out as CSV and comes back as cells, numbered by the key column of its row."""
+    """The documents go out as CSV, with the line breaks, quotes and commas of their texts, and come back as cells, numbered by the key column of their row."""
     folder = sinks.shared_folder(spark)
-    read(spark, d, "nation").select("n_nationkey", "n_name").coalesce(1).write.option("header", True).csv(f"{folder}/nation.csv")
-    long = R.csv_folder(spark, f"{folder}/nation.csv").withColumn("table", F.lit("nation"))
-    key = long.where("`column` = 'n_nationkey'").select("row_ix", F.col("value").cast("long").alias("k"))
-    return long.join(key, "row_ix").select("table", "column", "k", "value")
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("text, as it is"), "lang", "source")
+    docs.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/documents.csv")
+    long = R.csv_folder(spark, f"{folder}/documents.csv", sample=1 << 24)
+    key = long.where("`column` = 'doc_id'").select(F.col("table").alias("t"), F.col("row_ix").alias("r"), F.col("value").cast("long").alias("k"))
+    return long.join(key, (F.col("table") == F.col("t")) & (F.col("row_ix") == F.col("r"))).select(F.lit("documents").alias("table"), "column", "k", "value")
+
+
+@query("s03_discovery", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")))
+def s03(spark, d):
+    """The tables of a database that are found by its catalogue, and their rows."""
+    name = f"found_{abs(hash(d)) % 10**8}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    for t in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}.{t}")
+        spark.catalog.createTable(f"{name}.{t}", path=f"{d.rstrip('/')}/{t}.parquet", source="parquet")
+    out = None
+    for r in R.discover(spark, name).collect():
+        part = spark.table(f"{name}.{r['table']}").agg(F.lit(r["table"]).alias("table"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s02_s11_key_join", "SELECT c_custkey AS column_id, c_mktsegment AS code FROM customer")

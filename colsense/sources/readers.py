@@ -8,21 +8,26 @@ from pyspark.sql import types as T
 
 
 def csv_folder(spark: SparkSession, folder: str, sample: int = 50) -> DataFrame:
-    """Long cells of all CSV files of a folder but ``annotations.csv``; the empty string is null.
-
-    The table is the file's name. All files are one scan of text with the header's
-    names found per file, so a folder of many files is one job.
+    """Long cells of all CSV files of a folder but ``annotations.csv``: the first 4 x sample rows of each; the empty string is null.
+
+    The table is the file's name. All files, whatever their headers, are one scan of
+    Spark's reader of multi-line records: quoted cells may hold line breaks, commas and
+    doubled quotes, also in headers. A first scan counts the commas of lines, so files of
+    any width are read whole. A file of such records is read by one task, in order, so
+    the rows' numbers follow from their ids; a cell behind the header's last name is left
+    out, a missing one is null, a name that is missing between others is ``_c<place>``.
     """
-    rows = spark.read.text(f"{folder}/*.csv").withColumn("path", F.input_file_name())
-    rows = rows.withColumn("table", F.regexp_extract("path", r"([^/]+)\.csv$", 1)).where("`table` <> 'annotations'")
-    rows = rows.withColumn("n", F.monotonically_increasing_id())
-    first = rows.groupBy("table").agg(F.min_by("value", "n").alias("header"), F.min("n").alias("h"))
-    fields = lambda c: F.from_csv(c, ", ".join(f"_{k} string" for k in range(64)))
-    width = F.size(F.split("header", ","))
-    flat = lambda c: F.slice(F.array(*[fields(c)[f"_{k}"] for k in range(64)]), F.lit(1), width)
-    body = rows.join(F.broadcast(first), "table").where("n > h")
-    body = body.withColumn("row_ix", F.row_number().over(Window.partitionBy("table").orderBy("n"))).where(F.col("row_ix") <= sample * 4)
-    cells = body.select("table", "row_ix", F.posexplode(F.arrays_zip(flat("header").alias("c"), flat("value").alias("v"))).alias("ord", "x"))
+    path = f"{folder}/*.csv"
+    width = 1 + (spark.read.text(path).agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","))))).first()[0] or 0)
+    names = [f"_c{k}" for k in range(width)]
+    reader = spark.read.schema(", ".join(f"{c} string" for c in names)).options(multiLine=True, header=False, quote='"', escape='"', maxColumns=width + 1, maxCharsPerColumn=-1)
+    rows = reader.csv(path).select(F.array(*names).alias("v"), F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("path"))
+    rows = rows.withColumn("table", F.regexp_extract("path", r"([^/]+)\.csv$", 1)).where("`table` <> 'annotations'").drop("path")
+    filled = F.array_max(F.transform("v", lambda x, k: F.when(x.isNotNull(), k + 1)))
+    title = F.transform(F.slice("v", F.lit(1), F.coalesce(filled, F.lit(0))), lambda x, k: F.coalesce(x, F.concat(F.lit("_c"), k.cast("string"))))
+    first = rows.groupBy("table").agg(F.min_by(title, "n").alias("header"), F.min("n").alias("h"))
+    body = rows.join(F.broadcast(first), "table").withColumn("row_ix", (F.col("n") - F.col("h")).cast("int")).where((F.col("row_ix") > 0) & (F.col("row_ix") <= sample * 4))
+    cells = body.select("table", "row_ix", F.posexplode(F.arrays_zip(F.col("header").alias("c"), F.slice("v", F.lit(1), F.size("header")).alias("v"))).alias("ord", "x"))
     return cells.select("table", F.col("x.c").alias("column"), "ord", F.lit(None).cast("string").alias("column_type"), "row_ix", F.when(F.col("x.v") != "", F.col("x.v")).alias("value"))
 
 
