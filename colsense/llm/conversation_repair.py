@@ -197,29 +197,33 @@ def _group(conv_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
 
 
-def marked(conversations: DataFrame) -> DataFrame:
-    """g, conv_id, turn, role, text, i (place), initial and fault of every row."""
-    rows = conversations.select(_group(F.col("conv_id")).alias("g"), "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+def placed(conversations: DataFrame) -> DataFrame:
+    """g, turn, role, text, i (place), h (role and text) of every row."""
+    rows = conversations.select(_group(F.col("conv_id")).alias("g"), "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     rows = rows.withColumn("md5", F.md5(F.col("text").cast("binary"))).withColumn("part", F.floor(F.rand(1) * 1024))  # like rows go to several ranges
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("md5"), F.col("part")]
     rows = numbered(rows, ["g"], order).withColumn("h", F.sha2(F.concat_ws(":", F.length("role").cast("string"), "role", "text").cast("binary"), 256))
+    return staged(rows.select("g", "turn", "role", "text", "i", "h"), "rows")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """g, turn, i, seg, initial and fault of every row."""
     bare = F.rtrim(F.col("text"), F.lit(SPACES))
     initial = F.when(F.left("role", F.lit(1)).isin("s", "u", "a"), F.left("role", F.lit(1))).otherwise("o")
     kind = F.when(bare == "", "blank").when(~F.right(bare, F.lit(1)).isin(".", "!", "?"), "truncated")
-    rows = staged(rows.select("g", "conv_id", "turn", "role", "text", "i", "h", initial.alias("initial"), kind.alias("kind")), "rows")
     again = staged(rows.groupBy("g", "h").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "again")
     most = hot_over(rows.count())
     few, rest = again.where(F.col("c") > most), again.where(F.col("c") <= most)
-    hot = rows.join(F.broadcast(few.drop("c")), ["g", "h"], "left")
+    hot = rows.select("g", "turn", "i", "h", initial.alias("initial"), kind.alias("kind")).join(F.broadcast(few.drop("c")), ["g", "h"], "left")
     both = hot.where("first IS NOT NULL").unionByName(hot.where("first IS NULL").drop("first").join(rest.drop("c"), ["g", "h"], "left").select(*hot.columns))
     fault = F.when(F.col("kind") == "blank", "blank").when(F.col("i") > F.col("first"), "duplicate").otherwise(F.col("kind"))
-    return staged(both.select("g", "conv_id", "turn", "role", "text", "i", F.floor(F.col("i") / SEGMENT).cast("int").alias("seg"), "initial", fault.alias("fault")), "marked")
+    return staged(both.select("g", "turn", "i", F.floor(F.col("i") / SEGMENT).cast("int").alias("seg"), "initial", fault.alias("fault")), "marked")
 
 
-def segments(rows: DataFrame) -> DataFrame:
+def segments(marks: DataFrame) -> DataFrame:
     """g, seg, codes, m (matrix, row by row) of every segment."""
     code = F.concat("initial", F.when(F.col("fault").isin("blank", "duplicate"), "2").when(F.col("fault") == "truncated", "1").otherwise("0"))
-    own = rows.groupBy("g", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", code.alias("code")))), lambda x: x["code"]), "").alias("codes"))
+    own = marks.groupBy("g", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", code.alias("code")))), lambda x: x["code"]), "").alias("codes"))
 
     def run(batches):
         for batch in batches:
@@ -260,9 +264,9 @@ def _begins(ends: list[list[int]]) -> list[list[int]]:
     return found
 
 
-def audited(rows: DataFrame) -> DataFrame:
+def audited(marks: DataFrame) -> DataFrame:
     """g, seg, cost (what is left from the segment on), letters, pieces of every segment."""
-    segs = staged(segments(rows), "segments")
+    segs = staged(segments(marks), "segments")
     segs = segs.select("g", "seg", "codes").join(_in_order(segs, "m", _rests, "rest"), ["g", "seg"])
 
     def walk(batches):
@@ -287,13 +291,13 @@ def audited(rows: DataFrame) -> DataFrame:
 
 
 def repaired(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """g, conv_id, i, sub, edit, role, text: the rows after repair, in order of i and sub."""
+    """g, i, sub, edit, role, text: the rows after repair, in order of i and sub."""
     e = F.col("e")
-    both = rows.join(told.select("g", "seg", "pieces"), ["g", "seg"]).select("g", "conv_id", "i", "role", "text", F.posexplode(F.get("pieces", (F.col("i") % SEGMENT).cast("int"))).alias("sub", "e")).where(e != "-")
+    both = rows.withColumn("seg", F.floor(F.col("i") / SEGMENT).cast("int")).join(told.select("g", "seg", "pieces"), ["g", "seg"]).select("g", "i", "role", "text", F.posexplode(F.get("pieces", (F.col("i") % SEGMENT).cast("int"))).alias("sub", "e")).where(e != "-")
     new = e.startswith("+")
     role = F.when(new, F.substring("e", 2, 20)).when(e == "=", F.col("role")).otherwise(e)
     edit = F.when(new, "I").when(e == "=", "K").otherwise("R")
-    return both.select("g", "conv_id", "i", "sub", edit.alias("edit"), role.alias("role"), F.when(new, "").otherwise(F.col("text")).alias("text"))
+    return both.select("g", "i", "sub", edit.alias("edit"), role.alias("role"), F.when(new, "").otherwise(F.col("text")).alias("text"))
 
 
 def digests(lines: DataFrame) -> DataFrame:
@@ -320,12 +324,12 @@ def digests(lines: DataFrame) -> DataFrame:
         return staged(ordered.select("g", "line").mapInArrow(run, "g string, sha256 string"), "digests")
 
 
-def measures(rows: DataFrame) -> DataFrame:
+def measures(marks: DataFrame) -> DataFrame:
     """g, gaps, blank, duplicate, truncated, illegal of every conversation with rows."""
     count = lambda x: F.count(F.when(F.col("fault") == x, 1)).alias(x)
-    one = rows.groupBy("g").agg((F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0))).cast("long").alias("gaps"))
-    two = rows.groupBy("g").agg(*[count(x) for x in ("blank", "duplicate", "truncated")])
-    beside = rows.select("g", "seg", "i", "initial")
+    one = marks.groupBy("g").agg((F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0))).cast("long").alias("gaps"))
+    two = marks.groupBy("g").agg(*[count(x) for x in ("blank", "duplicate", "truncated")])
+    beside = marks.select("g", "seg", "i", "initial")
     segs = beside.groupBy("g", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "initial"))), lambda x: x["initial"]), "").alias("s"))
     heads = segs.where("seg > 0").select("g", (F.col("seg") - 1).alias("seg"), F.left("s", F.lit(1)).alias("next"))
     pairs = segs.join(heads, ["g", "seg"], "left").withColumn("s", F.concat("s", F.coalesce("next", F.lit(""))))
@@ -336,12 +340,13 @@ def measures(rows: DataFrame) -> DataFrame:
 
 def repair(conversations: DataFrame, folder: str) -> None:
     """Writes rows (repaired, with their edits), audits and measures of conversations (conv_id, turn, role, text) below folder."""
-    rows = marked(conversations)
-    told = audited(rows)
+    rows = placed(conversations)
+    marks = marked(rows)
+    told = audited(marks)
     repaired(rows, told).write.parquet(f"{folder}/rows")
     letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "letters"))), lambda x: x["letters"]), "")
     told.groupBy("g").agg(F.min_by("cost", "seg").alias("cost"), letters.alias("audit")).write.parquet(f"{folder}/audits")
-    measures(rows).write.parquet(f"{folder}/measures")
+    measures(marks).write.parquet(f"{folder}/measures")
 
 
 def report(conversations: DataFrame, folder: str) -> DataFrame:
