@@ -139,3 +139,74 @@ def diverse(df: DataFrame, by: str, key: str, vector: str, limit: float = 0.995)
         open_ = write_down(left.select("g", "late", "early"))
     kept = rows if gone is None else rows.join(gone, ["g", "k"], "left_anti")
     return kept.select(F.col("g").alias(by), F.col("k").alias(key))
+
+
+def considered(target: int, window: int, most: float) -> int:
+    """How many rows a walk with these stop rules looks at, at most.
+
+    Of any ``window`` outcomes in a row, ``most`` of them at most are rejections (one more
+    ends the walk), but for the first ones; so every window brings some acceptances,
+    and ``target`` of them end the walk.
+    """
+    each = window - int(most * window + 1e-9)
+    return 2 * window + window * -(-target // each)
+
+
+def accept(df: DataFrame, by: str, key: str, vector: str, target: int, limit: float = 0.995, window: int = 20, most: float = 0.6, growth: float = 0.002, span: int = 10, diversity: bool = True, coverage: bool = True) -> DataFrame:
+    """(by, key, place, accepted, outcome) of the rows that a walk through each group in order of its key looks at.
+
+    A row is rejected if its cosine to an accepted one is over ``limit``. The walk ends when
+    more than ``most`` of the last ``window`` outcomes are rejections (the row is rejected),
+    when the largest distance of an accepted row from the running centroid has grown by
+    less than ``growth`` over ``span`` acceptances, or with ``target`` accepted rows.
+    outcome: accepted, rejected_diversity, stopped_diversity_exhausted,
+    stopped_coverage_saturated, stopped_target_met.
+
+    The rules bound the rows that are looked at (``considered``), so each group's first
+    rows are found by task and then together, and only these go through the walk in order.
+    Rows of equal keys are walked in order of a hash of their vectors; null vectors are left out.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    bound = considered(target, window, most) if diversity else target
+    few = first_k(rows, ["g"], [F.col("k"), F.xxhash64("v")], bound, F.struct("k", "v"))
+    kinds = dict(few.dtypes)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        taken: list[np.ndarray] = []
+        outcomes: list[str] = []
+        rejected: list[bool] = []
+        radii: list[float] = []
+        centre = None
+        for v in pdf["v"]:
+            e = np.asarray(v, float)
+            e = e / (np.linalg.norm(e) + 1e-12)
+            if diversity and taken and max(float(x @ e) for x in taken) > limit:
+                rejected = [*rejected, True][-window:]
+                if len(rejected) == window and sum(rejected) / window > most:
+                    outcomes.append("stopped_diversity_exhausted")
+                    break
+                outcomes.append("rejected_diversity")
+                continue
+            rejected = [*rejected, False][-window:]
+            taken.append(e)
+            centre = e if centre is None else ((len(taken) - 1) * centre + e) / len(taken)
+            if len(taken) > 1:
+                centre = centre / (np.linalg.norm(centre) + 1e-12)
+            radii = [*radii, max(1 - float(centre @ x) for x in taken)][-span:]
+            if coverage and len(radii) == span and radii[-1] - radii[0] < growth:
+                outcomes.append("stopped_coverage_saturated")
+                break
+            if len(taken) >= target:
+                outcomes.append("stopped_target_met")
+                break
+            outcomes.append("accepted")
+        seen = pdf.head(len(outcomes))
+        ok = [o not in ("rejected_diversity", "stopped_diversity_exhausted") for o in outcomes]
+        return pd.DataFrame({"g": seen["g"], "k": seen["k"], "place": range(len(outcomes)), "accepted": ok, "outcome": outcomes})
+
+    out = few.groupBy("g").applyInPandas(walk, f"g {kinds['g']}, k {kinds['k']}, place int, accepted boolean, outcome string")
+    return out.select(F.col("g").alias(by), F.col("k").alias(key), "place", "accepted", "outcome")

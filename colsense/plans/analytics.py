@@ -81,6 +81,18 @@ def m11(spark, d):
     return M.diverse(e, "label", "vec_id", "v", 0.5)
 
 
+@query("m11_accepted")
+def m11b(spark, d):
+    """Vectors of each label accepted until the stop rules end the walk."""
+    return S.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60, limit=0.3, coverage=False)
+
+
+@query("m11_saturated")
+def m11c(spark, d):
+    """The same with the rule that ends it once the accepted vectors cover their neighbourhood."""
+    return S.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60)
+
+
 @query("m12_stability", "WITH c AS (SELECT user_id AS entity, event_type, count(*) AS c FROM events GROUP BY 1, 2) SELECT entity, CAST(sum(c) AS BIGINT) AS n, round(CASE WHEN sum(c) < 2 THEN 1 ELSE max(c) / sum(c) END, 6) AS stability FROM c GROUP BY 1")
 def m12(spark, d):
     return rnd(M.stability(read(spark, d, "events").withColumnRenamed("user_id", "entity"), "entity", "event_type"), "stability")
