@@ -80,39 +80,67 @@ def _words(values) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def balanced(rows: DataFrame, collection: str, genus: str, shares=(("train", 0.8), ("test", 0.1), ("validate", 0.1))) -> DataFrame:
-    """(collection, side): whole collections; the rarest genera reserve a collection for each side first, the rest is dealt by what is missing.
+#: Sides in order of priority with their shares of the collections, and the members a genus needs to reserve one on each.
+SIDES, NEEDS = (("train", 0.8), ("test", 0.1), ("validate", 0.1)), {"train": 1, "test": 2, "validate": 3}
 
-    The rest is dealt in the order of size: the k-th collection goes to the side in whose
-    part of [0, 1) the fraction of k times the golden ratio falls, so that among any
-    collections of about one size each side has the share that it lacks.
+
+def reservations(items: DataFrame, sides: list[str]) -> dict[str, str]:
+    """name -> side of the collections that genera reserve, the rarest first, one on each side that lacks it.
+
+    A genus takes the free collection whose other genera are rarest (none at all comes
+    first), then the first name. That order doesn't change on the way, and no more than
+    sides x genera collections are ever taken: so each genus needs only as many of its
+    first collections, which one job finds; the walk over genera is done on these.
+    """
+    counts = items.select(F.explode("genera").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    members = {r["g"]: r["c"] for r in counts.collect()}  # one row for each genus
+    if not members:
+        return {}
+    most = len(sides) * len(members) + len(sides)
+    known = F.map_from_arrays(F.array(*map(F.lit, members)), F.array(*map(F.lit, members.values())))
+    each = items.select("name", "genera", F.explode("genera").alias("g"))
+    others = F.array_min(F.transform(F.filter("genera", lambda x: x != F.col("g")), lambda x: F.element_at(known, x)))
+    first = first_k(each.withColumn("cost", F.coalesce(others, F.lit(0))), ["g"], [F.col("cost"), F.col("name")], most, F.col("name"))
+    choices: dict[str, list] = {}
+    for r in sorted(first.select("g", "r", "name", "genera").collect()):
+        choices.setdefault(r["g"], []).append((r["name"], r["genera"]))
+    taken: dict[str, str] = {}
+    have = {(g, s): 0 for g in members for s in sides}
+    for g in sorted(members, key=lambda g: (members[g], g)):
+        # What a genus lacks is settled before its turn.
+        for side in [s for s in sides if members[g] >= NEEDS.get(s, 1) and not have[g, s]]:
+            free = next((x for x in choices[g] if x[0] not in taken), None)
+            if free is None:
+                break
+            taken[free[0]] = side
+            for x in free[1]:
+                have[x, side] += 1
+    return taken
+
+
+def balanced(rows: DataFrame, collection: str, genus: str, shares=SIDES) -> DataFrame:
+    """(collection, side): whole collections; the rarest genera reserve a collection for each side first, then each next one by name goes to the side that lacks most of its share.
+
+    What a side lacks falls by one with each collection it gets. So the sides in order of
+    what they still lack are the greedy choices in order: the i-th free collection takes
+    the i-th of them, by one numbering of each. Collections without a genus take part.
     """
     spark = rows.sparkSession
     items = _summary(rows, collection, genus)
-    total = items.agg(F.sum("n")).first()[0] or 0
-    spread = {r["g"]: r["c"] for r in items.select(F.explode("genera").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row for each genus
-    size = {s: 0 for s, _ in shares}
-    have: dict[str, set] = {s: set() for s in size}
-    side: dict[str, str] = {}
-    for g in sorted(spread, key=lambda g: (spread[g], g)):
-        for s, _ in shares:
-            if g not in have[s]:
-                free = items.where(F.array_contains("genera", g) & ~F.array_contains(_words(side), F.col("name")))
-                best = free.agg(F.min_by(F.struct("name", "genera", "n"), F.struct("n", "name")).alias("x")).first()["x"]
-                if best:
-                    side[best["name"]] = s
-                    size[s] += best["n"]
-                    have[s] |= set(best["genera"])
+    total = items.count()
+    sides = [s for s, _ in shares]
+    side = reservations(items, sides)
     reserved = spark.createDataFrame(sorted(side.items()), "name string, side string")
-    rest = numbered(items.join(F.broadcast(reserved), "name", "left_anti").select("name", F.col("n").alias("size")), [], [F.col("size").desc(), F.col("name")])
-    lacking = {s: max(p * total - size[s], 0.0) for s, p in shares}
-    u = (F.col("i") + 1) * 0.6180339887498949
-    place, upto, choice = u - F.floor(u), 0.0, F
-    for s, _ in shares[:-1]:
-        upto += lacking[s] / (sum(lacking.values()) or 1.0)
-        choice = choice.when(place < upto, F.lit(s))
-    choice = choice.otherwise(F.lit(shares[-1][0])) if len(shares) > 1 else F.lit(shares[0][0])
-    return reserved.union(rest.select("name", choice)).withColumnRenamed("name", collection)
+    rest = numbered(items.join(F.broadcast(reserved), "name", "left_anti").select("name"), [], [F.col("name")]).select("name", "i")
+    left = total - len(side)
+    lacks = None
+    for k, (s, p) in enumerate(shares):
+        got = sum(x == s for x in side.values())
+        part = spark.range(left).select((F.lit(p * total) - (F.lit(got) + F.col("id")).cast("double")).alias("lack"), F.lit(k).alias("k"), F.lit(s).alias("side"))
+        lacks = part if lacks is None else lacks.unionByName(part)
+    turns = numbered(lacks, [], [F.col("lack").desc(), F.col("k")]).where(F.col("i") < left).select("i", "side") if left else None
+    dealt = rest.join(turns, "i").select("name", "side") if left else reserved.where("false")
+    return reserved.unionByName(dealt).withColumnRenamed("name", collection)
 
 
 def cover(rows: DataFrame, collection: str, genus: str, budget: int, least: int = 0, required: list[str] | None = None, without: DataFrame | None = None) -> DataFrame:

@@ -302,6 +302,12 @@ def k01(spark, d):
     return K.balanced(c.withColumn("collection", F.col("collection").cast("string")), "collection", "genus")
 
 
+@query("k01_quota_split")
+def k01b(spark, d):
+    """Orders as collections, the brands of their parts as genera."""
+    return K.balanced(sold(spark, d), "collection", "genus")
+
+
 @query("k06_held_tables")
 def k06(spark, d):
     """A customer's orders are a table, their priorities its labels."""

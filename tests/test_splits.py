@@ -78,19 +78,45 @@ def test_held_tables(spark, few):
     assert got == {c: "holdout" if c in held else "support" for c in items}
 
 
-@pytest.mark.parametrize("n", [60, 30_000])
-def test_balanced(spark, n):
-    """Every collection on one side, every genus on every side, sizes near the shares; also with far more collections than a driver should see."""
-    rows = frame(spark, made(random.Random(n), min(n, 3000)))
-    if n > 3000:
-        rows = rows.crossJoin(spark.range(n // 3000)).select(F.concat_ws("-", "c", "id").alias("c"), "g")
-    side = splits.balanced(rows, "c", "g")
-    assert side.count() == side.select("c").distinct().count() == rows.select("c").distinct().count()
-    per = {r["side"]: r for r in rows.join(side, "c").groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("g").alias("g")).collect()}
-    total = sum(r["n"] for r in per.values())
-    assert {r["g"] for r in per.values()} == {len(GENERA)}
-    for s, share in (("train", 0.8), ("test", 0.1), ("validate", 0.1)):
-        assert per[s]["n"] / total == pytest.approx(share, abs=0.15 if n < 1000 else 0.01)
+def plain_split(genera_of):
+    """The walk over genera and collections one by one."""
+    quota, priority = {"train": 0.8, "test": 0.1, "validate": 0.1}, {"train": 0, "test": 1, "validate": 2}
+    members = defaultdict(list)
+    for c in sorted(genera_of):
+        for g in genera_of[c]:
+            members[g].append(c)
+    side = {}
+    for g in sorted(members, key=lambda g: (len(members[g]), g)):
+        have = {side[c] for c in members[g] if c in side}
+        for s in [s for k, s in enumerate(quota, 1) if len(members[g]) >= k and s not in have]:
+            free = [(min((len(members[x]) for x in genera_of[c] - {g}), default=0), c) for c in members[g] if c not in side]
+            if not free:
+                break
+            side[min(free)[1]] = s
+    counts = {s: sum(x == s for x in side.values()) for s in quota}
+    for c in sorted(genera_of):
+        if c not in side:
+            s = max(quota, key=lambda s: (quota[s] * len(genera_of) - counts[s], -priority[s]))
+            side[c] = s
+            counts[s] += 1
+    return side
+
+
+@pytest.mark.parametrize(("n", "blank"), [(2, 0), (7, 1), (60, 3), (61, 0), (30_000, 100)])
+def test_balanced_is_the_plain_walk(spark, n, blank):
+    """Rare genera and collections without one; also with far more collections than a driver should see."""
+    rng = random.Random(n)
+    rows = [*made(rng, n), *[(f"c{k:05d}", "rare1") for k in rng.sample(range(n), min(n, 2))], *[(f"c{k:05d}", "rare2") for k in rng.sample(range(n), 1)], *[(f"b{k}", None) for k in range(blank)]]
+    genera_of = defaultdict(set)
+    for c, g in rows:
+        genera_of[c] |= {g} - {None}
+    got = splits.balanced(frame(spark, rows), "c", "g").collect()
+    assert len(got) == len(genera_of)
+    assert {r["c"]: r["side"] for r in got} == plain_split(genera_of)
+
+
+def test_balanced_without_collections(spark):
+    assert splits.balanced(frame(spark, []), "c", "g").count() == 0
 
 
 def test_covers_of_many_collections(spark):
