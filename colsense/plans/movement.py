@@ -43,17 +43,49 @@ def x02b(spark, d):
     return X.sessions(read(spark, d, "events"), "user_id", "7200 seconds").select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
+_WATCH = X.Watch(stall=7200, slow=14400, failed=4, slow_phase="view", failure="error", error="", terminal=("purchase",))
+# The watermark of a stream over all events: the latest of them, in whole milliseconds, less ten minutes.
+_UNTIL = "u AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 AS until FROM events)"
+_TRIGGERS = f"""WITH {_UNTIL}, e AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type AS s, until FROM events, u WHERE epoch_us(ts) <= until),
+ o AS (SELECT *, sum(CASE WHEN s = 'purchase' THEN 1 ELSE 0 END) OVER w AS over_ FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+ r AS (SELECT *, coalesce(lead(t) OVER w, until + 1) AS horizon, CASE WHEN lag(s) OVER w = s THEN 0 ELSE 1 END AS new, count(*) FILTER (WHERE s = 'error') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM o WHERE over_ = 0 OR (s = 'purchase' AND over_ = 1) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+ p AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phase FROM r)
+ SELECT user_id, 'stall' AS trigger, min(t) + 7200000000 AS at FROM p WHERE s <> 'purchase' AND t + 7200000000 < horizon GROUP BY user_id, phase
+ UNION ALL SELECT user_id, 'slow_phase', min(t) + 14400000000 FROM p WHERE s = 'view' GROUP BY user_id, phase HAVING min(t) + 14400000000 < max(horizon)
+ UNION ALL SELECT user_id, 'failures', min(t) FROM p WHERE s = 'error' AND n = 4 GROUP BY user_id"""
+
+
+@query("x02_triggers", _TRIGGERS)
+def x02c(spark, d):
+    e = read(spark, d, "events")
+    until = e.agg(((F.floor(F.max(F.unix_micros("ts")) / 1000) - 600_000) * 1000).alias("u"))
+    return X.triggers(e, "user_id", "event_type", _WATCH, until)
+
+
+@query("x02_triggers_stream", _TRIGGERS)
+def x02d(spark, d):
+    """The same from the stream, by timers, as far as its watermark comes."""
+    return X.run_available(spark, X.triggers_live(stream(spark, d), "user_id", "event_type", _WATCH), shared_folder(spark))
+
+
+@query("x08_sessions_stream", f"WITH {_UNTIL}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g), z AS (SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 7200000000 AS stop, count(*) AS n FROM s GROUP BY user_id, s.s) SELECT user_id, start, stop, n FROM z, u WHERE stop <= until")
+def x08b(spark, d):
+    """Sessions that the watermark has closed, from the stream."""
+    out = X.run_available(spark, X.sessions(stream(spark, d), "user_id", "7200 seconds"), shared_folder(spark))
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "n")
+
+
 @query("x03_resources", "SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1, 2")
 def x03(spark, d):
     r = X.resources(read(spark, d, "events"))
     return rnd(r.select(F.unix_micros("start").alias("start"), "event_type", "n", "mean", "most"), "mean")
 
 
-@query("x03_x08_resources_stream")
+@query("x03_x08_resources_stream", f"WITH {_UNTIL}, w AS (SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1, 2) SELECT w.* FROM w, u WHERE start + 3600000000 <= until")
 def x03b(spark, d):
     """Windows that the watermark has closed, from the stream."""
     out = X.run_available(spark, X.resources(stream(spark, d)), shared_folder(spark))
-    return out.select("start", "event_type", "n", "mean", "most")
+    return rnd(out.select(F.unix_micros("start").alias("start"), "event_type", "n", "mean", "most"), "mean")
 
 
 _ALLOWED = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view"), ("purchase", "view")]
