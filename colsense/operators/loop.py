@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,24 +72,81 @@ def trajectories(rows: DataFrame) -> DataFrame:
     return r.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.coalesce("rg", "rk"), "iteration").alias("last_ratio"))
 
 
-def outcome(gap: Column, plateau_: Column, spent: Column, budget: int, left: Column) -> Column:
-    return F.when(gap <= 0.18, "gap_threshold_met").when(left == 0, "no_revisit_candidates").when(spent >= budget, "budget_exhausted").when(plateau_, "plateau").otherwise("running")
+class Stops(NamedTuple):
+    """When the rounds end, and which entities are asked again.
 
+    Fixed values: rounds at most and at least, mean gap that is small enough, and the
+    bounds on gap, belief and conflict beyond which an answer is uncertain or disputed.
+    """
 
-def revisit(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], stage: Callable[[DataFrame], DataFrame], most: int = 5, least: int = 2) -> tuple[DataFrame, list[dict]]:
-    """Rounds of ``step`` over rows (entity, gap, k, bel, ...) until the mean gap is small, does not fall, or nothing is uncertain.
-
-    ``stage`` writes a round's rows down, so each round starts from files; only the round's means come to the driver.
+    most: int = 5
+    least: int = 2
+    budget: int = 1_000_000
+    mean_gap: float = 0.18
+    gap: float = 0.18
+    bel: float = 0.45
+    k: float = 0.2
+
+
+def candidates(beliefs: DataFrame, stops: Stops) -> DataFrame:
+    """(entity) of answers that differ from the newest vote under conflict, or are uncertain."""
+    disputed = (F.col("code") != F.col("vote")) & (F.col("k") > stops.k)
+    return beliefs.where(F.coalesce(disputed, F.lit(False)) | (F.round("gap", 9) > stops.gap) | (F.round("bel", 9) < stops.bel)).select("entity")
+
+
+def revisit(
+    evidence: DataFrame, first: DataFrame, fuse: Callable[[DataFrame, DataFrame], DataFrame], ask: Callable[[DataFrame, int], DataFrame], stage: Callable[[DataFrame], DataFrame], stops: Stops = Stops()
+) -> tuple[DataFrame, DataFrame, list[dict], str]:
+    """Rounds that ask again about uncertain entities and fuse these anew: (beliefs, votes, log, outcome).
+
+    evidence: (entity, source, focal, mass) that stays as it is; first: the votes (entity,
+    code, confidence) of round 0. ``fuse(evidence, votes)`` gives (entity, code, bel, gap, k);
+    ``ask(entities, round)`` gives new votes, for as many of the entities as it can.
+    The state is two tables that ``stage`` writes down: votes (entity, code, confidence,
+    round), the newest of which counts, and beliefs, with the vote and the round in which
+    an entity was last fused. A round fuses its candidates alone; of a round only its
+    means and counts come to the driver.
+
+    Rounds end when nothing is uncertain, when ``budget`` questions have been asked, when
+    the mean gap is small or has not fallen in two rounds (all but the budget after
+    ``least`` rounds), or after ``most``: outcome no_revisit_candidates, budget_exhausted,
+    gap_threshold_met, plateau or iterations_exhausted. An answer that no evidence backs
+    any more leaves the beliefs.
     """
-    rows, log = stage(start), []
-    for i in range(most):
-        rows = stage(step(rows, i))
-        m = rows.agg(F.avg("gap").alias("gap"), F.count_if((F.col("gap") > 0.18) | (F.col("bel") < 0.45)).alias("left")).first().asDict() | {"iteration": i}
-        log.append(m)
-        flat = len(log) > 2 and all(log[-k]["gap"] - log[-k - 1]["gap"] >= -1e-6 for k in (1, 2))
-        if i + 1 >= least and (m["left"] == 0 or m["gap"] <= 0.18 or flat):
-            break
-    return rows, log
+
+    def fused(of: DataFrame, votes: DataFrame, i: int) -> DataFrame:
+        newest = votes.select("entity", F.col("code").alias("vote"))
+        return fuse(of, votes).join(newest, "entity", "left").select("entity", "code", "bel", "gap", "k", "vote", F.lit(i).alias("round"))
+
+    def told(beliefs: DataFrame, i: int, asked: int) -> dict:
+        m = beliefs.agg(F.avg("gap").alias("gap"), F.avg("k").alias("k"), F.avg("bel").alias("bel")).first().asDict()
+        return m | {"round": i, "asked": asked}
+
+    votes = stage(first.select("entity", "code", "confidence", F.lit(0).alias("round")))
+    beliefs = stage(fused(evidence, votes, 0))
+    log = [told(beliefs, 0, 0)]
+    for i in range(1, stops.most + 1):
+        again = stage(candidates(beliefs, stops))
+        n, free = again.count(), i > stops.least
+        gaps = [x["gap"] or 0.0 for x in log]
+        flat = len(gaps) > 2 and all(gaps[-j] - gaps[-j - 1] >= -1e-6 for j in (1, 2))
+        if not n and free:
+            return beliefs, votes, log, "no_revisit_candidates"
+        if sum(x["asked"] for x in log) >= stops.budget:
+            return beliefs, votes, log, "budget_exhausted"
+        if gaps[-1] < stops.mean_gap and free:
+            return beliefs, votes, log, "gap_threshold_met"
+        if flat and free:
+            return beliefs, votes, log, "plateau"
+        if n:
+            new = stage(ask(again, i).select("entity", "code", "confidence", F.lit(i).alias("round")))
+            old = votes
+            votes = stage(old.unionByName(new))
+            newest = votes.groupBy("entity").agg(F.max_by(F.struct("code", "confidence"), "round").alias("x")).select("entity", "x.*")
+            redone = fused(evidence.join(again, "entity", "left_semi"), newest.join(again, "entity", "left_semi"), i)
+            beliefs = stage(beliefs.join(again, "entity", "left_anti").unionByName(redone))
+        log.append(told(beliefs, i, n))
+    return beliefs, votes, log, "iterations_exhausted"
 
 
 def vote_sources(votes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ group is never sorted in one place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,53 @@ def stratified_rows(df: DataFrame, by: list[str], value: str, key: str, k: int,
     return first_k(rows, by, [F.col("i"), F.col("third")], k, F.col(key)).drop("n", "i", "r")
 
 
+def rarity(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """df with ``rarity``: for each pattern that the value fits, 1 over the number of the group's values that fit it.
+
+    Patterns are tried on distinct values with their counts; a value that fits none has 0.
+    """
+    from colsense.functions import patterns as P
+
+    distinct = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    fits = F.array_compact(F.array(*[F.when(P.matches(F.col("_v"), p), F.lit(p)) for p in P.PATTERNS]))
+    each = write_down(distinct.withColumn("_p", fits).where(F.size("_p") > 0).select(*by, "_v", "_c", F.explode("_p").alias("_p")))
+    names = [f"_k{k}" for k in range(len(by))]
+    group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(by, names)], F.lit(True))
+    counts = each.groupBy(*[F.col(c).alias(x) for c, x in zip(by, names)], F.col("_p").alias("_q")).agg(F.sum("_c").alias("_n"))  # a row for each group and pattern
+    scored = each.join(counts, group & (F.col("_p") == F.col("_q"))).groupBy(*by, "_v").agg(F.round(F.sum(1 / F.col("_n")), 12).alias("rarity"))
+    same = group & (F.col(value) == F.col("_v"))
+    out = df.join(scored.withColumnsRenamed(dict(zip(by, names))), same, "left").drop("_v", *names)
+    return out.withColumn("rarity", F.coalesce("rarity", F.lit(0.0)))
+
+
+def rarest_rows(df: DataFrame, by: list[str], value: str, key: str, k: int, iteration: int = 0) -> DataFrame:
+    """k rows of each group, from the thirds of its values by length, those with rare patterns first; rotates by iteration.
+
+    A third gives k/3 rows (one more for the first k mod 3, and for the last third what the
+    others' rounding leaves it), from place iteration x rows on, round and round; groups of
+    fewer than three rows have fewer parts. Groups of up to k rows are taken whole. What
+    thirds that are too small leave open is filled from the group's other rows in the
+    order of the MD5 of iteration and key. Ties of length and of rarity go by the key.
+    """
+    n = F.col("n")
+    sized = numbered(df, by, [F.length(value), F.col(key)])
+    part = F.when(F.col("i") < F.floor(n / 3), 1).when(F.col("i") < F.floor(2 * n / 3), 2).otherwise(3)
+    parts = F.when(n >= 3, 3).when(n == 2, 2).otherwise(1)
+    rows = write_down(sized.withColumns({"third": part, "_size": n, "_parts": parts}).drop("i", "n"))
+    scored = rarity(rows, by, value, key)
+    placed = numbered(scored, [*by, "third"], [F.col("rarity").desc(), F.col(key)])
+    # The place of a third among those that have rows.
+    nth = F.when(F.col("_parts") == 3, F.col("third") - 1).when(F.col("_parts") == 2, F.col("third") - 2).otherwise(0)
+    each = F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("_parts")))
+    share = F.least(each + F.when(nth < k - each * F.col("_parts"), 1).otherwise(0), n)
+    turn = F.pmod(F.col("i") - F.pmod(iteration * share, n), n)
+    chosen = (F.col("_size") <= k) | (turn < share)
+    fill = F.md5(F.concat_ws(":", F.lit(str(iteration)), F.col(key).cast("string")))
+    order = [(~F.col("_chosen")).cast("int"), F.when(F.col("_chosen"), F.col("third")), F.when(F.col("_chosen"), F.col("_turn")), F.col("_fill"), F.col(key)]
+    rows = placed.withColumns({"_chosen": chosen, "_turn": turn, "_fill": fill})
+    return first_k(rows, by, order, k, F.col(key)).drop("_chosen", "_turn", "_fill", "_size", "_parts", "i", "n").withColumnRenamed("r", "place")
+
+
 def plan(strata: DataFrame, total: int, fraction: float, least: int) -> DataFrame:
     """strata (code, size, rare) with ``take``: all of rare ones, a share of the rest, at least ``least``, never more than there are."""
     budget = min(500, int(total * fraction))

@@ -37,6 +37,16 @@ def m03(spark, d):
     return M.stratified_rows(read(spark, d, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], "p_name", "p_partkey", 6, 1)
 
 
+@query("m03_rarest_rows")
+def m03b(spark, d):
+    """Ten words with a digit or @ of each source's documents, by the rarity of the patterns that they fit."""
+    from .inputs import token_cells
+
+    words = token_cells(spark, d).select("column", F.col("row_ix").alias("doc_id"), "value").distinct()
+    words = words.withColumn("id", F.concat_ws(":", F.col("doc_id").cast("string"), "value"))
+    return M.rarest_rows(words, ["column"], "value", "id", 10, 1).select("column", "doc_id", "value", "third", "place")
+
+
 _STRATA = "strata AS (SELECT CASE WHEN conf > 0.3 THEN split_part(pred, '.', 1) || '.' || split_part(pred, '.', 2) ELSE 'UNRESOLVED' END AS code, count(*) AS size, avg(conf) AS mean_conf FROM pairs GROUP BY 1)"
 
 
@@ -84,13 +94,13 @@ def m11(spark, d):
 @query("m11_accepted")
 def m11b(spark, d):
     """Vectors of each label accepted until the stop rules end the walk."""
-    return S.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60, limit=0.3, coverage=False)
+    return M.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60, limit=0.2, coverage=False)
 
 
 @query("m11_saturated")
 def m11c(spark, d):
     """The same with the rule that ends it once the accepted vectors cover their neighbourhood."""
-    return S.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60)
+    return M.accept(read(spark, d, "embeddings"), "label", "vec_id", "embedding", target=60)
 
 
 @query("m12_stability", "WITH c AS (SELECT user_id AS entity, event_type, count(*) AS c FROM events GROUP BY 1, 2) SELECT entity, CAST(sum(c) AS BIGINT) AS n, round(CASE WHEN sum(c) < 2 THEN 1 ELSE max(c) / sum(c) END, 6) AS stability FROM c GROUP BY 1")

@@ -458,19 +458,34 @@ def c09(spark, d):
 
 @query("c10_c12_revisit")
 def c10(spark, d):
-    """Rounds that halve the gap of the uncertain entities; the log of the loop comes out."""
+    """Customers whose segment is voted by three of their orders; uncertain ones are asked again about the next three, by rotation.
+
+    The priorities of orders stand for segments, both in order of their names; a vote's
+    confidence is the share of the three that agree.
+    """
+    from colsense.operators import fusion, sampling
     from colsense.sources.sinks import write_down
 
-    rows = iterations(spark, d).groupBy("entity").agg(F.avg("gap").alias("gap"), F.avg("bel").alias("bel"), F.avg("k").alias("k"))
+    from .inputs import Frame, masses
+    from .pipeline import classify
+
+    frame = Frame(spark, d)
+    orders = read(spark, d, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_orderpriority")
+    nth = lambda df, c, name: df.select(c).distinct().withColumn("nth", F.row_number().over(Window.orderBy(c))).withColumnRenamed(c, name)  # noqa: E731  five names each
+    segments = nth(read(spark, d, "customer"), "c_mktsegment", "segment").join(nth(orders, "o_orderpriority", "o_orderpriority"), "nth").drop("nth")
+    pool = write_down(orders.join(customers(spark, d).select("entity", "mid"), "entity").join(F.broadcast(segments), "o_orderpriority").select("entity", "o_orderkey", F.concat_ws(".", "mid", "segment").alias("code")))
+
+    def ask(again, i):
+        rows = sampling.sliding(pool.join(again, "entity", "left_semi"), ["entity"], "o_orderkey", 3, i)
+        return rows.groupBy("entity", "code").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.max_by("code", F.struct("n", "code")).alias("code"), (F.max("n") / F.sum("n")).alias("confidence"))
 
-    def step(r, i):
-        unsure = (F.col("gap") > 0.18) | (F.col("bel") < 0.45)
-        return r.withColumn("gap", F.when(unsure, F.col("gap") * 0.5).otherwise(F.col("gap"))).withColumn("bel", F.when(unsure, 1 - F.col("gap")).otherwise(F.col("bel")))
+    def fuse(evidence, votes):
+        voted = fusion.vote_masses(votes.withColumn("rank", F.lit(1))).withColumn("source", F.lit("vote"))
+        return classify(evidence.unionByName(voted.select("entity", "source", "focal", "mass")), frame, ["name", "pattern", "vote"])
 
-    out, log = L.revisit(rows, step, write_down)
-    n = len(log)
-    tag = L.outcome(F.col("gap"), F.lit(False), F.lit(n), 5, F.lit(log[-1]["left"]))
-    return out.select("entity", "gap", "bel", tag.alias("outcome"), F.lit(n).alias("rounds"))
+    fixed = write_down(masses(spark, d).where("source <> 'vote'").select("entity", "source", "focal", "mass"))
+    out, _, log, tag = L.revisit(fixed, ask(pool.select("entity").distinct(), 0), fuse, ask, write_down, L.Stops(most=3))
+    return out.select("entity", "code", "vote", "round", "gap", "bel", F.lit(tag).alias("outcome"), F.lit(len(log) - 1).alias("rounds"))
 
 
 @query("c11_vote_sources", "WITH v AS (SELECT user_id AS entity, event_type AS code, value AS confidence, CAST(day(ts) AS INT) AS iteration, CASE event_type WHEN 'click' THEN 'direct' WHEN 'view' THEN 'propagated' ELSE 'revisit' END AS source, event_id FROM events), f AS (SELECT entity, iteration, source, max(confidence) AS confidence FROM v GROUP BY 1, 2, 3) SELECT entity, source, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY iteration DESC, CASE source WHEN 'revisit' THEN 2 WHEN 'direct' THEN 1 ELSE 0 END DESC) AS r FROM f) WHERE r = 1")

@@ -112,7 +112,7 @@ def test_late_rows_are_left_out_and_counted(spark, tmp_path):
 
 def test_sessions_that_the_watermark_closes(spark, tmp_path):
     """Sessions grow over batches; those that may still grow are not given out."""
-    batches = [[(1, at(0), "a", "x", 0.0), (2, at(50), "b", "x", 0.0)], [(3, at(100), "a", "x", 0.0)], [(4, at(190), "a", "x", 0.0), (5, at(700), "b", "x", 0.0)], [(6, at(1500), "c", "x", 0.0), (7, at(5), "b", "x", 0.0)]]
+    batches = [[(1, at(0), "a", "x", 0.0), (2, at(50), "b", "x", 0.0)], [(3, at(100), "a", "x", 0.0)], [(4, at(190), "a", "x", 0.0), (5, at(700), "b", "x", 0.0)], [(6, at(1500), "c", "x", 0.0)], [(7, at(5), "b", "x", 0.0), (8, at(1510), "c", "x", 0.0)]]
     out, told = X.run_counted(spark, X.sessions(stream(spark, str(tmp_path / "in"), batches), "run", "120 seconds", "60 seconds"), str(tmp_path / "run"))
     assert sorted((r["run"], r["start"], r["stop"], r["n"]) for r in out.collect()) == [("a", at(0), at(310), 3), ("b", at(50), at(170), 1), ("b", at(700), at(820), 1)]
     assert told["late"] == 1
