@@ -221,6 +221,34 @@ def evidence_text(masses: DataFrame) -> DataFrame:
     return top.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(part)), "; ").alias("evidence"))
 
 
+def hundredths(x: Column) -> Column:
+    """A number from 0 on with two digits behind the point, half up, as text."""
+    n = F.floor(F.round(x, 9) * 100 + 0.5).cast("long")
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
+def evidence(masses: DataFrame, sources: list[str], answer: DataFrame, iv: DataFrame, nodes: DataFrame, least: float = 0.15) -> DataFrame:
+    """(entity, evidence): each source's strongest code, the answer with Bel, Pl and K, and the strongest subtree elsewhere.
+
+    answer: (entity, code, label, bel, pl, k), one row each. A source without a code shows
+    0.000; a subtree below another root is named from a belief of ``least`` on. A subtree
+    goes by its code; of equal masses the first element by name counts.
+    """
+    code = F.regexp_replace("focal", r"\*$", "")
+    order = Window.partitionBy("entity", "source").orderBy(F.round("mass", 12).desc(), "focal")
+    top = masses.where(F.col("focal") != ALL).withColumn("r", F.row_number().over(order)).where("r = 1")
+    told = top.groupBy("entity").agg(*[F.max(F.when(F.col("source") == s, F.concat(F.lit(f"{s}→"), code, F.lit("("), hundredths(F.col("mass")), F.lit(")")))).alias(f"_{k}") for k, s in enumerate(sources)])
+    parts = F.concat_ws(", ", *[F.coalesce(f"_{k}", F.lit(f"{s}=0.000")) for k, s in enumerate(sources)])
+    wide = iv.where(F.endswith("focal", F.lit("*")) & (F.round("bel", 9) >= least)).select("entity", code.alias("other"), F.col("bel").alias("_bel"))
+    rival = answer.select("entity", "code").join(wide, "entity").where(F.substring_index("other", ".", 1) != F.substring_index("code", ".", 1))
+    best = rival.groupBy("entity").agg(F.min_by(F.struct("other", "_bel"), F.struct((-F.round("_bel", 9)).alias("b"), F.col("other").alias("o"))).alias("x"))
+    best = best.join(nodes.select(F.col("code").alias("_c"), F.col("label").alias("_label")), F.col("x.other") == F.col("_c"), "left")
+    more = F.concat(F.lit(" [competing: "), F.coalesce("_label", "x.other"), F.lit(" ("), F.col("x.other"), F.lit(") Bel="), hundredths(F.col("x._bel")), F.lit("]"))
+    rows = answer.join(told, "entity", "left").join(best, "entity", "left")
+    text = F.concat(F.lit("dst("), parts, F.lit(") → "), F.coalesce("label", "code"), F.lit(" [Bel="), hundredths(F.col("bel")), F.lit(", Pl="), hundredths(F.col("pl")), F.lit(", K="), hundredths(F.col("k")), F.lit("]"), F.coalesce(more, F.lit("")))
+    return rows.select("entity", text.alias("evidence"))
+
+
 def top_masses(masses: DataFrame, keep: int = 3) -> DataFrame:
     """(entity, source, rank, focal, mass): the strongest elements of each source but Z."""
     order = Window.partitionBy("entity", "source").orderBy(F.round("mass", 12).desc(), "focal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from colsense.operators import fusion as D
@@ -260,6 +262,42 @@ def d32(spark, d):
     return rounded(classify(masses(spark, d), Frame(spark, d), SOURCES), "bel", "pl", "gap", "k")
 
 
+# The whole result row (D32) with the evidence text (D24). Every ninth customer has no evidence, every fifth no vote.
+_H = lambda x: f"(CAST(floor(round({x}, 9) * 100 + 0.5) AS BIGINT) // 100 || '.' || lpad(CAST(CAST(floor(round({x}, 9) * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
+_INDEP = re.sub(r"\b([spq])(\d)\b", r"i\1\2", fused_sql(["name", "pattern"]).replace("fused", "indep"))
+_ROWS = (
+    f"{BASE}, " + f"{fused_sql(SOURCES)}, {_INDEP}, {_BELIEF}, {_HEAD}".replace("FROM masses", "FROM mf").replace("JOIN masses", "JOIN mf")
+).replace("fr AS (SELECT code AS focal", "mm AS (SELECT * FROM masses WHERE entity % 9 <> 0 AND NOT (entity % 5 = 0 AND source = 'vote')), mf AS (SELECT * FROM mm UNION ALL SELECT DISTINCT entity, 'vote', 'Z', 1.0::DOUBLE FROM mm WHERE entity % 5 = 0), fr AS (SELECT code AS focal", 1)
+_ROW_PARTS = f"""i9 AS MATERIALIZED (SELECT entity, focal, regexp_replace(focal, '[*]$', '') AS code, suffix(focal, '*') AS wide, round(bel, 9) AS bel, round(pl, 9) AS pl FROM iv),
+ ow AS (SELECT entity, code, arg_max(struct_pack(b := bel, p := pl), wide) AS x FROM i9 GROUP BY 1, 2), kk AS (SELECT entity, max(k) AS k FROM fused GROUP BY 1),
+ an AS MATERIALIZED (SELECT h.entity, h.code, n.label, upper(n.label[1:6]) AS mnemonic, h.mass, coalesce(x.b, 0) AS bel, coalesce(x.p, 0) AS pl, k, CASE WHEN h.code IN (SELECT parent_code FROM nodes WHERE parent_code IS NOT NULL) THEN 'internal' ELSE 'leaf' END AS top_kind FROM head h LEFT JOIN ow ON ow.entity = h.entity AND ow.code = h.code LEFT JOIN nodes n ON n.code = h.code JOIN kk ON kk.entity = h.entity),
+ tm AS (SELECT *, row_number() OVER (PARTITION BY entity, source ORDER BY round(mass, 12) DESC, focal) AS r FROM mm WHERE focal <> 'Z'),
+ pt AS (SELECT entity, {", ".join(f"max(CASE WHEN source = '{s}' THEN '{s}→' || regexp_replace(focal, '[*]$', '') || '(' || {_H('mass')} || ')' END) AS p{k}" for k, s in enumerate(SOURCES))} FROM tm WHERE r = 1 GROUP BY 1),
+ rv AS (SELECT a.entity, arg_min(struct_pack(c := i.code, b := i.bel), struct_pack(b := -round(i.bel, 9), o := i.code)) AS x FROM an a JOIN i9 i ON i.entity = a.entity AND i.wide AND round(i.bel, 9) >= 0.15 AND split_part(i.code, '.', 1) <> split_part(a.code, '.', 1) GROUP BY 1),
+ ev AS (SELECT a.entity, 'dst(' || {" || ', ' || ".join(f"coalesce(p{k}, '{s}=0.000')" for k, s in enumerate(SOURCES))} || ') → ' || coalesce(a.label, a.code) || ' [Bel=' || {_H('a.bel')} || ', Pl=' || {_H('a.pl')} || ', K=' || {_H('a.k')} || ']' || coalesce(' [competing: ' || coalesce(n.label, rv.x.c) || ' (' || rv.x.c || ') Bel=' || {_H('rv.x.b')} || ']', '') AS evidence FROM an a LEFT JOIN pt USING (entity) LEFT JOIN rv USING (entity) LEFT JOIN nodes n ON n.code = rv.x.c),
+ es AS (SELECT entity, string_agg(source || ': ' || t, '; ' ORDER BY source) AS evidence_sources FROM (SELECT entity, source, string_agg(focal || ' ' || {_H('mass')}, ', ' ORDER BY r) AS t FROM tm WHERE r <= 3 GROUP BY 1, 2) GROUP BY 1),
+ bp AS (SELECT a.entity, string_agg(c.ancestor || ' ' || {_H('round(coalesce(ow.x.b, 0), 3)')}, ' < ' ORDER BY c.distance) AS belief_path FROM an a JOIN clo c ON c.code = a.code LEFT JOIN ow ON ow.entity = a.entity AND ow.code = c.ancestor GROUP BY 1),
+ rk AS (SELECT *, len(string_split(code, '.')) - 1 AS depth, row_number() OVER (PARTITION BY entity, split_part(code, '.', 1), wide ORDER BY round(bel, 12) DESC, len(string_split(code, '.')) DESC, focal) AS r FROM i9 WHERE focal <> 'Z'),
+ bv AS (SELECT * FROM rk WHERE bel >= 0.5 OR (r = 1 AND bel >= 0.05)), cs AS (SELECT entity, string_agg(focal || ' ' || {_H('bel')}, ', ' ORDER BY depth, focal) AS cross_subtree_belief FROM bv GROUP BY 1),
+ cc AS (SELECT entity, code AS cautious_code FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(code, '.')) DESC, round(bel, 12) DESC, code) AS r FROM i9 WHERE focal <> 'Z' AND round(bel, 3) >= 0.7) WHERE r = 1),
+ be AS (SELECT entity, code AS better FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY depth DESC, round(bel, 12) DESC, focal) AS r2 FROM bv WHERE bel >= 0.5) WHERE r2 = 1),
+ pr AS (SELECT h.entity, CASE WHEN coalesce(i.bel, 0) < 0.5 AND better <> h.code THEN better END AS cautious_promoted_code FROM head h LEFT JOIN i9 i ON i.entity = h.entity AND i.focal = h.code LEFT JOIN be ON be.entity = h.entity),
+ tp AS (SELECT h.entity, h.code, i.bel FROM head h LEFT JOIN i9 i ON i.entity = h.entity AND i.focal = h.code), ot AS (SELECT t.entity, max(i.bel) AS o FROM tp t JOIN i9 i ON i.entity = t.entity AND i.bel > 0 WHERE NOT EXISTS (SELECT 1 FROM meet m WHERE m.f1 = t.code AND m.f2 = i.focal) GROUP BY 1),
+ mg AS (SELECT t.entity, CASE WHEN o IS NULL THEN 1 ELSE greatest(coalesce(bel, 0) - o, 0) END AS margin FROM tp t LEFT JOIN ot USING (entity)),
+ al AS (SELECT entity, focal AS independent_top1_code, round(mass, 4) AS independent_top1_mass, round(k, 4) AS independent_top1_conflict FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mass DESC, focal) AS r FROM indep WHERE focal <> 'Z' AND NOT suffix(focal, '*')) WHERE r = 1),
+ vt AS (SELECT entity, focal AS llm_code, mass AS llm_confidence FROM mm WHERE source = 'vote' AND focal <> 'Z' AND NOT suffix(focal, '*'))"""
+
+
+@query("d32_result_rows", f"{_ROWS}, {_ROW_PARTS} SELECT c.entity, an.code AS predicted_code, coalesce(an.label, '') AS predicted_label, coalesce(mnemonic, '') AS predicted_annotation, round(coalesce(an.mass, 0), 4) AS confidence, round(coalesce(an.bel, 0), 4) AS belief, round(coalesce(an.pl, 1), 4) AS plausibility, round(coalesce(an.pl - an.bel, 1), 4) AS uncertainty, round(coalesce(an.k, 0), 4) AS conflict, coalesce(round(an.bel, 6) < 0.8 OR round(an.pl - an.bel, 6) > 0.2, false) AS needs_clarification, top_kind, round(margin, 4) AS top1_margin, coalesce(evidence, '') AS evidence, coalesce(evidence_sources, '') AS evidence_sources, belief_path, cautious_code, cross_subtree_belief, cautious_promoted_code, leaf AS reference_code, coalesce(n.label, '') AS reference_label, CASE WHEN an.code IS NOT NULL THEN leaf = an.code END AS matches_reference, llm_code, round(coalesce(llm_confidence, 0), 4) AS llm_confidence, independent_top1_code, independent_top1_mass, independent_top1_conflict FROM cust c LEFT JOIN an USING (entity) LEFT JOIN mg USING (entity) LEFT JOIN ev USING (entity) LEFT JOIN es USING (entity) LEFT JOIN bp USING (entity) LEFT JOIN cs USING (entity) LEFT JOIN cc USING (entity) LEFT JOIN pr USING (entity) LEFT JOIN al USING (entity) LEFT JOIN vt USING (entity) LEFT JOIN nodes n ON n.code = leaf")
+def d32b(spark, d):
+    from .pipeline import result_rows
+
+    m = write_down(masses(spark, d).where((F.col("entity") % 9 != 0) & ~((F.col("entity") % 5 == 0) & (F.col("source") == "vote"))))
+    who = customers(spark, d)
+    votes = m.where((F.col("source") == "vote") & (F.col("focal") != "Z") & ~F.endswith("focal", F.lit("*"))).select("entity", F.col("focal").alias("llm_code"), F.col("mass").alias("llm_confidence"))
+    return result_rows(who.select("entity"), m, Frame(spark, d), SOURCES, ["name", "pattern"], votes, who.select("entity", F.col("leaf").alias("reference_code")))
+
+
 _STEPS = [0.25, 0.5, 0.75, 1.0]
 _CELLS = "grid AS (SELECT a.i + 4 * b.i + 16 * c.i AS grid, (a.i + 1) / 4.0::DOUBLE AS an, (b.i + 1) / 4.0::DOUBLE AS ap, (c.i + 1) / 4.0::DOUBLE AS av FROM range(4) a(i), range(4) b(i), range(4) c(i)), m2 AS (SELECT grid * 1000000000 + entity AS entity, source, focal, mass * CASE source WHEN 'name' THEN an WHEN 'pattern' THEN ap ELSE av END AS mass FROM masses, grid WHERE focal <> 'Z'), m3 AS (SELECT * FROM m2 UNION ALL SELECT entity, source, 'Z', 1 - sum(mass) FROM m2 GROUP BY 1, 2)"
 

@@ -18,7 +18,7 @@ SQL = entry.oracle_sql()
 PART = """f01_counts f03_length_entropy f04_f05_lengths_and_numbers f07_f13_pattern_counts f08_f09_fired_patterns f14_enums f15_sibling_domains f16_closest_siblings f17_descriptions p05_oversplit_repair p15_leaks
  t02_nearest_present t03_t04_closure t07_paths t09_findings t13_lift t19_path_weights t20_tree_distance t21_placement t23_path_walk d01_meet d08_yager_two d09_dempster_three d03_d04_intervals d23_headline d19_vote_masses
  j01_name_match j07_integrity j12_resolve_code e02_per_class e09_iteration_scores e16_w01_coverage_rollup e19_calibration_error c04_metrics c08_plateau m03_stratified_rows m07_plan g02_late_interaction g04_propagate g07_cohesion
- k03_even_odd k07_k08_deficits q01_q06_checks v07_v08_versions s18_reference_map s26_holdout_tables x01_rolling_median x02_sessions x04_illegal_steps_stream e23_path_product d38_invariants d38_belief_invariants""".split()
+ k03_even_odd k07_k08_deficits q01_q06_checks v07_v08_versions s18_reference_map s26_holdout_tables x01_rolling_median x02_sessions x04_illegal_steps_stream e23_path_product d38_invariants d38_belief_invariants d32_result_rows x02_triggers x02_triggers_stream x08_sessions_stream s01_csv_folder s03_discovery""".split()
 NAMES = sorted(SQL) if os.environ.get("TEST_ALL") else [n for n in PART if n in SQL]
 
 
@@ -54,6 +54,17 @@ def test_same_rows(spark, duck, name):
 
 
 def test_entry(spark):
-    out = entry.entry(spark).toPandas()
-    assert len(out) > 5 and set(out.columns) == {"entity", "code", "label", "bel", "pl", "gap", "k"}
-    assert out.set_index("entity").loc["pages.url", "code"] == "1.2"
+    """Every string column has a row; those whose names and values say nothing have the empty one."""
+    out = entry.entry(spark).toPandas().set_index("entity")
+    assert len(out) > 12 and {"predicted_code", "belief", "plausibility", "conflict", "evidence", "belief_path", "cautious_code", "independent_top1_code"} <= set(out.columns)
+    assert out.loc["pages.url", "predicted_code"] == "1.2" and out.loc["pages.url", "evidence"].startswith("dst(name")
+    empty = out[out["predicted_code"].isna()]
+    assert set(zip(empty["belief"], empty["plausibility"], empty["evidence"])) <= {(0.0, 1.0, "")}
+
+
+def test_meanings_are_the_answers_of_the_whole_rows(spark):
+    from colsense.plans.pipeline import column_meanings
+
+    whole = {r["entity"]: (r["predicted_code"], r["predicted_label"]) for r in entry.entry(spark).collect()}
+    short = {r["entity"]: (r["code"], r["label"]) for r in column_meanings(spark, SF).collect()}
+    assert {k: v for k, v in whole.items() if v[0]} == short
