@@ -2,19 +2,111 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, HashingTF, IDF, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams of a lower-case text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
-    return F.flatten(F.array(*[gram(n) for n in range(low, high + 1)]))
+def text_words(text: Column) -> Column:
+    """The lower-case words (runs of letters, digits and _) of a text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def char_grams(words: Column, low: int = 3, high: int = 6) -> Column:
+    """Character n-grams of words with a blank on either side; a word shorter than n is one gram."""
+
+    def of(word: Column) -> Column:
+        w = F.concat(F.lit(" "), word, F.lit(" "))
+        gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
+        return F.array_distinct(F.flatten(F.array(*[gram(n) for n in range(low, high + 1)])))
+
+    return F.flatten(F.transform(F.array_distinct(words), of))
+
+
+def word_grams(words: Column) -> Column:
+    """Words and pairs of neighbours."""
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.concat(words, pairs)
+
+
+class CalibratedSvm(NamedTuple):
+    """One-versus-rest linear machines over counted grams, with a sigmoid for each class."""
+
+    grams: PipelineModel
+    machines: list[LinearSVCModel]
+    labels: list[str]
+    sigmoids: list[tuple[float, float]]
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """rows (text, ...) with ``p``, an array by class that sums to 1, and ``pred``."""
+        out = with_margins(self.machines, self.grams.transform(with_grams(rows)))
+        p = F.array(*[1 / (1 + F.exp(-(F.lit(a) * F.col("_m")[k] + F.lit(b)))) for k, (a, b) in enumerate(self.sigmoids)])
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+        out = out.withColumn("_p", p).select(*[F.col(f"`{c}`") for c in rows.columns], F.transform("_p", lambda v: F.when(total(F.col("_p")) > 0, v / total(F.col("_p"))).otherwise(F.lit(1.0 / len(self.sigmoids)))).alias("p"))
+        best = F.array_position("p", F.array_max("p")).cast("int") - 1
+        return out.withColumn("pred", F.get(F.array(*map(F.lit, self.labels)), best))
+
+
+def with_grams(rows: DataFrame, text: str = "text") -> DataFrame:
+    w = text_words(F.col(text))
+    return rows.withColumns({"_chars": char_grams(w), "_words": word_grams(w)})
+
+
+def with_margins(machines: list[LinearSVCModel], rows: DataFrame) -> DataFrame:
+    """rows (x, ...) with ``_m``, the distance from each machine's plane."""
+    for m in machines:
+        rows = m.transform(rows)
+    return rows.withColumn("_m", F.array(*[vector_to_array(m.getRawPredictionCol())[1] for m in machines]))
+
+
+def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50_000, reg: float = 1e-4, iterations: int = 15) -> CalibratedSvm:
+    """Fitted to the labelled rows of (key, label, text).
+
+    Grams are characters 3 to 6 inside words, and words 1 to 2; each kind has its own
+    counted vocabulary of the ``features`` most frequent grams that two texts have; a gram
+    counts once in a text, times its inverse document frequency. Classes weigh the same.
+    Machines fitted to all folds but one give margins for that one; on these margins,
+    which no machine was fitted to, a sigmoid is fitted for each class. Fewer than two
+    labelled classes are an error. Null texts are empty.
+    """
+    from colsense.sources.sinks import write_down
+
+    lab = rows.where("label IS NOT NULL").select(key, "label", "text")
+    stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")]
+    for kind in ("chars", "words"):
+        stages += [CountVectorizer(inputCol=f"_{kind}", outputCol=f"{kind}_tf", vocabSize=features, minDF=2.0, binary=True), IDF(inputCol=f"{kind}_tf", outputCol=f"{kind}_x")]
+    given = with_grams(class_weights(lab, "label"))
+    grams = Pipeline(stages=[*stages, VectorAssembler(inputCols=["chars_x", "words_x"], outputCol="x0"), Normalizer(inputCol="x0", outputCol="x")]).fit(given)
+    labels = list(grams.stages[0].labels)
+    if len(labels) < 2:
+        raise ValueError(f"two classes are needed, {labels} are there")
+    fold = F.pmod(F.xxhash64(F.lit(7), key), F.lit(folds)).cast("int")
+    data = write_down(grams.transform(given).select(key, "y", "weight", "x", fold.alias("fold")))
+
+    def fit(df: DataFrame) -> list[LinearSVCModel]:
+        one = lambda k: LinearSVC(featuresCol="x", labelCol="is", weightCol="weight", maxIter=iterations, regParam=reg, tol=1e-3, standardization=False, rawPredictionCol=f"_m{k}", predictionCol=f"_q{k}")
+        return [one(k).fit(df.withColumn("is", (F.col("y") == k).cast("double"))) for k in range(len(labels))]
+
+    parts = None
+    for k in range(folds):
+        train, held = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        if held.isEmpty() or train.select("y").distinct().count() < len(labels):
+            continue  # a class that stands in one fold alone: its margins come from the other folds
+        part = with_margins(fit(train), held).select("y", F.col("_m").alias("m"))
+        parts = part if parts is None else parts.unionByName(part)
+    final = fit(data)
+    margins = write_down(parts if parts is not None else with_margins(final, data).select("y", F.col("_m").alias("m")))
+    sigmoids = []
+    for k in range(len(labels)):
+        one = margins.select(array_to_vector(F.array(F.col("m")[k])).alias("m"), (F.col("y") == k).cast("double").alias("is"))
+        model = LogisticRegression(featuresCol="m", labelCol="is", maxIter=50).fit(one)
+        sigmoids.append((float(model.coefficients[0]), float(model.intercept)))
+    return CalibratedSvm(grams, final, labels, sigmoids)
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
