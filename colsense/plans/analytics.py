@@ -362,6 +362,18 @@ def k13(spark, d):
     return K.labelled_footprint(j.select(F.col("c_custkey").alias("column"), given.alias("given")), nodes(spark, d))
 
 
+@query("k14_columns")
+def k14b(spark, d):
+    """Two columns of 20 values for every segment of a nation, near the balances of its customers, and for every region and nation by the words of their kind."""
+    from colsense.operators import synthesis
+
+    n = nodes(spark, d)
+    kind = F.when(F.col("parent_code").isNull(), "region").when(~F.col("parent_code").contains("."), "nation")
+    n = n.withColumn("aliases", F.array_compact(F.array(F.element_at("aliases", 1), kind)))
+    c = customers(spark, d).select("entity", F.col("leaf").alias("code")).join(read(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").cast("string").alias("value")), "entity")
+    return synthesis.columns(n.select("code", "label", "mnemonic", "aliases"), c.select("code", "value"), copies=2, rows=20)
+
+
 @query("k14_k15_synthetic")
 def k14(spark, d):
     """As many rows as there are parts, for templates taken from the part types."""
