@@ -143,29 +143,52 @@ def balanced(rows: DataFrame, collection: str, genus: str, shares=SIDES) -> Data
     return reserved.unionByName(dealt).withColumnRenamed("name", collection)
 
 
+#: Collections of a pass of ``cover`` that come to the driver.
+AHEAD = 500
+
+
 def cover(rows: DataFrame, collection: str, genus: str, budget: int, least: int = 0, required: list[str] | None = None, without: DataFrame | None = None) -> DataFrame:
     """(collection, step, gained): the collection with most new genera next, then the one with more genera, then the smaller one, while it fits in a budget of rows.
 
     With ``required``, only these genera count, collections in ``without`` (collection)
     are left out, and genera that stay uncovered end the job with an error; so do less
     than ``least`` covered genera.
+
+    What a collection would gain only falls as others are taken. So a pass brings the
+    first ``AHEAD`` collections of the order and the one after them: while the best of
+    the former, gains counted anew, stands before that one, it is the best of all.
     """
     items = _summary(rows, collection, genus)
     if without is not None:
         items = items.join(without.select(F.col(collection).cast("string").alias("name")).distinct(), "name", "left_anti")
-    done: list[str] = []
+    done: set[str] = set()
     spent, out = 0, []
-    while required is None or set(required) - set(done):
+    useful = lambda genera: set(genera) - done if required is None else set(genera) & set(required) - done
+    place = lambda x: (len(useful(x[1])), len(x[1]), -x[2], x[0])
+
+    def open_() -> bool:
+        return required is None or bool(set(required) - done)
+
+    while open_():
         wanted = "genera" if required is None else F.array_intersect("genera", _words(required))
-        gain = F.size(F.array_except(wanted, _words(done)))
+        gain = F.size(F.array_except(wanted, _words(sorted(done))))
         fits = items.where(F.col("n") + spent <= budget).withColumn("gain", gain).where("gain > 0")
-        best = fits.agg(F.max_by(F.struct("name", "genera", "n", "gain"), F.struct("gain", F.size("genera").alias("g"), (-F.col("n")).alias("s"), "name")).alias("x")).first()["x"]
-        if not best:
+        first = fits.orderBy(F.col("gain").desc(), F.size("genera").desc(), "n", F.col("name").desc()).limit(AHEAD + 1)
+        pool = [(r["name"], r["genera"], r["n"]) for r in first.select("name", "genera", "n").collect()]
+        if not pool:
+            break
+        bound = place(pool.pop()) if len(pool) > AHEAD else (0, 0, 0, "")
+        while open_():
+            best = max((x for x in pool if x[2] + spent <= budget), key=place, default=None)
+            if best is None or not useful(best[1]) or place(best) < bound:
+                break
+            out.append((best[0], len(out), len(useful(best[1]))))
+            done |= set(best[1])
+            spent += best[2]
+            pool.remove(best)
+        if not bound[0]:
             break
-        out.append((best["name"], len(out), best["gain"]))
-        done = sorted({*done, *best["genera"]})
-        spent += best["n"]
-    lost = sorted(set(required or []) - set(done))
+    lost = sorted(set(required or []) - done)
     if lost or len(done) < least:
         raise ValueError(f"{len(done)} genera are covered, {least} wanted; required ones without a collection: {lost[:5]}")
     return rows.sparkSession.createDataFrame(out, f"`{collection}` string, step int, gained int")

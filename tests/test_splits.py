@@ -48,6 +48,25 @@ def test_cover(spark, few):
         splits.cover(frame(spark, few), "c", "g", 3, least=8)
 
 
+@pytest.mark.parametrize("ahead", [1, 3, 500])
+def test_cover_looks_ahead(spark, monkeypatch, ahead):
+    """However few collections a pass brings, the choice is that of the walk over all."""
+    monkeypatch.setattr(splits, "AHEAD", ahead)
+    rng = random.Random(8)
+    rows = [(f"c{k:03d}", f"g{x}") for k in range(80) for x in rng.sample(range(40), rng.randrange(1, 7)) for _ in range(rng.randrange(1, 4))]
+    items, done, spent, want = summary(rows), set(), 0, []
+    while True:
+        fits = [(len(g - done), len(g), -n, c) for c, (g, n) in items.items() if spent + n <= 110 and g - done]
+        if not fits:
+            break
+        gain, _, n, c = max(fits)
+        want.append((c, len(want), gain))
+        done |= items[c][0]
+        spent -= n
+    assert len(want) > 8
+    assert sorted(map(tuple, splits.cover(frame(spark, rows), "c", "g", 110).collect()), key=lambda r: r[1]) == want
+
+
 def test_disjoint_cover(spark, few):
     rows = frame(spark, few)
     first = splits.cover(rows, "c", "g", 40)
