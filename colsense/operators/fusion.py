@@ -464,6 +464,28 @@ def rehydrated(dicts: DataFrame, fr: DataFrame) -> DataFrame:
     return own.union(rest.where(F.col("mass") > TINY))
 
 
+def parameter_sweep(masses: DataFrame, truth: DataFrame, pairs: DataFrame, mem: DataFrame, fr: DataFrame, sources: list[str], source: str, values: list[float], variants: dict[str, list[str]]) -> DataFrame:
+    """(variant, tier, value, n, accuracy): how often the headline is right when one source's weight takes each value, without the sources that a variant leaves out.
+
+    truth: (entity, truth, tier). Weights scale a source's masses, what they leave goes to
+    Z. All values and variants are fused as one job, each entity once for each of them;
+    both are lists of a few. Entities without an answer count as wrong.
+    """
+    from colsense.sources.sinks import write_down
+
+    spark = masses.sparkSession
+    cells = spark.createDataFrame([(v, float(x)) for v in variants for x in values], "variant string, value double")
+    without = F.coalesce(*[F.when(F.col("variant") == v, F.col("source").isin(*gone)) for v, gone in variants.items() if gone], F.lit(False))
+    weight = F.when(without, F.lit(0.0)).when(F.col("source") == source, F.col("value")).otherwise(F.lit(1.0))
+    own = F.concat_ws("|", "variant", F.col("value").cast("string"), F.col("entity").cast("string"))
+    rows = masses.where(F.col("focal") != ALL).crossJoin(F.broadcast(cells)).select(own.alias("entity"), "source", "focal", (F.col("mass") * weight).alias("mass"))
+    rest = rows.groupBy("entity", "source").agg((1 - F.sum("mass")).alias("mass")).select("entity", "source", F.lit(ALL).alias("focal"), "mass")
+    fused = write_down(combine_all(write_down(rows.where(F.col("mass") > 0).unionByName(rest.where(F.col("mass") > TINY))), pairs, sources))
+    head = headline(fused, mem, fr).select("entity", "code")
+    asked = truth.crossJoin(F.broadcast(cells)).withColumn("entity", own).join(head, "entity", "left")
+    return asked.groupBy("variant", "tier", "value").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.col("code") == F.col("truth"), F.lit(False)).cast("double")).alias("accuracy"))
+
+
 def inflection(curve: DataFrame, by: str, x: str, y: str, level: float = 0.5) -> DataFrame:
     """(by, at, kind) of curves: the first x at or over the level when rising, below it when falling; flat ones have none."""
     w = Window.partitionBy(by).orderBy(x)

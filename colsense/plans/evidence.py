@@ -389,6 +389,31 @@ def d39(spark, d):
     return D.inflection(curve, "tier", "g", "acc", 0.3)
 
 
+# Two variants of five weights of the names' evidence; a cell is an entity's copy.
+_SWEEP = f"""{BASE}, sw AS (SELECT v, g FROM range(2) a(v), range(5) b(g)), m2 AS (SELECT (v * 5 + g) * 1000000000 + entity AS entity, source, focal, mass * CASE WHEN source = 'vote' AND v = 1 THEN 0 WHEN source = 'name' THEN g / 4.0::DOUBLE ELSE 1 END AS mass FROM masses, sw WHERE focal <> 'Z'),
+ m3 AS (SELECT * FROM m2 WHERE mass > 0 UNION ALL SELECT * FROM (SELECT entity, source, 'Z', 1 - sum(mass) AS mass FROM m2 GROUP BY 1, 2) WHERE mass > 1e-15)"""
+_CURVE = f"{_SWEEP}, {fused_sql(SOURCES)}, {_HEAD}, cv AS (SELECT CASE v WHEN 0 THEN 'all' ELSE 'no_vote' END AS variant, cust.top AS tier, g / 4.0::DOUBLE AS value, count(*) AS n, avg(CASE WHEN h.code = cust.leaf THEN 1.0 ELSE 0.0 END) AS accuracy FROM cust, sw LEFT JOIN head h ON h.entity = (v * 5 + g) * 1000000000 + cust.entity GROUP BY 1, 2, 3)".replace("FROM masses WHERE source", "FROM m3 WHERE source").replace("JOIN masses", "JOIN m3")
+
+
+@query("d39_parameter_sweep", f"{_CURVE} SELECT variant, tier, value, n, round(accuracy, 6) AS accuracy FROM cv")
+def d39b(spark, d):
+    return rounded(name_sweep(spark, d), "accuracy")
+
+
+@query("d39_sweep_inflection", f"{_CURVE}, s AS (SELECT *, lag(accuracy) OVER (PARTITION BY variant, tier ORDER BY value) AS b FROM cv), c AS (SELECT variant, tier, min(CASE WHEN (b < 0.5 AND accuracy >= 0.5) OR (b >= 0.5 AND accuracy < 0.5) THEN value END) AS at, arg_min(CASE WHEN b < 0.5 THEN 'rising' ELSE 'falling' END, value) FILTER (WHERE (b < 0.5 AND accuracy >= 0.5) OR (b >= 0.5 AND accuracy < 0.5)) AS kind, max(accuracy) AS most FROM s GROUP BY 1, 2) SELECT variant, tier, \"at\", coalesce(kind, CASE WHEN most < 0.5 THEN 'flat-lo' ELSE 'flat' END) AS kind FROM c")
+def d39c(spark, d):
+    """At which weight of the names each root's share of right answers crosses one half, with and without votes."""
+    curve = name_sweep(spark, d).withColumn("by", F.concat_ws("|", "variant", "tier"))
+    out = D.inflection(curve, "by", "value", "accuracy", 0.5)
+    return out.select(F.substring_index("by", "|", 1).alias("variant"), F.substring_index("by", "|", -1).alias("tier"), "at", "kind")
+
+
+def name_sweep(spark, d):
+    f = Frame(spark, d)
+    truth = customers(spark, d).select("entity", F.col("leaf").alias("truth"), F.col("top").alias("tier"))
+    return write_down(D.parameter_sweep(masses(spark, d), truth, f.meet, f.members, f.frame, SOURCES, "name", [0.0, 0.25, 0.5, 0.75, 1.0], {"all": [], "no_vote": ["vote"]}))
+
+
 @query("d40_shortlist", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, ca AS (SELECT entity, code FROM (SELECT entity, regexp_replace(focal, '[*]$', '') AS code, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(focal, '.')) DESC, round(bel, 9) DESC, regexp_replace(focal, '[*]$', '')) AS r FROM iv WHERE focal <> 'Z' AND round(round(bel, 9), 3) >= 0.6) WHERE r = 1), u AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS code FROM believed UNION SELECT entity, code FROM head UNION SELECT entity, code FROM ca), p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(code, '.')) DESC, code) AS place FROM u) SELECT entity, code, place FROM p WHERE place <= 3")
 def d40(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])

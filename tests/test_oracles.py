@@ -18,7 +18,7 @@ SQL = entry.oracle_sql()
 PART = """f01_counts f03_length_entropy f04_f05_lengths_and_numbers f07_f13_pattern_counts f08_f09_fired_patterns f14_enums f15_sibling_domains f16_closest_siblings f17_descriptions p05_oversplit_repair p15_leaks
  t02_nearest_present t03_t04_closure t07_paths t09_findings t13_lift t19_path_weights t20_tree_distance t21_placement t23_path_walk d01_meet d08_yager_two d09_dempster_three d03_d04_intervals d23_headline d19_vote_masses
  j01_name_match j07_integrity j12_resolve_code e02_per_class e09_iteration_scores e16_w01_coverage_rollup e19_calibration_error c04_metrics c08_plateau m03_stratified_rows m07_plan g02_late_interaction g04_propagate g07_cohesion
- k03_even_odd k07_k08_deficits q01_q06_checks v07_v08_versions s18_reference_map s26_holdout_tables x01_rolling_median x02_sessions x04_illegal_steps_stream e23_path_product d38_invariants d38_belief_invariants d32_result_rows x02_triggers x02_triggers_stream x08_sessions_stream s01_csv_folder s03_discovery""".split()
+ k03_even_odd k07_k08_deficits q01_q06_checks v07_v08_versions s18_reference_map s26_holdout_tables x01_rolling_median x02_sessions x04_illegal_steps_stream e23_path_product d38_invariants d38_belief_invariants d32_result_rows d39_sweep_inflection x02_triggers x02_triggers_stream x08_sessions_stream s01_csv_folder s03_discovery""".split()
 NAMES = sorted(SQL) if os.environ.get("TEST_ALL") else [n for n in PART if n in SQL]
 
 
