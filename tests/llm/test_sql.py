@@ -1,6 +1,7 @@
 """The operators' queries against their SQL on the smallest data."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from colsense.llm import queries
@@ -15,5 +16,6 @@ def test_same_rows(spark, name):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(queries.SQL[name]).df()
     got = queries.QUERIES[name](spark, SF).select(*want.columns).toPandas()
-    rows = lambda df: sorted((tuple(map(str, r)) for r in df.itertuples(index=False, name=None)))
+    text = lambda v: "null" if pd.isna(v) else str(v)
+    rows = lambda df: sorted((tuple(map(text, r)) for r in df.itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
