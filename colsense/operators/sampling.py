@@ -64,7 +64,7 @@ def stratified_rows(df: DataFrame, by: list[str], value: str, key: str, k: int,
     return first_k(rows, by, [F.col("i"), F.col("third")], k, F.col(key)).drop("n", "i", "r")
 
 
-def rarity(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+def rarity(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with ``rarity``: for each pattern that the value fits, 1 over the number of the group's values that fit it.
 
     Patterns are tried on distinct values with their counts; a value that fits none has 0.
@@ -97,7 +97,7 @@ def rarest_rows(df: DataFrame, by: list[str], value: str, key: str, k: int, iter
     part = F.when(F.col("i") < F.floor(n / 3), 1).when(F.col("i") < F.floor(2 * n / 3), 2).otherwise(3)
     parts = F.when(n >= 3, 3).when(n == 2, 2).otherwise(1)
     rows = write_down(sized.withColumns({"third": part, "_size": n, "_parts": parts}).drop("i", "n"))
-    scored = rarity(rows, by, value, key)
+    scored = rarity(rows, by, value)
     placed = numbered(scored, [*by, "third"], [F.col("rarity").desc(), F.col(key)])
     # The place of a third among those that have rows.
     nth = F.when(F.col("_parts") == 3, F.col("third") - 1).when(F.col("_parts") == 2, F.col("third") - 2).otherwise(0)
