@@ -50,26 +50,42 @@ def sessions(events: DataFrame, key: str, gap: str = "120 seconds", late: str =
 
 
 def illegal(events: DataFrame, key: str, state: str, allowed: DataFrame) -> DataFrame:
-    """(key, ts, from, to): steps between states that aren't allowed. Batch."""
+    """(key, ts, from, to): steps between states that aren't allowed; a null state makes no step. Batch."""
     before = F.lag(state).over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    steps = events.withColumn("from", before).where(F.col("from").isNotNull()).select(key, "ts", "from", F.col(state).alias("to"))
+    steps = events.withColumn("from", before).where(F.col("from").isNotNull() & F.col(state).isNotNull()).select(key, "ts", "from", F.col(state).alias("to"))
     return steps.join(F.broadcast(allowed.select("from", "to")), ["from", "to"], "left_anti")
 
 
-def illegal_live(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFrame:
-    """The same on a stream: each key's last state is kept; rows (user_id, illegal) come out per batch of a key."""
+def illegal_live(events: DataFrame, allowed: set[tuple[str, str]], late: int = 600) -> DataFrame:
+    """The same on a stream: rows (user_id, illegal) come out per batch of a key, and sum to its steps that aren't allowed.
 
-    def walk(key, batches: Iterator[pd.DataFrame], state):
-        last = state.get[0] if state.exists else None
-        bad = 0
-        for pdf in batches:
-            for s in pdf.sort_values(["ts", "event_id"])["event_type"]:
-                bad += last is not None and (last, s) not in allowed
-                last = s
-        state.update((last,))
-        yield pd.DataFrame({"user_id": [key[0]], "illegal": [bad]})
+    A batch's rows of a key come in any order and in several parts; they are gathered
+    and looked at by (ts, event_id). Rows of later batches find their place as well, as
+    long as they are not more than ``late`` seconds older than the key's latest row:
+    these rows wait in its state with the number of steps already told, and what a batch
+    puts between them is told as a difference, which may be negative. Older ones are left out.
+    """
 
-    return events.groupBy("user_id").applyInPandasWithState(walk, "user_id long, illegal long", "last string", "append", "NoTimeout")
+    def bad(states: list) -> int:
+        return sum(a is not None and b is not None and (a, b) not in allowed for a, b in zip(states, states[1:]))
+
+    def walk(key, batches: Iterator[pd.DataFrame], held):
+        upto, last, told, waiting = held.get if held.exists else (None, None, 0, "[]")
+        rows = [tuple(x) for x in json.loads(waiting)]
+        for pdf in batches:
+            rows += [(t, i, None if pd.isna(s) else s) for t, i, s in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist()) if upto is None or t > upto]
+        rows.sort(key=lambda x: x[:2])
+        count = bad([last, *(x[2] for x in rows)])
+        done = [x for x in rows if x[0] < rows[-1][0] - late * 1_000_000]
+        rest = rows[len(done) :]
+        settled = bad([last, *(x[2] for x in done)])
+        if done:
+            upto, last = done[-1][0], done[-1][2]
+        held.update((upto, last, count - settled, json.dumps(rest)))
+        yield pd.DataFrame({"user_id": [key[0]], "illegal": [count - told]})
+
+    rows = events.select("user_id", F.unix_micros("ts").alias("t"), "event_id", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(walk, "user_id long, illegal long", "upto long, last string, told long, waiting string", "append", "NoTimeout")
 
 
 #: Seconds of silence, seconds in the phase that may be slow, and failures that raise a trigger.

@@ -116,3 +116,32 @@ def test_sessions_that_the_watermark_closes(spark, tmp_path):
     out, told = X.run_counted(spark, X.sessions(stream(spark, str(tmp_path / "in"), batches), "run", "120 seconds", "60 seconds"), str(tmp_path / "run"))
     assert sorted((r["run"], r["start"], r["stop"], r["n"]) for r in out.collect()) == [("a", at(0), at(310), 3), ("b", at(50), at(170), 1), ("b", at(700), at(820), 1)]
     assert told["late"] == 1
+
+
+@pytest.mark.parametrize("batches", [1, 6])
+def test_illegal_steps_in_any_order(spark, tmp_path, batches):
+    """A key's rows come shuffled, in several parts of a batch, and within the delay over several batches."""
+    allowed = {("a", "b"), ("b", "a"), ("b", "c"), ("c", "c")}
+    rng = random.Random(batches)
+    rows = [(k, at(rng.randrange(1500)), f"r{k % 4}", rng.choice(["a", "b", "c", None]), 0.0) for k in range(300)]
+    by_time = sorted(rows, key=lambda r: r[1])
+    parts = [by_time[k : k + 300 // batches] for k in range(0, 300, 300 // batches)]
+    mixed = [[] for _ in parts]
+    for k, p in enumerate(parts):  # a third of a batch's rows come one batch later
+        for r in p:
+            mixed[min(len(parts) - 1, k + (rng.random() < 1 / 3))].append(r)
+    for p in mixed:
+        rng.shuffle(p)
+    want = {}
+    for run in range(4):
+        own = [r[3] for r in sorted(rows, key=lambda r: (r[1], r[0])) if r[2] == f"r{run}"]
+        want[run] = sum(None not in s and s not in allowed for s in zip(own, own[1:]))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, 7)
+    try:
+        events = stream(spark, str(tmp_path / "in"), mixed).select(F.substring("run", 2, 1).cast("long").alias("user_id"), "ts", "event_id", F.col("state").alias("event_type"))
+        out = X.run_available(spark, X.illegal_live(events, allowed), str(tmp_path / "run"), sink="batch")
+        got = {r["user_id"]: r["n"] for r in out.groupBy("user_id").agg(F.sum("illegal").alias("n")).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == want
