@@ -172,11 +172,11 @@ def diverse(df: DataFrame, by: str, key: str, vector: str, limit: float = 0.995)
     in rounds, until every row is decided. That is the walk's result, whatever the
     group's size. The generator's own stop rules are not part of it.
     """
-    from colsense.operators.similarity import beside_blocks, dot
+    from colsense.operators.similarity import block_products
 
     rows = write_down(df.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")))
-    early = F.filter("others", lambda x: (x["k"] < F.col("k")) & (dot(F.col("v"), x["v"]) > limit))
-    pairs = beside_blocks(rows, rows, "k", "g").select("g", F.col("k").alias("late"), F.explode(F.transform(early, lambda x: x["k"])).alias("early"))
+    ids = rows.withColumnRenamed("k", "id")
+    pairs = block_products(ids, ids, None, limit, "g").select("g", F.col("id").alias("late"), F.col("other").alias("early"))
     open_ = write_down(pairs.distinct())
     gone = None
     while not open_.isEmpty():
