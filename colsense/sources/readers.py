@@ -58,84 +58,6 @@ def header_width(spark: SparkSession, path: str) -> tuple[int, int]:
     return 1 + width, 1 + (most[0] or 0)
 
 
-def header_width(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(cells of the widest header at most, cells of the longest line at most) of CSV files whose headers may hold quoted line breaks.
-
-    A header ends with the first line up to which the quotes are even in number; that
-    line is looked for among a file's first 100 lines, then ten times as many, and so on.
-    """
-    count = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c)))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), count(",").alias("commas"), count('"').alias("quotes"))
-    longest = F.max("commas").alias("longest")
-    begun = lines.groupBy("file").agg(F.min(F.when(F.col("at") == 0, F.col("n"))).alias("n0"), F.count_if(F.col("at") == 0).alias("rows"), longest).persist()
-    width, most, depth = 0, begun.agg(F.max("longest"), F.max("rows")).first(), 100
-    files = begun.select("file", "n0", "rows")
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    while True:
-        head = lines.where("at = 0").join(F.broadcast(files), "file").where(F.col("n") < F.col("n0") + depth)
-        head = head.withColumns({"commas": F.sum("commas").over(so_far), "even": F.sum("quotes").over(so_far) % 2 == 0})
-        ends = head.groupBy("file").agg(F.min(F.when(F.col("even"), F.col("commas"))).alias("w"), F.max("commas").alias("all"), F.max("rows").alias("rows"))
-        found = ends.agg(F.max(F.coalesce("w", F.when(F.col("rows") <= depth, F.col("all")))), F.count_if(F.col("w").isNull() & (F.col("rows") > depth))).first()
-        width = found[0] or 0
-        if not found[1]:
-            break
-        depth *= 10
-    begun.unpersist()
-    return 1 + width, 1 + (most[0] or 0)
-
-
-def header_width(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(cells of the widest header at most, cells of the longest line at most) of CSV files whose headers may hold quoted line breaks.
-
-    A header ends with the first line up to which the quotes are even in number; that
-    line is looked for among a file's first 100 lines, then ten times as many, and so on.
-    """
-    count = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c)))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), count(",").alias("commas"), count('"').alias("quotes"))
-    longest = F.max("commas").alias("longest")
-    begun = lines.groupBy("file").agg(F.min(F.when(F.col("at") == 0, F.col("n"))).alias("n0"), F.count_if(F.col("at") == 0).alias("rows"), longest).persist()
-    width, most, depth = 0, begun.agg(F.max("longest"), F.max("rows")).first(), 100
-    files = begun.select("file", "n0", "rows")
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    while True:
-        head = lines.where("at = 0").join(F.broadcast(files), "file").where(F.col("n") < F.col("n0") + depth)
-        head = head.withColumns({"commas": F.sum("commas").over(so_far), "even": F.sum("quotes").over(so_far) % 2 == 0})
-        ends = head.groupBy("file").agg(F.min(F.when(F.col("even"), F.col("commas"))).alias("w"), F.max("commas").alias("all"), F.max("rows").alias("rows"))
-        found = ends.agg(F.max(F.coalesce("w", F.when(F.col("rows") <= depth, F.col("all")))), F.count_if(F.col("w").isNull() & (F.col("rows") > depth))).first()
-        width = found[0] or 0
-        if not found[1]:
-            break
-        depth *= 10
-    begun.unpersist()
-    return 1 + width, 1 + (most[0] or 0)
-
-
-def header_width(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(cells of the widest header at most, cells of the longest line at most) of CSV files whose headers may hold quoted line breaks.
-
-    A header ends with the first line up to which the quotes are even in number; that
-    line is looked for among a file's first 100 lines, then ten times as many, and so on.
-    """
-    count = lambda c: F.length("value") - F.length(F.replace("value", F.lit(c)))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), count(",").alias("commas"), count('"').alias("quotes"))
-    longest = F.max("commas").alias("longest")
-    begun = lines.groupBy("file").agg(F.min(F.when(F.col("at") == 0, F.col("n"))).alias("n0"), F.count_if(F.col("at") == 0).alias("rows"), longest).persist()
-    width, most, depth = 0, begun.agg(F.max("longest"), F.max("rows")).first(), 100
-    files = begun.select("file", "n0", "rows")
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    while True:
-        head = lines.where("at = 0").join(F.broadcast(files), "file").where(F.col("n") < F.col("n0") + depth)
-        head = head.withColumns({"commas": F.sum("commas").over(so_far), "even": F.sum("quotes").over(so_far) % 2 == 0})
-        ends = head.groupBy("file").agg(F.min(F.when(F.col("even"), F.col("commas"))).alias("w"), F.max("commas").alias("all"), F.max("rows").alias("rows"))
-        found = ends.agg(F.max(F.coalesce("w", F.when(F.col("rows") <= depth, F.col("all")))), F.count_if(F.col("w").isNull() & (F.col("rows") > depth))).first()
-        width = found[0] or 0
-        if not found[1]:
-            break
-        depth *= 10
-    begun.unpersist()
-    return 1 + width, 1 + (most[0] or 0)
-
-
 def discover(spark: SparkSession, database: str | None = None, limit: int | None = None) -> DataFrame:
     """(database, table) of one database or all of them."""
     names = [database] if database else [x.name for x in spark.catalog.listDatabases()]

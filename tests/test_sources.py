@@ -39,45 +39,6 @@ def test_csv_width_is_the_headers(spark, tmp_path):
     assert got == want
 
 
-def test_csv_width_is_the_headers(spark, tmp_path):
-    """A text of 30,000 commas makes no columns; a header over several lines, with few commas in each, keeps all of its names."""
-    long = ",".join("x" * 30_001)
-    for name, rows in {"text": [["id", "note"], ["1", long], ["2", "short"]], "head": [["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"], [str(k) for k in range(153)]]}.items():
-        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
-            csv.writer(f, lineterminator="\n").writerows(rows)
-    assert R.header_width(spark, f"{tmp_path}/*.csv") == (153, 30_001)
-    got = {(r["table"], r["row_ix"], r["ord"]): (r["column"], r["value"]) for r in R.csv_folder(spark, str(tmp_path)).collect()}
-    want = {("text", 1, 0): ("id", "1"), ("text", 1, 1): ("note", long), ("text", 2, 0): ("id", "2"), ("text", 2, 1): ("note", "short")}
-    want |= {("head", 1, k): (n, str(k)) for k, n in enumerate(["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"])}
-    assert got == want
-
-
-def test_csv_width_is_the_headers(spark, tmp_path):
-    """A text of 30,000 commas makes no columns; a header over several lines, with few commas in each, keeps all of its names."""
-    long = ",".join("x" * 30_001)
-    for name, rows in {"text": [["id", "note"], ["1", long], ["2", "short"]], "head": [["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"], [str(k) for k in range(153)]]}.items():
-        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
-            csv.writer(f, lineterminator="\n").writerows(rows)
-    assert R.header_width(spark, f"{tmp_path}/*.csv") == (153, 30_001)
-    got = {(r["table"], r["row_ix"], r["ord"]): (r["column"], r["value"]) for r in R.csv_folder(spark, str(tmp_path)).collect()}
-    want = {("text", 1, 0): ("id", "1"), ("text", 1, 1): ("note", long), ("text", 2, 0): ("id", "2"), ("text", 2, 1): ("note", "short")}
-    want |= {("head", 1, k): (n, str(k)) for k, n in enumerate(["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"])}
-    assert got == want
-
-
-def test_csv_width_is_the_headers(spark, tmp_path):
-    """A text of 30,000 commas makes no columns; a header over several lines, with few commas in each, keeps all of its names."""
-    long = ",".join("x" * 30_001)
-    for name, rows in {"text": [["id", "note"], ["1", long], ["2", "short"]], "head": [["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"], [str(k) for k in range(153)]]}.items():
-        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
-            csv.writer(f, lineterminator="\n").writerows(rows)
-    assert R.header_width(spark, f"{tmp_path}/*.csv") == (153, 30_001)
-    got = {(r["table"], r["row_ix"], r["ord"]): (r["column"], r["value"]) for r in R.csv_folder(spark, str(tmp_path)).collect()}
-    want = {("text", 1, 0): ("id", "1"), ("text", 1, 1): ("note", long), ("text", 2, 0): ("id", "2"), ("text", 2, 1): ("note", "short")}
-    want |= {("head", 1, k): (n, str(k)) for k, n in enumerate(["a", "two\nlines", *[f"c{k}\n" for k in range(150)], "z"])}
-    assert got == want
-
-
 def test_closure_of_a_long_chain(spark):
     chain = spark.createDataFrame([(f"n{k}", f"n{k - 1}" if k else None) for k in range(100)], "code string, parent_code string")
     got = {(r["code"], r["ancestor"]): r["distance"] for r in T.closure(chain).collect()}
