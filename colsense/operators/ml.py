@@ -131,6 +131,16 @@ def forest(texts: list[str], numbers: list[str], seed: int = 42) -> Pipeline:
     return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), *tf, VectorAssembler(inputCols=[*[f"{t}_v" for t in texts], *numbers], outputCol="x", handleInvalid="keep"), RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=20, maxDepth=6, featureSubsetStrategy="onethird", seed=seed)])
 
 
+#: Rows of one task of a fit: a forest keeps a row as about a kilobyte of bins.
+ROWS_OF_A_TASK = 100_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a hash of their key over as many tasks as they need, however few files or row groups they stand in."""
+    n = rows.count()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_OF_A_TASK)), key)
+
+
 def fit_to_votes(pipeline: Pipeline, rows: DataFrame, least_rows: int = 10, least_classes: int = 2) -> PipelineModel | None:
     """Fits to labelled rows, or gives None with too few of them."""
     lab = rows.where("label IS NOT NULL")

@@ -19,8 +19,8 @@ def rnd(df, *cols, digits=6):
 
 
 def words(spark, d):
-    """Labelled rows: the brands' parts by the words of their names, and numbers."""
-    p = read(spark, d, "part")
+    """Labelled rows: the brands' parts by the words of their names, and numbers; many parts may stand in one small file."""
+    p = ml.spread(read(spark, d, "part"), "p_partkey")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"), F.split(F.lower("p_name"), " ").alias("tokens"), F.array(F.col("p_brand")).alias("brand"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
 
 
