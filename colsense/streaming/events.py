@@ -88,6 +88,9 @@ def illegal_live(events: DataFrame, allowed: set[tuple[str, str]], late: int = 6
     return rows.groupBy("user_id").applyInPandasWithState(walk, "user_id long, illegal long", "upto long, last string, told long, waiting string", "append", "NoTimeout")
 
 
+#: Rows of a task of the triggers.
+ROWS_OF_A_TASK = 250_000
+
 #: Seconds of silence, seconds in the phase that may be slow, and failures that raise a trigger.
 STALL, SLOW, FAILED = 120, 300, 10
 
@@ -114,7 +117,9 @@ class Watch(NamedTuple):
 def triggers(events: DataFrame, key: str, state: str, watch: Watch, until: DataFrame) -> DataFrame:
     """(key, trigger, at) in microseconds, of the events up to a time, and of silences that are due by then; until: one row, one column of microseconds. Batch."""
     us = 1_000_000
-    rows = events.select(F.col(key).alias("key"), F.unix_micros("ts").alias("t"), "event_id", F.col(state).alias("state")).crossJoin(F.broadcast(until.toDF("until"))).where(F.col("t") <= F.col("until"))
+    # A chain of windows keeps a task's rows several times over; so the number of tasks follows from that of the rows.
+    tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // ROWS_OF_A_TASK))
+    rows = events.select(F.col(key).alias("key"), F.unix_micros("ts").alias("t"), "event_id", F.col(state).alias("state")).repartition(tasks, "key").crossJoin(F.broadcast(until.toDF("until"))).where(F.col("t") <= F.col("until"))
     order = Window.partitionBy("key").orderBy("t", "event_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     ended = F.col("state").isin(*watch.terminal)
