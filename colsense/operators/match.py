@@ -24,20 +24,23 @@ def acronym(label: Column) -> Column:
 def name_match(columns: DataFrame, nodes: DataFrame) -> DataFrame:
     """(entity, code, mass): the best match of each column's name; the smaller code wins ties.
 
-    Labels, mnemonics, aliases and acronyms are keys of one equi-join. Only the rule
-    that all words of a longer label occur in the name isn't: it joins on the label's
-    first word and then compares sets.
+    Each different name is matched once. Labels, mnemonics, aliases and acronyms are keys
+    of one equi-join. Only the rule that all words of a longer label occur in the name
+    isn't: it joins on the label's first word and then compares sets.
     """
-    c = columns.select("entity", words_of(F.col("name")).alias("name"))
+    called = columns.select("entity", words_of(F.col("name")).alias("name"))
+    c = called.select("name").distinct()
     key = lambda v, m, rank: F.struct(words_of(v).alias("key"), F.lit(m).alias("mass"), F.lit(rank).alias("rank"))
     keys = nodes.select("code", F.explode(F.concat(F.array(key(F.col("label"), EXACT, 0), key(F.col("mnemonic"), CODE, 1), key(acronym(F.col("label")), CODE, 3)), F.transform("aliases", lambda a: key(a, ALIAS, 2)))).alias("k")).select("code", "k.*")
     keys = keys.where(F.length("key") > 1).groupBy("key", "code").agg(F.max(F.struct("mass", (-F.col("rank")).alias("r"))).alias("x")).select("key", "code", "x.mass")
-    equal = c.join(keys, c.name == keys.key).select("entity", "code", "mass")
+    equal = c.join(keys, c.name == keys.key).select("name", "code", "mass")
     long = nodes.select("code", F.split(words_of(F.col("label")), " ").alias("label_words")).where(F.size("label_words") >= 2)
-    parts = c.select("entity", F.split("name", " ").alias("words")).withColumn("word", F.explode("words"))
-    inside = parts.join(long.withColumn("word", F.col("label_words")[0]), "word").where(F.size(F.array_except("label_words", "words")) == 0).select("entity", "code", F.lit(OVERLAP).alias("mass"))
-    best = Window.partitionBy("entity").orderBy(F.col("mass").desc(), "code")
-    return equal.union(inside).withColumn("r", F.row_number().over(best)).where("r = 1").select("entity", "code", "mass")
+    parts = c.select("name", F.split("name", " ").alias("words")).withColumn("word", F.explode("words"))
+    inside = parts.join(long.withColumn("word", F.col("label_words")[0]), "word").where(F.size(F.array_except("label_words", "words")) == 0).select("name", "code", F.lit(OVERLAP).alias("mass"))
+    best = Window.partitionBy("name").orderBy(F.col("mass").desc(), "code")
+    found = equal.union(inside).withColumn("r", F.row_number().over(best)).where("r = 1").select("name", "code", "mass")
+    by = Window.partitionBy("entity").orderBy(F.col("mass").desc(), "code")  # an entity may have several names
+    return called.join(found, "name").withColumn("r", F.row_number().over(by)).where("r = 1").select("entity", "code", "mass")
 
 
 def token_attach(names: DataFrame, tokens: DataFrame, least: int = 3) -> DataFrame:
