@@ -203,15 +203,15 @@ def m13(spark, d):
 )
 def d25(spark, d):
     f, x = fused(spark, d)
-    iv = D.intervals(x, f.subset(), f.meet)
+    iv = D.belief(x, f.subset())
     return rounded(D.margin(iv, D.headline(x, f.members, f.frame), f.meet), "margin")
 
 
 @query("d26_needs_clarification", f"{ALL3}, {_BELIEF}, {_HEAD} SELECT h.entity, round(bel, 6) < 0.4 OR round(pl - bel, 6) > 0.3 AS unclear FROM head h JOIN iv ON iv.entity = h.entity AND iv.focal = h.code")
 def d26(spark, d):
     f, x = fused(spark, d)
-    iv = rounded(D.intervals(x, f.subset(), f.meet), "bel", "gap")
-    head = D.headline(x, f.members, f.frame).select("entity", F.col("code").alias("focal"))
+    head = write_down(D.headline(x, f.members, f.frame).select("entity", F.col("code").alias("focal")))
+    iv = rounded(D.intervals_of(head, x, f.subset(), f.meet), "bel", "gap")
     return iv.join(head, ["entity", "focal"]).select("entity", D.needs_clarification(F.col("bel"), F.col("gap"), 0.4, 0.3).alias("unclear"))
 
 
@@ -221,8 +221,9 @@ def d26(spark, d):
 )
 def d27(spark, d):
     f, x = fused(spark, d)
-    iv = rounded(D.intervals(x, f.subset(), f.meet), "bel", "pl", digits=9)
-    return D.belief_path(iv, D.headline(x, f.members, f.frame), f.clo)
+    head = write_down(D.headline(x, f.members, f.frame))
+    iv = rounded(D.intervals_of(D.path_elements(head, f.clo), x, f.subset(), f.meet), "bel", "pl", digits=9)
+    return D.belief_path(iv, head, f.clo)
 
 
 _BELIEVED = "deep AS (SELECT *, regexp_replace(focal, '[*]$', '') AS code, suffix(focal, '*') AS wide FROM iv WHERE focal <> 'Z'), ranked AS (SELECT *, len(string_split(code, '.')) - 1 AS depth, row_number() OVER (PARTITION BY entity, split_part(code, '.', 1), wide ORDER BY round(bel, 12) DESC, len(string_split(code, '.')) DESC, focal) AS r FROM deep), believed AS (SELECT entity, focal, bel, depth FROM ranked WHERE round(bel, 9) >= 0.5 OR (r = 1 AND round(bel, 9) >= 0.05))"
@@ -231,19 +232,19 @@ _BELIEVED = "deep AS (SELECT *, regexp_replace(focal, '[*]$', '') AS code, suffi
 @query("d28_believed", f"{TWO}, {_BELIEF}, {_BELIEVED} SELECT entity, focal, {_R('bel')}, depth FROM believed")
 def d28(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
-    return rounded(D.believed(rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9), 0.5), "bel")
+    return rounded(D.believed(rounded(D.belief(x, f.subset()), "bel", digits=9), 0.5), "bel")
 
 
 @query("d29_cautious", f"{TWO}, {_BELIEF}, c AS (SELECT *, regexp_replace(focal, '[*]$', '') AS code FROM iv WHERE focal <> 'Z' AND round(bel, 3) >= 0.6), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(code, '.')) DESC, round(bel, 9) DESC, code) AS r FROM c) SELECT entity, code, round(bel, 3) AS bel FROM r WHERE r = 1")
 def d29(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
-    return D.cautious(rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9), 0.6)
+    return D.cautious(rounded(D.belief(x, f.subset()), "bel", digits=9), 0.6)
 
 
 @query("d30_promoted", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, best AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS better FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY depth DESC, round(bel, 12) DESC, focal) AS r FROM believed WHERE round(bel, 9) >= 0.5) WHERE r = 1), own AS (SELECT h.entity, h.code, coalesce(iv.bel, 0) AS bel, better FROM head h LEFT JOIN iv ON iv.entity = h.entity AND iv.focal = h.code LEFT JOIN best ON best.entity = h.entity), p AS (SELECT *, round(bel, 9) < 0.5 AND better IS NOT NULL AND better <> code AS promoted FROM own) SELECT entity, CASE WHEN promoted THEN better ELSE code END AS code, promoted FROM p".replace(" AS (SELECT", " AS MATERIALIZED (SELECT"))
 def d30(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
-    iv = rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9)
+    iv = rounded(D.belief(x, f.subset()), "bel", digits=9)
     return D.promoted(iv, D.headline(x, f.members, f.frame), 0.5)
 
 
@@ -375,7 +376,7 @@ def d37(spark, d):
 @query("d38_belief_invariants", f"{TWO}, {_BELIEF}, t AS (SELECT entity, sum(mass) AS t FROM fused GROUP BY 1), up AS (SELECT a.bel AS bel, b.bel AS above FROM iv a JOIN nodes n ON n.code = a.focal JOIN iv b ON b.entity = a.entity AND b.focal = n.parent_code || '*') SELECT 'mass_sums_to_one' AS invariant, count(*) AS n, count(*) FILTER (WHERE abs(t - 1) > 1e-9) AS violations FROM t UNION ALL SELECT 'belief_below_plausibility', count(*), count(*) FILTER (WHERE bel > pl + 1e-9) FROM iv UNION ALL SELECT 'belief_grows_upwards', count(*), count(*) FILTER (WHERE bel > above + 1e-9) FROM up")
 def d38(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
-    return D.invariants(x, write_down(D.intervals(x, f.subset(), f.meet)), f.nodes)
+    return D.invariants(x, f.subset(), f.meet, f.nodes)
 
 
 @query("d39_inflection", f"WITH {CUSTOMERS}, {PAIRS}, g AS (SELECT unnest(range(1, 10)) AS g), c AS (SELECT split_part(truth, '.', 1) AS tier, g, avg(CASE WHEN truth = pred AND conf >= g / 10.0 THEN 1.0 ELSE 0.0 END) AS acc FROM pairs, g GROUP BY 1, 2), s AS (SELECT *, lag(acc) OVER (PARTITION BY tier ORDER BY g) AS b FROM c) SELECT tier, min(CASE WHEN b >= 0.3 AND acc < 0.3 THEN g END) AS at, CASE WHEN min(CASE WHEN b >= 0.3 AND acc < 0.3 THEN g END) IS NOT NULL THEN 'falling' WHEN max(acc) < 0.3 THEN 'flat-lo' ELSE 'flat' END AS kind FROM s GROUP BY 1")
@@ -417,5 +418,5 @@ def name_sweep(spark, d):
 @query("d40_shortlist", f"{TWO}, {_BELIEF}, {_BELIEVED}, {_HEAD}, ca AS (SELECT entity, code FROM (SELECT entity, regexp_replace(focal, '[*]$', '') AS code, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(focal, '.')) DESC, round(bel, 9) DESC, regexp_replace(focal, '[*]$', '')) AS r FROM iv WHERE focal <> 'Z' AND round(round(bel, 9), 3) >= 0.6) WHERE r = 1), u AS (SELECT entity, regexp_replace(focal, '[*]$', '') AS code FROM believed UNION SELECT entity, code FROM head UNION SELECT entity, code FROM ca), p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY len(string_split(code, '.')) DESC, code) AS place FROM u) SELECT entity, code, place FROM p WHERE place <= 3")
 def d40(spark, d):
     f, x = fused(spark, d, ["name", "pattern"])
-    iv = write_down(rounded(D.intervals(x, f.subset(), f.meet), "bel", digits=9))
+    iv = write_down(rounded(D.belief(x, f.subset()), "bel", digits=9))
     return D.shortlist(D.believed(iv, 0.5), D.headline(x, f.members, f.frame), D.cautious(iv, 0.6))

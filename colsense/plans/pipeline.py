@@ -16,7 +16,7 @@ def classify(masses: DataFrame, frame: Frame, sources: list[str], rule: str = "d
     """entity, code, label, bel, pl, gap, k: the headline of each entity and how far it is believed."""
     fused = write_down(D.combine_all(masses, frame.meet, sources, rule))
     head = write_down(D.headline(fused, frame.members, frame.frame).select("entity", "code"))
-    iv = D.intervals(fused, frame.subset(), frame.meet).withColumnRenamed("focal", "code")
+    iv = D.intervals_of(head.withColumnRenamed("code", "focal"), fused, frame.subset(), frame.meet).withColumnRenamed("focal", "code")
     k = fused.groupBy("entity").agg(F.max("k").alias("k"))
     return head.join(iv, ["entity", "code"], "left").join(frame.nodes.select("code", "label"), "code", "left").join(k, "entity").select("entity", "code", "label", "bel", "pl", "gap", "k")
 
@@ -32,11 +32,12 @@ def result_rows(entities: DataFrame, masses: DataFrame, frame: Frame, sources: l
     all elements that are believed, the deepest last.
     """
     fused = write_down(D.combine_all(masses, frame.meet, sources))
-    iv = D.intervals(fused, frame.subset(), frame.meet)
-    iv = write_down(iv.withColumns({c: F.round(c, 9) for c in ("bel", "pl", "gap")}))
+    sub, nine = frame.subset(), lambda df, *cs: write_down(df.withColumns({c: F.round(c, 9) for c in cs}))
     head = write_down(D.headline(fused, frame.members, frame.frame))
+    iv = nine(D.belief(fused, sub), "bel")
+    on_path = nine(D.intervals_of(D.path_elements(head, frame.clo), fused, sub, frame.meet), "bel", "pl")
     name = F.regexp_replace("focal", r"\*$", "")
-    own = iv.select("entity", name.alias("code"), F.endswith("focal", F.lit("*")).alias("wide"), "bel", "pl").groupBy("entity", "code").agg(F.max_by(F.struct("bel", "pl"), "wide").alias("x"))
+    own = on_path.select("entity", name.alias("code"), F.endswith("focal", F.lit("*")).alias("wide"), "bel", "pl").groupBy("entity", "code").agg(F.max_by(F.struct("bel", "pl"), "wide").alias("x"))
     names = frame.nodes.select("code", "label", "mnemonic")
     inner = frame.nodes.select(F.col("parent_code").alias("code")).distinct().withColumn("top_kind", F.lit("internal"))
     k = fused.groupBy("entity").agg(F.max("k").alias("k"))
@@ -46,7 +47,7 @@ def result_rows(entities: DataFrame, masses: DataFrame, frame: Frame, sources: l
     text = lambda order, part, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, part.alias("_t")))), lambda x: x["_t"]), sep)
     per_source = D.top_masses(masses).withColumn("t", F.concat("focal", F.lit(" "), D.hundredths(F.col("mass")))).groupBy("entity", "source").agg(text(["rank"], F.col("t"), ", ").alias("t"))
     summary = per_source.groupBy("entity").agg(text(["source"], F.concat("source", F.lit(": "), "t"), "; ").alias("evidence_sources"))
-    path = D.belief_path(iv, head, frame.clo).groupBy("entity").agg(text(["distance"], F.concat("ancestor", F.lit(" "), D.hundredths(F.col("bel"))), " < ").alias("belief_path"))
+    path = D.belief_path(on_path, head, frame.clo).groupBy("entity").agg(text(["distance"], F.concat("ancestor", F.lit(" "), D.hundredths(F.col("bel"))), " < ").alias("belief_path"))
     cross = D.believed(iv, 0.5).groupBy("entity").agg(text(["depth", "focal"], F.concat("focal", F.lit(" "), D.hundredths(F.col("bel"))), ", ").alias("cross_subtree_belief"))
     careful = D.cautious(iv, 0.7).select("entity", F.col("code").alias("cautious_code"))
     better = D.promoted(iv, head, 0.5).select("entity", F.when(F.col("promoted"), F.col("code")).alias("cautious_promoted_code"))
