@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, Normalizer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IDF, PCA, HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def text_words(text: Column) -> Column:
@@ -34,17 +38,25 @@ def word_grams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+class Grams(NamedTuple):
+    """The counted grams with their places, and the inverse document frequency by place."""
+
+    chars: dict[str, int]
+    words: dict[str, int]
+    idf: np.ndarray
+
+
 class CalibratedSvm(NamedTuple):
-    """One-versus-rest linear machines over counted grams, with a sigmoid for each class."""
+    """One-versus-rest linear machines over counted grams (weights by place and class, the last row is the intercepts), with a sigmoid for each class."""
 
-    grams: PipelineModel
-    machines: list[LinearSVCModel]
+    grams: Grams
+    machines: np.ndarray
     labels: list[str]
     sigmoids: list[tuple[float, float]]
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """rows (text, ...) with ``p``, an array by class that sums to 1, and ``pred``."""
-        out = with_margins(self.machines, self.grams.transform(with_grams(rows)))
+        out = with_margins(self.machines, self.grams, rows)
         p = F.array(*[1 / (1 + F.exp(-(F.lit(a) * F.col("_m")[k] + F.lit(b)))) for k, (a, b) in enumerate(self.sigmoids)])
         total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
         out = out.withColumn("_p", p).select(*[F.col(f"`{c}`") for c in rows.columns], F.transform("_p", lambda v: F.when(total(F.col("_p")) > 0, v / total(F.col("_p"))).otherwise(F.lit(1.0 / len(self.sigmoids)))).alias("p"))
@@ -52,16 +64,198 @@ class CalibratedSvm(NamedTuple):
         return out.withColumn("pred", F.get(F.array(*map(F.lit, self.labels)), best))
 
 
-def with_grams(rows: DataFrame, text: str = "text") -> DataFrame:
-    w = text_words(F.col(text))
-    return rows.withColumns({"_chars": char_grams(w), "_words": word_grams(w)})
+def vocabulary(texts: DataFrame, features: int) -> tuple[list[str], list[str]]:
+    """Of (row, words): the most frequent grams of characters and of words that two rows have; of equally frequent ones the first in order.
 
-
-def with_margins(machines: list[LinearSVCModel], rows: DataFrame) -> DataFrame:
-    """rows (x, ...) with ``_m``, the distance from each machine's plane."""
-    for m in machines:
-        rows = m.transform(rows)
-    return rows.withColumn("_m", F.array(*[vector_to_array(m.getRawPredictionCol())[1] for m in machines]))
+    A gram of characters counts once for each different word of a text, so its count is
+    summed over the different words of all texts and not over the texts.
+    """
+    often = lambda df: [r["gram"] for r in df.where("low < high").orderBy(F.desc("n"), "gram").limit(features).select("gram").collect()]
+    seen = lambda df, by: df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high"))
+    own = seen(texts.select("row", F.explode(F.array_distinct("words")).alias("word")), "word")
+    chars = own.select(F.explode(char_grams(F.array("word"))).alias("gram"), "n", "low", "high").groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return often(chars), often(seen(texts.select("row", F.explode(word_grams(F.col("words"))).alias("gram")), "gram"))
+
+
+#: Words of which a worker remembers the places of their grams.
+KNOWN_WORDS = 300_000
+
+
+def finder(chars: dict[str, int], pairs: dict[str, int], low: int = 3, high: int = 6):
+    """A function from words to the ascending places of their counted grams."""
+    known: dict[str, np.ndarray] = {}
+    there = np.zeros(len(chars) + len(pairs), bool)
+
+    def of(word: str) -> np.ndarray:
+        own = known.get(word)
+        if own is None:
+            w = f" {word} "
+            places = map(chars.get, [w[i : i + n] for n in range(low, high + 1) for i in range(max(len(w) - n + 1, 1))])
+            own = np.array([k for k in places if k is not None], np.int32)
+            if len(known) < KNOWN_WORDS:  # the frequent ones come early
+                known[word] = own
+        return own
+
+    def find(words: list[str]) -> np.ndarray:
+        both = map(pairs.get, [*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]])
+        there[np.concatenate([np.array([k for k in both if k is not None], np.int32), *map(of, set(words))])] = True
+        found = np.flatnonzero(there)
+        there[found] = False
+        return found
+
+    return find
+
+
+def with_margins(machines: np.ndarray, grams: Grams, rows: DataFrame) -> DataFrame:
+    """rows (text, ...) with ``_m``, the distance from each machine's plane."""
+    sent = rows.sparkSession.sparkContext.broadcast((grams, machines))  # the model: bounded by its vocabulary
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (chars, pairs, idf), w = sent.value
+        scaled, squares, find = idf[:, None] * w[:-1], idf**2, finder(chars, pairs)
+        for batch in batches:
+            out = []
+            for words in batch.column(len(names)).to_pylist():
+                found = find(words)
+                norm = np.sqrt(squares[found].sum())
+                out.append(scaled[found].sum(axis=0) / (norm if norm > 0 else 1.0) + w[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.list_(pa.float64()))], names=[*names, "_m"])
+
+    schema = StructType([*rows.schema.fields, StructField("_m", ArrayType(DoubleType()))])
+    return rows.withColumn("_words", text_words(F.col("text"))).mapInArrow(run, schema)
+
+
+#: Rows of a block of the fit, labels whose machines are fitted together, and steps that a fit remembers.
+BLOCK_ROWS, LABELS_AT_ONCE, REMEMBERED = 256, 4, 5
+
+
+def gram_blocks(texts: DataFrame, chars: dict[str, int], pairs: dict[str, int]) -> DataFrame:
+    """(y, weight, fold, used, bits): BLOCK_ROWS of the rows (y, weight, fold, words), which grams they use and a bit for each row and gram."""
+    sent = texts.sparkSession.sparkContext.broadcast((chars, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(*sent.value)
+        for whole in batches:
+            for k in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(k, BLOCK_ROWS)
+                found = [find(words) for words in batch.column(3).to_pylist()]
+                used, place = np.unique(np.concatenate(found), return_inverse=True)
+                x = np.zeros((batch.num_rows, len(used)), bool)
+                x[np.repeat(np.arange(len(found)), [len(f) for f in found]), place] = True
+                y, weight, fold = (batch.column(i).to_numpy(zero_copy_only=False).astype(kind) for i, kind in enumerate(("int32", "float64", "int32")))
+                cells = [v.tobytes() for v in (y, weight, fold, used.astype("int32"), np.packbits(x, axis=1))]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["y", "weight", "fold", "used", "bits"])
+
+    return texts.select("y", "weight", "fold", "words").mapInArrow(run, "y binary, weight binary, fold binary, used binary, bits binary")
+
+
+def each_block(batches: Iterator[pa.RecordBatch]):
+    """y, weight, fold, used and the matrix of rows and used grams, of each block."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            y, fold, used = (np.frombuffer(r[c], np.int32) for c in ("y", "fold", "used"))
+            bits = np.frombuffer(r["bits"], np.uint8).reshape(len(y), -1)
+            yield y, np.frombuffer(r["weight"], np.float64), fold, used, np.unpackbits(bits, axis=1, count=len(used)).astype(np.float32)
+
+
+def summed(blocks: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
+    """What add(total, *block) puts into a matrix of that shape, over all blocks: one matrix for each task, added in a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for block in each_block(batches):
+            add(total, *block)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    few = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add).reshape(shape)
+
+
+def scores(sent, fold, used, x) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the rows of a block by machine, and the lengths of the rows; sent: idf, weights of the machines with intercepts last."""
+    idf, w = sent
+    own = idf[used]
+    s = x @ np.column_stack((own[:, None] * w[used], own**2)).astype(np.float32)
+    norm = np.sqrt(s[:, -1:].astype(np.float64))
+    norm[norm == 0] = 1
+    return s[:, :-1] / norm + w[-1], norm
+
+
+def fit_machines(blocks: DataFrame, idf: np.ndarray, sides: list[tuple[int, int]], totals: np.ndarray, reg: float, iterations: int, tol: float = 1e-3) -> np.ndarray:
+    """Weights of the machines, intercepts last: a machine (class, fold) tells the class from the rest on all folds but that one.
+
+    Squared hinge loss, weighted, and ``reg`` / 2 times the squared length, by L-BFGS with
+    halved steps. All machines look at a block together, so a pass over the blocks is a
+    step of each of them; one that has settled waits for the others.
+    """
+    sc, n, k = blocks.sparkSession.sparkContext, len(idf), len(sides)
+    cls, held = np.array(sides).T
+
+    def value(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent = sc.broadcast((idf, w.T.copy()))
+
+        def add(total, y, weight, fold, used, x):
+            z, norm = scores(sent.value, fold, used, x)
+            sign = np.where(y[:, None] == cls, 1.0, -1.0)
+            slack = np.maximum(0, 1 - sign * z)
+            use = weight[:, None] * (fold[:, None] != held)
+            d = -2 * use * sign * slack
+            total[used] += idf[used][:, None] * ((d / norm).astype(np.float32).T @ x).T
+            total[-2] += d.sum(axis=0)
+            total[-1] += (use * slack**2).sum(axis=0)
+
+        total = (summed(blocks, (n + 2, k), add) / totals).T
+        sent.destroy()
+        plain = w * (np.arange(n + 1) < n)
+        return total[:, -1] + reg / 2 * (plain**2).sum(axis=1), total[:, :-1] + reg * plain
+
+    def direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        q, kept = -g, []
+        for s, d in reversed(steps):
+            kept.append((s @ q) / (s @ d))
+            q = q - kept[-1] * d
+        s, d = steps[-1]
+        q = q * ((s @ d) / (d @ d))
+        for (s, d), a in zip(steps, reversed(kept)):
+            q = q + (a - (d @ q) / (s @ d)) * s
+        return q
+
+    w = np.zeros((k, n + 1))
+    f, g = value(w)
+    way = -g / np.maximum(np.sqrt((g**2).sum(axis=1)), 1e-12)[:, None]
+    step, taken, open_, past = np.ones(k), np.zeros(k, int), np.abs(g).max(axis=1) > 1e-9, [[] for _ in sides]
+    while open_.any():
+        there = w + np.where(open_, step, 0)[:, None] * way
+        f2, g2 = value(there)
+        for m in np.flatnonzero(open_):
+            if f2[m] > f[m] + 1e-4 * step[m] * (g[m] @ way[m]):
+                step[m] /= 2
+                open_[m] = step[m] > 1e-6
+                continue
+            s, d = there[m] - w[m], g2[m] - g[m]
+            if s @ d > 1e-12:
+                past[m] = [*past[m], (s, d)][-REMEMBERED:]
+            taken[m] += 1
+            open_[m] = taken[m] < iterations and f[m] - f2[m] > tol * abs(f2[m])
+            w[m], f[m], g[m], step[m] = there[m], f2[m], g2[m], 1.0
+            way[m] = direction(g[m], past[m]) if past[m] else -g[m]
+    return w.T.copy()
+
+
+def held_out_margins(blocks: DataFrame, idf: np.ndarray, w: dict[int, np.ndarray]) -> DataFrame:
+    """(y, m) of the rows of each fold by the machines of w that did not see it; -1 in w: of all rows."""
+    sent = blocks.sparkSession.sparkContext.broadcast((idf, w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, machines = sent.value
+        for y, _, fold, used, x in each_block(batches):
+            for f, m in machines.items():
+                z, _ = scores((own, m), fold, used, x)
+                of = np.flatnonzero((fold == f) | (f < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(y[of]), pa.array(list(z[of]), pa.list_(pa.float64()))], names=["y", "m"])
+
+    return blocks.mapInArrow(run, "y int, m array<double>")
 
 
 def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50_000, reg: float = 1e-4, iterations: int = 15) -> CalibratedSvm:
@@ -69,44 +263,50 @@ def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50
 
     Grams are characters 3 to 6 inside words, and words 1 to 2; each kind has its own
     counted vocabulary of the ``features`` most frequent grams that two texts have; a gram
-    counts once in a text, times its inverse document frequency. Classes weigh the same.
-    Machines fitted to all folds but one give margins for that one; on these margins,
-    which no machine was fitted to, a sigmoid is fitted for each class. Fewer than two
-    labelled classes are an error. Null texts are empty.
+    counts once in a text, times its inverse document frequency; rows have unit length.
+    Classes weigh the same. Machines fitted to all folds but one give margins for that
+    one; on these margins, which no machine was fitted to, a sigmoid is fitted for each
+    class. Fewer than two labelled classes are an error. Null texts are empty.
+
+    Grams are looked up once; the fit reads blocks of bits. The machines of all folds and
+    of LABELS_AT_ONCE labels share each pass, so passes don't grow with folds.
     """
     from colsense.sources.sinks import write_down
 
     lab = rows.where("label IS NOT NULL").select(key, "label", "text")
-    stages = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")]
-    for kind in ("chars", "words"):
-        stages += [CountVectorizer(inputCol=f"_{kind}", outputCol=f"{kind}_tf", vocabSize=features, minDF=2.0, binary=True), IDF(inputCol=f"{kind}_tf", outputCol=f"{kind}_x")]
-    given = with_grams(class_weights(lab, "label"))
-    grams = Pipeline(stages=[*stages, VectorAssembler(inputCols=["chars_x", "words_x"], outputCol="x0"), Normalizer(inputCol="x0", outputCol="x")]).fit(given)
-    labels = list(grams.stages[0].labels)
+    fold = F.pmod(F.xxhash64(F.lit(7), key), F.lit(folds)).cast("int")
+    texts = write_down(class_weights(lab, "label").select(F.monotonically_increasing_id().alias("row"), "label", "weight", fold.alias("fold"), text_words(F.col("text")).alias("words")))
+    found = texts.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).collect()
+    labels = sorted({r["label"] for r in found})
     if len(labels) < 2:
         raise ValueError(f"two classes are needed, {labels} are there")
-    fold = F.pmod(F.xxhash64(F.lit(7), key), F.lit(folds)).cast("int")
-    data = write_down(grams.transform(given).select(key, "y", "weight", "x", fold.alias("fold")))
-
-    def fit(df: DataFrame) -> list[LinearSVCModel]:
-        one = lambda k: LinearSVC(featuresCol="x", labelCol="is", weightCol="weight", maxIter=iterations, regParam=reg, tol=1e-3, standardization=False, rawPredictionCol=f"_m{k}", predictionCol=f"_q{k}")
-        return [one(k).fit(df.withColumn("is", (F.col("y") == k).cast("double"))) for k in range(len(labels))]
-
-    parts = None
-    for k in range(folds):
-        train, held = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        if held.isEmpty() or train.select("y").distinct().count() < len(labels):
-            continue  # a class that stands in one fold alone: its margins come from the other folds
-        part = with_margins(fit(train), held).select("y", F.col("_m").alias("m"))
-        parts = part if parts is None else parts.unionByName(part)
-    final = fit(data)
-    margins = write_down(parts if parts is not None else with_margins(final, data).select("y", F.col("_m").alias("m")))
+    chars, pairs = vocabulary(texts, features)
+    chars, pairs = {g: k for k, g in enumerate(chars)}, {g: k + len(chars) for k, g in enumerate(pairs)}
+    y = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
+    blocks = write_down(gram_blocks(texts.withColumn("y", y), chars, pairs))
+
+    def count(total, y, weight, fold, used, x):
+        total[used, 0] += x.sum(axis=0)
+
+    idf = np.log((sum(r["n"] for r in found) + 1) / (summed(blocks, (len(chars) + len(pairs), 1), count)[:, 0] + 1))
+    weighs = lambda f: sum(r["weight"] for r in found if r["fold"] != f)
+    # A class that stands in one fold alone: its margins come from the other folds.
+    used = [f for f in sorted({r["fold"] for r in found}) if len({r["label"] for r in found if r["fold"] != f}) == len(labels)]
+    machines: dict[int, list[np.ndarray]] = {f: [] for f in (*used, -1)}
+    for k in range(0, len(labels), LABELS_AT_ONCE):
+        sides = [(c, f) for f in machines for c in range(k, min(k + LABELS_AT_ONCE, len(labels)))]
+        w = fit_machines(blocks, idf, sides, np.array([weighs(f) for _, f in sides]), reg, iterations)
+        for f in machines:
+            machines[f].append(w[:, [i for i, s in enumerate(sides) if s[1] == f]])
+    whole = {f: np.hstack(w) for f, w in machines.items()}
+    final = whole.pop(-1)
+    margins = write_down(held_out_margins(blocks, idf, whole or {-1: final}))
     sigmoids = []
     for k in range(len(labels)):
         one = margins.select(array_to_vector(F.array(F.col("m")[k])).alias("m"), (F.col("y") == k).cast("double").alias("is"))
         model = LogisticRegression(featuresCol="m", labelCol="is", maxIter=50).fit(one)
         sigmoids.append((float(model.coefficients[0]), float(model.intercept)))
-    return CalibratedSvm(grams, final, labels, sigmoids)
+    return CalibratedSvm(Grams(chars, pairs, idf), final, labels, sigmoids)
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -224,8 +424,6 @@ def sage(model: PipelineModel, rows: DataFrame, key: str, features: list[str], p
     ``least`` orders on the rounds end when no feature's standard error is more than
     ``ratio`` of its mean. Rows without a label are left out; without rows all is 0.
     """
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     f = len(features)
     donor = one_donor(rows.where("label IS NOT NULL"), key, features, seed).persist()
@@ -258,8 +456,6 @@ def row_attribution(model: PipelineModel, rows: DataFrame, key: str, features: l
     that rotates, in place of another row's; a feature's value is the mean change of the
     class's probability at its turn.
     """
-    import numpy as np
-
     classes = predictions(model, rows).select(key, F.col("prediction").cast("int").alias("_class"))
     base = rows.join(classes, key)
     rng, parts = np.random.default_rng(rounds), None

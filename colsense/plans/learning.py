@@ -40,7 +40,7 @@ def l01(spark, d):
 @query("l01_calibrated_svm")
 def l01b(spark, d):
     """Languages of all documents by machines fitted to those whose id mod 5 is not 0, with calibrated probabilities."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text")
+    rows = ml.spread(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "text"), "id")
     model = ml.calibrated_svm(rows.where("id % 5 > 0"), "id")
     return model.probabilities(rows).select("id", "label", "pred", F.array_max("p").alias("p"))
 
