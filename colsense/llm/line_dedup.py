@@ -97,12 +97,17 @@ def lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
     return with_records_per_batch(rows, 2000).mapInArrow(run, "row binary, doc_id long, j int, id long, id2 long, m int, b int")
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``join_spread``, or the join alone where no key is hot: four broadcasts less for the driver."""
+    return left.join(right, keys) if hot.isEmpty() else join_spread(left, right, keys, hot)
+
+
 def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """row, j, m, first_row, first_doc, first_j: the m worded lines from place j are a later copy of those from first_j on; maximal runs."""
     all_lines = staged(lines(docs, key, text, min_words), "lines")
     often = staged(all_lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     over = F.col("n") > hot_over(often.agg(F.sum("n")).first()[0] or 0)
-    active = join_spread(all_lines, often.select("id"), ["id"], often.where(over).select("id")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").dropDuplicates(["row", "j"])
+    active = met(all_lines, often.select("id"), ["id"], often.where(over).select("id")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row").dropDuplicates(["row", "j"])
     by_row = Window.partitionBy("row").orderBy("j")
     active = active.withColumn("run", F.col("j") - F.row_number().over(by_row))
     stretch = Window.partitionBy("row", "run")
@@ -123,7 +128,7 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         if k:
             second = ranked.select("row", F.col("j").alias("j2"), F.col("r").alias("r2"))
             exact = exact.union(here.where(F.col("m") > half).join(second, ["row", "j2"]).select("row", "doc_id", "j", "m", "r", "r2"))
-        found.append(exact)
+        found.append(staged(exact, f"windows{k}"))  # read three times below
         k += 1
         if (1 << k) > deepest:
             break
@@ -131,7 +136,7 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
         pairs = staged(ranked.withColumn("r2", F.coalesce(nxt, F.lit(NO_RANK))), f"pairs{k}")
         order = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n")).orderBy("r", "r2").select("r", "r2", "n", F.monotonically_increasing_id().alias("place"))
         order = staged(order, f"order{k}")
-        ranked = staged(join_spread(pairs, order.drop("n"), ["r", "r2"], order.where(over).select("r", "r2")).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
+        ranked = staged(met(pairs, order.drop("n"), ["r", "r2"], order.where(over).select("r", "r2")).select("row", "doc_id", "j", "run", "m", "b", F.col("place").alias("r")), f"rank{k}")
     if not found:
         return ranked.select("row", "j", "m", F.col("row").alias("first_row"), F.col("doc_id").alias("first_doc"), F.col("j").alias("first_j")).where("m > 0")
     windows = found[0]
@@ -140,7 +145,7 @@ def later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "j")
     interval = ["m", "r", "r2"]
     firsts = staged(windows.groupBy(*interval).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    copies = join_spread(windows, firsts.drop("n"), interval, firsts.where(over).select(*interval)).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j"))))
+    copies = met(windows, firsts.drop("n"), interval, firsts.where(over).select(*interval)).where(~((F.col("row") == F.col("first.row")) & (F.col("j") == F.col("first.j"))))
     return prolonged(copies.select("row", "j", F.col("first.row").alias("first_row"), F.col("first.doc_id").alias("first_doc"), F.col("first.j").alias("first_j")), active)
 
 

@@ -472,3 +472,14 @@ def test_hot_first_copies_are_spread(spark, monkeypatch):
     text = "\n".join(f"{k} " + "common words of a line " * 4 for k in range(5))
     frame = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_deleted"]) for r in line_dedup.dedup(frame).collect()) == [(0, 0), *[(k, 5) for k in range(1, 20)]]
+
+
+def test_lines_are_compared_in_small_plans(spark, monkeypatch):
+    """Windows of each depth are written once; without hot keys nothing is spread."""
+    names, texts = [], [(k, "\n".join(f"{'abc'[k % 3]}{j} " * 12 for j in range(9))) for k in range(6)]
+    staged = line_dedup.staged
+    monkeypatch.setattr(line_dedup, "staged", lambda df, name="t": (names.append(name), staged(df, name))[1])
+    monkeypatch.setattr(line_dedup, "join_spread", lambda *a: pytest.fail("no key is hot"))
+    rows = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_deleted"] for r in rows} == {0: 0, 1: 0, 2: 0, 3: 9, 4: 9, 5: 9}
+    assert [n for n in names if n.startswith("windows")] == ["windows0", "windows1", "windows2"]
