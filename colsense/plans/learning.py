@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colsense.operators import evaluate as E
 from colsense.operators import ml
 from colsense.operators import similarity as G
+from colsense.sources.sinks import write_down
 
 from . import query
 from .analytics import _CENT, _E, vectors
@@ -115,11 +118,13 @@ def l10(spark, d):
 @query("l11_ablation")
 def l11(spark, d):
     """(arm, n, accuracy) of texts as they are and with their common endings cut off."""
+    hashing, *rest = sorted(ml.lexical(1 << 12).getStages(), key=lambda s: not isinstance(s, HashingTF))
     out = None
     for arm, cut in (("full", ""), ("no_endings", r"(s|en|er|ed)\b")):
         t = F.lower("text") if not cut else F.regexp_replace(F.lower("text"), cut, "")
         rows = read(spark, d, "documents").where("lang IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.split(t, r"\s+").alias("tokens"))
-        model = ml.fit_to_votes(ml.lexical(1 << 12), rows.withColumn("label", F.when(F.col("id") % 5 > 0, F.col("label"))))
+        rows = write_down(hashing.transform(rows).drop("tokens"))  # the texts are split and hashed once for all passes
+        model = ml.fit_to_votes(Pipeline(stages=rest), rows.withColumn("label", F.when(F.col("id") % 5 > 0, F.col("label"))))
         part = ml.predictions(model, rows).where("id % 5 = 0").agg(F.lit(arm).alias("arm"), F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"))
         out = part if out is None else out.union(part)
     return out
