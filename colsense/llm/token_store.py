@@ -33,6 +33,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -43,15 +44,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import at_work, hot_over, join_spread, remembers, shared_dir, staged, table, with_records_per_batch
+from .common import at_work, give_back, hot_over, join_spread, remembers, shared_dir, staged, table, with_records_per_batch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Sizes of chunks in ids: least, most, and the bits of the rolling hash that are 0 at a cut.
 LEAST, MOST, CUT_BITS = 128, 8192, 10
 #: Parts of text whose ids each of the two generations of a Python worker's memory holds.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: Stands before a part of a text that has no blank before it.
 MARK = "\x01"
 #: How byte-level vocabularies write the bytes from 128 on (fixed values): Latin-1's printable characters as they are, the others from U+0122 on.
@@ -242,49 +243,53 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Columns of a chunk.
+CHUNK = [("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]
+
+
 def _encoded(docs: DataFrame, key: str, text: str, path: str, end: int, specials: bool) -> DataFrame:
     """A row for each document (root, digests, lengths) with the chunks that its task had not met before."""
     schema = "doc_id long, root binary, n_tokens long, digests array<binary>, lengths array<int>, new array<struct<digest:binary,n:int,width:int,ids:binary>>"
-    chunk = [("digest", pa.binary()), ("n", pa.int32()), ("width", pa.int32()), ("ids", pa.binary())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_work("token_store")
-        model, pack = encoder(path, specials), zstandard.ZstdCompressor(level=1)
-        width = model.kind.itemsize
-        tail = np.array([end], model.kind).tobytes()
-        met: set[bytes] = set()
-        for whole_batch in batches:
-            for batch in _slices(whole_batch, 1):
-                gc.disable()  # some 100,000 short-lived objects and no cycles
-                ids, begin = model.encode(batch.column(1), tail)
-                gc.enable()
-                marks = cut_marks(ids)
-                span = np.searchsorted(marks, begin, "right").tolist()
-                roots, sizes, names, lengths, new, offsets = [], [], [], [], [], [0]
-                for j in range(len(begin) - 1):
-                    data = ids[begin[j] : begin[j + 1]].tobytes()
-                    n, last, own, lens = len(data) // width, 0, [], []
-                    for c in cuts(n, (marks[span[j] : span[j + 1]] - begin[j]).tolist()):
-                        part = data[last * width : c * width]
-                        own.append(name := digest(part))
-                        lens.append(c - last)
-                        if name not in met:
-                            met.add(name)
-                            new.append((name, c - last, width, pack.compress(part)))
-                        last = c
-                    roots.append(merkle_root(own))
-                    sizes.append(n)
-                    names.append(own)
-                    lengths.append(lens)
-                    offsets.append(len(new))
-                if len(met) > 500_000:
-                    met.clear()
-                fresh = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*new) if new else [[]] * 4, chunk)], names=[x for x, _ in chunk])
-                cols = [pa.array(roots, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "root", "n_tokens", "digests", "lengths", "new"])
-
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_records_per_batch(rows, 2000).mapInArrow(run, schema)
+    return with_records_per_batch(rows, 2000).mapInArrow(partial(_chunked, path=path, end=end, specials=specials), schema)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], path: str, end: int, specials: bool) -> Iterator[pa.RecordBatch]:
+    at_work("token_store")
+    model, pack = encoder(path, specials), zstandard.ZstdCompressor(level=1)
+    width = model.kind.itemsize
+    tail = np.array([end], model.kind).tobytes()
+    met: set[bytes] = set()
+    for whole_batch in batches:
+        for batch in _slices(whole_batch, 1):
+            gc.disable()  # some 100,000 short-lived objects and no cycles
+            ids, begin = model.encode(batch.column(1), tail)
+            gc.enable()
+            give_back()
+            marks = cut_marks(ids)
+            span = np.searchsorted(marks, begin, "right").tolist()
+            roots, sizes, names, lengths, new, offsets = [], [], [], [], [], [0]
+            for j in range(len(begin) - 1):
+                data = ids[begin[j] : begin[j + 1]].tobytes()
+                n, last, own, lens = len(data) // width, 0, [], []
+                for c in cuts(n, (marks[span[j] : span[j + 1]] - begin[j]).tolist()):
+                    part = data[last * width : c * width]
+                    own.append(name := digest(part))
+                    lens.append(c - last)
+                    if name not in met:
+                        met.add(name)
+                        new.append((name, c - last, width, pack.compress(part)))
+                    last = c
+                roots.append(merkle_root(own))
+                sizes.append(n)
+                names.append(own)
+                lengths.append(lens)
+                offsets.append(len(new))
+            if len(met) > 500_000:
+                met.clear()
+            fresh = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*new) if new else [[]] * 4, CHUNK)], names=[x for x, _ in CHUNK])
+            cols = [pa.array(roots, pa.binary()), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fresh)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "root", "n_tokens", "digests", "lengths", "new"])
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -369,6 +374,7 @@ def shifted(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """digest and CRC-32 (of 4-byte ids) of every chunk whose bytes give its digest and length."""
+    at_work("token_store, reading")  # the ids of words are no longer needed
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
