@@ -77,11 +77,13 @@ class Stops(NamedTuple):
 
     Fixed values: rounds at most and at least, mean gap that is small enough, and the
     bounds on gap, belief and conflict beyond which an answer is uncertain or disputed.
+    Questions are bounded only where a ``budget`` is given: a fixed number of them would
+    end the rounds of a larger table sooner.
     """
 
     most: int = 5
     least: int = 2
-    budget: int = 1_000_000
+    budget: float = float("inf")
     mean_gap: float = 0.18
     gap: float = 0.18
     bel: float = 0.45
@@ -107,7 +109,7 @@ def revisit(
     an entity was last fused. A round fuses its candidates alone; of a round only its
     means and counts come to the driver.
 
-    Rounds end when nothing is uncertain, when ``budget`` questions have been asked, when
+    Rounds end when nothing is uncertain, when a given ``budget`` has been asked, when
     the mean gap is small or has not fallen in two rounds (all but the budget after
     ``least`` rounds), or after ``most``: outcome no_revisit_candidates, budget_exhausted,
     gap_threshold_met, plateau or iterations_exhausted. An answer that no evidence backs

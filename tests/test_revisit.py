@@ -94,3 +94,17 @@ def test_without_entities(spark):
     none = spark.createDataFrame([], SCHEMA)
     beliefs, _, log, outcome = loop.revisit(evidence, none, fuse, lambda again, i: none, write_down)
     assert beliefs.count() == 0 and outcome == "no_revisit_candidates" and len(log) == 3
+
+
+def test_copies_end_as_one_does(spark):
+    """The same entities 26,000 times over, a million questions and more: rounds, outcome and beliefs are those of one copy."""
+
+    def run(n):
+        ids = spark.range(10 * n).select(F.col("id").alias("entity"))
+        evidence = ids.select("entity", F.lit("own").alias("source"), F.lit("c0").alias("focal"), (F.lit(0.2) + (F.col("entity") % 10) / 100).alias("mass"))
+        ask = lambda again, i: again.select("entity", F.lit("c1").alias("code"), F.lit(0.3 + 0.05 * i).alias("confidence"))
+        beliefs, _, log, outcome = loop.revisit(evidence, ask(ids, 0), fuse, ask, write_down)
+        same = beliefs.groupBy((F.col("entity") % 10).alias("e"), "code", "bel", "gap", "k", "vote", "round").count().collect()
+        return outcome, [(x["asked"] / n, round(x["gap"], 9)) for x in log], sorted((*r[:-1], r["count"] / n) for r in same)
+
+    assert run(26_000) == run(1)
