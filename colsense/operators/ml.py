@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, PCA, HashingTF, StringIndexer, VectorAssembler
@@ -83,22 +84,23 @@ KNOWN_WORDS = 300_000
 
 def finder(chars: dict[str, int], pairs: dict[str, int], low: int = 3, high: int = 6):
     """A function from words to the ascending places of their counted grams."""
-    known: dict[str, np.ndarray] = {}
+    known: dict[str, bytes] = {}
     there = np.zeros(len(chars) + len(pairs), bool)
 
-    def of(word: str) -> np.ndarray:
+    def of(word: str) -> bytes:
         own = known.get(word)
         if own is None:
             w = f" {word} "
             places = map(chars.get, [w[i : i + n] for n in range(low, high + 1) for i in range(max(len(w) - n + 1, 1))])
-            own = np.array([k for k in places if k is not None], np.int32)
+            own = np.array([k for k in places if k is not None], np.int32).tobytes()
             if len(known) < KNOWN_WORDS:  # the frequent ones come early
                 known[word] = own
         return own
 
     def find(words: list[str]) -> np.ndarray:
         both = map(pairs.get, [*words, *[f"{a} {b}" for a, b in zip(words, words[1:])]])
-        there[np.concatenate([np.array([k for k in both if k is not None], np.int32), *map(of, set(words))])] = True
+        there[np.array([k for k in both if k is not None], np.int32)] = True
+        there[np.frombuffer(b"".join(map(of, set(words))), np.int32)] = True
         found = np.flatnonzero(there)
         there[found] = False
         return found
@@ -106,6 +108,20 @@ def finder(chars: dict[str, int], pairs: dict[str, int], low: int = 3, high: int
     return find
 
 
+#: Rows of a batch that goes to a worker: texts are long.
+BATCH_ROWS = 1024
+#: A writer and a reader of files hold a group of rows at once: few MB instead of 128.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20}
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """Bounds the rows of an Arrow batch, for this session from now on, where it allows more: the plan runs later."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def with_margins(machines: np.ndarray, grams: Grams, rows: DataFrame) -> DataFrame:
     """rows (text, ...) with ``_m``, the distance from each machine's plane."""
     sent = rows.sparkSession.sparkContext.broadcast((grams, machines))  # the model: bounded by its vocabulary
@@ -116,96 +132,133 @@ def with_margins(machines: np.ndarray, grams: Grams, rows: DataFrame) -> DataFra
         scaled, squares, find = idf[:, None] * w[:-1], idf**2, finder(chars, pairs)
         for batch in batches:
             out = []
-            for words in batch.column(len(names)).to_pylist():
-                found = find(words)
+            for words in batch.column(len(names)):
+                found = find(words.as_py())
                 norm = np.sqrt(squares[found].sum())
                 out.append(scaled[found].sum(axis=0) / (norm if norm > 0 else 1.0) + w[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.list_(pa.float64()))], names=[*names, "_m"])
 
     schema = StructType([*rows.schema.fields, StructField("_m", ArrayType(DoubleType()))])
-    return rows.withColumn("_words", text_words(F.col("text"))).mapInArrow(run, schema)
+    return short_batches(rows.withColumn("_words", text_words(F.col("text")))).mapInArrow(run, schema)
 
 
 #: Rows of a block of the fit, labels whose machines are fitted together, and steps that a fit remembers.
-BLOCK_ROWS, LABELS_AT_ONCE, REMEMBERED = 256, 4, 5
+BLOCK_ROWS, LABELS_AT_ONCE, REMEMBERED = 128, 4, 5
 
 
-def gram_blocks(texts: DataFrame, chars: dict[str, int], pairs: dict[str, int]) -> DataFrame:
-    """(y, weight, fold, used, bits): BLOCK_ROWS of the rows (y, weight, fold, words), which grams they use and a bit for each row and gram."""
+def gram_rows(texts: DataFrame, chars: dict[str, int], pairs: dict[str, int]) -> DataFrame:
+    """(y, weight, fold, found) of the rows (y, weight, fold, words); found: the places of a row's grams, as bytes.
+
+    Each row is small by itself: a writer and a reader of files hold a hundred rows and more at once.
+    """
     sent = texts.sparkSession.sparkContext.broadcast((chars, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(*sent.value)
-        for whole in batches:
-            for k in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(k, BLOCK_ROWS)
-                found = [find(words) for words in batch.column(3).to_pylist()]
-                used, place = np.unique(np.concatenate(found), return_inverse=True)
-                x = np.zeros((batch.num_rows, len(used)), bool)
-                x[np.repeat(np.arange(len(found)), [len(f) for f in found]), place] = True
-                y, weight, fold = (batch.column(i).to_numpy(zero_copy_only=False).astype(kind) for i, kind in enumerate(("int32", "float64", "int32")))
-                cells = [v.tobytes() for v in (y, weight, fold, used.astype("int32"), np.packbits(x, axis=1))]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["y", "weight", "fold", "used", "bits"])
-
-    return texts.select("y", "weight", "fold", "words").mapInArrow(run, "y binary, weight binary, fold binary, used binary, bits binary")
+        for batch in batches:
+            found = pa.array([find(words.as_py()).astype(np.int32).tobytes() for words in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["y", "weight", "fold", "found"])
 
+    return short_batches(texts.select("y", "weight", "fold", "words")).mapInArrow(run, "y int, weight double, fold int, found binary")
 
-def each_block(batches: Iterator[pa.RecordBatch]):
-    """y, weight, fold, used and the matrix of rows and used grams, of each block."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            y, fold, used = (np.frombuffer(r[c], np.int32) for c in ("y", "fold", "used"))
-            bits = np.frombuffer(r["bits"], np.uint8).reshape(len(y), -1)
-            yield y, np.frombuffer(r["weight"], np.float64), fold, used, np.unpackbits(bits, axis=1, count=len(used)).astype(np.float32)
 
+def each_block(batches: Iterator[pa.RecordBatch], n: int):
+    """y, weight, fold, used and the matrix of rows and used grams, of BLOCK_ROWS rows of gram_rows at a time; n: grams that there are.
 
-def summed(blocks: DataFrame, shape: tuple[int, int], add) -> np.ndarray:
-    """What add(total, *block) puts into a matrix of that shape, over all blocks: one matrix for each task, added in a tree."""
+    A matrix lasts until the next one: they share their cells.
+    """
+    there, column, cells = np.zeros(n, bool), np.empty(n, np.int64), np.zeros(BLOCK_ROWS * n, np.float32)
+    for whole in batches:
+        for k in range(0, whole.num_rows, BLOCK_ROWS):
+            batch = whole.slice(k, BLOCK_ROWS)
+            y, weight, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            found = batch.column(3).to_pylist()
+            places = np.frombuffer(b"".join(found), np.int32)
+            there[places] = True
+            used = np.flatnonzero(there)
+            there[used] = False
+            column[used] = np.arange(len(used))
+            ones = np.repeat(np.arange(len(found)) * len(used), [len(f) // 4 for f in found]) + column[places]
+            cells[ones] = 1
+            yield y, weight, fold, used, cells[: len(found) * len(used)].reshape(len(found), -1)
+            cells[ones] = 0
+
+
+#: Numbers of a sum that a row has.
+PIECE = 1 << 16
+
+
+def summed(rows: DataFrame, n: int, shape: tuple[int, int], add) -> np.ndarray:
+    """What add(total, *block) puts into a matrix of that shape, over all blocks of gram_rows.
+
+    Each task has one matrix, and gives it on in pieces; a piece is summed in the order of
+    the tasks, and each comes to the driver once.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    kind = "task int, at long, part binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for block in each_block(batches):
+        for block in each_block(batches, n):
             add(total, *block)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+        flat, task = total.reshape(-1), TaskContext.get().partitionId()
+        for at in range(0, len(flat), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([at]), pa.array([flat[at : at + PIECE].tobytes()], pa.binary())], names=["task", "at", "part"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                parts.setdefault(r["at"], []).append((r["task"], r["part"]))
+        for at, own in parts.items():
+            whole = sum(np.frombuffer(part) for _, part in sorted(own))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([at]), pa.array([whole.tobytes()], pa.binary())], names=["task", "at", "part"])
+
+    pieces = short_batches(rows.coalesce(tasks)).mapInArrow(run, kind).repartition(tasks, "at").mapInArrow(together, kind)
+    out = np.zeros(shape[0] * shape[1])
+    for r in pieces.collect():
+        out[r["at"] : r["at"] + PIECE] = np.frombuffer(r["part"])
+    return out.reshape(shape)
+
 
-    few = blocks.coalesce(blocks.sparkSession.sparkContext.defaultParallelism)
-    return few.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(r[0])).treeReduce(np.add).reshape(shape)
+def planes(idf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What scores needs of the weights of the machines with intercepts last: by gram what it adds to each margin and to the square of a row's length; the intercepts."""
+    return np.column_stack((idf[:, None] * w[:-1], idf**2)).astype(np.float32), w[-1]
 
 
-def scores(sent, fold, used, x) -> tuple[np.ndarray, np.ndarray]:
-    """Margins of the rows of a block by machine, and the lengths of the rows; sent: idf, weights of the machines with intercepts last."""
-    idf, w = sent
-    own = idf[used]
-    s = x @ np.column_stack((own[:, None] * w[used], own**2)).astype(np.float32)
+def scores(sent, used, x) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the rows of a block by machine, and the lengths of the rows; sent: planes."""
+    s = x @ sent[0][used]
     norm = np.sqrt(s[:, -1:].astype(np.float64))
     norm[norm == 0] = 1
-    return s[:, :-1] / norm + w[-1], norm
+    return s[:, :-1] / norm + sent[1], norm
 
 
-def fit_machines(blocks: DataFrame, idf: np.ndarray, sides: list[tuple[int, int]], totals: np.ndarray, reg: float, iterations: int, tol: float = 1e-3) -> np.ndarray:
+def fit_machines(rows: DataFrame, idf: np.ndarray, sides: list[tuple[int, int]], totals: np.ndarray, reg: float, iterations: int, tol: float = 1e-3) -> np.ndarray:
     """Weights of the machines, intercepts last: a machine (class, fold) tells the class from the rest on all folds but that one.
 
     Squared hinge loss, weighted, and ``reg`` / 2 times the squared length, by L-BFGS with
-    halved steps. All machines look at a block together, so a pass over the blocks is a
+    halved steps. All machines look at a block together, so a pass over the rows is a
     step of each of them; one that has settled waits for the others.
     """
-    sc, n, k = blocks.sparkSession.sparkContext, len(idf), len(sides)
+    sc, n, k = rows.sparkSession.sparkContext, len(idf), len(sides)
     cls, held = np.array(sides).T
 
     def value(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sent = sc.broadcast((idf, w.T.copy()))
+        sent = sc.broadcast(planes(idf, w.T))
 
         def add(total, y, weight, fold, used, x):
-            z, norm = scores(sent.value, fold, used, x)
+            z, norm = scores(sent.value, used, x)
             sign = np.where(y[:, None] == cls, 1.0, -1.0)
             slack = np.maximum(0, 1 - sign * z)
             use = weight[:, None] * (fold[:, None] != held)
             d = -2 * use * sign * slack
-            total[used] += idf[used][:, None] * ((d / norm).astype(np.float32).T @ x).T
+            total[used] += ((d / norm).astype(np.float32).T @ x).T
             total[-2] += d.sum(axis=0)
             total[-1] += (use * slack**2).sum(axis=0)
 
-        total = (summed(blocks, (n + 2, k), add) / totals).T
+        total = (summed(rows, n, (n + 2, k), add) / totals).T
+        total[:, :n] *= idf
         sent.destroy()
         plain = w * (np.arange(n + 1) < n)
         return total[:, -1] + reg / 2 * (plain**2).sum(axis=1), total[:, :-1] + reg * plain
@@ -243,19 +296,19 @@ def fit_machines(blocks: DataFrame, idf: np.ndarray, sides: list[tuple[int, int]
     return w.T.copy()
 
 
-def held_out_margins(blocks: DataFrame, idf: np.ndarray, w: dict[int, np.ndarray]) -> DataFrame:
+def held_out_margins(rows: DataFrame, idf: np.ndarray, w: dict[int, np.ndarray]) -> DataFrame:
     """(y, m) of the rows of each fold by the machines of w that did not see it; -1 in w: of all rows."""
-    sent = blocks.sparkSession.sparkContext.broadcast((idf, w))
+    sent, n = rows.sparkSession.sparkContext.broadcast({f: planes(idf, m) for f, m in w.items()}), len(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, machines = sent.value
-        for y, _, fold, used, x in each_block(batches):
+        machines = sent.value
+        for y, _, fold, used, x in each_block(batches, n):
             for f, m in machines.items():
-                z, _ = scores((own, m), fold, used, x)
+                z, _ = scores(m, used, x)
                 of = np.flatnonzero((fold == f) | (f < 0))
                 yield pa.RecordBatch.from_arrays([pa.array(y[of]), pa.array(list(z[of]), pa.list_(pa.float64()))], names=["y", "m"])
 
-    return blocks.mapInArrow(run, "y int, m array<double>")
+    return short_batches(rows).mapInArrow(run, "y int, m array<double>")
 
 
 def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50_000, reg: float = 1e-4, iterations: int = 15) -> CalibratedSvm:
@@ -268,14 +321,14 @@ def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50
     one; on these margins, which no machine was fitted to, a sigmoid is fitted for each
     class. Fewer than two labelled classes are an error. Null texts are empty.
 
-    Grams are looked up once; the fit reads blocks of bits. The machines of all folds and
+    Grams are looked up once; the fit reads their places. The machines of all folds and
     of LABELS_AT_ONCE labels share each pass, so passes don't grow with folds.
     """
     from colsense.sources.sinks import write_down
 
     lab = rows.where("label IS NOT NULL").select(key, "label", "text")
     fold = F.pmod(F.xxhash64(F.lit(7), key), F.lit(folds)).cast("int")
-    texts = write_down(class_weights(lab, "label").select(F.monotonically_increasing_id().alias("row"), "label", "weight", fold.alias("fold"), text_words(F.col("text")).alias("words")))
+    texts = write_down(class_weights(lab, "label").select(F.monotonically_increasing_id().alias("row"), "label", "weight", fold.alias("fold"), text_words(F.col("text")).alias("words")), **SMALL_GROUPS)
     found = texts.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).collect()
     labels = sorted({r["label"] for r in found})
     if len(labels) < 2:
@@ -283,24 +336,24 @@ def calibrated_svm(rows: DataFrame, key: str, folds: int = 3, features: int = 50
     chars, pairs = vocabulary(texts, features)
     chars, pairs = {g: k for k, g in enumerate(chars)}, {g: k + len(chars) for k, g in enumerate(pairs)}
     y = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") - 1
-    blocks = write_down(gram_blocks(texts.withColumn("y", y), chars, pairs))
+    found_rows = write_down(gram_rows(texts.withColumn("y", y), chars, pairs), **SMALL_GROUPS)
 
     def count(total, y, weight, fold, used, x):
         total[used, 0] += x.sum(axis=0)
 
-    idf = np.log((sum(r["n"] for r in found) + 1) / (summed(blocks, (len(chars) + len(pairs), 1), count)[:, 0] + 1))
+    idf = np.log((sum(r["n"] for r in found) + 1) / (summed(found_rows, len(chars) + len(pairs), (len(chars) + len(pairs), 1), count)[:, 0] + 1))
     weighs = lambda f: sum(r["weight"] for r in found if r["fold"] != f)
     # A class that stands in one fold alone: its margins come from the other folds.
     used = [f for f in sorted({r["fold"] for r in found}) if len({r["label"] for r in found if r["fold"] != f}) == len(labels)]
     machines: dict[int, list[np.ndarray]] = {f: [] for f in (*used, -1)}
     for k in range(0, len(labels), LABELS_AT_ONCE):
         sides = [(c, f) for f in machines for c in range(k, min(k + LABELS_AT_ONCE, len(labels)))]
-        w = fit_machines(blocks, idf, sides, np.array([weighs(f) for _, f in sides]), reg, iterations)
+        w = fit_machines(found_rows, idf, sides, np.array([weighs(f) for _, f in sides]), reg, iterations)
         for f in machines:
             machines[f].append(w[:, [i for i, s in enumerate(sides) if s[1] == f]])
     whole = {f: np.hstack(w) for f, w in machines.items()}
     final = whole.pop(-1)
-    margins = write_down(held_out_margins(blocks, idf, whole or {-1: final}))
+    margins = write_down(held_out_margins(found_rows, idf, whole or {-1: final}))
     sigmoids = []
     for k in range(len(labels)):
         one = margins.select(array_to_vector(F.array(F.col("m")[k])).alias("m"), (F.col("y") == k).cast("double").alias("is"))

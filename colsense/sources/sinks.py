@@ -20,10 +20,10 @@ def shared_folder(spark) -> str:
     return f"{top.rstrip('/')}/colsense-{uuid.uuid4().hex}"
 
 
-def write_down(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage, survives lost executors."""
+def write_down(df: DataFrame, **options: str | int) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts the lineage, survives lost executors; options: of the writer."""
     path = f"{shared_folder(df.sparkSession)}/t"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
